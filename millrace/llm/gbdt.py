@@ -40,10 +40,20 @@ class Forest:
         return 1.0 / (1.0 + np.exp(-np.clip(self.margin(x), -40, 40)))
 
 
-def fit_forest(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 1.0, least: float = 2.0) -> Forest:
+def cut_points(values: np.ndarray, bins: int) -> np.ndarray:
+    """Bounds near the quantiles, each halfway between two neighbouring distinct values."""
+    u = np.unique(values)
+    if len(u) < 2:
+        return np.zeros(0)
+    at = np.searchsorted(u, np.quantile(values, np.linspace(0, 1, bins + 1)), "right") - 1
+    at = np.unique(np.clip(at, 0, len(u) - 2))
+    return (u[at] + u[at + 1]) / 2
+
+
+def fit_forest(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64, l2: float = 1.0, least: float = 0.3) -> Forest:
     """Boost logistic loss by trees grown level by level over quantile-bin histograms."""
     n, d = x.shape
-    edges = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) if n else np.zeros(0) for j in range(d)]
+    edges = [cut_points(x[:, j], bins) for j in range(d)]
     code = np.stack([np.searchsorted(e, x[:, j], "left") for j, e in enumerate(edges)], 1) if n else np.zeros((0, d), np.int64)
     p = min(max(float(y.mean()) if n else 0.5, 1e-3), 1 - 1e-3)
     base = float(np.log(p / (1 - p)))
@@ -60,9 +70,10 @@ def fit_forest(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 4,
             for j in range(d):
                 if not len(edges[j]):
                     continue
-                cell = node * bins + code[:, j]
-                hg = np.bincount(cell, g, width * bins).reshape(width, bins).cumsum(1)
-                hh = np.bincount(cell, h, width * bins).reshape(width, bins).cumsum(1)
+                size = len(edges[j]) + 1
+                cell = node * size + code[:, j]
+                hg = np.bincount(cell, g, width * size).reshape(width, size).cumsum(1)
+                hh = np.bincount(cell, h, width * size).reshape(width, size).cumsum(1)
                 tg, th = hg[:, -1:], hh[:, -1:]
                 gain = hg**2 / (hh + l2) + (tg - hg) ** 2 / (th - hh + l2) - tg**2 / (th + l2)
                 gain[(hh < least) | (th - hh < least)] = 0

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .gbdt import is_held_out, labelled_sample
+from .gbdt import cut_points, is_held_out, labelled_sample
 from .stats import COUNTS, RATIOS, document_stats
 
 #: A condition: statistic, whether at least (else at most), bound.
@@ -42,7 +42,7 @@ def _grow(x: dict[str, np.ndarray], y: np.ndarray, cuts: dict[str, np.ndarray],
                     gain = np.where(cp > 0, cp * (np.log2(cp / ct) - before), 0)
                 if len(gain) and gain.max() > best:
                     i = int(gain.argmax())
-                    best, chosen = float(gain[i]), (name, up, float(np.nextafter(edges[i], np.inf)) if up else float(edges[i]))
+                    best, chosen = float(gain[i]), (name, up, float(edges[i]))
         if chosen is None:
             break
         rule.append(chosen)
@@ -50,6 +50,17 @@ def _grow(x: dict[str, np.ndarray], y: np.ndarray, cuts: dict[str, np.ndarray],
     return rule
 
 
+def _gap(values: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Halfway bounds just outside the range of the good, where the bad lie beyond it."""
+    good, out = values[~bad], []
+    if len(good):
+        if (above := values[bad][values[bad] > good.max()]).size:
+            out.append((good.max() + above.min()) / 2)
+        if (below := values[bad][values[bad] < good.min()]).size:
+            out.append((good.min() + below.max()) / 2)
+    return np.array(out)
+
+
 def _prune(x: dict[str, np.ndarray], y: np.ndarray, rule: list[Condition]) -> tuple[list[Condition], float]:
     """The prefix with the best (p - n) / (p + n) on rows that did not grow it."""
     best, worth = rule, -1.0
@@ -69,9 +80,8 @@ def learn_list(x: dict[str, np.ndarray], bad: np.ndarray, *, most_rules: int = 2
     while len(rules) < most_rules and bad[rest].any():
         turn = rng.permutation(len(rest))
         grow, prune = rest[turn[len(rest) // 3 :]], rest[turn[: len(rest) // 3]]
-        cuts = {c: np.unique(np.quantile(v[rest], np.linspace(0, 1, bins + 1)[:-1])) for c, v in x.items()}
         # the bad are few: their own quantiles give bounds where it matters
-        cuts = {c: np.unique(np.concatenate([cuts[c], np.quantile(v[rest][bad[rest]], np.linspace(0, 1, bins + 1))])) for c, v in x.items()}
+        cuts = {c: np.unique(np.concatenate([cut_points(v[rest], bins), cut_points(np.concatenate([v[rest][bad[rest]], v[rest][~bad[rest]][:1]]), bins), _gap(v[rest], bad[rest])])) for c, v in x.items()}
         rule = _grow({c: v[grow] for c, v in x.items()}, bad[grow], cuts, most_conditions)
         if not rule:
             break

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import common
-from .substring_index import starts_ok, word_windows
+from .substring_index import starts_ok, windows_of, word_hashes
 
 SLICE_BYTES = 8 << 20
 #: Words in a window of which the second is a repeat.
@@ -44,15 +44,33 @@ def _sums(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def _in_row(h: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Keys that are equal where hash and row are."""
+    return h * np.uint64(0x9E3779B97F4A7C15) + row.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _distinct_and_top(h: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct words of each row, and how often its most frequent one occurs."""
+    if not len(h):
+        return np.zeros(n), np.zeros(n)
+    key = _in_row(h, row)
+    order = np.argsort(key)
+    first = np.flatnonzero(np.concatenate([[True], key[order][1:] != key[order][:-1]]))
+    of = row[order][first]
+    top = np.zeros(n, np.int64)
+    np.maximum.at(top, of, np.diff(np.append(first, len(h))))
+    return np.bincount(of, minlength=n), top
+
+
 def _slice_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     blank, symbol, upper, digit, stop, bang, bar, bracket, lead, tail, url = (_sums(t[data], offsets) for t in _TABLES)
     chars = np.diff(offsets) - tail
     word_chars = chars - blank
-    words, row, w = word_windows(data, offsets, REPEAT_WINDOW)
+    words, row, h = word_hashes(data, offsets)
     counts = np.array([len(r) for r in words], np.int64)
     at = np.flatnonzero(starts_ok(counts, REPEAT_WINDOW))
-    key = w[at] * np.uint64(0x9E3779B97F4A7C15) + row[at].astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    key = _in_row(windows_of(h, REPEAT_WINDOW)[at], row[at])
     order = np.argsort(key)
     same = key[order][1:] == key[order][:-1]
     twice = np.zeros(len(at), bool)
@@ -62,25 +80,15 @@ def _slice_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
     np.add.at(cover, at[twice], 1)
     np.add.at(cover, at[twice] + REPEAT_WINDOW, -1)
     repeat = np.bincount(row, np.cumsum(cover)[: len(row)] > 0, n).astype(np.int64)
+    again = np.bincount(row[1:], (h[1:] == h[:-1]) & (row[1:] == row[:-1]), n) if len(row) else np.zeros(n)
+    distinct, top = _distinct_and_top(h, row, n)
+    long = np.array([sum(map((14).__lt__, map(len, r))) for r in words], np.int64)
     raw = data.tobytes()
     dup, lines = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    long, distinct, top, again = (np.zeros(n, np.int64) for _ in range(4))
     for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         full = [x for x in raw[a:b].split(b"\n") if x.strip()]
         lines[i] = len(full)
         dup[i] = len(full) - len(set(full))
-        r = words[i]
-        if r:
-            long[i] = sum(len(x) > 14 for x in r)
-            seen = dict.fromkeys(r, 0)
-            distinct[i] = len(seen)
-            if len(seen) < len(r):
-                for x in r:
-                    seen[x] += 1
-                top[i] = max(seen.values())
-                again[i] = sum(x == y for x, y in zip(r, r[1:], strict=False))
-            else:
-                top[i] = 1
     nw, nc, nl = np.maximum(counts, 1), np.maximum(word_chars, 1), np.maximum(lines, 1)
     return {
         "n_words": counts, "word_chars": word_chars, "n_symbols": symbol, "n_dup_lines": dup, "n_repeat_words": repeat,

@@ -40,20 +40,25 @@ GROUP_BYTES = 12 << 20
 _KEYS = "_mr_bucket long, _mr_range long, _mr_keys binary"
 
 
-def word_windows(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """The words of each row; for each word its row; for each word the hash of the window that starts there.
-
-    The hash of a window that would leave its row is meaningless; ``starts_ok`` tells which are whole.
-    """
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+    """The words of each row; for each word its row and its hash."""
     raw = data.tobytes()
     rows = [raw[a:b].split() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
     counts = np.array([len(r) for r in rows], np.int64)
-    total = int(counts.sum())
-    h = np.empty(total, np.uint64)
+    h = np.empty(int(counts.sum()), np.uint64)
     at = 0
     for r in rows:
         h[at : at + len(r)] = np.fromiter(map(xxh3_64_intdigest, r), np.uint64, len(r))
         at += len(r)
+    return rows, np.repeat(np.arange(len(rows)), counts), h
+
+
+def windows_of(h: np.ndarray, words: int) -> np.ndarray:
+    """For each word the hash of the window that starts there.
+
+    The hash of a window that would leave its row is meaningless; ``starts_ok`` tells which are whole.
+    """
+    total = len(h)
     w = np.zeros(total, np.uint64)
     if total >= words:
         n = total - words + 1
@@ -62,7 +67,7 @@ def word_windows(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[lis
             w[:n] += h[j : j + n]
         w ^= w >> np.uint64(32)
         w *= np.uint64(0xD6E8FEB86659FD93)
-    return rows, np.repeat(np.arange(len(rows)), counts), w
+    return w
 
 
 def starts_ok(counts: np.ndarray, words: int) -> np.ndarray:
@@ -119,7 +124,8 @@ def _emit(words: int, bits: int, bounds: np.ndarray):
             ranges = common.range_of(bounds, common.id_array(batch.column(0)))
             for lo, hi in common.slices(offsets, SLICE_BYTES):
                 part = offsets[lo : hi + 1]
-                _, row, w = word_windows(data[part[0] : part[-1]], part - part[0], words)
+                _, row, h = word_hashes(data[part[0] : part[-1]], part - part[0])
+                w = windows_of(h, words)
                 ok = starts_ok(np.bincount(row, minlength=hi - lo), words)
                 w, of = w[ok], ranges[lo:hi][row[ok]]
                 out: tuple[list, list, list] = ([], [], [])
@@ -179,7 +185,8 @@ def _remove(words: int, id_col: str, text_col: str, schema: pa.Schema):
         found = np.sort(np.concatenate([np.zeros(0, np.uint64), *(common.unpack_keys(x.as_py()) for x in hits.column("_mr_keys"))]))
         data, offsets = common.text_buffers(docs.column(text_col))
         ids = common.id_array(docs.column(id_col))
-        rows, row, w = word_windows(data, offsets, words)
+        rows, row, h = word_hashes(data, offsets)
+        w = windows_of(h, words)
         counts = np.array([len(r) for r in rows], np.int64)
         ok = starts_ok(counts, words)
         at = np.flatnonzero(ok)
