@@ -1 +1,74 @@
-""""""
+"""Scalar functions as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Fixed value: equatorial radius in metres.
+EARTH_RADIUS = 6378137.0
+#: Fixed value: metres in a degree, as the map match counts them.
+DEGREE_METRES = 111.2 * 1000
+
+
+def normalize_text(text: Column) -> Column:
+    """Words of a text: anything but ASCII letters and digits is a blank; lower case; no empty words."""
+    return F.filter(F.split(F.lower(F.regexp_replace(text, "[^A-Za-z0-9]", " ")), " "), lambda w: w != "")
+
+
+def split_words(line: Column, *, keep_empty: bool = True) -> Column:
+    """Words between single spaces: trailing empty ones drop, inner ones stay unless ``keep_empty`` is off."""
+    words = F.split(F.rtrim(line), " ")
+    return words if keep_empty else F.filter(words, lambda w: w != "")
+
+
+def ratio_score(v1: float, v2: float, v: Column) -> Column:
+    """v / (v1 + (v2 - v1)) clipped to 0..1; null stays null."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / F.lit(v1 + (v2 - v1))))
+
+
+def safe_ratio(a: Column, b: Column) -> Column:
+    """a / b where x / 0 is infinite and 0 / 0 is null."""
+    return F.when(b != 0, F.try_divide(a, b)).when(a > 0, F.lit(float("inf"))).when(a < 0, F.lit(float("-inf")))
+
+
+def minute_number(seconds: Column) -> Column:
+    return F.floor(seconds / 60) + 1
+
+
+def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+    """Great-circle metres."""
+    a, b = F.radians(lat1 - lat2), F.radians(lon1 - lon2)
+    h = F.pow(F.sin(a / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(b / 2), 2)
+    return 2 * EARTH_RADIUS * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+
+
+def point_line_geo_dist(x1: Column, y1: Column, x2: Column, y2: Column, x: Column, y: Column) -> Column:
+    """Great-circle metres from a point to a segment: to the foot of the planar perpendicular where that lies on the segment, else to the nearer end."""
+    ends = F.least(haversine(y, x, y1, x1), haversine(y, x, y2, x2))
+    level = F.when((F.least(x1, x2) < x) & (x < F.greatest(x1, x2)), haversine(y1, x, y, x)).otherwise(ends)
+    upright = F.when((F.least(y1, y2) < y) & (y < F.greatest(y1, y2)), haversine(y, x1, y, x)).otherwise(ends)
+    k = F.try_divide(y2 - y1, x2 - x1)
+    foot_x = (k * k * x1 + k * (y - y1) + x) / (k * k + 1)
+    foot_y = k * (foot_x - x1) + y1
+    on = haversine(foot_y, foot_x, y1, x1) + haversine(foot_y, foot_x, y2, x2) - haversine(y1, x1, y2, x2) < 0.001
+    inside = foot_x.between(-180, 180) & foot_y.between(-90, 90)
+    return F.when(y1 == y2, level).when(x1 == x2, upright).when(inside & on, haversine(foot_y, foot_x, y, x)).otherwise(ends)
+
+
+def planar_dist(x1: Column, y1: Column, x2: Column, y2: Column, x: Column, y: Column) -> Column:
+    """Distance of a point to a segment in the plane, in the coordinates' unit; within 1e-6 of an end it is 0."""
+    side = lambda a, b, c, d: F.sqrt((a - c) * (a - c) + (b - d) * (b - d))
+    a, b, c = side(x1, y1, x2, y2), side(x1, y1, x, y), side(x2, y2, x, y)
+    p = (a + b + c) / 2
+    height = 2 * F.sqrt(F.greatest(F.lit(0.0), p * (p - a) * (p - b) * (p - c)))
+    return F.when((c <= 1e-6) | (b <= 1e-6), 0.0).when(a <= 1e-6, b).when(c * c >= a * a + b * b, b).when(b * b >= a * a + c * c, c).otherwise(F.try_divide(height, a))
+
+
+def point_in_polygon(ring: Column, x: Column, y: Column) -> Column:
+    """Even-odd containment: ``ring`` is an array of structs (x, y), closed or not."""
+    n = F.size(ring)
+    crossing = lambda a, b: ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * F.try_divide(y - a["y"], b["y"] - a["y"]) + a["x"])
+    flips = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + F.when(F.coalesce(crossing(F.element_at(ring, i), F.element_at(ring, i % n + 1)), F.lit(False)), 1).otherwise(0))
+    in_box = x.between(F.array_min(F.transform(ring, lambda p: p["x"])), F.array_max(F.transform(ring, lambda p: p["x"]))) & y.between(F.array_min(F.transform(ring, lambda p: p["y"])), F.array_max(F.transform(ring, lambda p: p["y"])))
+    return in_box & (flips % 2 == 1)

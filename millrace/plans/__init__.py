@@ -1,9 +1,6 @@
 """Registered queries and the SQL they are held against."""
 
+from . import calls, records, roads, words
+from .registry import oracle_sql, queries
 
-def queries():
-    return {}
-
-
-def oracle_sql():
-    return {}
+__all__ = ["calls", "oracle_sql", "queries", "records", "roads", "words"]

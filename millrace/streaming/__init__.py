@@ -1 +1,144 @@
-""""""
+"""Structured Streaming twins of the batch operators, with the same step functions.
+
+Row-wise operators (parsers, filters, projections, dimension lookups) run on streams as they are. Here are those
+that need watermarks or state.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..operators import ads
+from ..operators.traffic import SpeedGate
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Keep state on disk: keyed processors need it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+def campaign_counts(events: DataFrame, dim: DataFrame, *, delay: str = "0 seconds", length: str = "10 seconds") -> DataFrame:
+    """Views of each campaign in tumbling windows; in append mode a window leaves once the watermark passes it."""
+    views = ads.campaign_views(events.withWatermark("at", delay), dim)
+    return ads.window_count(views, length=length)
+
+
+def word_counts(words: DataFrame) -> DataFrame:
+    """Running counts of words, for update or complete mode."""
+    return words.groupBy("word").agg(F.count("*").alias("count"))
+
+
+def new_pairs(calls: DataFrame, *, at: str, keep: str) -> DataFrame:
+    """The first call of each caller and callee; a pair is forgotten ``keep`` after it, as a rotating filter would."""
+    return calls.withWatermark(at, keep).dropDuplicatesWithinWatermark(["calling", "called"])
+
+
+def score_join(left: DataFrame, right: DataFrame, *, at: str, within: str) -> DataFrame:
+    """Two tagged streams joined on the call; a side waits at most ``within`` for the other."""
+    a = left.withWatermark(at, within).alias("a")
+    b = right.withWatermark(at, within).withColumnRenamed(at, "_at").alias("b")
+    same = (F.col("a.calling") == F.col("b.calling")) & (F.col("a.call_id") == F.col("b.call_id"))
+    near = F.expr(f"_at BETWEEN {at} - INTERVAL {within} AND {at} + INTERVAL {within}")
+    return a.join(b, same & near).drop(F.col("b.calling"), F.col("b.call_id"), "_at")
+
+
+class Stepper(StatefulProcessor):
+    """Runs a step over each key's rows in order; the state is one row of plain values."""
+
+    def __init__(self, schema: str, order: list[str], step: Callable, names: list[str], ttl_ms: int | None = None):
+        self.schema, self.order, self.step, self.names, self.ttl_ms = schema, order, step, names, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("state", self.schema, self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(rows).sort_values(self.order)
+        state, out = (tuple(self.state.get()) if self.state.exists() else None), []
+        for row in pdf.to_dict("records"):
+            state, made = self.step(state, key, row)
+            if made is not None:
+                out.append(made)
+        if state is not None:
+            self.state.update(state)
+        yield pd.DataFrame(out, columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def _stateful(df: DataFrame, keys: list[str], processor: Stepper, schema: str) -> DataFrame:
+    return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="None")
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
+
+
+def anchored_counts(rows: DataFrame, *, key: str, time: str, order: list[str], length: int) -> DataFrame:
+    """The stream twin of ``win_anchored_count``."""
+
+    def step(state, k, row):
+        at = int(row[time])
+        if state is None:
+            return (at, 1), None
+        start, count = state
+        if at >= start + length:
+            return (at, 1), (k[0], count, at)
+        return ((start, count + 1) if at >= start else state), None
+
+    schema = f"{key} long, count long, trigger_ts long"
+    return _stateful(rows, [key], Stepper("start long, count long", order, step, _names(schema)), schema)
+
+
+def gated_speeds(rows: DataFrame, *, order: list[str]) -> DataFrame:
+    """The stream twin of ``speed_outlier_gate``; columns road_id, speed and ``order``, the first of which is kept."""
+
+    def step(state, k, row):
+        gate = SpeedGate(list(state[0]), state[1]) if state else SpeedGate()
+        mean, count = gate.step(int(row["speed"]))
+        return (gate.speeds, gate.mean), (k[0], mean, count, row[order[0]])
+
+    schema = "road_id long, average_speed int, count int, seq long"
+    return _stateful(rows, ["road_id"], Stepper("speeds array<int>, mean int", order, step, _names(schema)), schema)
+
+
+def decayed_counts(rows: DataFrame, *, key: str, time: str, order: list[str], amount: str, beta: float) -> DataFrame:
+    """The stream twin of ``decayed``: one sum and its time for each key."""
+
+    def step(state, k, row):
+        at, x = int(row[time]), float(row[amount])
+        value = x if state is None else state[0] * beta ** (at - state[1]) + x
+        return (value, at), (k[0], row[order[-1]], value)
+
+    schema = f"{key} long, row_id long, value double"
+    return _stateful(rows, [key], Stepper("value double, at long", order, step, _names(schema)), schema)
+
+
+def tagged_late(rows: DataFrame, *, source: str, time: str, order: list[str], length: int, delay: int = 0) -> DataFrame:
+    """Every row of a source with ``late``: Spark itself only counts the rows that its watermark drops."""
+
+    def step(state, k, row):
+        at = int(row[time])
+        mark = None if state is None else state[0] - delay
+        late = mark is not None and (at // length + 1) * length <= mark
+        return (max(at, state[0]) if state else at,), (k[0], row[order[-1]], late)
+
+    schema = f"{source} long, row_id long, late boolean"
+    return _stateful(rows, [source], Stepper("top long", order, step, _names(schema)), schema)
+
+
+def count_sink(df: DataFrame, name: str, checkpoint: str) -> tuple:
+    """Drain a stream, counting rows and summing up latency by micro-batch; returns the query and the list that fills."""
+    seen: list[dict] = []
+
+    def each(batch: DataFrame, number: int) -> None:
+        seen.append({"batch": number, "rows": batch.count()})
+
+    return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).queryName(name).trigger(availableNow=True).start(), seen
