@@ -24,7 +24,7 @@ def split_words(line: Column, *, keep_empty: bool = True) -> Column:
 
 def ratio_score(v1: float, v2: float, v: Column) -> Column:
     """v / (v1 + (v2 - v1)) clipped to 0..1; null stays null."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / F.lit(v1 + (v2 - v1))))
+    return F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), v / F.lit(v1 + (v2 - v1)))))
 
 
 def safe_ratio(a: Column, b: Column) -> Column:
