@@ -113,7 +113,15 @@ def key_distribution(spark, sf):
     return traffic.key_distribution(join_nearest_road(spark, sf), key="road_id")
 
 
-@query()
+_GATE = f"""WITH RECURSIVE {_MATCH}, o AS (SELECT road_id, event_id AS seq, CAST(trunc(speed) AS INTEGER) AS sp, row_number() OVER (PARTITION BY road_id ORDER BY event_id) AS i FROM q JOIN p USING (event_id) WHERE road_id IS NOT NULL),
+    gate(road_id, i, seq, held, mean, average_speed, count) AS (SELECT road_id, i, seq, [sp], sp, sp, 1 FROM o WHERE i = 1
+      UNION ALL SELECT road_id, i, seq, CASE WHEN take THEN list_append(held, sp)[-30:] ELSE held END, CASE WHEN take THEN now ELSE mean END, CASE WHEN take THEN now ELSE 0 END, CASE WHEN take THEN least(n + 1, 30) ELSE 0 END
+      FROM (SELECT *, n < 2 OR abs(sp - now) <= 2 * sqrt(dev / n) AS take FROM
+        (SELECT o.road_id, o.i, o.seq, o.sp, held, mean, len(held)::INTEGER AS n, CAST(trunc((list_sum(held) + sp) / (len(held) + 1.0)) AS INTEGER) AS now, list_sum(list_transform(held, lambda h: pow(h - mean, 2))) + pow(sp - mean, 2) AS dev FROM gate JOIN o ON o.road_id = gate.road_id AND o.i = gate.i + 1)))
+    SELECT road_id, average_speed, count, seq FROM gate"""
+
+
+@query(_GATE)
 def speed_outlier_gate(spark, sf):
     matched = traffic.join_nearest_road(derive.gps(spark, sf), derive.roads(spark, sf), point_id="event_id")
     return traffic.speed_outlier_gate(matched, order="event_id")
