@@ -45,7 +45,7 @@ _TOKENS = """t AS (SELECT doc_id, list_filter(string_split(lower(regexp_replace(
 _LEXICON = "(VALUES ('the', 1), ('and', -1), ('that', 2), ('for', -2), ('was', 3), ('with', -3)) x(word, score)"
 
 
-@query(f"WITH {_TOKENS} SELECT doc_id, array_to_string(ws, ' ') AS words, len(ws)::BIGINT AS n FROM t")
+@query(f"WITH {_TOKENS} SELECT doc_id, array_to_string(ws, ' ') AS words, len(ws)::BIGINT AS n FROM t", name="normalize_text")
 def normalize_text_words(spark, sf):
     words = normalize_text(F.col("text"))
     return derive.table(spark, sf, "documents").select("doc_id", F.array_join(words, " ").alias("words"), F.size(words).cast("long").alias("n"))
