@@ -11,6 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
+#: Sources whose tables (about a kilobyte each) are broadcast.
+MOST_BROADCAST = 20_000
 #: Fixed: 13 hex digits of a hash give a point of 52 bits.
 _POINTS = float(1 << 52)
 
@@ -62,8 +66,10 @@ def mix_sources(docs: DataFrame, targets: DataFrame | None = None, *, id_col: st
     tables = poisson_tables(source_rates(docs, targets, source_col=source_col, size=size, temper=temper)).select(F.col("source").alias("_mr_source"), F.col("upto").alias("_mr_upto"))
     name = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))
     keyed = docs.withColumn("_mr_source", F.coalesce(F.col(f"`{source_col}`"), F.lit(""))).withColumn("_mr_point", hash_point(F.lit(seed), name))
-    # without a hint Spark broadcasts the tables while they are small, and splits a hot source's join otherwise
-    counted = keyed.join(tables, "_mr_source").withColumn("_mr_n", F.size(F.filter("_mr_upto", lambda p: p <= F.col("_mr_point"))))
+    tables = common.stored(tables, "source-tables")
+    # few sources are broadcast, so that texts aren't dealt by source; many join by shuffle, where Spark splits a hot one
+    few = tables.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    counted = keyed.join(F.broadcast(tables) if few else tables, "_mr_source").withColumn("_mr_n", F.size(F.filter("_mr_upto", lambda p: p <= F.col("_mr_point"))))
     copies = counted.where("_mr_n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_mr_n") - 1)))
     out = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), name, "copy_no")))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], "copy_no", "mix_key").orderBy("mix_key", f"`{id_col}`", "copy_no")
