@@ -2,12 +2,14 @@
 
 1. Texts with the same word sequence are one class; its smallest id stands for it.
 2. Representatives get a MinHash signature, cut into bands; equal bands share a bucket.
-3. In each bucket every member is compared with two hubs (smallest and largest id), never
-   with every other member. Signatures are compared a batch at a time: a pair goes as soon
-   as the posterior chance that its similarity reaches the threshold falls under
-   ``miss``. Survivors are verified on their full shingle sets.
-4. Links give components. Buckets that still hold several components are the exception;
-   there all pairs across components are compared as in 3, until no link is new.
+3. In each bucket every member is compared with two hubs (the smallest id, and the member that
+   shares most buckets), never with every other member. Signatures are compared a batch at a
+   time: a pair goes as soon as the posterior chance that its similarity reaches the threshold falls
+   under ``miss``. Survivors are verified on their full shingle sets.
+4. Links give components. Buckets that still hold several components form families, and there an
+   exact join finds the links across components (``links_across``). It compares a family's
+   sets by what sets them apart from the shingles that most of the family shares, so that
+   a thousand loose variants of one text don't make a million pairs.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_64_intdigest, xxh3_128_digest
@@ -91,7 +93,7 @@ def _bands(bands: int, rows: int):
             key = ((sig + np.uint64(1)) * mult).sum(2, dtype=np.uint64)
             key ^= key >> np.uint64(29)
             key = key * np.uint64(0xBF58476D1CE4E5B9) + np.arange(bands, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), bands)), pa.array(np.repeat(batch.column(2).to_numpy(), bands))], ["band", "id", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(batch.column(0).to_numpy(), bands))], ["band", "id"])
 
     return run
 
@@ -145,6 +147,62 @@ def _verify(percent: int):
     return run
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shingle of a set."""
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            part = batch.slice(lo, 500)
+            raws = part.column("shingles").to_pylist()
+            n = [len(x) // 8 for x in raws]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(k).to_numpy(), n)) for k in ("family", "node")] + [pa.array(np.frombuffer(b"".join(raws), np.int64))], ["family", "node", "shingle"])
+
+
+def links_across(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links and candidate pairs between components of a family (columns node, c, family), exactly all of them.
+
+    Let C be the shingles of more than half of a family, m(x) how many of them x lacks, and D(x) what x lacks of C or
+    has beyond it. Two sets share |C| - m(x) - m(y) + |D(x) & D(y)| shingles, so that they reach the similarity
+    where (100 + percent) * |D(x) & D(y)| >= F(x) + F(y), with F(x) = percent * |x| + (100 + percent) * (m(x) - |C| / 2).
+
+    Pairs with F(x) + F(y) <= 0 are links whatever they share, and all of them are joined through the member with the
+    least F: the first result. For any other pair the first element that D(x) and D(y) share, in one order for all,
+    is among the first of both, as many as leave less than the overlap that either needs at least; and what
+    the two lack and have beyond C bounds what they can share. Pairs of different components that pass
+    are the second result, to be verified.
+    """
+    q = 100 + percent
+    rows = members.join(sets, "node").select("family", "node", "shingles").mapInArrow(_exploded, "family long, node long, shingle long")
+    size = members.groupBy("family").agg(F.count("*").alias("members"))
+    common_ones = rows.groupBy("family", "shingle").agg(F.count("*").alias("k")).join(size, "family").where("2 * k > members").select("family", "shingle")
+    core = common_ones.groupBy("family").agg(F.count("*").alias("core"))
+    held = rows.join(common_ones.withColumn("in_core", F.lit(1)), ["family", "shingle"], "left")
+    held = common.stored(held, "family-shingles")
+    sizes = held.groupBy("family", "node").agg(F.count("*").alias("n"), F.count("in_core").alias("k"))
+    f = sizes.join(core, "family", "left").na.fill(0, ["core"]).withColumn("lacks", F.col("core") - F.col("k"))
+    f = f.withColumn("f2", 2 * percent * F.col("n") + 2 * q * F.col("lacks") - q * F.col("core"))
+    least = f.groupBy("family").agg(F.min(F.struct("f2", "node")).alias("l")).select("family", F.col("l.f2").alias("least_f2"), F.col("l.node").alias("least"))
+    scored = common.stored(f.join(least, "family").join(members, ["family", "node"]), "family-scores")
+    near = scored.where("f2 + least_f2 <= 0 and node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    # those joined to the least member by the first result are one component from here on
+    joined = F.when(F.col("f2") + F.col("least_f2") <= 0, F.lit(True)).otherwise(F.lit(False))
+    loose = scored.withColumn("joined", joined).withColumn("need", F.greatest(F.ceil((F.col("f2") + F.col("least_f2")) / (2 * q)), F.lit(1)))
+    beyond = held.where("in_core is null").select("family", "node", "shingle", F.lit(1).alias("sign"))
+    lacking = scored.where("lacks > 0").select("family", "node").join(common_ones, "family").join(held.select("family", "node", "shingle"), ["family", "node", "shingle"], "left_anti").select("family", "node", "shingle", F.lit(-1).alias("sign"))
+    apart = common.stored(beyond.unionByName(lacking), "family-apart")
+    element = ["family", "shingle", "sign"]
+    often = apart.groupBy(*element).agg(F.count("*").alias("often")).where("often > 1")
+    ordered = apart.join(often, element, "left").na.fill(1, ["often"]).join(loose.select("family", "node", "c", "joined", "need", "f2", "lacks", (F.col("n") - F.col("k")).alias("extra"), (F.col("n") - F.col("k") + F.col("lacks")).alias("d")), ["family", "node"])
+    # what is beyond C comes first, then by rarity: elements of one node alone lead, and can't be shared
+    place = F.row_number().over(Window.partitionBy("family", "node").orderBy(F.col("sign").desc(), "often", "shingle"))
+    prefix = ordered.withColumn("place", place).where("place <= d - need + 1 and often > 1").select(*element, "node", "c", "joined", "f2", "lacks", "extra")
+    left, right = (prefix.select(*element, *(F.col(k).alias(k + x) for k in ("node", "c", "joined", "f2", "lacks", "extra"))) for x in "12")
+    # a pair whose first common element is a lack has nothing in common beyond C
+    most = F.least("lacks1", "lacks2") + F.when(F.col("sign") > 0, F.least("extra1", "extra2")).otherwise(0)
+    across = (F.col("node1") < F.col("node2")) & (F.col("c1") != F.col("c2")) & ~(F.col("joined1") & F.col("joined2"))
+    pairs = left.join(right, element).where(across & (2 * q * most >= F.col("f21") + F.col("f22"))).select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct()
+    return near, pairs
+
+
 def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, shingle: int = 5, bands: int = BANDS, rows: int = ROWS, miss: float = 1e-7) -> DataFrame:
     """One row for each input row: the id, ``n_shingles``, ``component_id`` and ``kept``.
 
@@ -167,39 +225,40 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     reps = usable.join(classes.withColumnRenamed("rep", "id"), ["words_key", "id"], "left_semi").dropDuplicates(["words_key"])
     reps = common.stored(reps.withColumn("node", F.xxhash64("words_key")).select("node", "id", "n_shingles", "words_key", "signature"), "representatives")
     signatures = reps.select("node", "signature")
-    buckets = reps.select("node", "signature", "n_shingles").mapInArrow(_bands(bands, rows), "band long, id long, n long")
-    shared = buckets.groupBy("band").agg(F.count("*").alias("c"), F.min("id").alias("lo"), F.max("id").alias("hi")).where("c > 1")
-    members = common.stored(buckets.join(shared, "band").select("band", "id", "n", "lo", "hi"), "bands")
-
-    def sized(x: str, y: str):  # sets whose sizes differ more can't reach the similarity
-        return f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
+    buckets = reps.select("node", "signature").mapInArrow(_bands(bands, rows), "band long, id long")
+    shared = buckets.groupBy("band").agg(F.count("*").alias("c"), F.min("id").alias("lo")).where("c > 1")
+    members = common.stored(buckets.join(shared, "band").select("band", "id", "c", "lo"), "bands")
 
     def prune(pairs: DataFrame) -> DataFrame:
         with_a = pairs.join(signatures.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a")
         with_b = with_a.join(signatures.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
         return with_b.select("a", "b", "sa", "sb").mapInArrow(_prune(hashes, threshold, miss), "a long, b long")
 
+    def sets_of(nodes: DataFrame, name: str) -> DataFrame:
+        wanted = nodes.select("node").distinct().join(reps.select("node", "id"), "node")
+        # the text of a node is that of any row with its word sequence; its id brings few rows more
+        found = text.join(wanted.select("id").distinct(), "id", "left_semi").mapInArrow(_keyed_sets(shingle), "node long, shingles binary").dropDuplicates(["node"])
+        return common.stored(found, name)
+
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         survivors = common.stored(prune(pairs), name + "-survivors")
-        nodes = survivors.select(F.col("a").alias("node")).union(survivors.select(F.col("b").alias("node"))).distinct()
-        wanted = nodes.join(reps.select("node", "id", "words_key"), "node")
-        # the text of a node is that of any row with its id and word sequence; ids alone bring few rows more
-        sets = text.join(wanted.select("id").distinct(), "id", "left_semi").mapInArrow(_keyed_sets(shingle), "node long, shingles binary").dropDuplicates(["node"])
-        sets = common.stored(sets, name + "-sets")
+        sets = sets_of(survivors.select(F.col("a").alias("node")).union(survivors.select(F.col("b").alias("node"))), name + "-sets")
         full = survivors.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("pa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("pb")), "b")
         return full.select("a", "b", "pa", "pb").mapInArrow(_verify(percent), "a long, b long")
 
-    hubs = members.select(F.col("id").alias("a"), F.explode(F.array("lo", "hi")).alias("b")).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    weight = members.groupBy("id").agg(F.sum("c").alias("weight"))
+    centres = members.join(weight, "id").groupBy("band").agg(F.max(F.struct("weight", "id")).alias("centre")).select("band", F.col("centre.id").alias("hub"))
+    hubs = members.join(centres, "band").select("id", F.explode(F.array("lo", "hub")).alias("other")).where("id <> other").select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
     links = common.stored(verified(hubs, "hub"), "links")
     same_id = reps.groupBy("id").agg(F.min("node").alias("b"), F.count("*").alias("c")).where("c > 1").select("id", "b").join(reps.select("id", F.col("node").alias("a")), "id").where("a <> b").select("a", "b")
     found = connected_components(links.unionByName(same_id))
-    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("c"))
-    mixed = placed.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("band")
-    still = common.stored(placed.join(mixed, "band", "left_semi"), "open-bands")
-    left, right = (still.select("band", *(F.col(k).alias(k + s) for k in ("id", "n", "c"))) for s in "12")
-    across = left.join(right, "band").where("id1 < id2 and c1 <> c2").where(sized("n1", "n2")).select(F.col("id1").alias("a"), F.col("id2").alias("b")).distinct()
-    across = across.join(hubs, ["a", "b"], "left_anti")
-    more = common.stored(verified(across, "across"), "links")
+    placed = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    mixed = placed.groupBy("band").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.min("id").alias("first")).where("x <> y").select("band", "first")
+    still = common.stored(placed.join(mixed, "band"), "open-bands")
+    family = connected_components(still.select(F.col("id").alias("a"), F.col("first").alias("b")))
+    in_family = common.stored(still.select("id", "c").distinct().join(family.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias("node"), "c", F.coalesce("component", "id").alias("family")), "families")
+    near, pairs = links_across(in_family, sets_of(in_family, "family-sets"), percent)
+    more = common.stored(near.unionByName(verified(pairs, "across")), "links")
     found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     groups = reps.select("node", "id", "words_key").join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = groups.groupBy("group").agg(F.min("id").alias("component_id"))
