@@ -38,7 +38,7 @@ GROUP_BYTES = 12 << 20
 #: Memory of a task's sorter; beyond it the queues are files.
 SORT_MEMORY = 400 << 20
 #: Text sorted at once in a bucket, whole anchor groups; one group alone may be larger.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 _POS = np.uint64(28)
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD)]
 
