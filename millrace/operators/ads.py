@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import _bucket, _few
+
 #: A dimension is broadcast up to this many rows, beyond that it joins by shuffle.
 BROADCAST_ROWS = 1_000_000
 
@@ -46,12 +48,11 @@ def late_rows(rows: DataFrame, *, time: str, order: str, length: int, delay: int
 
     The running greatest time over arrivals starts each block of arrivals from the greatest of the blocks before.
     """
-    from .ordered import _bucket
-
-    b = rows.withColumn("_bucket", _bucket(rows, order, block))
+    bucket, n = _bucket(rows, order, block)
+    b = rows.withColumn("_bucket", bucket)
     tops = b.groupBy("_bucket").agg(F.max(time).alias("_top"))
     tops = tops.withColumn("_before", F.max("_top").over(Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
     w = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = b.join(F.broadcast(tops), "_bucket").withColumn("_mark", F.greatest(F.max(time).over(w), F.col("_before")) - delay)
+    seen = b.join(_few(tops, n), "_bucket").withColumn("_mark", F.greatest(F.max(time).over(w), F.col("_before")) - delay)
     end = (F.floor(F.col(time) / length) + 1) * length
     return seen.withColumn("late", F.coalesce(end <= F.col("_mark"), F.lit(False))).select(*rows.columns, "late")

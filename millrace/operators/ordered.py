@@ -16,26 +16,36 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 250_000
 
 
-def _bucket(df: DataFrame, order: str, rows: int) -> Column:
-    """Equal buckets of the order column, as many as the table has blocks; only three numbers reach the driver."""
+#: A table with a row for each bucket is broadcast up to so many buckets (tens of bytes each).
+BROADCAST_BUCKETS = 500_000
+
+
+def _bucket(df: DataFrame, order: str, rows: int) -> tuple[Column, int]:
+    """Equal buckets of the order column, as many as the table has blocks, and their number; only three numbers reach the driver."""
     s = df.agg(F.count(order).alias("n"), F.min(order).alias("lo"), F.max(order).alias("hi")).first()
     n = max(1, -(-int(s["n"] or 0) // rows))
     if n == 1 or s["lo"] == s["hi"]:
-        return F.lit(0).cast("long")
+        return F.lit(0).cast("long"), 1
     width = (s["hi"] - s["lo"]) / n
-    return F.floor((F.col(order) - F.lit(s["lo"])) / F.lit(width)).cast("long")
+    return F.floor((F.col(order) - F.lit(s["lo"])) / F.lit(width)).cast("long"), n
+
+
+def _few(df: DataFrame, buckets: int) -> DataFrame:
+    """A table of one row a bucket, broadcast while that is small."""
+    return F.broadcast(df) if buckets <= BROADCAST_BUCKETS else df
 
 
 def numbered(df: DataFrame, keys: list[str], order: str, tie: list[str], *, out: str = "n", rows: int = BLOCK_ROWS) -> DataFrame:
     """Number each key's rows from 1 in the order of ``order`` (numeric) and ``tie``; no keys number the whole table."""
-    bucketed = df.withColumn("_bucket", _bucket(df, order, rows))
+    bucket, n = _bucket(df, order, rows)
+    bucketed = df.withColumn("_bucket", bucket)
     counts = bucketed.groupBy(*keys, "_bucket").agg(F.count("*").alias("_c"))
     by = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = counts.withColumn("_before", F.sum("_c").over(by.orderBy("_bucket")) - F.col("_c")).drop("_c")
     inside = Window.partitionBy(*keys, "_bucket").orderBy(order, *tie)
     local = bucketed.withColumn("_i", F.row_number().over(inside))
     cond = [local[k].eqNullSafe(before[k]) for k in [*keys, "_bucket"]]
-    joined = local.join(before, cond) if keys else local.join(F.broadcast(before), "_bucket")
+    joined = local.join(before, cond) if keys else local.join(_few(before, n), "_bucket")
     return joined.select(*[local[c] for c in df.columns], (F.col("_before") + F.col("_i")).alias(out))
 
 
@@ -108,7 +118,7 @@ def asof_latest(left: DataFrame, right: DataFrame, *, order: list[str], value: s
     """
     keys = key or []
     both = left.withColumn("_side", F.lit(1)).withColumn(value, F.lit(None).cast(right.schema[value].dataType)).unionByName(right.select(*keys, *order, value).withColumn("_side", F.lit(0)), allowMissingColumns=True)
-    bucketed = both.withColumn("_bucket", _bucket(both, order[0], rows))
+    bucketed = both.withColumn("_bucket", _bucket(both, order[0], rows)[0])
     lasts = bucketed.where("_side = 0").groupBy(*keys, "_bucket").agg(F.max_by(value, F.struct(*order)).alias("_last"))
     starts = bucketed.select(*keys, "_bucket").distinct().join(lasts, [*keys, "_bucket"], "left")
     by = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

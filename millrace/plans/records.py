@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import ads, logs, markov, ordered, traffic
@@ -152,11 +153,9 @@ def watermark(spark, sf):
     at = ordered.numbered(rows, [], "arrival", [])
     blocks, w = ordered.framed(at, [], 0, rows=50_000)
     tops = blocks.groupBy("_block").agg(F.max("et").alias("_top"))
-    from pyspark.sql import Window
-
     before = tops.withColumn("_before", F.max("_top").over(Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
     mark = F.greatest(F.max("et").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_before"))
-    return blocks.join(F.broadcast(before), "_block").withColumn("watermark", mark - 60).where("watermark is not null").select("event_id", "watermark")
+    return blocks.join(before, "_block").withColumn("watermark", mark - 60).where("watermark is not null").select("event_id", "watermark")
 
 
 @query(
