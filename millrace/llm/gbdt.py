@@ -94,9 +94,16 @@ def fit_forest(x: np.ndarray, y: np.ndarray, *, trees: int = 60, depth: int = 4,
 
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, *, id_col: str, label_col: str, most: int) -> DataFrame:
-    """Up to ``most`` labelled rows with their statistics, those with the smallest id hashes."""
+    """Up to ``most`` labelled rows with their statistics, those with the smallest id hashes.
+
+    A cut on the hash leaves about a quarter more than ``most`` before the sort, so that no task sends a whole sample of its own.
+    """
     marked = labels.select(F.col(f"`{id_col}`"), F.col(f"`{label_col}`").cast("int").alias("_mr_label")).where("_mr_label is not null")
-    return stats.join(marked, id_col).orderBy(F.xxhash64(F.col(f"`{id_col}`")), F.col(f"`{id_col}`"), F.xxhash64(*[F.col(f"`{c}`") for c in stats.columns]), "_mr_label").limit(most)
+    point = F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1 << 40))
+    joined = stats.join(marked, id_col).withColumn("_mr_point", point)
+    n = joined.count()
+    near = joined if n <= most else joined.where(F.col("_mr_point") < int((1 << 40) * min(1.0, 1.25 * most / n)))
+    return near.orderBy("_mr_point", F.col(f"`{id_col}`"), F.xxhash64(*[F.col(f"`{c}`") for c in stats.columns]), "_mr_label").limit(most).drop("_mr_point")
 
 
 def is_held_out(id_col: str):
