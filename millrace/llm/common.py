@@ -63,6 +63,17 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+# --------------------------------------------------------------------------- worker caches
+
+_caches: list = []
+
+
+def release_caches() -> None:
+    """Empty what earlier tasks left in this Python worker, which Spark uses again for other work."""
+    for cache in _caches:
+        cache.clear()
+
+
 # --------------------------------------------------------------------------- columns
 
 

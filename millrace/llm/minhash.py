@@ -70,6 +70,7 @@ def _signatures(of: np.ndarray, s: np.ndarray, n: int, hashes: int) -> np.ndarra
 
 def _describe(size: int, hashes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release_caches()
         for batch in batches:
             data, offsets = common.text_buffers(batch.column(1))
             for lo, hi in common.slices(offsets, SLICE_BYTES):

@@ -110,6 +110,7 @@ def document_stats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release_caches()
         for batch in batches:
             data, offsets = common.text_buffers(batch.column(1))
             for lo, hi in common.slices(offsets, SLICE_BYTES):

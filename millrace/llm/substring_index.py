@@ -119,6 +119,7 @@ class FingerprintIndex:
 
 def _emit(words: int, bits: int, bounds: np.ndarray):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release_caches()
         for batch in batches:
             data, offsets = common.text_buffers(batch.column(1))
             ranges = common.range_of(bounds, common.id_array(batch.column(0)))

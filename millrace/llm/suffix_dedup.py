@@ -108,6 +108,7 @@ def _sides(anchor: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.
 
 def _file_keys(span: int, bits: int, bounds: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.release_caches()
         for batch in batches:
             data, offsets = common.text_buffers(batch.column(1))
             ranges = common.range_of(bounds, common.id_array(batch.column(0)))

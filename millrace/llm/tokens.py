@@ -12,6 +12,8 @@ import re
 
 import numpy as np
 
+from . import common
+
 #: Words a worker keeps; beyond that the cache starts anew.
 CACHE_WORDS = 1_000_000
 #: Stops after an ASCII letter or digit, at a word's end: they never join it, and apart from it the word repeats more.
@@ -59,6 +61,7 @@ class WordEncoder:
 
 
 _encoders: dict[str, WordEncoder] = {}
+common._caches.append(_encoders)
 
 
 def encoder(path: str) -> WordEncoder:
