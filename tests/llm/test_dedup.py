@@ -1,8 +1,11 @@
 import hashlib
+import random
 from collections import Counter
 
 import brute
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from millrace.llm import minhash, substring_index, suffix_dedup
@@ -25,6 +28,35 @@ def test_repeated_bytes_inside_one_text_and_periods(spark):
     assert want[1][1] == 401 and want[4][1] == 0
 
 
+@pytest.mark.parametrize("group,heavy", [(12 << 20, 2), (3000, 2), (3000, 5)])
+def test_repeated_bytes_with_heavy_anchors(docs, rows, group, heavy):
+    got = suffix_dedup.remove_repeated_bytes(docs, group_bytes=group, heavy=heavy).collect()
+    want = Counter((i, *x) for (i, _), x in zip(rows, brute.repeated_bytes(rows)))
+    assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) for r in got) == want
+
+
+def test_a_common_passage_stays_out_of_the_sorter(spark):
+    rng = random.Random(3)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    passage = text(900)
+    rows = [(i, text(250) + passage + text(250)) for i in range(300)] + [(300 + i, t + text(50)) for i, t in enumerate([text(700)] * 2)]
+    docs, bounds, filed = pa.table({"doc_id": [i for i, _ in rows], "text": [t for _, t in rows]}), np.array([100, 200]), []
+    keys = pa.Table.from_batches(suffix_dedup._file_keys(400, 5, bounds)(docs.to_batches()))
+    shared = pa.concat_tables([suffix_dedup._shared_keys(50)(keys.filter(pc.equal(keys["_mr_bucket"], b))) for b in set(keys["_mr_bucket"].to_pylist())])
+    for g in range(3):
+        part = docs.filter(pa.array([i // 100 == g or g == 2 and i >= 200 for i, _ in rows]))
+        filed += suffix_dedup._file_contexts(400, 8, "doc_id", "text")(part, shared.filter(pc.equal(shared["_mr_range"], g))).to_pylist()
+    sizes = Counter()
+    for r in filed:
+        if r["anchors"]:
+            for h, n in zip(np.frombuffer(r["anchors"], "<u8").tolist(), np.frombuffer(r["sizes"], "<u4").tolist()):
+                sizes[h] += n
+    assert sizes and max(sizes.values()) < 50 * 769
+    got = suffix_dedup.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), group_bytes=100_000, heavy=50).collect()
+    want = {i: x for (i, _), x in zip(rows, brute.repeated_bytes(rows))}
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept_bytes)) for r in got} == want
+
+
 @pytest.mark.parametrize("group,batches", [(12 << 20, 1), (2500, 4), (800, 7)])
 def test_repeated_words(docs, rows, group, batches):
     got = substring_index.remove_repeated_windows(docs, group_bytes=group, batches=batches).collect()
