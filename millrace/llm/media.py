@@ -196,19 +196,29 @@ def decode_audio(stored: DataFrame, *, rate: int = 16000) -> DataFrame:
     return stored.mapInArrow(run, T.StructType([*stored.schema.fields, T.StructField("codec", T.StringType()), T.StructField("pcm", T.BinaryType())]))
 
 
-def audio_features(stored: DataFrame, *, rate: int = 6000) -> DataFrame:
-    """Read stored media back: digests of payload and stored form, and features of the PCM at ``rate``."""
+def audio_features(decoded: DataFrame) -> DataFrame:
+    """Digests of payload and stored form, and features of the ``pcm`` column."""
     fields = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
 
     def run(batches):
-        for part, parsed, rows in _decoded(rate, _features)(batches):
-            media, payloads = part.column("media").to_pylist(), [p for _, p in parsed]
-            columns = [part.column("n_bytes"), pa.array([len(p) for p in payloads], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads]), pa.array([zlib.crc32(p[-UNIT:]) for p in payloads], pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array([f"{c}:{x}" for c, x in rows], pa.string())]
-            yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["id", *(n for n, _ in fields)])
+        for batch in batches:
+            data, offsets = common.text_buffers(batch.column(batch.schema.get_field_index("pcm")))
+            for lo, hi in common.slices(offsets, SLICE_BYTES):
+                part = batch.slice(lo, hi - lo)
+                pcm = np.frombuffer(data[offsets[lo] : offsets[hi]].tobytes(), "<i2")
+                features = [f"{c}:{x}" for c, x in zip(part.column("codec").to_pylist(), _features(pcm, (offsets[lo : hi + 1] - offsets[lo]) // 2), strict=True)]
+                media = part.column("media").to_pylist()
+                payloads = [parse_wav(m)[1] for m in media]
+                columns = [part.column("n_bytes"), pa.array([len(p) for p in payloads], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads]), pa.array([zlib.crc32(p[-UNIT:]) for p in payloads], pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(features, pa.string())]
+                yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["id", *(n for n, _ in fields)])
 
-    return stored.mapInArrow(run, T.StructType([stored.schema["id"], *(T.StructField(n, t) for n, t in fields)]))
+    return decoded.mapInArrow(run, T.StructType([decoded.schema["id"], *(T.StructField(n, t) for n, t in fields)]))
 
 
-def media_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store every text as audio, read it back and return its digests and features; one row for each input row."""
-    return audio_features(store_audio(docs, id_col=id_col, text_col=text_col)).withColumnRenamed("id", id_col)
+def media_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: int = 16000) -> DataFrame:
+    """Store every text as audio, store that with its PCM at ``rate``, read both back and return their digests and features.
+
+    One row for each input row.
+    """
+    decoded = common.stored(decode_audio(store_audio(docs, id_col=id_col, text_col=text_col), rate=rate), "pcm")
+    return audio_features(decoded).withColumnRenamed("id", id_col)

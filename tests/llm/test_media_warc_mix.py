@@ -51,6 +51,21 @@ def test_decode_column(spark, docs):
         assert r.codec == codec and len(r.pcm) == 2 * 2 * samples
 
 
+def test_digest_reads_stored_pcm(spark, docs):
+    before = set(media.common._live)
+    got = media.media_digest(docs.where("doc_id is not null")).collect()
+    (path,) = (p for p in media.common._live if p not in before and "/pcm-" in p)
+    want = Counter()
+    for r in spark.read.parquet(path).collect():
+        pcm = np.frombuffer(bytes(r.pcm), "<i2").astype(np.int64)
+        size, turns = np.abs(pcm), int(((pcm[1:] >= 0) != (pcm[:-1] >= 0)).sum())
+        want[r.id, f"{r.codec}:{len(pcm)}:{size.sum() // len(pcm)}:{int(np.sqrt((pcm * pcm).sum() // len(pcm)))}:{size.max()}:{turns}"] += 1
+        codec, payload = media.parse_wav(bytes(r.media))
+        samples, offsets = media.resample(*media.decode([payload], codec), 8000, 16000)
+        assert pcm.tolist() == samples.tolist()
+    assert Counter((r.doc_id, r.feature) for r in got) == want
+
+
 PAGES = [(1, "http://a/1", "<p>x</p>"), (2, "http://a/2", "<p>y</p>"), (9, "u", "<p>x</p>"), (5, "u\r\nX: y", "<p>x</p>"), (3, None, None), (4, "v", ""), (None, "w", "<p>x</p>"), (7, "z", "é\r\n\r\n" * 5000), (2, "http://a/2", "<p>y</p>")]
 
 
