@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import common
@@ -38,21 +38,40 @@ def _stage(function):
     return run
 
 
+def _key(id_col: str, text_hash) -> Column:
+    """A string for an id and a text, which tells rows with one id or none apart: ordered by id, null ids last."""
+    ordered = F.lpad(F.hex(F.col(id_col).cast("long").bitwiseXOR(F.lit(-(1 << 63)).cast("long"))), 16, "0")
+    return F.concat(F.coalesce(ordered, F.lit("null")), F.lit(":"), F.lpad(F.hex(text_hash), 16, "0"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS, _key("doc_id", F.xxhash64("text")).alias("_key"))
+
+
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti").select(COLUMNS)
+    return _keyed(docs).join(gone.select("_key").distinct(), "_key", "left_anti").select(COLUMNS)
 
 
 @_stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; null ids stay."""
-    scored = classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scored.where("predicted = 0"))
+    """Documents that the classifier rejects go, row by row: rows with one id or none are judged by their own texts."""
+    scored = classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), hash_col="_hash")
+    return _without(docs, scored.where("predicted = 0").select(_key("doc_id", F.col("_hash")).alias("_key")))
 
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
-    return _without(docs, near_duplicate_groups(docs).where("not kept"))
+    """One document of each near-duplicate group stays: the smallest id, numbered before null ones, then by text hash.
+
+    Rows with one id or none are documents of their own; of equal rows one stays.
+    """
+    keyed = _keyed(docs)
+    rows = near_duplicate_groups(keyed, id_col="_key").groupBy("_key").agg(F.min("kept").alias("kept"), F.count("*").alias("n"), F.max("n_shingles").alias("n_shingles"))
+    settled = common.stored(rows.where("not kept or (n > 1 and n_shingles > 0)").select("_key", "kept"), "near-settled")
+    out, copies = _without(docs, settled), settled.where("kept")
+    if not copies.isEmpty():
+        out = out.unionByName(keyed.join(copies, "_key", "left_semi").dropDuplicates(["_key"]).select(COLUMNS))
+    return out
 
 
 @_stage

@@ -111,26 +111,28 @@ def is_held_out(id_col: str):
     return F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, train_rows: int = 40_000) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.7, train_rows: int = 40_000, hash_col: str | None = None) -> DataFrame:
     """Score every document for quality by boosted trees over its statistics.
 
     Trees are fitted on at most ``train_rows`` labelled rows that ``is_held_out`` leaves in; every row
     is scored from whole-text statistics only. Returns the id, ``held_out``, ``score`` (0 to 1) and ``predicted``
-    (1 from ``threshold`` on), one row for each input row.
+    (1 from ``threshold`` on), one row for each input row; ``hash_col`` names a further column for ``xxhash64`` of the text,
+    which tells rows with one id or none apart.
 
     Null or empty texts are scored like any other; null ids are scored but never learnt from; labels that
     are null or without a document are left out. Without any label all scores are 0.5.
     """
-    stats = common.stored(document_stats(docs, id_col=id_col, text_col=text_col), "quality-stats")
+    stats = common.stored(document_stats(docs, id_col=id_col, text_col=text_col, hash_col=hash_col), "quality-stats")
+    hashed = [hash_col] if hash_col else []
     train = labelled_sample(stats.where(~is_held_out(id_col)), labels, id_col=id_col, label_col=label_col, most=train_rows).select(*RATIOS, "_mr_label").toPandas()
     forest = fit_forest(train[RATIOS].to_numpy(np.float64), (train["_mr_label"].to_numpy() > 0).astype(np.float64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.stack([batch.column(c).to_numpy() for c in RATIOS], 1) if batch.num_rows else np.zeros((0, len(RATIOS)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(forest.score(x), pa.float64())], ["id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(batch.column(c) for c in hashed), pa.array(forest.score(x), pa.float64())], ["id", "held_out", *hashed, "score"])
 
     kind = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", kind), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
-    scored = stats.select(F.col(f"`{id_col}`").alias("id"), is_held_out(id_col).alias("held_out"), *RATIOS).mapInArrow(run, schema)
-    return scored.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    schema = T.StructType([T.StructField("id", kind), T.StructField("held_out", T.BooleanType()), *(T.StructField(c, T.LongType()) for c in hashed), T.StructField("score", T.DoubleType())])
+    scored = stats.select(F.col(f"`{id_col}`").alias("id"), is_held_out(id_col).alias("held_out"), *hashed, *RATIOS).mapInArrow(run, schema)
+    return scored.select(F.col("id").alias(id_col), "held_out", *hashed, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

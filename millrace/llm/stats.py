@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -98,15 +99,16 @@ def _slice_stats(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]
     }
 
 
-def document_stats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each input row: the id, the counts of ``COUNTS`` and the ratios of ``RATIOS``.
+def document_stats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", hash_col: str | None = None) -> DataFrame:
+    """One row for each input row: the id, the text's ``xxhash64`` where ``hash_col`` names a column for it, the counts of ``COUNTS`` and the ratios of ``RATIOS``.
 
     Words are runs of anything but ASCII blanks; ``word_chars`` are their code points;
     ``n_dup_lines`` counts lines with a word that equal an earlier line; ``n_repeat_words`` counts
     words inside five-word windows found twice or more in the text, first ones included. A null or
     empty text has zero everywhere. Whole texts are read; repeated rows stay repeated.
     """
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in COUNTS), *(T.StructField(c, T.DoubleType()) for c in RATIOS)])
+    hashed = [T.StructField(hash_col, T.LongType())] if hash_col else []
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), *hashed, *(T.StructField(c, T.LongType()) for c in COUNTS), *(T.StructField(c, T.DoubleType()) for c in RATIOS)])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,6 +118,6 @@ def document_stats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             for lo, hi in common.slices(offsets, SLICE_BYTES):
                 part = offsets[lo : hi + 1]
                 x = _slice_stats(data[part[0] : part[-1]], part - part[0])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(pa.array(x[c], f.type) for c, f in zip([*COUNTS, *RATIOS], list(arrow)[1:], strict=True))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(c.slice(lo, hi - lo) for c in batch.columns[2:]), *(pa.array(x[c], arrow.field(c).type) for c in (*COUNTS, *RATIOS))], schema=arrow)
 
-    return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, schema)
+    return docs.select(f"`{id_col}`", f"`{text_col}`", *(F.xxhash64(F.col(f"`{text_col}`")).alias(f.name) for f in hashed)).mapInArrow(run, schema)
