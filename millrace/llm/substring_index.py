@@ -9,9 +9,10 @@ documents (all its ids above those already indexed) goes through three steps:
 2. each bucket merge-joins the batch's sorted arrays with the runs of the index and
    with each other: a fingerprint that the index or a lower range holds is a repeat.
    What is new becomes the next run; too many runs are merged into one (compaction);
-3. each range takes its documents and its repeated fingerprints together, verifies them
-   against the windows it computes again from the text, settles repeats inside the range
-   by document id, and removes the covered words.
+3. each range takes its documents and its repeated fingerprints together, finds them among
+   the windows it computes again from the text, settles repeats inside the range
+   by document id, and removes the covered words. Words are not compared: windows
+   with one fingerprint pass as equal.
 
 Rows that cross a shuffle are packed arrays, at about five bytes for a window. Every
 array of a bucket holds a key once however often it repeats, so that hot passages
