@@ -17,9 +17,14 @@ def normalize_text(text: Column) -> Column:
 
 
 def split_words(line: Column, *, keep_empty: bool = True) -> Column:
-    """Words between single spaces: trailing empty ones drop, inner ones stay unless ``keep_empty`` is off."""
+    """Words between single spaces: trailing empty ones drop, inner ones stay unless ``keep_empty`` is off.
+
+    An empty line is one empty word; a line of blanks alone has none.
+    """
     words = F.split(F.rtrim(line), " ")
-    return words if keep_empty else F.filter(words, lambda w: w != "")
+    if not keep_empty:
+        return F.filter(words, lambda w: w != "")
+    return F.when((F.rtrim(line) == "") & (line != ""), F.array().cast("array<string>")).otherwise(words)
 
 
 def ratio_score(v1: float, v2: float, v: Column) -> Column:

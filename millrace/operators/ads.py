@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordered import _bucket, _few
+from .ordered import running
 
 #: A dimension is broadcast up to this many rows, beyond that it joins by shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -43,16 +43,16 @@ def session_count(rows: DataFrame, *, key: str = "campaign_id", at: str = "at",
     return grouped.select(key, F.unix_micros(F.col("w")["start"]).alias("session_start_us"), "count")
 
 
-def late_rows(rows: DataFrame, *, time: str, order: str, length: int, delay: int = 0, block: int = 250_000) -> DataFrame:
-    """Rows in arrival order with ``late``: their window of ``length`` had closed by the greatest time before them, less ``delay``.
+def watermarks(rows: DataFrame, *, time: str, order: str, delay: int = 0, out: str = "watermark", block: int | None = None) -> DataFrame:
+    """Rows in arrival order with the watermark in force as they arrive: the greatest time before them, less ``delay``; null ahead of the first time.
 
-    The running greatest time over arrivals starts each block of arrivals from the greatest of the blocks before.
+    Rows without a place in the order arrive first; rows without a time move no watermark.
     """
-    bucket, n = _bucket(rows, order, block)
-    b = rows.withColumn("_bucket", bucket)
-    tops = b.groupBy("_bucket").agg(F.max(time).alias("_top"))
-    tops = tops.withColumn("_before", F.max("_top").over(Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
-    w = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    seen = b.join(_few(tops, n), "_bucket").withColumn("_mark", F.greatest(F.max(time).over(w), F.col("_before")) - delay)
+    return running(rows, [], order, [], tops={out: F.col(time)}, own=False, rows=block).withColumn(out, F.col(out) - delay)
+
+
+def late_rows(rows: DataFrame, *, time: str, order: str, length: int, delay: int = 0, block: int | None = None) -> DataFrame:
+    """Rows in arrival order with ``late``: their window of ``length`` had closed by the watermark. A row without a time isn't late."""
     end = (F.floor(F.col(time) / length) + 1) * length
-    return seen.withColumn("late", F.coalesce(end <= F.col("_mark"), F.lit(False))).select(*rows.columns, "late")
+    marked = watermarks(rows, time=time, order=order, delay=delay, out="_mark", block=block)
+    return marked.withColumn("late", F.coalesce(end <= F.col("_mark"), F.lit(False))).select(*rows.columns, "late")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import asof_latest, framed, numbered, only_own
+from .ads import sized
+from .ordered import along, asof_latest, only_own, quantiles, running
 
 
 def volume_per_minute(rows: DataFrame, *, time: str = "et") -> DataFrame:
@@ -28,15 +29,15 @@ def ip_geo_lookup(rows: DataFrame, ranges: DataFrame, *, ip: str = "ip_num", bit
     return keyed.join(filed, "_prefix").where(F.col(ip).between(F.col("lo"), F.col("hi"))).drop("_prefix", "lo", "hi")
 
 
-def observation_score(rows: DataFrame, *, slot: str = "slot", machine: str = "machine", value: str = "value") -> DataFrame:
-    """Mean distance of a machine's values from the median of all values in its slot."""
-    medians = rows.groupBy(slot).agg(F.median(value).alias("_median"))
-    return rows.join(medians, slot).groupBy(slot, machine).agg(F.avg(F.abs(F.col(value) - F.col("_median"))).alias("score"))
+def observation_score(rows: DataFrame, *, slot: str = "slot", machine: str = "machine", value: str = "value", block: int | None = None) -> DataFrame:
+    """Mean distance of a machine's values from the median of all values in its slot; rows without a slot take no part."""
+    medians = quantiles(rows, [slot], value, {"_median": 0.5}, rows=block).drop("n")
+    return rows.join(sized(medians), slot).groupBy(slot, machine).agg(F.avg(F.abs(F.col(value) - F.col("_median"))).alias("score"))
 
 
 def sliding_score_sum(scores: DataFrame, *, size: int = 5, slot: str = "slot", machine: str = "machine", score: str = "score") -> DataFrame:
     """Sum of a machine's last ``size`` scores."""
-    rows, w = framed(numbered(scores, [machine], slot, []), [machine], size - 1)
+    rows, w = along(scores, [machine], slot, [], size - 1)
     return only_own(rows.withColumn("anomaly", F.sum(score).over(w.rowsBetween(1 - size, 0)))).drop("n")
 
 
@@ -46,35 +47,31 @@ def alert_trigger(scores: DataFrame, *, k: int = 3, slot: str = "slot", machine:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bandit_learner(events: DataFrame, rewards: DataFrame, *, order: list[str], actions: int, bonus: float = 2.0) -> DataFrame:
+def bandit_learner(events: DataFrame, rewards: DataFrame, *, order: list[str], actions: int, bonus: float = 2.0, rows: int | None = None) -> DataFrame:
     """The action that an upper confidence bound picks at each event, from the rewards before it.
 
     Rewards have the columns of ``order``, ``action`` and ``reward``. Each action's running count and mean come as-of
-    each event; an action without a reward is tried first, the lowest first. No randomness.
+    each event; an action without a reward is tried first, the lowest first. No randomness. Events without a
+    place in the order count as one.
     """
-    numbers = numbered(rewards, ["action"], order[0], order[1:], out="pulls")
-    rows, w = framed(numbers, ["action"], 0, n="pulls")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    blocks = rows.groupBy("action", "_block").agg(F.sum("reward").alias("_r"))
-    by = Window.partitionBy("action").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carry = blocks.select("action", "_block", F.coalesce(F.sum("_r").over(by), F.lit(0.0)).alias("_r0"))
-    running = rows.join(carry, ["action", "_block"]).withColumn("_total", F.sum("reward").over(upto) + F.col("_r0"))
-    state = running.select("action", *order, F.struct("pulls", "_total").alias("state"))
-    asked = events.select(*order, F.explode(F.sequence(F.lit(0), F.lit(actions - 1))).alias("action"))
+    totals = running(rewards, ["action"], order[0], order[1:], count="pulls", sums={"_total": F.col("reward")}, rows=rows)
     # a reward at the same point in the order is not yet known
-    before = state.withColumn(order[-1], F.col(order[-1]) + 1)
-    known = asof_latest(asked, before, order=order, value="state", key=["action"])
-    pulls, total = F.coalesce("state.pulls", F.lit(0)), F.coalesce("state._total", F.lit(0.0))
-    all_pulls = known.groupBy(*order).agg(F.sum(pulls).alias("_all"))
-    scored = known.join(all_pulls, order).withColumn("bound", F.when(pulls == 0, F.lit(float("inf"))).otherwise(F.try_divide(total, pulls) + F.sqrt(F.try_divide(bonus * F.log(F.greatest("_all", F.lit(1)).cast("double")), pulls))))
-    return scored.groupBy(*order).agg(F.max_by("action", F.struct(F.round("bound", 9), -F.col("action"))).alias("action"))
-
-
-def latency_summary(rows: DataFrame, *, latency: str = "latency") -> DataFrame:
-    """Count, mean, least, greatest and percentiles of a latency column; exact percentiles merge by value, not by row."""
-    ps = [0.05, 0.25, 0.5, 0.75, 0.95]
-    s = rows.agg(F.count(latency).alias("n"), F.avg(latency).alias("mean"), F.min(latency).cast("double").alias("p0"), F.max(latency).cast("double").alias("p100"), F.percentile(latency, ps).alias("p"))
-    return s.select("n", "mean", "p0", "p100", *[F.col("p")[i].alias(f"p{round(100 * q)}") for i, q in enumerate(ps)])
+    state = totals.select("action", *order, F.struct("pulls", "_total").alias("state")).withColumn(order[-1], F.col(order[-1]) + 1)
+    asked = events.select(*order, F.explode(F.sequence(F.lit(0), F.lit(actions - 1))).alias("action"))
+    known = asof_latest(asked, state, order=order, value="state", key=["action"], rows=rows)
+    # one row for each action: a bounded list
+    choices = known.groupBy(*order).agg(F.collect_list(F.struct("action", F.coalesce("state.pulls", F.lit(0)).alias("pulls"), F.coalesce("state._total", F.lit(0.0)).alias("total"))).alias("c"))
+    choices = choices.withColumn("_all", F.aggregate("c", F.lit(0).cast("long"), lambda a, x: a + x["pulls"]))
+    reach = lambda x: F.try_divide(x["total"], x["pulls"]) + F.sqrt(F.try_divide(bonus * F.log(F.greatest("_all", F.lit(1)).cast("double")), x["pulls"]))
+    bound = lambda x: F.when(x["pulls"] == 0, F.lit(float("inf"))).otherwise(F.round(reach(x), 9))
+    return choices.select(*order, (-F.array_max(F.transform("c", lambda x: F.struct(bound(x).alias("bound"), (-x["action"]).alias("a"))))["a"]).alias("action"))
+
+
+def latency_summary(rows: DataFrame, *, latency: str = "latency", block: int | None = None) -> DataFrame:
+    """Count, mean, least, greatest and exact percentiles of a latency column; no task holds all its values."""
+    s = rows.agg(F.count(latency).alias("n"), F.avg(latency).alias("mean"), F.min(latency).cast("double").alias("p0"), F.max(latency).cast("double").alias("p100"))
+    ranks = quantiles(rows, [], latency, {f"p{p}": p / 100 for p in (5, 25, 50, 75, 95)}, rows=block).drop("n")
+    return s.join(F.broadcast(ranks))  # one row each
 
 
 def latency_sample(rows: DataFrame, *, time: str, order: str, rate: int) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import framed, numbered, only_own
+from .ordered import along, only_own
 
 SEGMENT = ["xway", "direction", "segment"]
 #: Fixed value: the lane of exits.
@@ -19,7 +19,7 @@ def avg_speed_vehicle_minute(reports: DataFrame) -> DataFrame:
 
 def avg_speed_literal(reports: DataFrame, *, order: str = "time", tie: str = "event_id") -> DataFrame:
     """Each report with its vehicle's speed before: a mean that is flushed at every report is of one."""
-    rows, w = framed(numbered(reports, ["vid"], order, [tie]), ["vid"], 1)
+    rows, w = along(reports, ["vid"], order, [tie], 1)
     return only_own(rows.withColumn("avg_speed", F.lag("speed").over(w))).where("avg_speed is not null").drop("n")
 
 
@@ -45,7 +45,7 @@ def last_avg_speed(speeds: DataFrame, *, minutes: int = 5, max_values: int | Non
 
 def segment_changes(reports: DataFrame, *, order: str = "time", tie: str = "event_id") -> DataFrame:
     """Reports off the exit lane whose segment differs from the vehicle's last such report."""
-    rows, w = framed(numbered(reports.where(F.col("lane") != EXIT_LANE), ["vid"], order, [tie]), ["vid"], 1)
+    rows, w = along(reports.where(F.col("lane") != EXIT_LANE), ["vid"], order, [tie], 1)
     changed = only_own(rows.withColumn("_last", F.lag("segment").over(w)))
     return changed.where("_last is null or _last <> segment").drop("_last", "n")
 

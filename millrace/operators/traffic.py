@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import DEGREE_METRES, planar_dist
+from .ads import sized
 
 #: Width of a road that gives none, and how far off the nearest road may lie, in metres.
 ROAD_WIDTH, NEAR = 5, 10
@@ -21,20 +25,51 @@ def filter_bbox_speed(points: DataFrame, *, lat: tuple[float, float], lon: tuple
     return points.where((F.col("speed").cast("int") >= 0) & F.col("lat").between(*lat) & F.col("lon").between(*lon))
 
 
-def join_nearest_road(points: DataFrame, roads: DataFrame, *, point_id: str) -> DataFrame:
-    """Points with ``road_id``: the first road of their cell closer than half its width, else the nearest within reach; others drop.
+def road_cells(roads: DataFrame, reach: float, size: float) -> DataFrame:
+    """Road segments filed under each square cell (``_ix``, ``_iy``, of ``size``) that lies within ``reach`` of them, all in degrees.
 
-    The 0.1 degree cell is an equi-join key; candidates of a point meet in an aggregate, not in a list.
+    A segment is cut column by column, so that a slanted one doesn't fill its whole box.
+    """
+    cell = lambda v: F.floor(v / size)
+    left, right = F.least("x1", "x2"), F.greatest("x1", "x2")
+    columns = roads.withColumn("_ix", F.explode(F.sequence(cell(left - reach), cell(right + reach))))
+    # the part of the segment that points of the column can be near to
+    near = lambda x: F.greatest(left, F.least(right, x))
+    height = lambda x: F.when(F.col("x1") == F.col("x2"), None).otherwise(F.col("y1") + (F.col("y2") - F.col("y1")) * F.try_divide(near(x) - F.col("x1"), F.col("x2") - F.col("x1")))
+    a, b = height(F.col("_ix") * size - reach), height((F.col("_ix") + 1) * size + reach)
+    low = F.coalesce(F.least(a, b), F.least("y1", "y2")) - reach
+    high = F.coalesce(F.greatest(a, b), F.greatest("y1", "y2")) + reach
+    # a sliver more, so that rounding loses no cell
+    return columns.withColumn("_iy", F.explode(F.sequence(cell(low - 1e-9), cell(high + 1e-9))))
+
+
+def join_nearest_road(points: DataFrame, roads: DataFrame, *, point_id: str, cell_degrees: float = 0.002) -> DataFrame:
+    """Points with ``road_id``: the first road of their 0.1 degree cell closer than half its width, else the nearest within reach; others drop.
+
+    Only roads near enough to win are candidates: segments are filed under fine cells that they come within reach of,
+    and meet the points by an equi-join on the cell. The 0.1 degree cell (column ``cell`` of the roads) is a filter, and
+    the width of its last road sets how far off its nearest road may lie. Candidates of a point meet in an aggregate,
+    not in a list. ``point_id`` tells points apart; points without coordinates drop.
     """
-    cell = F.concat_ws("_", F.floor(F.col("lat") * 10), F.floor(F.col("lon") * 10))
     width = F.when(F.coalesce("width", F.lit(0)) > 0, F.col("width")).otherwise(ROAD_WIDTH)
-    pairs = points.withColumn("cell", cell).join(roads, "cell").withColumn("_width", width)
+    roads = roads.withColumn("_width", width)
+    widest = roads.agg(F.max("_width")).first()[0] or ROAD_WIDTH
+    reach = math.sqrt(widest * widest + NEAR * NEAR) / DEGREE_METRES
+    size = max(cell_degrees, 2 * reach)
+    lasts = roads.groupBy("cell").agg(F.max_by("_width", F.struct("road_no", "seg_no")).alias("_last_width"))
+    filed = road_cells(roads.join(sized(lasts), "cell"), reach, size).select("_ix", "_iy", F.col("cell").alias("_cell"), "_last_width", "_width", "road_no", "seg_no", "road_id", "x1", "y1", "x2", "y2")
+    cell = F.concat_ws("_", F.floor(F.col("lat") * 10), F.floor(F.col("lon") * 10))
+    placed = points.withColumn("cell", cell).withColumn("_ix", F.floor(F.col("lon") / size)).withColumn("_iy", F.floor(F.col("lat") / size))
+    inside = lambda v, p, q: F.col(v).between(F.least(p, q) - 2 * reach, F.greatest(p, q) + 2 * reach)
+    pairs = placed.join(sized(filed), ["_ix", "_iy"]).where((F.col("cell") == F.col("_cell")) & inside("lat", "y1", "y2") & inside("lon", "x1", "x2"))
     pairs = pairs.withColumn("_m", planar_dist(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("lon"), F.col("lat")) * DEGREE_METRES)
-    on_road = F.when(F.col("_m") < F.col("_width") / 2, F.struct("road_no", "seg_no", "road_id"))
-    met = pairs.groupBy(point_id).agg(F.min(on_road).alias("on"), F.min(F.struct("_m", "road_no", "seg_no", "road_id")).alias("near"), F.max_by("_width", F.struct("road_no", "seg_no")).alias("_last_width"))
-    reach = F.sqrt(F.col("_last_width") * F.col("_last_width") + NEAR * NEAR)
-    road = F.when(F.col("on").isNotNull(), F.col("on.road_id")).when(F.col("near._m") < reach, F.col("near.road_id"))
-    return points.join(met.select(point_id, road.alias("road_id")).where("road_id is not null"), point_id)
+    on = F.col("_m") < F.col("_width") / 2
+    pairs = pairs.where(on | (F.col("_m") < F.sqrt(F.col("_last_width") * F.col("_last_width") + NEAR * NEAR)))
+    # those on the road come before those near it, in the roads' order; those near by distance
+    best = F.min(F.struct(F.when(on, 0).otherwise(1).alias("far"), F.when(on, 0.0).otherwise(F.col("_m")).alias("m"), "road_no", "seg_no", "road_id"))
+    rest = [c for c in points.columns if c != point_id]
+    met = pairs.groupBy(point_id).agg(best.alias("_best"), *([F.any_value(F.struct(*rest)).alias("_point")] if rest else []))
+    return met.select(point_id, *[F.col("_point")[c].alias(c) for c in rest], F.col("_best.road_id").alias("road_id")).where("road_id is not null")
 
 
 def key_distribution(rows: DataFrame, *, key: str) -> DataFrame:
@@ -49,16 +84,18 @@ class SpeedGate:
 
     def __init__(self, speeds: list[int] | None = None, mean: int = 0):
         self.speeds, self.mean = list(speeds or []), mean
+        self.total, self.squares = sum(self.speeds), sum(s * s for s in self.speeds)
 
     def step(self, speed: int) -> tuple[int, int]:
         """Mean and count after a speed, or zeros where it is rejected."""
         n = len(self.speeds)
         if n < 2:
             self._take(speed)
-            self.mean = int(sum(self.speeds) / len(self.speeds))
+            self.mean = int(self.total / len(self.speeds))
             return self.mean, len(self.speeds)
-        now = int((sum(self.speeds) + speed) / (n + 1))
-        spread = np.sqrt((sum((s - self.mean) ** 2 for s in self.speeds) + (speed - self.mean) ** 2) / n)
+        now = int((self.total + speed) / (n + 1))
+        off = speed - self.mean
+        spread = math.sqrt((self.squares - 2 * self.mean * self.total + n * self.mean * self.mean + off * off) / n)
         if abs(speed - now) > 2 * spread:
             return 0, 0
         self._take(speed)
@@ -67,68 +104,94 @@ class SpeedGate:
 
     def _take(self, speed: int) -> None:
         self.speeds.append(speed)
+        self.total, self.squares = self.total + speed, self.squares + speed * speed
         if len(self.speeds) > RING:
-            self.speeds.pop(0)
+            gone = self.speeds.pop(0)
+            self.total, self.squares = self.total - gone, self.squares - gone * gone
 
 
-def ordered_scan(df: DataFrame, step_of, *, key: str, order: list[str], schema: str) -> DataFrame:
-    """Run a state machine over each key's rows in order, in batches that carry state across; one key's state at a time is held.
+def ordered_scan(df: DataFrame, scan: Callable, *, key: str, order: list[str], schema: T.StructType) -> DataFrame:
+    """Run a state machine over each key's rows in order, an Arrow batch at a time; one key's state at a time is held.
 
-    ``step_of`` makes a function from (state or None, row as a tuple) to (state, output tuple or None). For state that doesn't compose: a key's
-    rows are in one task, but stream through it.
+    ``scan`` takes the state (None at a key's first rows), the key and a run of its rows as a record batch, and returns the next
+    state and the columns of output rows. For state that doesn't compose: a key's rows are in one task, but stream
+    through it. A null key is a key like any other.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        step, last, state = step_of(), None, None
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False, name=None):
-                if row[0] != last or state is None:
-                    last, state = row[0], None
-                state, made = step(state, row)
-                if made is not None:
-                    out.append(made)
-            yield pd.DataFrame(out, columns=names)
-
-    names = [c.split()[0] for c in schema.split(", ")]
-    rest = [c for c in df.columns if c != key]
-    placed = df.select(key, *rest).repartition(key).sortWithinPartitions(key, *order)
-    return placed.mapInPandas(run, schema)
-
-
-def _gate_step():
-    def step(state, row):
-        state = state or SpeedGate()
-        mean, count = state.step(int(row[1]))
-        return state, (row[0], mean, count, row[2])
-
-    return step
+    arrow = to_arrow_schema(schema)
+    place = df.columns.index(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        started, last, state = False, None, None
+        for batch in batches:
+            keys, lo = batch.column(place).to_pylist(), 0
+            while lo < len(keys):
+                k = keys[lo]
+                hi = len(keys) if keys[-1] == k else lo + next(i for i, x in enumerate(keys[lo:]) if x != k)
+                if not started or k != last:
+                    started, last, state = True, k, None
+                state, columns = scan(state, k, batch.slice(lo, hi - lo))
+                if columns and len(columns[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+                lo = hi
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 
 
 def speed_outlier_gate(rows: DataFrame, *, road: str = "road_id", speed: str = "speed", order: str) -> DataFrame:
-    """Mean road speed after each row; a speed more than two deviations off gives zeros and is left out."""
-    slim = rows.select(F.col(road).alias("road_id"), F.col(speed).cast("int").alias("speed"), F.col(order).alias("seq"))
-    return ordered_scan(slim, _gate_step, key="road_id", order=["seq"], schema="road_id long, average_speed int, count int, seq long")
-
-
-def _anchored_step(length: int):
-    def make():
-        def step(state, row):
-            at = int(row[1])
-            if state is None:
-                return (at, 1), None
-            start, count = state
-            if at >= start + length:
-                return (at, 1), (row[0], count, at)
-            return ((start, count + 1) if at >= start else state), None
-
-        return step
-
-    return make
+    """Mean road speed after each row; a speed more than two deviations off gives zeros and is left out. Rows without a speed drop."""
+
+    def scan(gate, k, batch):
+        gate = gate or SpeedGate()
+        made = [gate.step(s) for s in batch.column(1).to_pylist()]
+        return gate, [[k] * len(made), [m for m, _ in made], [n for _, n in made], batch.column(2)]
+
+    slim = rows.where(F.col(speed).isNotNull()).select(F.col(road).alias("road_id"), F.col(speed).cast("int").alias("speed"), F.col(order).alias("seq"))
+    schema = T.StructType([T.StructField("road_id", slim.schema["road_id"].dataType), T.StructField("average_speed", T.IntegerType()), T.StructField("count", T.IntegerType()), T.StructField("seq", slim.schema["seq"].dataType)])
+    return ordered_scan(slim, scan, key="road_id", order=["seq"], schema=schema)
+
+
+class AnchoredWindow:
+    """One key's open window: where it starts and how many rows it has. Batch and stream share it."""
+
+    def __init__(self, length: int, start: int | None = None, count: int = 0):
+        self.length, self.start, self.count = length, start, count
+
+    def take(self, times: list[int]) -> tuple[list[int], list[int]]:
+        """Counts and trigger times of the windows that the next rows close.
+
+        A window is closed by the first row at or past its end; all rows before that lie under it, so that the next closing
+        row is where the running greatest time reaches the end, found by halving.
+        """
+        counts, triggers, at = [], [], 0
+        if self.start is None and times:
+            self.start, self.count, at = times[0], 1, 1
+        tops, most = [], -math.inf
+        for t in times:
+            most = t if t > most else most
+            tops.append(most)
+        while at < len(times):
+            end = bisect_left(tops, self.start + self.length, at)
+            self.count += sum(t >= self.start for t in times[at:end])
+            if end == len(times):
+                break
+            counts.append(self.count)
+            triggers.append(times[end])
+            self.start, self.count, at = times[end], 1, end + 1
+        return counts, triggers
+
+
+def win_anchored_count(rows: DataFrame, *, key: str, time: str, order: str, length: int, tie: list[str] | None = None) -> DataFrame:
+    """Windows that open at a row: a row at or past the end emits (key, count, its time) and opens the next; earlier rows than the start drop; the last window is not emitted.
+
+    ``order`` and ``tie`` tell rows apart; rows without a time take no part.
+    """
 
+    def scan(window, k, batch):
+        window = window or AnchoredWindow(length)
+        counts, triggers = window.take(batch.column(1).to_pylist())
+        return window, [[k] * len(counts), counts, triggers]
 
-def win_anchored_count(rows: DataFrame, *, key: str, time: str, order: str, length: int) -> DataFrame:
-    """Windows that open at a row: a row at or past the end emits (key, count, its time) and opens the next; earlier rows than the start drop; the last window is not emitted."""
-    slim = rows.select(F.col(key).alias("key"), F.col(time).alias("at"), F.col(order).alias("seq"))
-    out = ordered_scan(slim, _anchored_step(length), key="key", order=["seq"], schema="key long, count long, trigger_ts long")
-    return out.withColumnRenamed("key", key)
+    ties = tie or []
+    slim = rows.where(F.col(time).isNotNull()).select(F.col(key).alias("_k"), F.col(time).cast("long").alias("_at"), F.col(order).alias("_o"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(ties)])
+    schema = T.StructType([T.StructField(key, slim.schema["_k"].dataType), T.StructField("count", T.LongType()), T.StructField("trigger_ts", T.LongType())])
+    return ordered_scan(slim, scan, key="_k", order=["_o", *(f"_t{i}" for i in range(len(ties)))], schema=schema)

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio_score, safe_ratio
-from .ordered import asof_latest, decayed, ewma_global
+from .ads import sized
+from .ordered import asof_latest, block_count, decayed, decayed_sums, ewma_global
 
 #: Decay of a second, for short and day-long rates.
 BETA, BETA_DAY = 0.9672, 0.9917
@@ -28,10 +29,12 @@ def dup_by_role(calls: DataFrame) -> DataFrame:
 
 
 def new_pair_flag(calls: DataFrame) -> DataFrame:
-    """Calls with ``new_callee``: the first of their caller and callee. An aggregate finds firsts, so that a busy pair is no hot task."""
-    first = calls.groupBy("calling", "called").agg(F.min(F.struct("answer_ts", "call_id")).alias("_first"))
-    joined = calls.join(first, ["calling", "called"])
-    return joined.withColumn("new_callee", F.col("_first.call_id") == F.col("call_id")).select(*calls.columns, "new_callee")
+    """Calls with ``new_callee``: the first of their caller and callee. An aggregate finds firsts, so that a busy pair is no hot task.
+
+    A null caller or callee makes a pair like any other.
+    """
+    first = calls.groupBy("calling", "called").agg(F.min(F.struct("answer_ts", "call_id")).alias("_first")).select(F.col("_first.call_id").alias("call_id"), F.lit(True).alias("_new"))
+    return calls.join(sized(first), "call_id", "left").select(*calls.columns, F.coalesce("_new", F.lit(False)).alias("new_callee"))
 
 
 def decayed_count(calls: DataFrame, *, beta: float = BETA, out: str = "rate", new_only: bool = False) -> DataFrame:
@@ -92,15 +95,34 @@ def score_join3(fofir: DataFrame, url: DataFrame, acd: DataFrame, *, compat_emit
     return all3.withColumn("score", sum(F.col(k) * w for k, w in WEIGHTS.items())).select(*on, "fofir", "url", "acd", "score")
 
 
+def call_rates(calls: DataFrame) -> DataFrame:
+    """The five decayed rates of each established call between two parties (columns as in ``call_scores``), from one timeline a party.
+
+    A party's timeline holds its calls in both roles; each rate counts the rows that are its own.
+    """
+    blocks = 2 * block_count(calls)
+    rows = dup_by_role(calls.where("established")).where("role = 'caller' or calling <> called")
+    counts = lambda c: F.when(c, 1.0).otherwise(0.0)
+    made, fresh = F.col("role") == "caller", (F.col("role") == "caller") & F.col("new_callee")
+    by = {"keys": ["party"], "blocks": 1 if blocks == 2 else blocks, **_ORDER}
+    short = decayed_sums(rows, amounts={"ecr": counts(made) * _unit(BETA), "encr": counts(fresh) * _unit(BETA), "rcr": counts(~made) * _unit(BETA)}, beta=BETA, **by)
+    both = decayed_sums(short, amounts={"ecr24": counts(made) * _unit(BETA_DAY), "ct24": counts(fresh) * F.col("duration") * _unit(BETA_DAY)}, beta=BETA_DAY, **by)
+    return both.where("role = 'caller' and calling <> called").drop("role", "party")
+
+
 def call_scores(calls: DataFrame) -> DataFrame:
-    """The whole graph: the variants of operator order are routing only and share this plan."""
-    flagged = new_pair_flag(calls)
-    ecr = decayed_count(flagged, out="ecr")
-    encr = decayed_count(flagged, out="encr", new_only=True)
-    ecr24 = decayed_count(flagged, beta=BETA_DAY, out="ecr24")
-    ct24 = decayed_sum(flagged, out="ct24")
-    rcr = reciprocal_rate(flagged, out="rcr")
-    return score_join3(fofir_score(ecr, rcr), url_score(encr, ecr), acd_score(ct24, ecr24, calls))
+    """The whole graph: the variants of operator order are routing only and share this plan.
+
+    A call has all three scores if it is established, to a new callee and not to its own caller. Its rates come from one
+    pass over its parties' timelines, and the global mean stands beside each call, so that nothing is joined again.
+    """
+    flagged = new_pair_flag(global_acd(calls.select("call_id", "calling", "called", "answer_ts", "duration", "established")))
+    rates = call_rates(flagged).where("new_callee")
+    fofir = ratio_score(*BOUNDS["fofir"], safe_ratio(F.col("ecr"), F.col("rcr")))
+    url = ratio_score(*BOUNDS["url"], safe_ratio(F.col("encr"), F.col("ecr")))
+    acd = ratio_score(*BOUNDS["acd"], safe_ratio(safe_ratio(F.col("ct24"), F.col("ecr24")), F.col("global_acd")))
+    scored = rates.select("calling", "answer_ts", "call_id", fofir.alias("fofir"), url.alias("url"), acd.alias("acd"))
+    return scored.withColumn("score", sum(F.col(k) * w for k, w in WEIGHTS.items()))
 
 
 def first_seen_window(calls: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import ads, logs, markov, ordered, traffic
@@ -63,12 +65,12 @@ def src_rate(spark, sf):
     return feeds.cyclic_ads(derive.events(spark, sf), F.col("event_id"), ads=100)
 
 
-@query("SELECT count(*) AS n, count(DISTINCT shard) AS shards, sum(event_id)::BIGINT AS ids FROM (SELECT event_id, event_id % 4 AS shard FROM events)")
+@query("SELECT event_id % 4 AS shard, count(*) AS n, sum(event_id)::BIGINT AS ids FROM events GROUP BY 1")
 def src_sharded(spark, sf):
-    """Shards by offset and stride cover every row once."""
-    e = derive.events(spark, sf).withColumn("shard", F.col("event_id") % 4)
-    by_shard = e.groupBy("shard").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
-    return by_shard.agg(F.sum("n").alias("n"), F.count("shard").alias("shards"), F.sum("ids").alias("ids"))
+    """Four readers, each with the lines that are its own by offset and stride."""
+    e = derive.events(spark, sf)
+    parts = [feeds.sharded(e, "event_id", offset=k, stride=4).agg(F.lit(k).cast("long").alias("shard"), F.count("*").alias("n"), F.sum("event_id").alias("ids")) for k in range(4)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("SELECT event_id, ('0x' || substr(md5(event_id::VARCHAR), 1, 8))::BIGINT % 32 AS key FROM events")
@@ -81,11 +83,20 @@ def key_dictionary(spark, sf):
     return ordered.key_dictionary(derive.events(spark, sf), key="user_id", order="us").select("user_id", "key_id")
 
 
-@query(f"WITH {EVENTS} SELECT user_id % 16 AS shard, count(*) AS n FROM ev GROUP BY 1")
+_POINT = "('0x' || substr(md5({c}::VARCHAR), 1, 8))::BIGINT % 16"
+
+
+@query(
+    f"""WITH {EVENTS}, p AS (SELECT 'fields' AS how, {_POINT.format(c="user_id")} AS task, user_id FROM ev UNION ALL SELECT 'shuffle', {_POINT.format(c="event_id")}, user_id FROM ev
+    UNION ALL SELECT 'all', unnest(range(0, 16)), user_id FROM ev UNION ALL SELECT 'global', 0, user_id FROM ev)
+    SELECT how, task, count(*) AS n, count(DISTINCT user_id) AS users FROM p GROUP BY ALL"""
+)
 def partition_by(spark, sf):
-    """Rows routed by a field."""
-    e = derive.events(spark, sf).withColumn("shard", F.col("user_id") % 16)
-    return e.groupBy("shard").agg(F.count("*").alias("n"))
+    """Rows and users that each of sixteen tasks gets by the four groupings."""
+    e = derive.events(spark, sf).select("event_id", "user_id")
+    parts = [feeds.routed(e, how, 16, by=by).withColumn("how", F.lit(how)) for how, by in (("fields", ["user_id"]), ("shuffle", ["event_id"]), ("all", None), ("global", None))]
+    users = reduce(DataFrame.unionByName, parts).groupBy("how", "task", "user_id").agg(F.count("*").alias("n"))
+    return users.groupBy("how", "task").agg(F.sum("n").alias("n"), F.count("user_id").alias("users"))
 
 
 # ---- advertising
@@ -149,13 +160,7 @@ def snk_late(spark, sf):
 @query(f"WITH {EVENTS}, {_ARRIVAL} SELECT event_id, mark - 60 AS watermark FROM m WHERE mark IS NOT NULL")
 def watermark(spark, sf):
     """The watermark in force at each arrival, with a minute's delay."""
-    rows = _arrivals(spark, sf)
-    at = ordered.numbered(rows, [], "arrival", [])
-    blocks, w = ordered.framed(at, [], 0, rows=50_000)
-    tops = blocks.groupBy("_block").agg(F.max("et").alias("_top"))
-    before = tops.withColumn("_before", F.max("_top").over(Window.partitionBy(F.lit(0)).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))).drop("_top")
-    mark = F.greatest(F.max("et").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.col("_before"))
-    return blocks.join(before, "_block").withColumn("watermark", mark - 60).where("watermark is not null").select("event_id", "watermark")
+    return ads.watermarks(_arrivals(spark, sf), time="et", order="arrival", delay=60).where("watermark is not null").select("event_id", "watermark")
 
 
 @query(
@@ -167,7 +172,7 @@ def watermark(spark, sf):
 )
 def win_anchored_count(spark, sf):
     views = ads.campaign_views(*derive.ads(spark, sf))
-    return traffic.win_anchored_count(views, key="campaign_id", time="et", order="us", length=36000)
+    return traffic.win_anchored_count(views, key="campaign_id", time="et", order="us", tie=["event_id"], length=36000)
 
 
 # ---- sensors and Markov scores
@@ -207,14 +212,19 @@ def _score(expr: str) -> str:
 _MISS, _RATE = "row_total - p", "CASE WHEN best = event_type THEN 0.0 ELSE 1.0 END"
 
 
-def _fit(spark, sf):
-    e = derive.events(spark, sf)
-    return e, markov.model_fit(e, **_STATES)
+def _states(spark, sf):
+    return derive.events(spark, sf).select("event_id", "user_id", "us", "event_type")
+
+
+def _fitted(spark, sf):
+    """Transitions, and the model fitted on them: both come from one shuffle of the events."""
+    pairs = markov.transitions(_states(spark, sf), **_STATES)
+    return pairs, markov.model_of(pairs, state="event_type")
 
 
 @query(f"WITH {EVENTS}, {_MODEL} SELECT prev, cur, round(p, 9) AS p FROM model")
 def model_fit(spark, sf):
-    return _fit(spark, sf)[1].select("prev", "cur", F.round("p", 9).alias("p"))
+    return markov.model_fit(derive.events(spark, sf), **_STATES).select("prev", "cur", F.round("p", 9).alias("p"))
 
 
 @query(f"WITH {EVENTS}, s AS (SELECT event_id, row_number() OVER w AS n, string_agg(event_type, '>') OVER (PARTITION BY user_id ORDER BY us, event_id ROWS 4 PRECEDING) AS sequence FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)) SELECT event_id, sequence FROM s WHERE n >= 5")
@@ -224,14 +234,12 @@ def state_sequence(spark, sf):
 
 @query(f"WITH {EVENTS}, {_SCORED} SELECT event_id, round(p, 6) AS p, round(row_total, 6) AS row_total, best FROM j WHERE prev IS NOT NULL")
 def join_model(spark, sf):
-    e, model = _fit(spark, sf)
-    pairs = markov.transitions(e, **_STATES).where("prev is not null")
-    return markov.join_model(pairs, model, state="event_type").select("event_id", F.round("p", 6).alias("p"), F.round("row_total", 6).alias("row_total"), "best")
+    pairs, model = _fitted(spark, sf)
+    return markov.join_model(pairs.where("prev is not null"), model, state="event_type").select("event_id", F.round("p", 6).alias("p"), F.round("row_total", 6).alias("row_total"), "best")
 
 
 def _scores(spark, sf, predictor):
-    e, model = _fit(spark, sf)
-    return markov.score_sequences(e, model, predictor=predictor, **_STATES).select("event_id", "user_id", F.round("score", 6).alias("score"))
+    return markov.fit_and_score(_states(spark, sf), predictor=predictor, **_STATES).select("event_id", "user_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {EVENTS}, {_score(_MISS)} SELECT event_id, user_id, round(score, 6) AS score FROM z WHERE n >= 5")
@@ -251,19 +259,18 @@ def markov_entropy_reduction(spark, sf):
 
 @query(f"WITH {EVENTS}, {_MODEL} SELECT prev, round(-sum(p * ln(p)), 6) AS entropy FROM model GROUP BY prev")
 def markov_state_entropy(spark, sf):
-    return markov.state_entropy(_fit(spark, sf)[1]).select("prev", F.round("entropy", 6).alias("entropy"))
+    return markov.state_entropy(_fitted(spark, sf)[1]).select("prev", F.round("entropy", 6).alias("entropy"))
 
 
 @query(f"WITH {EVENTS}, {_SCORED} SELECT event_id, round(sum(row_total - p) OVER w / sum(row_total) OVER w, 6) AS score FROM j WHERE prev IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id)")
 def markov_global_metric(spark, sf):
-    e, model = _fit(spark, sf)
-    return markov.global_metric(e, model, **_STATES).select("event_id", F.round("score", 6).alias("score"))
+    pairs, model = _fitted(spark, sf)
+    return markov.metric_of(pairs, model, key="user_id", state="event_type").select("event_id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {EVENTS}, {_score(_MISS)} SELECT event_id, user_id, round(score, 6) AS score FROM z WHERE n >= 5 AND score > 0.8")
 def fraud_detect(spark, sf):
-    e, model = _fit(spark, sf)
-    return markov.fraud_detect(e, model, threshold=0.8, **_STATES).select("event_id", "user_id", F.round("score", 6).alias("score"))
+    return markov.fraud_detect(_states(spark, sf), threshold=0.8, **_STATES).select("event_id", "user_id", F.round("score", 6).alias("score"))
 
 
 # ---- logs, outliers, bandit

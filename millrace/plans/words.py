@@ -36,7 +36,7 @@ def word_count_total(spark, sf):
     return ops.word_count_total(ops.words(derive.lines(spark, sf)))
 
 
-@query(f"WITH {LINES} SELECT sum(octet_length(encode(line)))::BIGINT AS bytes, count(line) AS lines, sum(len(string_split(rtrim(line, ' '), ' ')))::BIGINT AS words FROM l")
+@query(f"WITH {LINES} SELECT sum(octet_length(encode(line)))::BIGINT AS bytes, count(line) AS lines, sum(CASE WHEN line <> '' AND rtrim(line, ' ') = '' THEN 0 ELSE len(string_split(rtrim(line, ' '), ' ')) END)::BIGINT AS words FROM l")
 def volume_stats(spark, sf):
     return ops.volume_stats(derive.lines(spark, sf))
 

@@ -67,9 +67,9 @@ def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of all documents: ``pos`` orders them."""
+    """Lines of all documents: ``pos`` orders them, with room for a thousand million lines in a document."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return d.select("doc_id", (F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("pos"), "line")
+    return d.select("doc_id", (F.col("doc_id") * 1_000_000_000 + F.col("line_no")).alias("pos"), "line")
 
 
 def tweets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,27 @@ def rate_ads(spark: SparkSession, *, rows_per_second: int, ads: int) -> DataFram
     return cyclic_ads(spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load(), F.col("value"), ads=ads)
 
 
+def sharded(lines: DataFrame, pos: str, *, offset: int, stride: int) -> DataFrame:
+    """What one of ``stride`` parallel readers takes: every line whose place leaves ``offset``. The filter reaches the scan where the place is a column of it."""
+    return lines.where(F.pmod(F.col(pos), F.lit(stride)) == offset)
+
+
+def routed(rows: DataFrame, how: str, tasks: int, *, by: list[str] | None = None, out: str = "task") -> DataFrame:
+    """Rows with the downstream task that a grouping sends them to.
+
+    ``fields``: by a hash of ``by``, equal fields together, null a value like any other; ``shuffle``: evenly, by a hash of the
+    columns ``by`` that tell rows apart; ``all``: a copy for each task; ``global``: the first task. Repartition by ``out`` to move them.
+    """
+    if how in ("fields", "shuffle"):
+        point = F.conv(F.substring(F.md5(F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in by or []])), 1, 8), 16, 10).cast("long")
+        return rows.withColumn(out, point % tasks)
+    if how == "all":
+        return rows.withColumn(out, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tasks - 1).cast("long"))))
+    if how == "global":
+        return rows.withColumn(out, F.lit(0).cast("long"))
+    raise ValueError(f"no grouping named {how}")
+
+
 def rekey(df: DataFrame, row_id: str, keys: int, *, out: str = "key") -> DataFrame:
     """Replace the key by one of ``keys`` uniform keys, a hash of the row id (md5: the same everywhere)."""
     point = F.conv(F.substring(F.md5(F.col(row_id).cast("string")), 1, 8), 16, 10).cast("long")

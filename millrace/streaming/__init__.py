@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import ads
-from ..operators.traffic import SpeedGate
+from ..operators.traffic import AnchoredWindow, SpeedGate
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -50,95 +51,144 @@ def score_join(left: DataFrame, right: DataFrame, *, at: str, within: str) -> Da
 
 
 class Stepper(StatefulProcessor):
-    """Runs a step over each key's rows in order; the state is one row of plain values."""
+    """Runs a scan over each key's rows of a micro-batch in order.
 
-    def __init__(self, schema: str, order: list[str], step: Callable, names: list[str], ttl_ms: int | None = None):
-        self.schema, self.order, self.step, self.names, self.ttl_ms = schema, order, step, names, ttl_ms
+    ``state`` names the kind of state and its schema: ``value`` is one row of plain values, ``list`` rows of them, ``map`` rows
+    by key (key schema, value schema). With ``ttl_ms`` state that hasn't changed for so long expires.
+    ``scan`` takes the state (None, a list of rows, or the map state itself), the key and columns as lists, and returns the
+    next state (None leaves it) and output columns.
+    """
+
+    def __init__(self, state: tuple, order: list[str], scan: Callable, names: list[str], ttl_ms: int | None = None):
+        self.kind, self.schemas, self.order, self.scan, self.names, self.ttl_ms = state[0], state[1:], order, scan, names, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", self.schema, self.ttl_ms)
+        make = {"value": handle.getValueState, "list": handle.getListState, "map": handle.getMapState}[self.kind]
+        self.state = make("state", *self.schemas, self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(rows).sort_values(self.order)
-        state, out = (tuple(self.state.get()) if self.state.exists() else None), []
-        for row in pdf.to_dict("records"):
-            state, made = self.step(state, key, row)
-            if made is not None:
-                out.append(made)
-        if state is not None:
-            self.state.update(state)
-        yield pd.DataFrame(out, columns=self.names)
+        columns = {c: pdf[c].tolist() for c in pdf.columns}
+        if self.kind == "value":
+            held = tuple(self.state.get()) if self.state.exists() else None
+        elif self.kind == "list":
+            held = [tuple(r) for r in self.state.get()] if self.state.exists() else []
+        else:
+            held = self.state
+        held, out = self.scan(held, key, columns)
+        if held is not None and self.kind == "value":
+            self.state.update(held)
+        elif held is not None and self.kind == "list":
+            self.state.put(held)
+        yield pd.DataFrame(dict(zip(self.names, out, strict=True)), columns=self.names)
 
     def close(self) -> None:
         pass
 
 
-def _stateful(df: DataFrame, keys: list[str], processor: Stepper, schema: str) -> DataFrame:
-    return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=schema, outputMode="append", timeMode="None")
+def _stateful(df: DataFrame, keys: list[str], state: tuple, order: list[str], scan: Callable, schema: str, ttl_ms: int | None = None) -> DataFrame:
+    names = [c.split()[0] for c in schema.split(", ")]
+    return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=Stepper(state, order, scan, names, ttl_ms), outputStructType=schema, outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None")
+
 
+def timed(rows: DataFrame, *, mode: str = "event", time: str | None = None, out: str = "at") -> DataFrame:
+    """Rows with the time that windows go by: ``event`` takes a column of theirs, ``ingress`` the moment their micro-batch began.
 
-def _names(schema: str) -> list[str]:
-    return [c.split()[0] for c in schema.split(", ")]
+    Event time with a total order of rows gives the same results however a stream is cut; ingress time doesn't.
+    """
+    if mode not in ("event", "ingress"):
+        raise ValueError("mode is event or ingress")
+    if mode == "event" and time is None:
+        raise ValueError("event time needs a column")
+    return rows.withColumn(out, F.col(time).cast("timestamp") if mode == "event" else F.current_timestamp())
 
 
-def anchored_counts(rows: DataFrame, *, key: str, time: str, order: list[str], length: int) -> DataFrame:
+def anchored_counts(rows: DataFrame, *, key: str, time: str, order: list[str], length: int, ttl_ms: int | None = None) -> DataFrame:
     """The stream twin of ``win_anchored_count``."""
 
-    def step(state, k, row):
-        at = int(row[time])
-        if state is None:
-            return (at, 1), None
-        start, count = state
-        if at >= start + length:
-            return (at, 1), (k[0], count, at)
-        return ((start, count + 1) if at >= start else state), None
+    def scan(state, k, columns):
+        window = AnchoredWindow(length, *(state or ()))
+        counts, triggers = window.take([int(t) for t in columns[time]])
+        return (window.start, window.count), ([k[0]] * len(counts), counts, triggers)
 
-    schema = f"{key} long, count long, trigger_ts long"
-    return _stateful(rows, [key], Stepper("start long, count long", order, step, _names(schema)), schema)
+    return _stateful(rows.where(F.col(time).isNotNull()), [key], ("value", "start long, count long"), order, scan, f"{key} long, count long, trigger_ts long", ttl_ms)
 
 
-def gated_speeds(rows: DataFrame, *, order: list[str]) -> DataFrame:
+def gated_speeds(rows: DataFrame, *, order: list[str], ttl_ms: int | None = None) -> DataFrame:
     """The stream twin of ``speed_outlier_gate``; columns road_id, speed and ``order``, the first of which is kept."""
 
-    def step(state, k, row):
+    def scan(state, k, columns):
         gate = SpeedGate(list(state[0]), state[1]) if state else SpeedGate()
-        mean, count = gate.step(int(row["speed"]))
-        return (gate.speeds, gate.mean), (k[0], mean, count, row[order[0]])
+        made = [gate.step(int(s)) for s in columns["speed"]]
+        return (gate.speeds, gate.mean), ([k[0]] * len(made), [m for m, _ in made], [n for _, n in made], columns[order[0]])
 
-    schema = "road_id long, average_speed int, count int, seq long"
-    return _stateful(rows, ["road_id"], Stepper("speeds array<int>, mean int", order, step, _names(schema)), schema)
+    return _stateful(rows.where("speed is not null"), ["road_id"], ("value", "speeds array<int>, mean int"), order, scan, "road_id long, average_speed int, count int, seq long", ttl_ms)
 
 
-def decayed_counts(rows: DataFrame, *, key: str, time: str, order: list[str], amount: str, beta: float) -> DataFrame:
+def decayed_counts(rows: DataFrame, *, key: str, time: str, order: list[str], amount: str, beta: float, ttl_ms: int | None = None) -> DataFrame:
     """The stream twin of ``decayed``: one sum and its time for each key."""
 
-    def step(state, k, row):
-        at, x = int(row[time]), float(row[amount])
-        value = x if state is None else state[0] * beta ** (at - state[1]) + x
-        return (value, at), (k[0], row[order[-1]], value)
+    def scan(state, k, columns):
+        value, last, out = *(state or (0.0, None)), []
+        for at, x in zip(columns[time], columns[amount], strict=True):
+            value, last = float(x) + (value * beta ** (at - last) if last is not None else 0.0), int(at)
+            out.append(value)
+        return (value, last), ([k[0]] * len(out), columns[order[-1]], out)
+
+    return _stateful(rows, [key], ("value", "value double, at long"), order, scan, f"{key} long, row_id long, value double", ttl_ms)
+
+
+def moving_averages(rows: DataFrame, *, key: str, value: str, order: list[str], size: int = 1000, ttl_ms: int | None = None) -> DataFrame:
+    """The stream twin of ``moving_avg``: a list of the last values for each key."""
+
+    def scan(state, k, columns):
+        line = [v for (v,) in state] + [float(v) for v in columns[value]]
+        sums = np.concatenate([[0.0], np.cumsum(line)])
+        ends = np.arange(len(state) + 1, len(line) + 1)
+        begins = np.maximum(ends - size, 0)
+        return [(v,) for v in line[-size:]], ([k[0]] * len(ends), columns[order[-1]], ((sums[ends] - sums[begins]) / (ends - begins)).tolist())
 
-    schema = f"{key} long, row_id long, value double"
-    return _stateful(rows, [key], Stepper("value double, at long", order, step, _names(schema)), schema)
+    return _stateful(rows.where(F.col(value).isNotNull()), [key], ("list", "value double"), order, scan, f"{key} long, row_id long, moving_avg double", ttl_ms)
+
+
+def seen_callees(rows: DataFrame, *, order: list[str], ttl_ms: int | None = None) -> DataFrame:
+    """The stream twin of ``new_pair_flag``: a map of each caller's callees, forgotten ``ttl_ms`` after they were first seen."""
+
+    def scan(seen, k, columns):
+        flags = []
+        for callee in columns["called"]:
+            new = not seen.containsKey((callee,))
+            if new:
+                seen.updateValue((callee,), (True,))
+            flags.append(new)
+        return None, ([k[0]] * len(flags), columns["called"], columns[order[-1]], flags)
+
+    return _stateful(rows, ["calling"], ("map", "called long", "seen boolean"), order, scan, "calling long, called long, row_id long, new_callee boolean", ttl_ms)
 
 
 def tagged_late(rows: DataFrame, *, source: str, time: str, order: list[str], length: int, delay: int = 0) -> DataFrame:
     """Every row of a source with ``late``: Spark itself only counts the rows that its watermark drops."""
 
-    def step(state, k, row):
-        at = int(row[time])
-        mark = None if state is None else state[0] - delay
-        late = mark is not None and (at // length + 1) * length <= mark
-        return (max(at, state[0]) if state else at,), (k[0], row[order[-1]], late)
+    def scan(state, k, columns):
+        top, flags = state[0] if state else None, []
+        for at in map(int, columns[time]):
+            flags.append(top is not None and (at // length + 1) * length <= top - delay)
+            top = at if top is None else max(at, top)
+        return (top,), ([k[0]] * len(flags), columns[order[-1]], flags)
+
+    return _stateful(rows, [source], ("value", "top long"), order, scan, f"{source} long, row_id long, late boolean")
 
-    schema = f"{source} long, row_id long, late boolean"
-    return _stateful(rows, [source], Stepper("top long", order, step, _names(schema)), schema)
 
+def count_sink(df: DataFrame, name: str, checkpoint: str, *, stamp: str | None = None) -> tuple:
+    """Drain a stream, counting the rows of each micro-batch and, given their source's time ``stamp``, their mean and greatest latency in milliseconds.
 
-def count_sink(df: DataFrame, name: str, checkpoint: str) -> tuple:
-    """Drain a stream, counting rows and summing up latency by micro-batch; returns the query and the list that fills."""
+    Returns the query and the list that fills, one small entry for each micro-batch.
+    """
     seen: list[dict] = []
+    delay = F.unix_millis(F.current_timestamp()) - F.unix_millis(F.col(stamp)) if stamp else F.lit(None).cast("long")
 
     def each(batch: DataFrame, number: int) -> None:
-        seen.append({"batch": number, "rows": batch.count()})
+        rows, mean, worst = batch.agg(F.count("*"), F.avg(delay), F.max(delay)).first()
+        seen.append({"batch": number, "rows": rows, "mean_latency": mean, "worst_latency": worst})
 
     return df.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).queryName(name).trigger(availableNow=True).start(), seen

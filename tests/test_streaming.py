@@ -2,6 +2,7 @@
 
 import random
 import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -17,8 +18,14 @@ def feed(spark, folder, rows, schema, files):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder))
 
 
-def drain(spark, df, folder, name, mode="append"):
+def drain(spark, df, folder, name, mode="append", rows=None):
+    """All rows; a stream whose state expires by the clock never ends, and is stopped once it has given ``rows``."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(folder / f"cp-{name}")).trigger(availableNow=True).start()
+    for _ in range(0 if rows is None else 300):
+        if spark.table(name).count() >= rows:
+            q.stop()
+            break
+        time.sleep(0.2)
     q.awaitTermination(120)
     return spark.table(name).collect()
 
@@ -76,3 +83,41 @@ def test_score_join(spark, tmp_path):
     b = feed(spark, tmp_path / "r", right, "calling long, call_id long, et long, rcr double", 1).withColumn("at", F.timestamp_seconds("et")).drop("et")
     got = drain(spark, streaming.score_join(a, b, at="at", within="30 seconds"), tmp_path, "scores")
     assert [(r.call_id, r.ecr, r.rcr) for r in got] == [(10, 0.5, 2.0)]
+
+
+def test_list_and_map_state_with_expiry(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.randrange(3), rng.randrange(4), i, float(rng.randrange(50))) for i in range(90)]
+    schema = "calling long, called long, seq long, v double"
+    stream, batch = feed(spark, tmp_path / "in", rows, schema, 3), spark.createDataFrame(rows, schema)
+    got = {(r.row_id, round(r.moving_avg, 9)) for r in drain(spark, streaming.moving_averages(stream, key="calling", value="v", order=["seq"], size=7, ttl_ms=3_600_000), tmp_path, "averages", rows=90)}
+    assert got == {(r.seq, round(r.moving_avg, 9)) for r in ordered.moving_avg(batch, key="calling", order="seq", tie=[], value="v", size=7).collect()}
+    got = {(r.row_id, r.new_callee) for r in drain(spark, streaming.seen_callees(stream, order=["seq"], ttl_ms=3_600_000), tmp_path, "seen", rows=90)}
+    first = {}
+    for a, b, i, _ in rows:
+        first.setdefault((a, b), i)
+    assert got == {(i, first[a, b] == i) for a, b, i, _ in rows}
+
+
+def test_state_expires(spark, tmp_path):
+    one = [(1, 2, 0)]
+    schema = "calling long, called long, seq long"
+    spark.createDataFrame(one, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    assert [r.new_callee for r in drain(spark, streaming.seen_callees(stream, order=["seq"], ttl_ms=500), tmp_path, "forget", rows=1)] == [True]
+    time.sleep(1.5)
+    spark.createDataFrame([(1, 2, 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    assert drain(spark, streaming.seen_callees(stream, order=["seq"], ttl_ms=500), tmp_path, "forget", rows=1)[-1].new_callee
+
+
+def test_time_modes_and_sink_latency(spark, tmp_path):
+    rows = [(i, 1_704_067_200 + i) for i in range(5)]
+    stream = feed(spark, tmp_path / "in", rows, "id long, et long", 2)
+    assert {r.at.year for r in drain(spark, streaming.timed(stream.withColumn("t", F.timestamp_seconds("et")), mode="event", time="t"), tmp_path, "event")} == {2024}
+    ingress = streaming.timed(stream, mode="ingress")
+    assert min(r.at.year for r in drain(spark, ingress, tmp_path, "ingress")) > 2024
+    q, seen = streaming.count_sink(stream.withColumn("at", F.timestamp_seconds("et")), "stamped", str(tmp_path / "cp-stamped"), stamp="at")
+    q.awaitTermination(60)
+    assert sum(x["rows"] for x in seen) == 5 and all(x["worst_latency"] >= x["mean_latency"] > 0 for x in seen)
+    with pytest.raises(ValueError):
+        streaming.timed(stream, mode="processing")
