@@ -21,15 +21,20 @@ def feed(spark, folder, rows, schema, files):
 def drain(spark, df, folder, name, mode="append", rows=None):
     """All rows; a stream whose state expires by the clock never ends, and is stopped once it has given ``rows``."""
     q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(folder / f"cp-{name}")).trigger(availableNow=True).start()
-    for _ in range(0 if rows is None else 300):
-        if spark.table(name).count() >= rows:
-            q.stop()
-            break
-        time.sleep(0.2)
-    q.awaitTermination(120)
+    if rows is None:
+        q.awaitTermination(120)
+    else:
+        wait_for(spark, name, rows)
+        q.stop()
     return spark.table(name).collect()
 
 
+def wait_for(spark, name, rows):
+    end = time.time() + 60
+    while spark.table(name).count() < rows and time.time() < end:
+        time.sleep(0.2)
+
+
 @pytest.mark.parametrize("files", [1, 3])
 def test_campaign_counts(spark, tmp_path, files):
     rows = [(i % 5, "view" if i % 3 else "click", 1_704_067_200 + i) for i in range(200)] + [(0, "view", 1_704_070_000)]
@@ -100,14 +105,19 @@ def test_list_and_map_state_with_expiry(spark, tmp_path):
 
 
 def test_state_expires(spark, tmp_path):
-    one = [(1, 2, 0)]
     schema = "calling long, called long, seq long"
-    spark.createDataFrame(one, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    assert [r.new_callee for r in drain(spark, streaming.seen_callees(stream, order=["seq"], ttl_ms=500), tmp_path, "forget", rows=1)] == [True]
-    time.sleep(1.5)
-    spark.createDataFrame([(1, 2, 1)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    assert drain(spark, streaming.seen_callees(stream, order=["seq"], ttl_ms=500), tmp_path, "forget", rows=1)[-1].new_callee
+    add = lambda i: spark.createDataFrame([(1, 2, i)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    add(0)
+    stream = streaming.seen_callees(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), order=["seq"], ttl_ms=500)
+    q = stream.writeStream.format("memory").queryName("forget").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        wait_for(spark, "forget", 1)
+        time.sleep(1.5)
+        add(1)
+        wait_for(spark, "forget", 2)
+        assert [(r.row_id, r.new_callee) for r in spark.table("forget").orderBy("row_id").collect()] == [(0, True), (1, True)]
+    finally:
+        q.stop()
 
 
 def test_time_modes_and_sink_latency(spark, tmp_path):
