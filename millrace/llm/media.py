@@ -2,12 +2,13 @@
 
 The stored form is a WAV file whose data chunk is the payload, byte for byte. Mu-law and A-law
 codes expand by lookup tables; ADPCM blocks are decoded step by step with numpy across all blocks
-of a slice, since steps depend on each other only inside a block. PCM is resampled linearly.
+of a slice, since steps depend on each other only inside a block. PCM is resampled behind a low-pass filter.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -117,17 +118,50 @@ def decode(payloads: list[bytes], codec: str) -> tuple[np.ndarray, np.ndarray]:
     return pcm, np.concatenate([[0], np.cumsum(sizes)])
 
 
+def low_pass(up: int, down: int, half: int = 6) -> np.ndarray:
+    """Taps by phase (up x taps, each row adding up to 32768) of a Hann-windowed sinc at the lower of both Nyquist limits."""
+    cut = min(1.0, up / down)  # of the input's Nyquist limit
+    reach = math.ceil(half / cut)
+    at = np.arange(1 - reach, reach + 1) - np.arange(up)[:, None] / up
+    taps = np.sinc(at * cut) * np.where(np.abs(at) < reach, np.cos(np.pi * at / (2 * reach)) ** 2, 0)
+    whole = np.rint(taps / taps.sum(1, keepdims=True) * 32768).astype(np.int32)
+    whole[np.arange(up), reach - 1] += 32768 - whole.sum(1)
+    return whole
+
+
 def resample(pcm: np.ndarray, offsets: np.ndarray, rate: int, to: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linear interpolation of rows end to end; a row of n samples gets ceil(n * to / rate)."""
+    """Band-limited resampling of rows end to end, in whole numbers: a row of n samples gets ceil(n * to / rate).
+
+    Sample m lies at m * rate / to. A low-pass filter keeps what the new rate can't hold from folding back; a row's ends go on
+    as they are.
+    """
     n = np.diff(offsets)
     m = -(-n * to // rate)
     out = np.concatenate([[0], np.cumsum(m)])
-    at = np.arange(out[-1]) - np.repeat(out[:-1], m)
-    whole, part = at * rate // to, (at * rate % to).astype(np.int32)
-    last, base = np.repeat(n - 1, m), np.repeat(offsets[:-1], m)
-    a = pcm[base + np.minimum(whole, last)].astype(np.int32)
-    b = pcm[base + np.minimum(whole + 1, last)].astype(np.int32)
-    return (a + (b - a) * part // to).astype(np.int16), out
+    up, down = to // math.gcd(rate, to), rate // math.gcd(rate, to)
+    if up == down or not len(pcm):
+        return pcm, out
+    taps = low_pass(up, down)
+    reach = taps.shape[1] // 2
+    # every row between copies of its ends, so that taps need no bounds
+    first = offsets[:-1] + (2 * np.arange(len(n)) + 1) * reach
+    padded = np.zeros(len(pcm) + 2 * reach * len(n), np.int32)
+    padded[np.arange(len(pcm)) + np.repeat(first - offsets[:-1], n)] = pcm
+    for side in range(reach):
+        has = n > 0
+        padded[first[has] - side - 1] = pcm[offsets[:-1][has]]
+        padded[first[has] + n[has] + side] = pcm[offsets[1:][has] - 1]
+    place = (np.arange(out[-1]) - np.repeat(out[:-1], m)) * down
+    base, phase = np.repeat(first, m) + place // up, place % up
+    total = np.zeros(out[-1], np.int32)
+    for p in range(up):
+        mine = slice(None) if up == 1 else np.flatnonzero(phase == p)
+        at, part = base[mine], np.zeros(len(base[mine]), np.int32)
+        for j, h in enumerate(taps[p].tolist()):
+            if h:
+                part += padded[at + (j + 1 - reach)] * np.int32(h)
+        total[mine] = part
+    return np.clip((total + 16384) >> 15, -32768, 32767).astype(np.int16), out
 
 
 def _features(pcm: np.ndarray, offsets: np.ndarray) -> list[str]:
@@ -186,19 +220,38 @@ def _decoded(rate: int, finish: Callable):
     return run
 
 
-def decode_audio(stored: DataFrame, *, rate: int = 16000) -> DataFrame:
-    """Stored media with ``codec`` and ``pcm``: 16-bit little-endian samples at ``rate``."""
+_DIGESTS = [("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType())]
+
+
+def _digests(media: list[bytes], payloads: list[bytes]) -> list[pa.Array]:
+    return [
+        pa.array([len(p) for p in payloads], pa.int64()),
+        pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()),
+        pa.array([zlib.crc32(p[-UNIT:]) for p in payloads], pa.int64()),
+        pa.array([len(m) for m in media], pa.int64()),
+        pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()),
+    ]
+
+
+def decode_audio(stored: DataFrame, *, rate: int = 16000, keep_media: bool = True) -> DataFrame:
+    """Stored media with the digests of payload and stored form, ``codec`` and ``pcm``: 16-bit little-endian samples at ``rate``.
+
+    Without ``keep_media`` the ``media`` column itself is left out.
+    """
+    kept = [f for f in stored.schema.fields if keep_media or f.name != "media"]
 
     def run(batches):
-        for part, _, rows in _decoded(rate, lambda pcm, o: [pcm[a:b].astype("<i2").tobytes() for a, b in zip(o[:-1], o[1:], strict=True)])(batches):
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c for c, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.binary())], [*part.schema.names, "codec", "pcm"])
+        for part, parsed, rows in _decoded(rate, lambda pcm, o: [pcm[a:b].astype("<i2").tobytes() for a, b in zip(o[:-1], o[1:], strict=True)])(batches):
+            digests = _digests(part.column("media").to_pylist(), [p for _, p in parsed])
+            yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *digests, pa.array([c for c, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.binary())], [*(f.name for f in kept), *(n for n, _ in _DIGESTS), "codec", "pcm"])
 
-    return stored.mapInArrow(run, T.StructType([*stored.schema.fields, T.StructField("codec", T.StringType()), T.StructField("pcm", T.BinaryType())]))
+    fields = [T.StructField(n, t) for n, t in (*_DIGESTS, ("codec", T.StringType()), ("pcm", T.BinaryType()))]
+    return stored.mapInArrow(run, T.StructType([*kept, *fields]))
 
 
 def audio_features(decoded: DataFrame) -> DataFrame:
-    """Digests of payload and stored form, and features of the ``pcm`` column."""
-    fields = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
+    """Features of the ``pcm`` column beside the other columns, which stay but for ``media`` and ``codec``."""
+    kept = [f for f in decoded.schema.fields if f.name not in ("media", "codec", "pcm")]
 
     def run(batches):
         for batch in batches:
@@ -207,18 +260,15 @@ def audio_features(decoded: DataFrame) -> DataFrame:
                 part = batch.slice(lo, hi - lo)
                 pcm = np.frombuffer(data[offsets[lo] : offsets[hi]].tobytes(), "<i2")
                 features = [f"{c}:{x}" for c, x in zip(part.column("codec").to_pylist(), _features(pcm, (offsets[lo : hi + 1] - offsets[lo]) // 2), strict=True)]
-                media = part.column("media").to_pylist()
-                payloads = [parse_wav(m)[1] for m in media]
-                columns = [part.column("n_bytes"), pa.array([len(p) for p in payloads], pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in payloads]), pa.array([zlib.crc32(p[-UNIT:]) for p in payloads], pa.int64()), pa.array([len(m) for m in media], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), pa.array(features, pa.string())]
-                yield pa.RecordBatch.from_arrays([part.column("id"), *columns], ["id", *(n for n, _ in fields)])
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(features, pa.string())], [*(f.name for f in kept), "feature"])
 
-    return decoded.mapInArrow(run, T.StructType([decoded.schema["id"], *(T.StructField(n, t) for n, t in fields)]))
+    return decoded.mapInArrow(run, T.StructType([*kept, T.StructField("feature", T.StringType())]))
 
 
 def media_digest(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rate: int = 16000) -> DataFrame:
-    """Store every text as audio, store that with its PCM at ``rate``, read both back and return their digests and features.
+    """Store every text as audio, read that back for its digests and its PCM at ``rate``, store those, and return them with features of the PCM as read back.
 
     One row for each input row.
     """
-    decoded = common.stored(decode_audio(store_audio(docs, id_col=id_col, text_col=text_col), rate=rate), "pcm")
+    decoded = common.stored(decode_audio(store_audio(docs, id_col=id_col, text_col=text_col), rate=rate, keep_media=False), "pcm")
     return audio_features(decoded).withColumnRenamed("id", id_col)
