@@ -35,7 +35,7 @@ def digest(data: bytes) -> str:
 
 @dataclass
 class Record:
-    headers: dict[str, str]
+    headers: Headers
     block: bytes
 
 
@@ -67,32 +67,66 @@ def read_records(chunks: Iterable[bytes]) -> Iterator[Record]:
         raise ValueError("the last member is cut off")
 
 
+class Headers(dict):
+    """Header values by name, whatever its case."""
+
+    def __init__(self, pairs: Iterable[tuple[str, str]]):
+        super().__init__((k.lower(), v) for k, v in pairs)
+
+    def __getitem__(self, name: str) -> str:
+        return super().__getitem__(name.lower())
+
+    def get(self, name: str, default=None):
+        return super().get(name.lower(), default)
+
+
+def _check(want: str | None, data: bytes, what: str) -> None:
+    """Hold data against a digest of an algorithm that is known here; others pass unverified."""
+    kind, _, value = (want or "").partition(":")
+    if not value or kind.lower() not in ("sha1", "sha256", "md5"):
+        return
+    found = hashlib.new(kind.lower(), data).digest()
+    if value.lower() != found.hex() and value.upper().rstrip("=") != base64.b32encode(found).decode().rstrip("="):
+        raise ValueError(f"the {what} doesn't match its digest")
+
+
 def _parse(raw: bytes) -> Record:
     head, sep, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    lines = head.decode("utf-8", "replace").split("\r\n")
     if not sep or not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
-    headers = dict(line.split(": ", 1) if ": " in line else (line.rstrip(":"), "") for line in lines[1:])
+    pairs: list[tuple[str, str]] = []
+    for line in lines[1:]:
+        if line[:1] in (" ", "\t") and pairs:  # a folded line goes on
+            pairs[-1] = (pairs[-1][0], f"{pairs[-1][1]} {line.strip()}")
+        else:
+            name, _, value = line.partition(":")
+            pairs.append((name.strip(), value.strip()))
+    headers = Headers(pairs)
     n = int(headers["Content-Length"])
     if len(rest) != n + 4 or rest[n:] != b"\r\n\r\n":
         raise ValueError("the content length doesn't frame the record")
     block = rest[:n]
-    if (want := headers.get("WARC-Block-Digest")) and want != "sha1:" + digest(block):
-        raise ValueError("the block doesn't match its digest")
-    if headers["WARC-Type"] == "response":
-        payload = block.partition(b"\r\n\r\n")[2]
-        if (want := headers.get("WARC-Payload-Digest")) and want != "sha1:" + digest(payload):
-            raise ValueError("the payload doesn't match its digest")
+    _check(headers.get("WARC-Block-Digest"), block, "block")
+    if headers["WARC-Type"] == "response" and not headers.get("WARC-Truncated"):
+        _check(headers.get("WARC-Payload-Digest"), _payload(headers, block), "payload")
     return Record(headers, block)
 
 
+def _payload(headers: Headers, block: bytes) -> bytes:
+    """What follows the protocol's own headers in a response, else the whole block."""
+    http = headers.get("Content-Type", "application/http").lower().startswith("application/http")
+    return block.partition(b"\r\n\r\n")[2] if headers["WARC-Type"] in ("response", "request") and http else block
+
+
 def _urn(i: int | None) -> str:
     return f"<urn:page:{'' if i is None else i}>"
 
 
-def _page(urn: str) -> int | None:
-    v = urn.removeprefix("<urn:page:").removesuffix(">")
-    return int(v) if v else None
+def _page(urn: str | None) -> int | None:
+    """The page number of a record id made here; other ids have none."""
+    v = (urn or "").removeprefix("<urn:page:").removesuffix(">")
+    return int(v) if (urn or "").startswith("<urn:page:") and v else None
 
 
 def _write(folder: str):
@@ -142,7 +176,8 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     return common.stored(placed.mapInArrow(_write(folder), "archive string, records long, bytes long"), "warc-manifest")
 
 
-_FIELDS = [("page_id", T.LongType()), ("url", T.StringType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("record_type", T.StringType()), ("refers_to", T.LongType()), ("payload", T.BinaryType())]
+_FIELDS = [("page_id", T.LongType()), ("url", T.StringType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("record_type", T.StringType()), ("refers_to", T.LongType()), ("payload", T.BinaryType()), ("record_id", T.StringType()), ("refers_to_id", T.StringType())]
+_KINDS = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.string()]
 
 
 def _rows(records: Iterator[Record]) -> Iterator[pa.RecordBatch]:
@@ -150,14 +185,15 @@ def _rows(records: Iterator[Record]) -> Iterator[pa.RecordBatch]:
 
     def flush():
         columns = list(zip(*out, strict=True)) or [()] * len(_FIELDS)
-        kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [n for n, _ in _FIELDS])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], [n for n, _ in _FIELDS])
 
     for r in records:
         h = r.headers
-        payload = r.block.partition(b"\r\n\r\n")[2] if h["WARC-Type"] == "response" else None
+        payload = None if h["WARC-Type"] == "revisit" else _payload(h, r.block)
         n = len(payload) if payload is not None else int(h.get("X-Payload-Length", 0))
-        out.append((_page(h["WARC-Record-ID"]), h.get("WARC-Target-URI"), n, h["WARC-Payload-Digest"].removeprefix("sha1:"), h["WARC-Type"], _page(h["WARC-Refers-To"]) if "WARC-Refers-To" in h else None, payload))
+        told = (h.get("WARC-Payload-Digest") or "").partition(":")[2] or (digest(payload) if payload is not None else None)
+        refers = h.get("WARC-Refers-To")
+        out.append((_page(h.get("WARC-Record-ID")), h.get("WARC-Target-URI"), n, told, h["WARC-Type"], _page(refers), payload, h.get("WARC-Record-ID"), refers))
         held += n
         if held > 8 << 20 or len(out) >= 2000:
             yield flush()
@@ -180,7 +216,11 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Read WARC files by a path that only Spark's readers need to reach; each file lies in memory once."""
+    """Read WARC files, of whatever origin, by a path that only Spark's readers need to reach; each file lies in memory once.
+
+    Records of all types are rows: ``record_id`` and ``refers_to_id`` are the headers' own, ``page_id`` and ``refers_to`` numbers where
+    they were written here. A missing payload digest is computed; one of an unknown algorithm isn't verified.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
