@@ -1,8 +1,9 @@
 """Token ids of whole texts by a tokenizer file, with a cache of encoded words.
 
-The vocabulary file lower-cases and splits on blanks before anything joins characters, so
+The vocabulary file composes characters, lower-cases and splits on blanks before anything joins characters, so
 that the ids of a text are the ids of its blank-separated words, end to end. Each worker
-encodes a word once by the tokenizers library and looks it up afterwards.
+encodes a word once by the tokenizers library and looks it up afterwards. Words are looked up with ASCII letters in
+lower case, but for a letter ahead of another kind of character: that may be a mark which composes with the capital otherwise.
 """
 
 from __future__ import annotations
@@ -18,6 +19,19 @@ from . import common
 CACHE_WORDS = 1_000_000
 #: Stops after an ASCII letter or digit, at a word's end: they never join it, and apart from it the word repeats more.
 _STOPS = re.compile(rb"(?<=[0-9a-z])[.,;:!?]+(?![^\x20\x09-\x0D])")
+#: A capital that what follows may compose with.
+_CAPITAL = re.compile(rb"[A-Z](?=[\x80-\xff])")
+
+
+def lowered(raw: bytes) -> bytes:
+    """ASCII capitals in lower case, but for those that a mark may follow."""
+    low = raw.lower()
+    if raw.isascii() or not (capitals := [m.start() for m in _CAPITAL.finditer(raw)]):
+        return low
+    out = bytearray(low)
+    for i in capitals:
+        out[i] = raw[i]
+    return bytes(out)
 
 
 class WordEncoder:
@@ -35,7 +49,7 @@ class WordEncoder:
     def encode(self, raws: list[bytes]) -> list[bytes]:
         """Ids of each text; about a megabyte of texts at once is best."""
         # special tokens are matched as they stand, so that texts that may hold one keep their case
-        rows = [r.split() if b"<|" in r else _STOPS.sub(rb" \g<0>", r.lower()).split() for r in raws]
+        rows = [r.split() if b"<|" in r else _STOPS.sub(rb" \g<0>", lowered(r)).split() for r in raws]
         if len(self.known) > CACHE_WORDS:
             self.known = {}
         self._learn([w for w in set().union(*rows) if w not in self.known])
