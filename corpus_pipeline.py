@@ -20,22 +20,6 @@ from millrace.llm.queries import vocabulary
 from millrace.llm.substring_index import remove_repeated_windows
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-_finished: list[str] = []
-
-
-def _stage(function):
-    """A stage that first deletes the scratch tables of the stage before it, whose result is written by then."""
-
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        for path in _finished:
-            common.drop_path(spark, path)
-        before = set(common._live)
-        out = function(spark, docs, sf_dir)
-        _finished[:] = [p for p in common._live if p not in before]
-        return out
-
-    run.__doc__ = function.__doc__
-    return run
 
 
 def _key(id_col: str, text_hash) -> Column:
@@ -52,14 +36,12 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return _keyed(docs).join(gone.select("_key").distinct(), "_key", "left_anti").select(COLUMNS)
 
 
-@_stage
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go, row by row: rows with one id or none are judged by their own texts."""
     scored = classify_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), hash_col="_hash")
     return _without(docs, scored.where("predicted = 0").select(_key("doc_id", F.col("_hash")).alias("_key")))
 
 
-@_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays: the smallest id, numbered before null ones, then by text hash.
 
@@ -74,7 +56,6 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out
 
 
-@_stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated 13-word windows are cut out; other texts stay as they are, and texts that lose every word go."""
     cut = remove_repeated_windows(docs).where("n_removed = 0 or n_removed < n_words")
@@ -82,13 +63,11 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return cut.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
-@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are replicated to tempered weights, in a global random order."""
     return mix_sources(docs).select(COLUMNS)
 
 
-@_stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids packed into sequences of 4096."""
     return pack_documents(docs, vocabulary())
@@ -100,12 +79,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``.
+
+    A stage's scratch tables belong to this run, and go once its result is written; those of the last stay for the result's readers.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        with common.Scope() as scope:
+            docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             path = f"{common.scratch_root(spark)}/pipeline/{name}-{uuid.uuid4().hex}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            scope.drop(spark)
     return docs

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -13,26 +14,52 @@ from pyspark.sql import functions as F
 
 #: Stands for a null document id inside the workers: it sorts after every real id.
 NULL_ID = np.iinfo(np.int64).max
+#: Ranges of ids at most (2 MB of bounds): their bounds go to every task. Beyond 3 TB of text, at 12 MB a range, ranges grow with the table.
+MOST_RANGES = 1 << 18
 
 
 # --------------------------------------------------------------------------- scratch
 
-_live: list[str] = []
+_scopes: ContextVar[tuple[Scope, ...]] = ContextVar("scopes", default=())
+
+
+class Scope:
+    """The scratch paths made while it is open; they stay until ``drop``, for whoever still reads them."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scope:
+        self._token = _scopes.set((*_scopes.get(), self))
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _scopes.reset(self._token)
+
+    def drop(self, spark: SparkSession, *, but: tuple[DataFrame, ...] = ()) -> None:
+        """Delete the paths, but for those that the tables ``but`` were stored in."""
+        kept = {getattr(df, "_mr_path", None) for df in but}
+        for path in [p for p in self.paths if p not in kept]:
+            drop_path(spark, path)
+            self.paths.remove(path)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder of ``spark.checkpoint.dir``. Where that is unset, a local session takes a temporary one; a cluster has none that all see."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
+    """A new path in the shared folder, known to the scopes that are open."""
     path = f"{scratch_root(spark)}/millrace/{name}-{uuid.uuid4().hex}"
-    _live.append(path)
+    for scope in _scopes.get():
+        scope.paths.append(path)
     return path
 
 
@@ -41,14 +68,6 @@ def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    if path in _live:
-        _live.remove(path)
-
-
-def drop_all(spark: SparkSession) -> None:
-    """Delete every scratch path made so far; their readers must be done."""
-    for path in list(_live):
-        drop_path(spark, path)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -56,7 +75,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._mr_path = path
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -140,16 +161,27 @@ def contains(sorted_keys: np.ndarray, probe: np.ndarray) -> np.ndarray:
 
 
 def id_ranges(df: DataFrame, id_col: str, text_col: str, group_bytes: int) -> np.ndarray:
-    """Ascending id bounds that cut the table into ranges of about ``group_bytes`` of text.
+    """Ascending id bounds that cut the table into ranges of about ``group_bytes`` of text, at most ``MOST_RANGES`` of them.
 
-    Range g holds the ids in [bounds[g-1], bounds[g]); only the bounds reach the driver.
+    Range g holds the ids in [bounds[g-1], bounds[g]); only bounds and their bytes reach the driver. Ids are first cut
+    finely by rows; those pieces are put together by their bytes, so that long texts side by side make no large range.
     """
-    row = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string"))).alias("b"), F.count(id_col).alias("n")).first()
-    n = max(1, -(-int(row["b"] or 0) // group_bytes))
+    size = F.octet_length(F.col(text_col).cast("string"))
+    row = df.agg(F.sum(size).alias("b"), F.count(id_col).alias("n")).first()
+    n = min(MOST_RANGES, max(1, -(-int(row["b"] or 0) // group_bytes)))
     if n == 1 or not row["n"]:
         return np.zeros(0, np.int64)
-    cuts = df.agg(F.percentile_approx(id_col, [i / n for i in range(1, n)], max(10_000, 20 * n)).alias("c")).first()["c"]
-    return np.unique(np.array(cuts, np.int64))
+    fine = min(8 * n, MOST_RANGES)
+    cuts = df.agg(F.percentile_approx(id_col, [i / fine for i in range(1, fine)], max(10_000, 20 * fine)).alias("c")).first()["c"]
+    cuts = np.unique(np.array(cuts, np.int64))
+    weights = dict(df.where(F.col(f"`{id_col}`").isNotNull()).select(range_column(cuts, id_col).alias("r"), size.alias("s")).groupBy("r").agg(F.sum("s")).collect())
+    each, bounds, held = max(group_bytes, int(row["b"]) // n), [], 0
+    for i, cut in enumerate(cuts.tolist()):
+        held += weights.get(i) or 0
+        if held + (weights.get(i + 1) or 0) > each and held:
+            bounds.append(cut)
+            held = 0
+    return np.array(bounds, np.int64)
 
 
 def range_column(bounds: np.ndarray, id_col: str):

@@ -23,10 +23,36 @@ def test_adpcm_against_a_loop():
     assert media.decode_adpcm(blocks).tolist() == [brute.decode_adpcm(bytes(b)) for b in blocks]
 
 
-def test_resample_ends_and_lengths():
-    pcm = np.array([0, 100, 200, 7], np.int16)
-    out, offsets = media.resample(pcm, np.array([0, 3, 4]), 8000, 16000)
-    assert out.tolist() == [0, 50, 100, 150, 200, 200, 7, 7] and offsets.tolist() == [0, 6, 8]
+def plain_resample(row, rate, to):
+    """Sample by sample, over the taps in floating point."""
+    from math import gcd
+
+    up, down = to // gcd(rate, to), rate // gcd(rate, to)
+    taps = media.low_pass(up, down).tolist()
+    reach, out = len(taps[0]) // 2, []
+    for m in range(-(-len(row) * to // rate)):
+        base, phase = m * down // up, m * down % up
+        total = sum(h * row[min(max(base + j + 1 - reach, 0), len(row) - 1)] for j, h in enumerate(taps[phase]))
+        out.append(max(-32768, min(32767, (total + 16384) >> 15)))
+    return out
+
+
+@pytest.mark.parametrize("to", [16000, 8000, 6000, 4000, 2000])
+def test_resample_against_a_loop(to):
+    rng = np.random.default_rng(to)
+    rows = [rng.integers(-32768, 32768, n).astype(np.int16) for n in (1, 2, 3, 50, 200)]
+    pcm, offsets = np.concatenate(rows), np.concatenate([[0], np.cumsum([len(r) for r in rows])])
+    out, at = media.resample(pcm, offsets, 8000, to)
+    for r, a, b in zip(rows, at[:-1], at[1:]):
+        assert out[a:b].tolist() == plain_resample(r.tolist(), 8000, to)
+
+
+def test_resampling_keeps_tones_and_stops_aliases():
+    t = np.arange(4000)
+    tone = lambda hz, rate: 10000 * np.sin(2 * np.pi * hz * t[: 4000 * rate // 8000] / rate)
+    level = lambda hz, to: np.abs(media.resample(tone(hz, 8000).astype(np.int16), np.array([0, 4000]), 8000, to)[0][100:-100]).max()
+    assert level(500, 16000) == pytest.approx(10000, rel=0.02) and level(500, 4000) == pytest.approx(10000, rel=0.02)
+    assert level(3500, 4000) < 100  # would fold to 500 Hz
 
 
 def test_media_round_trip(docs, rows, nothing):
@@ -52,18 +78,20 @@ def test_decode_column(spark, docs):
 
 
 def test_digest_reads_stored_pcm(spark, docs):
-    before = set(media.common._live)
-    got = media.media_digest(docs.where("doc_id is not null")).collect()
-    (path,) = (p for p in media.common._live if p not in before and "/pcm-" in p)
+    with media.common.Scope() as scope:
+        got = media.media_digest(docs.where("doc_id is not null")).collect()
+    pcm_path, media_path = (next(p for p in scope.paths if f"/{k}-" in p) for k in ("pcm", "media"))
+    stored = {hashlib.sha256(r.media).hexdigest(): bytes(r.media) for r in spark.read.parquet(media_path).collect()}
     want = Counter()
-    for r in spark.read.parquet(path).collect():
+    for r in spark.read.parquet(pcm_path).collect():
         pcm = np.frombuffer(bytes(r.pcm), "<i2").astype(np.int64)
         size, turns = np.abs(pcm), int(((pcm[1:] >= 0) != (pcm[:-1] >= 0)).sum())
-        want[r.id, f"{r.codec}:{len(pcm)}:{size.sum() // len(pcm)}:{int(np.sqrt((pcm * pcm).sum() // len(pcm)))}:{size.max()}:{turns}"] += 1
-        codec, payload = media.parse_wav(bytes(r.media))
+        want[r.id, r.media_sha256, f"{r.codec}:{len(pcm)}:{size.sum() // len(pcm)}:{int(np.sqrt((pcm * pcm).sum() // len(pcm)))}:{size.max()}:{turns}"] += 1
+        codec, payload = media.parse_wav(stored[r.media_sha256])
         samples, offsets = media.resample(*media.decode([payload], codec), 8000, 16000)
         assert pcm.tolist() == samples.tolist()
-    assert Counter((r.doc_id, r.feature) for r in got) == want
+    assert Counter((r.doc_id, r.media_sha256, r.feature) for r in got) == want
+    scope.drop(spark)
 
 
 PAGES = [(1, "http://a/1", "<p>x</p>"), (2, "http://a/2", "<p>y</p>"), (9, "u", "<p>x</p>"), (5, "u\r\nX: y", "<p>x</p>"), (3, None, None), (4, "v", ""), (None, "w", "<p>x</p>"), (7, "z", "é\r\n\r\n" * 5000), (2, "http://a/2", "<p>y</p>")]
@@ -104,6 +132,19 @@ def test_reader_takes_members_across_chunks_and_verifies():
         list(warc.read_records([bad]))
 
 
+def test_foreign_archives(spark, tmp_path):
+    info = warc.record_bytes([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:uuid:aa>"), ("Content-Type", "application/warc-fields")], b"software: x\r\n")
+    asked = warc.record_bytes([("WARC-Type", "request"), ("WARC-Record-ID", "<urn:uuid:bb>")], b"GET / HTTP/1.1\r\n\r\n")
+    page = warc.record_bytes([("warc-type", "response"), ("Warc-Record-Id", "<urn:uuid:cc>"), ("WARC-Target-URI", "http://a/"), ("X-Folded", "a\r\n b"), ("warc-block-digest", "xyz:unknown")], b"HTTP/1.1 200 OK\r\n\r\nabc")
+    lower = warc.record_bytes([("WARC-Type", "resource"), ("WARC-Record-ID", "<urn:uuid:dd>"), ("WARC-Block-Digest", "sha256:" + hashlib.sha256(b"q").hexdigest())], b"q")
+    again = warc.record_bytes([("WARC-Type", "revisit"), ("WARC-Record-ID", "<urn:uuid:ee>"), ("WARC-Refers-To", "<urn:uuid:cc>")], b"HTTP/1.1 200 OK\r\n\r\n")
+    (tmp_path / "x.warc.gz").write_bytes(info + asked + page + lower + again)
+    got = {r.record_id[-3:-1]: r for r in warc.read_warc(spark, f"file://{tmp_path}/*.warc.gz").collect()}
+    assert [got[k].record_type for k in ("aa", "bb", "cc", "dd", "ee")] == ["warcinfo", "request", "response", "resource", "revisit"]
+    assert (bytes(got["cc"].payload), got["cc"].payload_digest, got["cc"].page_id, got["cc"].url) == (b"abc", warc.digest(b"abc"), None, "http://a/")
+    assert bytes(got["dd"].payload) == b"q" and got["ee"].payload is None and got["ee"].refers_to_id == "<urn:uuid:cc>"
+
+
 def test_mixing_reaches_targets(spark):
     rows = [(i, "x" * 100, "big" if i % 4 else "small") for i in range(4000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
