@@ -1,8 +1,11 @@
+import functools
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from millrace.llm import packing, token_store, tokens
@@ -24,6 +27,18 @@ def test_cached_words_give_the_tokenizers_ids(plain, rows):
         assert np.frombuffer(g, "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.text(st.one_of(st.sampled_from("HJTWYhjtwyAaSs .!"), st.characters(min_codepoint=0x300, max_codepoint=0x345), st.characters(min_codepoint=0xC0, max_codepoint=0x1FF)), max_size=25))
+def test_marks_compose_as_in_the_library(text):
+    got = np.frombuffer(tokens.encoder(vocabulary()).encode([text.encode()])[0], "<u4").tolist()
+    assert got == _library().encode(text, add_special_tokens=False).ids
+
+
+@functools.cache
+def _library():
+    return Tokenizer.from_file(vocabulary())
+
+
 def test_cut_lengths():
     for n in [*range(1, 9000, 7), 4096, 8192]:
         parts = packing.cut_lengths(n, 4096, 0.02)
@@ -75,20 +90,34 @@ def test_store_round_trip(docs, rows, plain):
     assert numbered == sorted(numbered)
 
 
-def test_keyed_access_and_strangers(spark, docs, tmp_path):
+def test_keyed_access_and_strangers(spark, docs, rows, plain, tmp_path):
     folder = f"file://{tmp_path}"
-    manifest = token_store.write_token_store(docs.where("doc_id is not null"), vocabulary(), folder).collect()
-    found = 0
-    for m in manifest:
+    manifest = token_store.write_token_store(docs, vocabulary(), folder, shard_docs=7)
+    found, longest = 0, max(Counter(i for i, _ in rows).values())
+    for m in manifest.collect():
         shard = token_store.Shard(folder, m["index"], m["payload"])
-        ids = np.unique(shard.doc_ids)
-        slots = shard.find(token_store.document_keys(ids))
+        assert len(shard.doc_ids) <= 7 + longest
+        ids = np.unique(shard.doc_ids[shard.nulls :])
+        slots = shard.find_ids(ids)
         assert (slots >= 0).all()
         found += len(ids)
         assert all(shard.read(int(s))[-1] == 2 for s in slots)
-        strangers = shard.find(token_store.document_keys(np.arange(10**6, 10**6 + 5000)))
+        strangers = shard.find_ids(np.arange(10**6, 10**6 + 5000))
         assert (strangers >= 0).mean() < 0.01
     assert found == docs.where("doc_id is not null").select("doc_id").distinct().count()
+    some = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).where("doc_id % 2 = 0")
+    texts = {i: plain.encode(t or "", add_special_tokens=False).ids + [2] for i, t in rows if i is not None}
+    got = token_store.read_token_store(manifest, folder, some).collect()
+    assert len(got) == some.count()
+    assert all(r.ids_crc32 == zlib.crc32(np.array(texts[r.doc_id], "<u4").tobytes()) for r in got)
+    with pytest.raises(Exception, match="misses"):
+        token_store.read_token_store(manifest, folder, spark.createDataFrame([(999_999,)], "doc_id long")).collect()
+
+
+def test_greatest_and_null_ids(spark):
+    docs = spark.createDataFrame([(2**63 - 1, "a"), (None, "b"), (-(2**63), "c"), (None, "b c")], "doc_id long, text string")
+    got = token_store.token_store_digest(docs, vocabulary()).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, -(2**63), 2**63 - 1]
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 1000, 50_000])
