@@ -68,7 +68,9 @@ def test_index_compacts_to_one_run(spark):
     rows = [(i, " ".join(f"w{i * 7 + j}" for j in range(40))) for i in range(12)]
     index = substring_index.FingerprintIndex(spark, 13, buckets=16, most_runs=2)
     for lo in range(0, 12, 3):
-        index.add(spark.createDataFrame(rows[lo : lo + 3], "doc_id long, text string"), "doc_id", "text", np.zeros(0, np.int64))[0].count()
+        batch = spark.createDataFrame(rows[lo : lo + 3], "doc_id long, text string")
+        index.open_batch(batch, "doc_id", np.zeros(0, np.int64))
+        index.add(batch, "doc_id", "text").count()
     before = {int(k) for r in index.history().collect() for k in substring_index.common.unpack_keys(r._mr_keys)}
     assert len(index.runs) > 2
     index.compact()
@@ -76,6 +78,33 @@ def test_index_compacts_to_one_run(spark):
     assert len(index.runs) == 1 and set(after) == before and len(after) == len(before)
 
 
+@pytest.mark.parametrize("group,batches", [(12 << 20, 1), (2500, 4)])
+def test_colliding_fingerprints_are_told_apart(spark, docs, rows, group, batches):
+    index = substring_index.FingerprintIndex(spark, 13, buckets=16, mask=0xFF)
+    got = substring_index.remove_repeated_windows(docs, group_bytes=group, batches=batches, index=index).collect()
+    want = Counter((i, *x) for (i, _), x in zip(rows, brute.repeated_words(rows)))
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == want
+
+
+@pytest.mark.parametrize("mask", [None, 0xFF])
+def test_an_index_goes_on_in_another_session(spark, rows, tmp_path, mask):
+    folder, schema = f"file://{tmp_path}/index", "doc_id long, text string"
+    numbered = sorted(((i, t) for i, t in rows if i is not None), key=lambda r: r[0])
+    parts = [numbered[:15], numbered[15:30], numbered[30:]]
+    parts[2] = [r for r in parts[2] if r[0] > parts[1][-1][0]]
+    seen, got = [], Counter()
+    for part in parts:
+        index = substring_index.FingerprintIndex(spark, 13, buckets=16, most_runs=2, folder=folder, mask=mask)  # nothing but the folder tells it what was
+        earlier = spark.createDataFrame(seen, schema) if seen else None
+        out = substring_index.remove_repeated_windows(spark.createDataFrame(part, schema), group_bytes=2000, batches=2, index=index, earlier=earlier)
+        got += Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out.collect())
+        index.save()
+        seen += part
+    assert got == Counter((i, *x) for (i, _), x in zip(seen, brute.repeated_words(seen)))
+    with pytest.raises(ValueError, match="above"):
+        substring_index.remove_repeated_windows(spark.createDataFrame([(0, "x")], schema), index=substring_index.FingerprintIndex(spark, 13, folder=folder), earlier=spark.createDataFrame(seen, schema))
+
+
 def test_near_duplicates(docs, rows):
     got = minhash.near_duplicate_groups(docs).collect()
     want = brute.near_duplicates([(i, t) for i, t in rows if i is not None])
