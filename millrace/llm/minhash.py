@@ -33,6 +33,8 @@ BANDS, ROWS = 32, 4
 #: Hashes compared before each pruning decision.
 BATCH = 16
 SLICE_BYTES = 1 << 20
+#: A family of so many members is dealt into so many parts; so many families' numbers are broadcast (16 bytes each).
+LARGE_FAMILY, PARTS, MOST_LARGE = 500, 64, 200_000
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -155,7 +157,7 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(lo, 500)
             raws = part.column("shingles").to_pylist()
             n = [len(x) // 8 for x in raws]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(k).to_numpy(), n)) for k in ("family", "node")] + [pa.array(np.frombuffer(b"".join(raws), np.int64))], ["family", "node", "shingle"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(k).to_numpy(), n)) for k in ("family", "salt", "node")] + [pa.array(np.frombuffer(b"".join(raws), np.int64))], ["family", "salt", "node", "shingle"])
 
 
 def links_across(members: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -172,23 +174,33 @@ def links_across(members: DataFrame, sets: DataFrame, percent: int) -> tuple[Dat
     are the second result, to be verified.
     """
     q = 100 + percent
-    rows = members.join(sets, "node").select("family", "node", "shingles").mapInArrow(_exploded, "family long, node long, shingle long")
     size = members.groupBy("family").agg(F.count("*").alias("members"))
-    common_ones = rows.groupBy("family", "shingle").agg(F.count("*").alias("k")).join(size, "family").where("2 * k > members").select("family", "shingle")
-    core = common_ones.groupBy("family").agg(F.count("*").alias("core"))
-    held = rows.join(common_ones.withColumn("in_core", F.lit(1)), ["family", "shingle"], "left")
-    held = common.stored(held, "family-shingles")
-    sizes = held.groupBy("family", "node").agg(F.count("*").alias("n"), F.count("in_core").alias("k"))
-    f = sizes.join(core, "family", "left").na.fill(0, ["core"]).withColumn("lacks", F.col("core") - F.col("k"))
-    f = f.withColumn("f2", 2 * percent * F.col("n") + 2 * q * F.col("lacks") - q * F.col("core"))
+    # a large family is dealt into parts by node; what all its members are compared with is copied to each part
+    large = size.where(F.col("members") >= LARGE_FAMILY).select("family", F.lit(PARTS).alias("parts"))
+    large = F.broadcast(large) if large.limit(MOST_LARGE + 1).count() <= MOST_LARGE else large
+    of_family = lambda df: df.join(large, "family", "left").na.fill(1, ["parts"])
+    copied = lambda df: of_family(df).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1))).drop("parts")
+    members = of_family(members).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("parts").cast("long"))).drop("parts")
+    part = ["family", "salt"]
+    rows = members.join(sets, "node").select(*part, "node", "shingles").mapInArrow(_exploded, "family long, salt long, node long, shingle long")
+    counted = rows.groupBy("family", "shingle").agg(F.count("*").alias("k"))
+    few = size.limit(MOST_LARGE + 1).count() <= MOST_LARGE
+    common_ones = counted.join(F.broadcast(size) if few else size, "family").where("2 * k > members").select("family", "shingle")
+    held = common.stored(rows.join(copied(common_ones).withColumn("in_core", F.lit(1)), [*part, "shingle"], "left"), "family-shingles")
+    # no more than half the members lack one of these, so that a core is no longer than twice the mean set
+    cores = copied(common_ones.groupBy("family").agg(F.collect_list("shingle").alias("core_set")))
+    sizes = held.groupBy(*part, "node").agg(F.count("*").alias("n"), F.count("in_core").alias("k"), F.collect_list(F.when(F.col("in_core") == 1, F.col("shingle"))).alias("mine"))
+    f = sizes.join(cores, part, "left").withColumn("core", F.coalesce(F.size("core_set"), F.lit(0))).withColumn("lacks", F.col("core") - F.col("k"))
+    f = f.withColumn("lacking", F.when(F.col("lacks") > 0, F.array_except("core_set", "mine"))).drop("core_set", "mine")
+    f = common.stored(f.withColumn("f2", 2 * percent * F.col("n") + 2 * q * F.col("lacks") - q * F.col("core")), "family-sizes")
     least = f.groupBy("family").agg(F.min(F.struct("f2", "node")).alias("l")).select("family", F.col("l.f2").alias("least_f2"), F.col("l.node").alias("least"))
-    scored = common.stored(f.join(least, "family").join(members, ["family", "node"]), "family-scores")
+    scored = common.stored(f.join(copied(least), part).join(members, [*part, "node"]), "family-scores")
     near = scored.where("f2 + least_f2 <= 0 and node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
     # those joined to the least member by the first result are one component from here on
     joined = F.when(F.col("f2") + F.col("least_f2") <= 0, F.lit(True)).otherwise(F.lit(False))
     loose = scored.withColumn("joined", joined).withColumn("need", F.greatest(F.ceil((F.col("f2") + F.col("least_f2")) / (2 * q)), F.lit(1)))
     beyond = held.where("in_core is null").select("family", "node", "shingle", F.lit(1).alias("sign"))
-    lacking = scored.where("lacks > 0").select("family", "node").join(common_ones, "family").join(held.select("family", "node", "shingle"), ["family", "node", "shingle"], "left_anti").select("family", "node", "shingle", F.lit(-1).alias("sign"))
+    lacking = scored.where("lacks > 0").select("family", "node", F.explode("lacking").alias("shingle"), F.lit(-1).alias("sign"))
     apart = common.stored(beyond.unionByName(lacking), "family-apart")
     element = ["family", "shingle", "sign"]
     often = apart.groupBy(*element).agg(F.count("*").alias("often")).where("often > 1")
@@ -216,6 +228,15 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     id has a null component and is kept. Rows with equal ids share their fate. An empty table gives an
     empty result.
     """
+    with common.Scope() as scope:
+        described, of_key = _groups(docs, id_col, text_col, percent, shingle, bands, rows, miss)
+    scope.drop(docs.sparkSession, but=(described, of_key))
+    out = described.join(of_key, "words_key", "left").withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")))
+    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int, bands: int, rows: int, miss: float) -> tuple[DataFrame, DataFrame]:
+    """Every row with its size and key, and the component of each key: both stored."""
     hashes, threshold = bands * rows, percent / 100
     kind = docs.schema[id_col].dataType
     text = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -263,9 +284,7 @@ def near_duplicate_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     found = connected_components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
     groups = reps.select("node", "id", "words_key").join(found, "node", "left").withColumn("group", F.coalesce("component", "node"))
     least = groups.groupBy("group").agg(F.min("id").alias("component_id"))
-    of_key = groups.join(least, "group").select("words_key", "component_id")
-    out = described.join(of_key, "words_key", "left").withColumn("component_id", F.when((F.col("n_shingles") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    return described, common.stored(groups.join(least, "group").select("words_key", "component_id"), "components")
 
 
 def _keyed_sets(size: int):

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from xxhash import xxh3_64_intdigest
 
 from . import common
@@ -170,7 +171,9 @@ class FingerprintIndex:
         fs = self.spark._jvm.org.apache.hadoop.fs
         if fs.Path(f"{out}/_mr_kind=run").getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs.Path(f"{out}/_mr_kind=run")):
             self.runs.append(f"{out}/_mr_kind=run")
-        return self.spark.read.schema("_mr_range long, _mr_keys binary, _mr_seconds binary, _mr_kind string").parquet(out).where("_mr_kind = 'hit'").drop("_mr_kind")
+        hits = self.spark.read.schema("_mr_range long, _mr_keys binary, _mr_seconds binary, _mr_kind string").parquet(out).where("_mr_kind = 'hit'").drop("_mr_kind")
+        hits._mr_path = out
+        return hits
 
     def compact(self) -> None:
         """Merge all runs into one where there are more than ``most_runs``; old ones go unless a saved manifest may name them."""
@@ -406,23 +409,21 @@ def remove_repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col
         raise ValueError("the index holds documents: give them as earlier")
     index.open_batch(docs, id_col, own)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     remove, lo, candidates = _remove(words, id_col, text_col, to_arrow_schema(schema), index.mask), 0, []
-    for k, hi in enumerate(ends):
-        key, last = F.col(f"`{id_col}`"), hi == n
-        inside = F.lit(True) if lo == 0 else key >= int(own[lo - 1])
-        inside = inside if last else inside & (key < int(own[hi - 1]))
-        inside = inside | key.isNull() if last else inside & key.isNotNull()
-        candidates.append(index.add(docs.where(inside), id_col, text_col))
-        if k + 1 < len(ends) or not ours:
-            index.compact()
-        lo = hi
-    texts = docs.select(f"`{id_col}`", f"`{text_col}`")
-    every = texts if earlier is None else texts.unionByName(earlier.select(f"`{id_col}`", f"`{text_col}`"))
-    repeated = index.verify(every, reduce(DataFrame.unionByName, candidates), id_col, text_col)
-    if ours:
-        for path in index.runs:
-            common.drop_path(spark, path)
+    with common.Scope() as scope:
+        for k, hi in enumerate(ends):
+            key, last = F.col(f"`{id_col}`"), hi == n
+            inside = F.lit(True) if lo == 0 else key >= int(own[lo - 1])
+            inside = inside if last else inside & (key < int(own[hi - 1]))
+            inside = inside | key.isNull() if last else inside & key.isNotNull()
+            candidates.append(index.add(docs.where(inside), id_col, text_col))
+            if k + 1 < len(ends) or not ours:
+                index.compact()
+            lo = hi
+        texts = docs.select(f"`{id_col}`", f"`{text_col}`")
+        every = texts if earlier is None else texts.unionByName(earlier.select(f"`{id_col}`", f"`{text_col}`"))
+        repeated = index.verify(every, reduce(DataFrame.unionByName, candidates), id_col, text_col)
+    if ours:  # runs and candidates have served
+        scope.drop(spark, but=(repeated,))
     left = docs.withColumn("_mr_range", common.range_column(index.bounds, id_col)).groupBy("_mr_range")
     return left.cogroup(repeated.groupBy("_mr_range")).applyInArrow(remove, schema)

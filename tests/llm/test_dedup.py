@@ -116,7 +116,9 @@ def test_near_duplicates(docs, rows):
     assert len(got) == len(rows)
 
 
-def test_a_large_family_of_near_copies(spark):
+@pytest.mark.parametrize("large", [500, 20])
+def test_a_large_family_of_near_copies(spark, monkeypatch, large):
+    monkeypatch.setattr(minhash, "LARGE_FAMILY", large)  # 20: the family is dealt into parts
     base = [f"w{i}" for i in range(120)]
     rows = []
     for i in range(150):
