@@ -17,8 +17,8 @@ from . import common
 
 #: Words a worker keeps; beyond that the cache starts anew.
 CACHE_WORDS = 1_000_000
-#: Stops after an ASCII letter or digit, at a word's end: they never join it, and apart from it the word repeats more.
-_STOPS = re.compile(rb"(?<=[0-9a-z])[.,;:!?]+(?![^\x20\x09-\x0D])")
+#: Stops at a word's end never join an ASCII letter or digit before them: such a word is its two parts, end to end.
+_STOPS, _LETTERS = b".,;:!?", frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz")
 #: A capital that what follows may compose with.
 _CAPITAL = re.compile(rb"[A-Z](?=[\x80-\xff])")
 
@@ -49,7 +49,7 @@ class WordEncoder:
     def encode(self, raws: list[bytes]) -> list[bytes]:
         """Ids of each text; about a megabyte of texts at once is best."""
         # special tokens are matched as they stand, so that texts that may hold one keep their case
-        rows = [r.split() if b"<|" in r else _STOPS.sub(rb" \g<0>", lowered(r)).split() for r in raws]
+        rows = [(r if b"<|" in r else lowered(r)).split() for r in raws]
         if len(self.known) > CACHE_WORDS:
             self.known = {}
         self._learn([w for w in set().union(*rows) if w not in self.known])
@@ -58,9 +58,22 @@ class WordEncoder:
 
     def _learn(self, new: list[bytes]) -> None:
         """Encode words: those of letters only as one text, cut again at the ids that end a word; the others one by one."""
+        known, joined, todo = self.known, [], set()
+        for w in new:
+            base = w.rstrip(_STOPS)
+            if len(base) < len(w) and base and base[-1] in _LETTERS:
+                stops = w[len(base) :]
+                joined.append((w, base, stops))
+                todo.update(x for x in (base, stops) if x not in known)
+            else:
+                todo.add(w)
+        self._encode(todo)
+        known.update((w, known[a] + known[b]) for w, a, b in joined)
+
+    def _encode(self, new: set[bytes]) -> None:
         words, others = [], []
         for w in new:
-            (words if w.decode().isalpha() else others).append(w)
+            (words if (w.isalpha() if w.isascii() else w.decode().isalpha()) else others).append(w)
         for lo in range(0, len(words), 4000):
             some = words[lo : lo + 4000]
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
