@@ -14,6 +14,8 @@ of a shard far larger than memory lies on disk, and both scans go through it in
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -25,7 +27,7 @@ class Arena:
     """Arrays in memory up to a limit, beyond it in files of a task's own folder, gone with the arena."""
 
     def __init__(self, memory: int):
-        self.left, self.folder, self.count = memory, None, 0
+        self.left, self.folder, self.count, self.files = memory, None, 0, []
 
     def __enter__(self) -> Arena:
         return self
@@ -34,6 +36,16 @@ class Arena:
         if self.folder:
             self.folder.cleanup()
 
+    @contextmanager
+    def lent(self) -> Iterator[Arena]:
+        """What is taken meanwhile is given back at the end: memory for the next arrays, and files."""
+        left, kept = self.left, len(self.files)
+        yield self
+        self.left = left
+        for path in self.files[kept:]:
+            path.unlink()
+        del self.files[kept:]
+
     def empty(self, n: int, kind) -> np.ndarray:
         size = n * np.dtype(kind).itemsize
         if size <= self.left or n == 0:
@@ -41,13 +53,25 @@ class Arena:
             return np.empty(n, kind)
         self.folder = self.folder or tempfile.TemporaryDirectory(prefix="induced-")
         self.count += 1
-        return np.memmap(Path(self.folder.name) / str(self.count), kind, "w+", shape=(n,))
+        self.files.append(Path(self.folder.name) / str(self.count))
+        return np.memmap(self.files[-1], kind, "w+", shape=(n,))
 
     def zeros(self, n: int, kind) -> np.ndarray:
         out = self.empty(n, kind)
         out[:] = 0
         return out
 
+    def keep(self, values: np.ndarray) -> np.ndarray:
+        """A copy that counts."""
+        out = self.empty(len(values), values.dtype)
+        out[:] = values
+        return out
+
+
+def _whole(n: int) -> type:
+    """The type of places in a text of ``n`` symbols."""
+    return np.int32 if n < 1 << 31 else np.int64
+
 
 class RunningMin:
     """Least values of ranges of a growing sequence: short ranges by overlapping powers of two, long ones by blocks."""
@@ -113,7 +137,7 @@ def _scan(key: np.ndarray, pushed: np.ndarray, run: np.ndarray, fixed: np.ndarra
     count, fixed_count = np.bincount(key[pushed], minlength=size), np.bincount(key[fixed], minlength=size)
     begin = np.cumsum(count + fixed_count) - count - fixed_count
     total = int(count.sum()) + len(fixed)
-    place, after = arena.empty(total, np.int64), arena.empty(total, np.int64)
+    place, after = arena.empty(total, _whole(total)), arena.empty(total, _whole(total))
     ready, is_fixed, known = arena.zeros(total, bool), arena.zeros(total, bool), arena.zeros(total, np.uint16)
     symbol = key[fixed]
     slot = begin[symbol] + count[symbol] + np.arange(len(fixed)) - (np.cumsum(fixed_count) - fixed_count)[symbol]
@@ -140,7 +164,7 @@ def _scan(key: np.ndarray, pushed: np.ndarray, run: np.ndarray, fixed: np.ndarra
             same[0] = False
         lcp = np.zeros(end - at, np.uint16)
         if len(x := np.flatnonzero(same & ~f)):
-            lcp[x] = np.minimum(least.query(after[at + x - 1] + 1, after[at + x]), cap - 1) + 1
+            lcp[x] = np.minimum(least.query(after[at + x - 1].astype(np.int64) + 1, after[at + x].astype(np.int64)), cap - 1) + 1
         if len(x := np.flatnonzero(same & f)):
             # between the two kinds the run of the first symbol decides
             lcp[x] = np.minimum(np.where(g[x], known[at + x], np.minimum(run[p[x]], run[before[x]])), cap)
@@ -188,44 +212,52 @@ def _names(text: np.ndarray, star: np.ndarray, length: np.ndarray, cap: int) ->
         todo = a[(np.repeat(size, size) > 1) & (length[a] >= off + per)]
         off += per
     distinct, names = np.unique(rank, return_inverse=True)
-    return names, edge[distinct]
+    return names.astype(_whole(m)), edge[distinct].astype(np.uint16)
 
 
 def sort_suffixes(text: np.ndarray, cap: int, arena: Arena) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes of ``text`` in order, and the common prefix of each with the one before, up to ``cap`` (below 65,536).
 
-    ``text`` holds whole numbers and ends with its only 0.
+    ``text`` holds whole numbers and ends with its only 0. Each scan's arrays are given back before the next one's are taken.
     """
     n = len(text)
     if n == 1:
-        return np.zeros(1, np.int64), np.zeros(1, np.uint16)
-    here = np.arange(n - 1)
-    turn = np.minimum.accumulate(np.where(text[1:] != text[:-1], here, n)[::-1])[::-1]
+        return np.zeros(1, _whole(n)), np.zeros(1, np.uint16)
+    here = np.arange(n - 1, dtype=_whole(n))
+    turn = np.minimum.accumulate(np.where(text[1:] != text[:-1], here, here.dtype.type(n - 1))[::-1])[::-1]
     small = np.append(text[turn + 1] > text[turn], True)
-    run = np.append(np.minimum(turn - here + 1, cap), 1).astype(np.uint16)
-    star = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    run = arena.keep(np.append(np.minimum(turn - here + 1, cap), 1).astype(np.uint16))
+    del here, turn
+    star = np.flatnonzero(small[1:] & ~small[:-1]).astype(_whole(n)) + 1
     length = np.append(np.diff(star) + 1, 1)
     names, edge = _names(text, star, length, cap)
-    if int(names.max()) + 1 < len(star):
-        order, matched = sort_suffixes(names, cap, arena)
-    else:
-        order, matched = np.argsort(names), np.zeros(len(star), np.uint16)
-    star_lcp = np.zeros(len(star), np.int64)
-    if len(star) > 1:
-        star_lcp[1:] = cap
-        t = np.flatnonzero(matched[1:] < cap) + 1
-        i, j, m = order[t - 1], order[t], matched[t].astype(np.int64)
-        table = RunningMin(len(edge), Arena(1 << 62))
-        table.append(edge)
-        lcp = star[i + m] - star[i] + table.query(names[i + m] + 1, names[j + m])
-        x, y = star[i] + lcp, star[j] + lcp
-        star_lcp[t] = np.minimum(lcp + np.where(text[x] == text[y], np.minimum(run[x], run[y]), 0), cap)
-    seq, lcp, fixed = _scan(text, ~small, run, star[order], star_lcp, cap, arena)
-    large, large_lcp = seq[~fixed], lcp[~fixed]
+    with arena.lent():
+        if int(names.max()) + 1 < len(star):
+            order, matched = sort_suffixes(names, cap, arena)
+        else:
+            order, matched = np.argsort(names), np.zeros(len(star), np.uint16)
+        star_lcp = np.zeros(len(star), np.uint16)
+        if len(star) > 1:
+            star_lcp[1:] = cap
+            t = np.flatnonzero(matched[1:] < cap) + 1
+            i, j, m = order[t - 1], order[t], matched[t].astype(np.int64)
+            table = RunningMin(len(edge), arena)
+            table.append(edge)
+            lcp = star[i + m] - star[i] + table.query(names[i + m].astype(np.int64) + 1, names[j + m].astype(np.int64))
+            x, y = star[i] + lcp, star[j] + lcp
+            star_lcp[t] = np.minimum(lcp + np.where(text[x] == text[y], np.minimum(run[x], run[y]), 0), cap)
+            del table, i, j, m, x, y, lcp
+        fixed = star[order]
+        del order, matched, names, edge, star, length
+    with arena.lent():
+        seq, lcp, is_fixed = _scan(text, ~small, run, fixed, star_lcp, cap, arena)
+        large, large_lcp = seq[~is_fixed], lcp[~is_fixed]
+        del seq, lcp, is_fixed
     down = np.zeros(len(large), np.uint16)
     if len(large):
         down[1:] = large_lcp[1:][::-1]
     last = small.copy()
     last[-1] = False
-    seq, lcp, _ = _scan(int(text.max()) - text, last, run, large[::-1], down, cap, arena)
-    return np.concatenate([[n - 1], seq[::-1]]), np.concatenate([[0, 0], lcp[1:][::-1]]).astype(np.uint16)
+    with arena.lent():
+        seq, lcp, _ = _scan(int(text.max()) - text, last, run, large[::-1], down, cap, arena)
+        return np.concatenate([np.array([n - 1], seq.dtype), seq[::-1]]), np.concatenate([[0, 0], lcp[1:][::-1]]).astype(np.uint16)
