@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from ..operators import road, traffic
-from ..sources import derive
+from ..sources import derive, feeds
 from .registry import EVENTS, REPORTS, query
 
 _MEAN = "m AS (SELECT vid, minute, xway, direction, segment, CAST(floor(sum(speed) / count(*)) AS BIGINT) AS avg_speed FROM r GROUP BY ALL)"
@@ -71,11 +71,9 @@ def accident_segments(spark, sf):
 
 @query(f"WITH {REPORTS} SELECT 'moving' AS branch, count(*) AS n FROM r WHERE speed > 0 UNION ALL SELECT 'exit', count(*) FROM r WHERE lane = 4 UNION ALL SELECT 'all', count(*) FROM r")
 def broadcast_split(spark, sf):
-    """One stream to three branches, and their union."""
-    r = derive.reports(spark, sf)
-    branches = [("moving", r.where("speed > 0")), ("exit", r.where(F.col("lane") == road.EXIT_LANE)), ("all", r)]
-    counts = [b.agg(F.count("*").alias("n")).select(F.lit(name).alias("branch"), "n") for name, b in branches]
-    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+    """One stream to three branches, from one scan, and their union."""
+    branches = {"moving": F.col("speed") > 0, "exit": F.col("lane") == road.EXIT_LANE, "all": F.lit(True)}
+    return feeds.branched(derive.reports(spark, sf), branches).groupBy("branch").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {REPORTS} SELECT event_id, speed FROM r WHERE direction = 0 UNION ALL SELECT event_id, speed FROM r WHERE lane = 4")

@@ -106,6 +106,12 @@ def routed(rows: DataFrame, how: str, tasks: int, *, by: list[str] | None = None
     raise ValueError(f"no grouping named {how}")
 
 
+def branched(rows: DataFrame, branches: dict[str, Column], *, out: str = "branch") -> DataFrame:
+    """Every row once for each branch whose condition holds: one scan feeds them all."""
+    taken = F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in branches.items()]))
+    return rows.withColumn(out, F.explode(taken))
+
+
 def rekey(df: DataFrame, row_id: str, keys: int, *, out: str = "key") -> DataFrame:
     """Replace the key by one of ``keys`` uniform keys, a hash of the row id (md5: the same everywhere)."""
     point = F.conv(F.substring(F.md5(F.col(row_id).cast("string")), 1, 8), 16, 10).cast("long")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import ads
+from ..operators.road import EXIT_LANE
 from ..operators.traffic import AnchoredWindow, SpeedGate
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -166,6 +167,53 @@ def seen_callees(rows: DataFrame, *, order: list[str], ttl_ms: int | None = None
     return _stateful(rows, ["calling"], ("map", "called long", "seen boolean"), order, scan, "calling long, called long, row_id long, new_callee boolean", ttl_ms)
 
 
+def global_means(rows: DataFrame, *, value: str, order: list[str], age: float = 86400.0, warm: float = 10.0) -> DataFrame:
+    """The stream twin of ``ewma_global``: the whole stream is one key with two numbers of state, so one task takes each micro-batch."""
+    alpha = 2 / (age + 1)
+
+    def scan(state, k, columns):
+        (run, mean), out = state or (0.0, None), []
+        for v in columns[value]:
+            if mean is None:
+                run += float(v)
+                mean = run if run > warm else None
+            else:
+                mean = (1 - alpha) * mean + alpha * float(v)
+            out.append(mean if mean is not None and mean > warm else 0.0)
+        return (run, mean), (columns[order[-1]], out)
+
+    one = rows.where(F.col(value).isNotNull()).withColumn("_all", F.lit(0))
+    return _stateful(one, ["_all"], ("value", "run double, mean double"), order, scan, "row_id long, average double")
+
+
+def segment_changes(reports: DataFrame, *, order: list[str], ttl_ms: int | None = None) -> DataFrame:
+    """The stream twin of the toll chain's first step: reports off the exit lane whose segment differs from the vehicle's last such report."""
+
+    def scan(state, k, columns):
+        last, ids, segments = state[0] if state else None, [], []
+        for i, s in zip(columns[order[-1]], columns["segment"], strict=True):
+            if s != last:
+                ids.append(i)
+                segments.append(s)
+            last = s
+        return (last,), ([k[0]] * len(ids), ids, segments)
+
+    rows = reports.where((F.col("lane") != EXIT_LANE) & F.col("segment").isNotNull())
+    return _stateful(rows, ["vid"], ("value", "segment long"), order, scan, "vid long, row_id long, segment long", ttl_ms)
+
+
+def by_batch(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
+    """Run an operator whose rows don't depend on each other, such as the map match, over each micro-batch; results are Parquet.
+
+    A micro-batch that is run again after a failure overwrites what it wrote.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        operator(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return rows.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def tagged_late(rows: DataFrame, *, source: str, time: str, order: list[str], length: int, delay: int = 0) -> DataFrame:
     """Every row of a source with ``late``: Spark itself only counts the rows that its watermark drops."""
 

@@ -131,3 +131,39 @@ def test_time_modes_and_sink_latency(spark, tmp_path):
     assert sum(x["rows"] for x in seen) == 5 and all(x["worst_latency"] >= x["mean_latency"] > 0 for x in seen)
     with pytest.raises(ValueError):
         streaming.timed(stream, mode="processing")
+
+
+def test_global_means_and_segment_changes(spark, tmp_path):
+    from millrace.operators import road
+
+    rng = random.Random(7)
+    rows = [(rng.randrange(3), i, rng.choice([0, 4, 1]), rng.randrange(3), float(rng.randrange(9))) for i in range(120)]
+    schema = "vid long, time long, lane long, segment long, v double"
+    stream, batch = feed(spark, tmp_path / "in", rows, schema, 3), spark.createDataFrame(rows, schema)
+    got = {(r.row_id, round(r.average, 9)) for r in drain(spark, streaming.global_means(stream, value="v", order=["time"], age=9.0), tmp_path, "means")}
+    assert got == {(r.time, round(r.average, 9)) for r in ordered.ewma_global(batch, order="time", tie=[], value="v", age=9.0).collect()}
+    got = {tuple(r) for r in drain(spark, streaming.segment_changes(stream, order=["time"]), tmp_path, "changes")}
+    assert got == {(r.vid, r.time, r.segment) for r in road.segment_changes(batch, tie="time").collect()}
+
+
+def test_map_match_by_batch(spark, tmp_path):
+    roads = spark.createDataFrame([(0, 7, 9, 0, 116.1, 39.7, 116.19, 39.7, "397_1161")], "road_no long, road_id long, width int, seg_no int, x1 double, y1 double, x2 double, y2 double, cell string")
+    points = [(i, 39.7 + i * 2e-5, 116.15) for i in range(20)]
+    schema = "id long, lat double, lon double"
+    match = lambda p: traffic.join_nearest_road(p, roads, point_id="id")
+    q = streaming.by_batch(feed(spark, tmp_path / "in", points, schema, 3), match, str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination(120)
+    got = {(r.id, r.road_id) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(r.id, r.road_id) for r in match(spark.createDataFrame(points, schema)).collect()} and len(got) > 3
+
+
+def test_rate_source(spark):
+    from millrace.sources import feeds
+
+    q = feeds.rate_ads(spark, rows_per_second=50, ads=7).writeStream.format("memory").queryName("rate").start()
+    try:
+        wait_for(spark, "rate", 20)
+        rows = spark.table("rate").collect()
+        assert all(r.ad_id == r.n % 7 and r.ad_type == r.n % 5 for r in rows) and len(rows) >= 20
+    finally:
+        q.stop()
