@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Sources whose tables (about a kilobyte each) are broadcast.
-MOST_BROADCAST = 20_000
+#: Probabilities, eight bytes each, that are broadcast: 16 MB of tables.
+MOST_BROADCAST = 2_000_000
 #: Fixed: 13 hex digits of a hash give a point of 52 bits.
 _POINTS = float(1 << 52)
 
@@ -42,7 +42,8 @@ def source_rates(docs: DataFrame, targets: DataFrame | None, *, source_col: str,
 def poisson_tables(rates: DataFrame) -> DataFrame:
     """For each source the ascending Poisson probabilities P(count <= k), as far as 52-bit points can tell.
 
-    Probabilities are summed as logarithms, so that large rates don't underflow.
+    Probabilities are summed as logarithms, so that large rates don't underflow. A table has about as many entries as the rate, which
+    is the copies that each document of the source makes in the mean.
     """
     steps = rates.where("rate > 0").select("source", "rate", F.explode(F.sequence(F.lit(0), F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 40).cast("int"))).alias("k"))
     upto = Window.partitionBy("source").orderBy("k")
@@ -68,7 +69,7 @@ def mix_sources(docs: DataFrame, targets: DataFrame | None = None, *, id_col: st
     keyed = docs.withColumn("_mr_source", F.coalesce(F.col(f"`{source_col}`"), F.lit(""))).withColumn("_mr_point", hash_point(F.lit(seed), name))
     tables = common.stored(tables, "source-tables")
     # few sources are broadcast, so that texts aren't dealt by source; many join by shuffle, where Spark splits a hot one
-    few = tables.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    few = (tables.agg(F.sum(F.size("_mr_upto") + 8)).first()[0] or 0) <= MOST_BROADCAST
     counted = keyed.join(F.broadcast(tables) if few else tables, "_mr_source").withColumn("_mr_n", F.size(F.filter("_mr_upto", lambda p: p <= F.col("_mr_point"))))
     copies = counted.where("_mr_n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_mr_n") - 1)))
     out = copies.withColumn("mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), name, "copy_no")))
