@@ -91,9 +91,9 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
     tasks = counts.select("class", "task", (F.sum("n").over(w) - F.col("n")).alias("before"))
     classes = counts.groupBy("class").agg(F.sum("n").alias("n")).withColumn("full", F.floor(F.col("n") / F.col("class")))
     # at most ``capacity`` classes exist, whatever the input
-    classes = classes.withColumn("first_sequence", F.sum("full").over(Window.partitionBy(F.lit(0)).orderBy("class")) - F.col("full"))
-    full_sequences = F.broadcast(classes.agg(F.coalesce(F.sum("full"), F.lit(0)).alias("all_full")))
-    places = tasks.join(F.broadcast(classes.select("class", "full", "first_sequence")), "class")
+    all_classes = Window.partitionBy(F.lit(0))
+    classes = classes.withColumn("first_sequence", F.sum("full").over(all_classes.orderBy("class")) - F.col("full")).withColumn("all_full", F.sum("full").over(all_classes))
+    places = tasks.join(F.broadcast(classes.select("class", "full", "first_sequence", "all_full")), "class")
     small = counts.count() <= 200_000  # otherwise the places join by shuffle
     ranked = pieces.join(F.broadcast(places) if small else places, ["class", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
     ranked = ranked.withColumn("bin", F.floor(F.col("rank") / F.col("class")))
@@ -101,13 +101,16 @@ def pack_documents(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id",
     inside = ranked.where("bin < full").select("id", "start", "length", "doc_tokens", (F.col("first_sequence") + F.col("bin")).alias("sequence_id"), "rank", *payload)
     in_sequence = Window.partitionBy("sequence_id").orderBy("rank")
     inside = inside.withColumn("offset", F.sum("length").over(in_sequence) - F.col("length"))
-    # the last sequence of each class: a bounded number of tokens
-    along = Window.partitionBy(F.lit(0)).orderBy("class", "rank")
-    rest = ranked.where("bin >= full").select("id", "start", "length", "doc_tokens", "class", "rank", "ids").withColumn("at", F.sum("length").over(along) - F.col("length"))
+    # the last sequence of each class: a bounded number of tokens, laid end to end in the order of classes
+    rest = ranked.where("bin >= full").select("id", "start", "length", "doc_tokens", "class", "rank", "all_full", "ids")
+    totals = rest.groupBy("class").agg(F.sum("length").alias("total"))
+    totals = totals.select("class", (F.sum("total").over(all_classes.orderBy("class")) - F.col("total")).alias("class_at"))
+    along = Window.partitionBy("class").orderBy("rank")
+    rest = rest.join(F.broadcast(totals), "class").withColumn("at", F.col("class_at") + F.sum("length").over(along) - F.col("length"))
     rest = rest.withColumn("s", F.explode(F.sequence(F.floor(F.col("at") / capacity), F.floor((F.col("at") + F.col("length") - 1) / capacity))))
     rest = rest.withColumn("skip", F.greatest(F.col("s") * capacity - F.col("at"), F.lit(0)))
     rest = rest.withColumn("n", F.least(F.col("at") + F.col("length"), (F.col("s") + 1) * capacity) - F.col("at") - F.col("skip"))
-    rest = rest.withColumn("ids", F.expr("substring(ids, cast(4 * skip + 1 as int), cast(4 * n as int))")).crossJoin(full_sequences)
+    rest = rest.withColumn("ids", F.expr("substring(ids, cast(4 * skip + 1 as int), cast(4 * n as int))"))
     rest = rest.select("id", (F.col("start") + F.col("skip")).alias("start"), F.col("n").alias("length"), "doc_tokens", (F.col("all_full") + F.col("s")).alias("sequence_id"), *payload, (F.col("at") + F.col("skip") - F.col("s") * capacity).alias("offset"))
     columns = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else [])]
     return inside.unionByName(rest, allowMissingColumns=True).select(F.col("id").alias(id_col), *columns)
