@@ -160,28 +160,29 @@ def contains(sorted_keys: np.ndarray, probe: np.ndarray) -> np.ndarray:
 # --------------------------------------------------------------------------- document ranges
 
 
-def id_ranges(df: DataFrame, id_col: str, text_col: str, group_bytes: int) -> np.ndarray:
-    """Ascending id bounds that cut the table into ranges of about ``group_bytes`` of text, at most ``MOST_RANGES`` of them.
+def id_ranges(df: DataFrame, id_col: str, text_col: str, group_bytes: int) -> tuple[np.ndarray, int]:
+    """Ascending id bounds that cut the table into ranges of about ``group_bytes`` of text, at most ``MOST_RANGES`` of them; and the bytes of all text.
 
     Range g holds the ids in [bounds[g-1], bounds[g]); only bounds and their bytes reach the driver. Ids are first cut
     finely by rows; those pieces are put together by their bytes, so that long texts side by side make no large range.
     """
     size = F.octet_length(F.col(text_col).cast("string"))
     row = df.agg(F.sum(size).alias("b"), F.count(id_col).alias("n")).first()
-    n = min(MOST_RANGES, max(1, -(-int(row["b"] or 0) // group_bytes)))
+    total = int(row["b"] or 0)
+    n = min(MOST_RANGES, max(1, -(-total // group_bytes)))
     if n == 1 or not row["n"]:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), total
     fine = min(8 * n, MOST_RANGES)
     cuts = df.agg(F.percentile_approx(id_col, [i / fine for i in range(1, fine)], max(10_000, 20 * fine)).alias("c")).first()["c"]
     cuts = np.unique(np.array(cuts, np.int64))
     weights = dict(df.where(F.col(f"`{id_col}`").isNotNull()).select(range_column(cuts, id_col).alias("r"), size.alias("s")).groupBy("r").agg(F.sum("s")).collect())
-    each, bounds, held = max(group_bytes, int(row["b"]) // n), [], 0
+    each, bounds, held = max(group_bytes, total // n), [], 0
     for i, cut in enumerate(cuts.tolist()):
         held += weights.get(i) or 0
         if held + (weights.get(i + 1) or 0) > each and held:
             bounds.append(cut)
             held = 0
-    return np.array(bounds, np.int64)
+    return np.array(bounds, np.int64), total
 
 
 def range_column(bounds: np.ndarray, id_col: str):

@@ -42,6 +42,8 @@ _FACTOR = 0x9E3779B97F4A7C15
 SLICE_BYTES = 8 << 20
 #: Text in a range of documents.
 GROUP_BYTES = 12 << 20
+#: Text of the table for each bucket, where that makes more of them than shuffle partitions do.
+BUCKET_BYTES = 128 << 20
 _KEYS = "_mr_bucket long, _mr_range long, _mr_keys binary"
 _RUN = "_mr_bucket long, _mr_keys binary, _mr_holders binary"
 
@@ -399,10 +401,10 @@ def remove_repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     docs = common.pick(docs, id_col, text_col, ["n_words", "n_removed", "kept_text"])
-    own = common.id_ranges(docs, id_col, text_col, group_bytes)
+    own, size = common.id_ranges(docs, id_col, text_col, group_bytes)
     n = len(own) + 1
     ends = sorted({n * (i + 1) // batches for i in range(batches)} - {0})
-    index, ours = index or FingerprintIndex(spark, words, buckets=max(64, 4 * common.shuffle_partitions(spark))), index is None
+    index, ours = index or FingerprintIndex(spark, words, buckets=max(64, 4 * common.shuffle_partitions(spark), -(-size // BUCKET_BYTES))), index is None
     if index.words != words:
         raise ValueError(f"the index is of windows of {index.words} words")
     if earlier is None and index.runs:

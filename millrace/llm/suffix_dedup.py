@@ -43,9 +43,13 @@ SORT_MEMORY = 400 << 20
 SHARD_BYTES = 2 << 20
 #: Sides of contexts from which an anchor's windows are counted by digest, so that no sorted group is over 1.6 MB.
 HEAVY = 2000
+#: Text of the table for each pair of buckets, where that makes more of them than shuffle partitions do.
+BUCKET_BYTES = 256 << 20
 #: Contexts that a bucket takes apart at once.
 CLASS_BYTES = 8 << 20
 _POS = np.uint64(28)
+#: Places that a hash's low bits can tell apart.
+MOST_PLACES = 1 << 28
 _MULT = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFF51AFD7ED558CCD)]
 
 
@@ -79,6 +83,12 @@ def anchors(data: np.ndarray, offsets: np.ndarray, span: int) -> tuple[np.ndarra
     starts = np.diff(offsets) - span + 1
     if not len(h) or (starts <= 0).all():
         return h, empty, empty, empty
+    if len(h) > MOST_PLACES:  # a single text, in parts that overlap by a window: runs may end at a part's edge
+        parts = []
+        for lo in range(0, len(data) - span + 1, MOST_PLACES // 2):
+            part = data[lo : lo + MOST_PLACES // 2 + span - 1]
+            parts.append([x + lo for x in anchors(part, np.array([0, len(part)]), span)[1:]])
+        return h, *(np.concatenate(x) for x in zip(*parts, strict=True))
     w = span - PIECE + 1
     key = ((h >> _POS) << _POS) | np.arange(len(h), dtype=np.uint64)  # ties go to the left
     padded = np.full(-(-len(key) // w) * w, np.iinfo(np.uint64).max, np.uint64)
@@ -401,8 +411,8 @@ def remove_repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         raise ValueError(f"span must be at least {2 * KEY - PIECE}")
     spark = docs.sparkSession
     docs = common.pick(docs, id_col, text_col, ["n_bytes", "n_removed", "n_spans", "kept_bytes"])
-    bounds = common.id_ranges(docs, id_col, text_col, group_bytes)
-    parts = common.shuffle_partitions(spark)
+    bounds, size = common.id_ranges(docs, id_col, text_col, group_bytes)
+    parts = max(common.shuffle_partitions(spark), -(-size // BUCKET_BYTES))
     bits = max(5, (2 * parts - 1).bit_length())
     keys = docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(_file_keys(span, bits, bounds), "_mr_bucket long, _mr_range long, _mr_keys binary, _mr_counts binary")
     shared = keys.groupBy("_mr_bucket").applyInArrow(_shared_keys(heavy), "_mr_range long, _mr_keys binary, _mr_heavy binary")
