@@ -1,5 +1,7 @@
 """Plain versions of the operators, for small tables."""
 
+import hashlib
+import math
 import re
 from collections import Counter
 
@@ -77,6 +79,59 @@ def stats(text):
     return len(w), sum(map(len, w)), sum(ch in "#*$%&|<>" for ch in text), dup, len(inside)
 
 
+def ratios(text):
+    """The shares that rules and classifier read, by name."""
+    text = text or ""
+    n, chars, symbols, dup, repeat = stats(text)
+    w = WORD.findall(text)
+    lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
+    nw, nc, nl = max(n, 1), max(chars, 1), max(lines, 1)
+    of = lambda kinds: sum(ch in kinds for ch in text)
+    return {
+        "log_words": math.log1p(n), "mean_word_chars": chars / nw, "long_word_share": sum(len(x.encode()) > 14 for x in w) / nw, "symbol_rate": symbols / nw,
+        "upper_share": sum("A" <= ch <= "Z" for ch in text) / nc, "digit_share": sum("0" <= ch <= "9" for ch in text) / nc, "stop_rate": of(".?;:,") / nw, "bang_rate": of("!") / nw, "bar_rate": of("|") / nw,
+        "bracket_rate": of("<>{}[]()=") / nw, "wide_share": sum(ch > "\x7f" for ch in text) / nc, "dup_line_share": dup / nl, "words_per_line": n / nl, "repeat_share": repeat / nw,
+        "distinct_share": len(set(w)) / nw, "top_word_share": max(Counter(w).values(), default=0) / nw, "same_as_last_share": sum(a == b for a, b in zip(w, w[1:])) / nw, "url_rate": of("/@") / nw,
+    }
+
+
+def forest_score(forest, row):
+    """One row through every tree, node by node."""
+    margin = forest.base
+    for feature, threshold, value in zip(forest.feature.tolist(), forest.threshold.tolist(), forest.value.tolist()):
+        node = 0
+        while node < len(feature):
+            node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+        margin += value[node - len(feature)]
+    return 1 / (1 + math.exp(-margin))
+
+
+def list_keeps(rules, row):
+    """Whether no rule of a decision list rejects a row."""
+    return not any(all(row[c] >= v if up else row[c] <= v for c, up, v in rule) for rule in rules)
+
+
+def poisson_copies(rows, temper=0.7, seed=17):
+    """rows: (id, text, source); copies of each row by inverting its source's Poisson distribution at its own point."""
+    size = Counter()
+    for _, t, s in rows:
+        size[s or ""] += max(len(t or ""), 1)
+    weight = {s: n**temper for s, n in size.items()}
+    total = sum(size.values()) / sum(weight.values())
+    out = []
+    for i, _, s in rows:
+        rate = weight[s or ""] * total / size[s or ""]
+        point = int(hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
+        n, p = 0, math.exp(-rate)
+        upto = p
+        while upto <= point:
+            n += 1
+            p *= rate / n
+            upto += p
+        out.append(n)
+    return out
+
+
 def decode_adpcm(block):
     """One IMA ADPCM block, sample by sample."""
     from millrace.llm.media import adpcm_steps

@@ -28,6 +28,18 @@ def test_repeated_bytes_inside_one_text_and_periods(spark):
     assert want[1][1] == 401 and want[4][1] == 0
 
 
+def test_texts_with_more_places_than_a_hash_can_tell(spark, monkeypatch):
+    rng = random.Random(12)
+    text = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    again = text(1500)
+    rows = [(1, text(3000) + again + text(2000) + again[200:900]), (2, again[100:1400])]
+    whole = [x[1:] for x in (np.concatenate([[0], a]) for a in suffix_dedup.anchors(np.frombuffer(rows[0][1].encode(), np.uint8), np.array([0, len(rows[0][1])]), 400)[1:])]
+    monkeypatch.setattr(suffix_dedup, "MOST_PLACES", 1000)
+    h, anchor, first, last = suffix_dedup.anchors(np.frombuffer(rows[0][1].encode(), np.uint8), np.array([0, len(rows[0][1])]), 400)
+    of = lambda a, f, l: {w: x for x, lo, hi in zip(a.tolist(), f.tolist(), l.tolist()) for w in range(lo, hi + 1)}
+    assert of(anchor, first, last) == of(*whole)
+
+
 @pytest.mark.parametrize("group,heavy", [(12 << 20, 2), (3000, 2), (3000, 5)])
 def test_repeated_bytes_with_heavy_anchors(docs, rows, group, heavy):
     got = suffix_dedup.remove_repeated_bytes(docs, group_bytes=group, heavy=heavy).collect()

@@ -1,10 +1,17 @@
 """Registered queries against SQL, and the pipeline stage by stage."""
 
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import brute
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
+from tokenizers import Tokenizer
 
-from millrace.llm import queries
+from millrace.llm import common, gbdt, media, queries, rules
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,20 +27,124 @@ def test_matches_sql(spark, name):
     assert text(got) == text(want)
 
 
-def test_pipeline(spark, tmp_path):
+def rows_of(df, *columns):
+    return [tuple(r[c] for c in columns) for r in df.collect()]
+
+
+def test_classifier_query_row_by_row(spark, monkeypatch):
+    fitted, fit = [], gbdt.fit_forest
+    monkeypatch.setattr(gbdt, "fit_forest", lambda *a, **k: fitted.append(fit(*a, **k)) or fitted[-1])
+    got = {r.doc_id: r for r in queries.op10_quality_classifier(spark, SF).collect()}
+    rows = rows_of(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text")
+    assert set(got) == {i for i, _ in rows}
+    for i, t in rows:
+        x = brute.ratios(t)
+        want = brute.forest_score(fitted[0], [x[c] for c in gbdt.RATIOS])
+        assert got[i].score == pytest.approx(want, abs=1e-9) and got[i].predicted == int(got[i].score >= 0.7)
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+
+
+def test_rules_query_row_by_row(spark, monkeypatch):
+    learnt, learn = [], rules.learn_list
+    monkeypatch.setattr(rules, "learn_list", lambda *a, **k: learnt.append(learn(*a, **k)) or learnt[-1])
+    got = {r.doc_id: r for r in queries.op5_quality_rules(spark, SF).collect()}
+    rows = rows_of(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text")
+    assert set(got) == {i for i, _ in rows} and learnt[0]
+    for i, t in rows:
+        n, chars, symbols, dup, repeat = brute.stats(t)
+        failed = n < 10 or 100 * repeat > 20 * n
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (n, chars, symbols, dup, repeat, failed)
+        assert r.kept == (not failed and brute.list_keeps(learnt[0], brute.ratios(t)))
+
+
+def test_tokenised_queries_row_by_row(spark):
+    plain = Tokenizer.from_file(queries.vocabulary())
+    rows = sorted(rows_of(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text"))
+    ids = {i: np.array(plain.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for i, t in rows}
+    start, want = 0, {}
+    for i, _ in rows:
+        want[i] = (start, len(ids[i]), zlib.crc32(ids[i].tobytes()))
+        start += len(ids[i])
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op8_token_store(spark, SF).collect()} == want
+    pieces, ends = queries.op4_harmonic_packing(spark, SF).collect(), Counter()
+    for r in pieces:
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+        ends[r.doc_id] += r.length
+    assert ends == {i: len(x) for i, x in ids.items()}
+
+
+def test_media_query_row_by_row(spark):
+    rows = rows_of(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text")
+    got = {r.doc_id: r for r in queries.op9_telephony_audio(spark, SF).collect()}
+    assert set(got) == {i for i, _ in rows}
+    for i, t in rows:
+        raw = (t or "").encode()
+        payload = media.payload_of(raw)
+        wav = media.wav(payload, media.codec_of(len(raw)))
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(wav), hashlib.sha256(wav).hexdigest())
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """Every stage over its predecessor's rows, held against a plain version of the stage."""
     import corpus_pipeline as p
 
-    docs, sizes = spark.read.parquet(f"{SF}/documents.parquet"), []
-    start = docs.schema
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    start, tables = docs.schema, [rows_of(docs, "doc_id", "text", "source")]
+    scores = {r.doc_id: r.predicted for r in gbdt.classify_quality(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()}
     for i, (name, stage) in enumerate(p.STAGES):
         docs = stage(spark, docs, SF)
         docs.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
-        sizes.append(docs.count())
         if i + 1 < len(p.STAGES):
             assert [(f.name, f.dataType) for f in docs.schema] == [(f.name, f.dataType) for f in start]
-    kept = spark.read.parquet(str(tmp_path / "near_dedup"))
-    assert kept.select("doc_id").distinct().count() == kept.count() < 200
-    bad = spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").join(kept, "doc_id").count()
-    assert bad <= 1
-    assert p.run(spark, SF).count() == sizes[-1] and len(p.STAGES) == 5
+            tables.append(rows_of(docs, "doc_id", "text", "source"))
+    given, classified, single, cut, mixed = tables
+    assert Counter(classified) == Counter(r for r in given if scores[r[0]] == 1)
+    groups = brute.near_duplicates([(i, t) for i, t, _ in classified])
+    assert Counter(single) == Counter(r for r in classified if groups[r[0]][1] == r[0])
+    want = Counter()
+    for (i, t, s), (n, gone, kept) in zip(single, brute.repeated_words([(i, t) for i, t, _ in single])):
+        if gone == 0 or gone < n:
+            want[i, kept if gone else t, s] += 1
+    assert Counter(cut) == want
+    assert Counter(mixed) == Counter({r: n for r, n in zip(cut, brute.poisson_copies(cut)) if n})
+    plain, found, sequences = Tokenizer.from_file(queries.vocabulary()), Counter(), defaultdict(list)
+    texts = {i: np.array(plain.encode(t or "", add_special_tokens=False).ids + [2], "<u4") for i, t, _ in mixed}
+    for r in docs.collect():
+        assert bytes(r.ids) == texts[r.doc_id][r.start : r.start + r.length].tobytes()
+        found.update((r.doc_id, k) for k in range(r.start, r.start + r.length))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    copies = Counter(i for i, _, _ in mixed)
+    assert found == Counter({(i, k): n for i, n in copies.items() for k in range(len(texts[i]))})
+    for s in sequences.values():
+        at = 0
+        for offset, n in sorted(s):
+            assert offset == at
+            at += n
+        assert at <= 4096
+
+
+def test_a_result_outlives_the_next_run(spark):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
+    a, b = p.pack(spark, docs, SF), p.pack(spark, docs, SF)
+    assert a.count() == b.count() > 0
+    with common.Scope() as scope:
+        first = p.run(spark, SF)
+    second = p.run(spark, SF)
+    assert first.count() == second.count() > 0
+    scope.drop(spark)
+    assert not scope.paths
+
+
+def test_a_cluster_must_name_its_folder(spark):
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.scratch_root(Cluster())
