@@ -1,22 +1,20 @@
 """Incremental removal of repeated word windows by a log-structured fingerprint index.
 
 The index holds a 64-bit fingerprint of every word window of all documents seen so
-far and the range of documents that first had it, as immutable sorted runs split into buckets by
-the leading bits. A new batch of documents (all its ids above those already indexed) goes through four steps:
+far, with a 32-bit check hash that doesn't follow from it, as immutable sorted runs split into buckets by
+the leading bits. A new batch of documents (all its ids above those already indexed) goes through three steps:
 
-1. each range of documents emits its distinct window fingerprints, sorted and packed,
+1. each range of documents emits its distinct window fingerprints with their checks, sorted and packed,
    one row for each bucket;
 2. each bucket merge-joins the batch's sorted arrays with the runs of the index and
-   with each other: a fingerprint that the index or a lower range holds is a candidate, in the range that
-   first had it too. What is new becomes the next run; too many runs are merged into one (compaction);
-3. candidates are verified: each range that has some computes a second, independent 64-bit hash of the words of
-   their windows. A window repeats if a lower range has the same pair of hashes; two texts with one
-   fingerprint are told apart here, and both enter the index;
-4. each range takes its documents and its verified pairs together, settles repeats inside the range
-   by document id, pair by pair, and removes the covered words.
-
-Rows that cross a shuffle are packed arrays, at about five bytes for a window. Every
-array of a bucket holds a key once however often it repeats, so that hot passages
+   with each other by fingerprint, and verifies what meets by the checks: a window that the index or a lower range
+   holds is a repeat. Two texts with one fingerprint are told apart here, and both are held.
+   What is new becomes the next run; too many runs are merged into one (compaction);
+3. each range takes its documents and its repeated windows together, settles repeats inside the range
+   by document id, and removes the covered words.
+
+Rows that cross a shuffle are packed arrays, at about nine bytes for a window. Every
+array of a bucket holds a window once however often it repeats, so that hot passages
 weigh no more than rare ones. A manifest names the runs, so that another session can go on with an index.
 """
 
@@ -44,8 +42,8 @@ SLICE_BYTES = 8 << 20
 GROUP_BYTES = 12 << 20
 #: Text of the table for each bucket, where that makes more of them than shuffle partitions do.
 BUCKET_BYTES = 128 << 20
-_KEYS = "_mr_bucket long, _mr_range long, _mr_keys binary"
-_RUN = "_mr_bucket long, _mr_keys binary, _mr_holders binary"
+_KEYS = "_mr_bucket long, _mr_range long, _mr_keys binary, _mr_checks binary"
+_RUN = "_mr_bucket long, _mr_keys binary, _mr_checks binary"
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
@@ -78,10 +76,37 @@ def windows_of(h: np.ndarray, words: int, factor: int = _FACTOR, mask: int | Non
     return w if mask is None else w & np.uint64(mask)
 
 
-def second_windows(h: np.ndarray, words: int) -> np.ndarray:
-    """A hash of each window that doesn't follow from the first: word hashes are mixed anew before they are put together."""
+def checks_of(h: np.ndarray, words: int) -> np.ndarray:
+    """A 32-bit hash of each window that doesn't follow from its fingerprint: word hashes are mixed anew before they are put together."""
     g = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return windows_of(g ^ (g >> np.uint64(32)), words, 0xC2B2AE3D27D4EB4F)
+    return (windows_of(g ^ (g >> np.uint64(32)), words, 0xC2B2AE3D27D4EB4F) >> np.uint64(32)).astype(np.uint32)
+
+
+def _in_order(keys: np.ndarray, checks: np.ndarray, third: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order by key, check and a third value, and where in it a new pair of key and check begins."""
+    order = np.argsort(keys) if third is None else np.lexsort((third, keys))
+    k, c = keys[order], checks[order]
+    same, other = k[1:] == k[:-1], c[1:] != c[:-1]
+    if (same & other).any():  # several texts under one fingerprint
+        order = np.lexsort((checks, keys) if third is None else (third, checks, keys))
+        k, c = keys[order], checks[order]
+        same, other = k[1:] == k[:-1], c[1:] != c[:-1]
+    return order, np.concatenate([[True], ~same | other]) if len(k) else np.zeros(0, bool)
+
+
+def _holds(keys: np.ndarray, checks: np.ndarray, k: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Which pairs (k, c) lie among ordered pairs (keys, checks): fingerprints by search, then their checks."""
+    out = np.zeros(len(k), bool)
+    at = np.searchsorted(keys, k)
+    todo = np.arange(len(k))
+    while len(todo):
+        todo = todo[at[todo] < len(keys)]
+        todo = todo[keys[at[todo]] == k[todo]]
+        hit = checks[at[todo]] == c[todo]
+        out[todo[hit]] = True
+        todo = todo[~hit]
+        at[todo] += 1
+    return out
 
 
 def starts_ok(counts: np.ndarray, words: int) -> np.ndarray:
@@ -101,28 +126,28 @@ class FingerprintIndex:
         self.spark, self.words, self.most_runs, self.folder, self.mask = spark, words, most_runs, folder, mask
         self.bits = max(4, (buckets - 1).bit_length())
         self.runs: list[str] = []
-        self.bounds = np.zeros(0, np.int64)  # of all ranges so far
         self.highest: int | None = None
+        self.number = 0
         if folder and (saved := self._manifest()) is not None:
             if saved["words"] != words:
                 raise ValueError(f"the index is of windows of {saved['words']} words")
             self.bits, self.runs, self.highest, self.mask = saved["bits"], saved["runs"], saved["highest"], saved["mask"]
-            self.bounds = np.array(saved["bounds"], np.int64)
+
+    def _exists(self, path: str) -> bool:
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
 
     def _manifest(self) -> dict | None:
-        """The newest manifest of the folder: each is a file of its own, and counts once it is written whole."""
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
-        if not fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/manifest")):
+        """The newest manifest of the folder: each is a row of its own, and counts once its file is written whole."""
+        if not self._exists(f"{self.folder}/manifest"):
             return None
         row = self.spark.read.parquet(f"{self.folder}/manifest").orderBy(F.col("number").desc()).first()
         self.number = row["number"]
         return json.loads(row["json"])
 
-    number = 0
-
     def save(self) -> None:
         """Write the manifest of what is indexed now."""
-        state = {"words": self.words, "bits": self.bits, "runs": self.runs, "highest": self.highest, "mask": self.mask, "bounds": self.bounds.tolist()}
+        state = {"words": self.words, "bits": self.bits, "runs": self.runs, "highest": self.highest, "mask": self.mask}
         self.number += 1
         self.spark.createDataFrame([(self.number, json.dumps(state))], "number long, json string").coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
 
@@ -130,53 +155,29 @@ class FingerprintIndex:
         return common.scratch(self.spark, name) if self.folder is None else f"{self.folder}/{name}-{uuid.uuid4().hex}"
 
     def history(self) -> DataFrame:
-        """One row for each run and bucket: its packed keys and their holders."""
+        """One row for each run and bucket: its packed keys and their checks."""
         if not self.runs:
             return self.spark.createDataFrame([], _RUN)
         return reduce(DataFrame.unionByName, (self.spark.read.schema(_RUN).parquet(p) for p in self.runs))
 
-    def open_batch(self, ids: DataFrame, id_col: str, bounds: np.ndarray) -> np.ndarray:
-        """Take a batch's ranges in; its ids must lie above those of earlier batches (null ids above all). Returns the bounds of all ranges."""
-        row = ids.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), F.count_if(F.col(id_col).isNull()).alias("none")).first()
-        if self.highest is not None and row["lo"] is not None and row["lo"] <= self.highest:
+    def admit(self, docs: DataFrame, id_col: str) -> None:
+        """Take documents' ids in: they must lie above those indexed before (null ids above all)."""
+        row = docs.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), F.count_if(F.col(id_col).isNull()).alias("none")).first()
+        if self.highest is not None and (self.highest == common.NULL_ID and (row["hi"] is not None or row["none"]) or row["lo"] is not None and row["lo"] <= self.highest):
             raise ValueError(f"id {row['lo']} isn't above {self.highest}, the highest one indexed")
-        if self.highest is not None and self.highest == common.NULL_ID:
-            raise ValueError("rows without an id were indexed: nothing lies above them")
-        if self.highest is not None:
-            self.bounds = np.append(self.bounds, self.highest + 1)
-        self.bounds = np.concatenate([self.bounds, bounds])
         if row["hi"] is not None or row["none"]:
-            self.highest = common.NULL_ID if row["none"] else max(row["hi"], self.highest if self.highest is not None else row["hi"])
-        return self.bounds
+            self.highest = common.NULL_ID if row["none"] else row["hi"]
 
-    def add(self, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """Index the documents of an opened batch, or a part of them in id order; returns its candidates: fingerprints by range."""
-        keys = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(_emit(self.words, self.bits, self.bounds, self.mask), _KEYS)
+    def add(self, docs: DataFrame, id_col: str, text_col: str, bounds: np.ndarray) -> DataFrame:
+        """Index admitted documents, or a part of them in id order; returns their repeated windows by range."""
+        keys = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(_emit(self.words, self.bits, bounds, self.mask), _KEYS)
         out = self._path("substring-batch")
-        merged = keys.groupBy("_mr_bucket").cogroup(self.history().groupBy("_mr_bucket")).applyInArrow(_merge, "_mr_kind string, " + _KEYS + ", _mr_holders binary")
+        merged = keys.groupBy("_mr_bucket").cogroup(self.history().groupBy("_mr_bucket")).applyInArrow(_merge, "_mr_kind string, " + _KEYS)
         merged.write.partitionBy("_mr_kind").option("compression", "zstd").parquet(out)
-        fs = self.spark._jvm.org.apache.hadoop.fs
-        if fs.Path(f"{out}/_mr_kind=run").getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs.Path(f"{out}/_mr_kind=run")):
+        if self._exists(f"{out}/_mr_kind=run"):
             self.runs.append(f"{out}/_mr_kind=run")
         return self.spark.read.schema(_KEYS + ", _mr_kind string").parquet(out).where("_mr_kind = 'hit'").drop("_mr_kind")
 
-    def verify(self, docs: DataFrame, candidates: DataFrame, id_col: str, text_col: str) -> DataFrame:
-        """The candidates that really repeat, pairs of hashes by range, stored. ``docs`` holds every document of the candidates' ranges.
-
-        Fingerprints that turn out to stand for several texts get their further holders indexed.
-        """
-        ranged = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).withColumn("_mr_range", common.range_column(self.bounds, id_col))
-        pairs = ranged.groupBy("_mr_range").cogroup(candidates.groupBy("_mr_range")).applyInArrow(_second(self.words, self.bits, text_col, self.mask), _KEYS + ", _mr_seconds binary")
-        out = self._path("substring-verified")
-        settled = pairs.groupBy("_mr_bucket").applyInArrow(_settle, "_mr_kind string, " + _KEYS + ", _mr_seconds binary, _mr_holders binary")
-        settled.write.partitionBy("_mr_kind").option("compression", "zstd").parquet(out)
-        fs = self.spark._jvm.org.apache.hadoop.fs
-        if fs.Path(f"{out}/_mr_kind=run").getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(fs.Path(f"{out}/_mr_kind=run")):
-            self.runs.append(f"{out}/_mr_kind=run")
-        hits = self.spark.read.schema("_mr_range long, _mr_keys binary, _mr_seconds binary, _mr_kind string").parquet(out).where("_mr_kind = 'hit'").drop("_mr_kind")
-        hits._mr_path = out
-        return hits
-
     def compact(self) -> None:
         """Merge all runs into one where there are more than ``most_runs``; old ones go unless a saved manifest may name them."""
         if len(self.runs) <= self.most_runs:
@@ -205,168 +206,79 @@ def _emit(words: int, bits: int, bounds: np.ndarray, mask: int | None):
             for lo, hi in common.slices(offsets, SLICE_BYTES):
                 part = offsets[lo : hi + 1]
                 _, row, h = word_hashes(data[part[0] : part[-1]], part - part[0])
-                w = windows_of(h, words, mask=mask)
                 ok = starts_ok(np.bincount(row, minlength=hi - lo), words)
-                w, of = w[ok], ranges[lo:hi][row[ok]]
-                out: tuple[list, list, list] = ([], [], [])
+                w, c, of = windows_of(h, words, mask=mask)[ok], checks_of(h, words)[ok], ranges[lo:hi][row[ok]]
+                out: tuple[list, ...] = ([], [], [], [])
                 for g in np.unique(of):
-                    k = np.unique(w[of == g])
+                    mine = slice(None) if of[0] == g and (of == g).all() else of == g
+                    k, x = w[mine], c[mine]
+                    order, new = _in_order(k, x)
+                    k, x = k[order][new], x[order][new]
                     for b, at in _by_bucket(k, bits):
-                        for column, v in zip(out, (b, int(g), common.pack_keys(k[at])), strict=True):
+                        for column, v in zip(out, (b, int(g), common.pack_keys(k[at]), x[at].astype("<u4").tobytes()), strict=True):
                             column.append(v)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.binary())], ["_mr_bucket", "_mr_range", "_mr_keys"])
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if i < 2 else pa.binary()) for i, v in enumerate(out)], ["_mr_bucket", "_mr_range", "_mr_keys", "_mr_checks"])
 
     return emit
 
 
-def pack_numbers(values: np.ndarray) -> bytes:
-    """Unsigned 32-bit numbers, byte plane by byte plane."""
-    return np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
-
-
-def unpack_numbers(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
-def _read_runs(runs: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of runs in order, and who first held them; a key may have several holders."""
-    keys = np.concatenate([np.zeros(0, np.uint64), *(common.unpack_keys(x.as_py()) for x in runs.column("_mr_keys"))])
-    holders = np.concatenate([np.zeros(0, np.int64), *(unpack_numbers(x.as_py()) for x in runs.column("_mr_holders"))])
-    order = np.lexsort((holders, keys))
-    keys, holders = keys[order], holders[order]
-    new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (holders[1:] != holders[:-1])]) if len(keys) else np.zeros(0, bool)
-    return keys[new], holders[new]
+def _read_pairs(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The arrays of packed rows, and all keys and checks end to end."""
+    arrays = [common.unpack_keys(x.as_py()) for x in rows.column("_mr_keys")]
+    checks = [np.frombuffer(x.as_py(), "<u4") for x in rows.column("_mr_checks")]
+    return arrays, np.concatenate([np.zeros(0, np.uint64), *arrays]), np.concatenate([np.zeros(0, np.uint32), *checks])
 
 
 def _merge(new: pa.Table, history: pa.Table) -> pa.Table:
-    """One bucket: the candidates of each range, and the run of fingerprints that are new."""
-    kinds, ranges, packs, held = [], [], [], []
+    """One bucket: the repeated windows of each range, and the run of those that are new."""
+    out: tuple[list, ...] = ([], [], [], [])
     bucket = (new if new.num_rows else history).column("_mr_bucket")[0].as_py()
     if new.num_rows:
-        of = new.column("_mr_range").to_numpy()
-        arrays = [common.unpack_keys(x.as_py()) for x in new.column("_mr_keys")]
-        keys = np.concatenate(arrays)
-        of = np.repeat(of, [len(a) for a in arrays])
-        order = np.lexsort((of, keys))
-        keys, of = keys[order], of[order]
-        first = np.concatenate([[True], keys[1:] != keys[:-1]])
-        at = np.flatnonzero(first)
-        lowest = np.repeat(of[at], np.diff(np.append(at, len(keys))))
-        highest = np.repeat(np.maximum.reduceat(of, at), np.diff(np.append(at, len(keys))))
-        old, holders = _read_runs(history)
-        known = common.contains(old, keys)
-        again = common.contains(keys, old)  # those that first had them are looked at too
-        hit = known | (highest > lowest)
-        h_keys, h_of = np.concatenate([keys[hit], old[again]]), np.concatenate([of[hit], holders[again]])
-        order = np.lexsort((h_keys, h_of))
-        h_keys, h_of = h_keys[order], h_of[order]
-        for g in np.unique(h_of):
-            for column, v in zip((kinds, ranges, packs, held), ("hit", int(g), common.pack_keys(np.unique(h_keys[np.searchsorted(h_of, g) : np.searchsorted(h_of, g, "right")])), None), strict=True):
+        arrays, keys, checks = _read_pairs(new)
+        of = np.repeat(new.column("_mr_range").to_numpy(), [len(a) for a in arrays])
+        order, first = _in_order(keys, checks, of)
+        keys, checks, of = keys[order], checks[order], of[order]
+        lowest = of[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
+        known = np.zeros(len(keys), bool)
+        for i in range(history.num_rows):
+            _, old, old_checks = _read_pairs(history.slice(i, 1))
+            known |= _holds(old, old_checks, keys, checks)
+        hit = np.flatnonzero(known | (of > lowest))
+        hit = hit[np.argsort(of[hit], kind="stable")]
+        for g in np.unique(of[hit]):
+            at = hit[np.searchsorted(of[hit], g) : np.searchsorted(of[hit], g, "right")]
+            for column, v in zip(out, ("hit", int(g), common.pack_keys(keys[at]), checks[at].astype("<u4").tobytes()), strict=True):
                 column.append(v)
         if (fresh := first & ~known).any():
-            for column, v in zip((kinds, ranges, packs, held), ("run", -1, common.pack_keys(keys[fresh]), pack_numbers(of[fresh])), strict=True):
+            for column, v in zip(out, ("run", -1, common.pack_keys(keys[fresh]), checks[fresh].astype("<u4").tobytes()), strict=True):
                 column.append(v)
-    return pa.table({"_mr_kind": pa.array(kinds, pa.string()), "_mr_bucket": pa.array([bucket] * len(kinds), pa.int64()), "_mr_range": pa.array(ranges, pa.int64()), "_mr_keys": pa.array(packs, pa.binary()), "_mr_holders": pa.array(held, pa.binary())})
+    return pa.table({"_mr_kind": pa.array(out[0], pa.string()), "_mr_bucket": pa.array([bucket] * len(out[0]), pa.int64()), "_mr_range": pa.array(out[1], pa.int64()), "_mr_keys": pa.array(out[2], pa.binary()), "_mr_checks": pa.array(out[3], pa.binary())})
 
 
 def _union_runs(runs: pa.Table) -> pa.Table:
-    keys, holders = _read_runs(runs)
-    return pa.table({"_mr_bucket": runs.column("_mr_bucket").slice(0, 1), "_mr_keys": pa.array([common.pack_keys(keys)], pa.binary()), "_mr_holders": pa.array([pack_numbers(holders)], pa.binary())})
-
-
-_PAIR = np.dtype([("first", ">u8"), ("second", ">u8")])
-
-
-def as_pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    """Two hashes as one value of 16 bytes that sorts by both."""
-    out = np.empty(len(first), _PAIR)
-    out["first"], out["second"] = first, second
-    return out.view("S16") if len(out) else np.zeros(0, "S16")
-
-
-def _second(words: int, bits: int, text_col: str, mask: int | None):
-    schema = pa.schema([("_mr_bucket", pa.int64()), ("_mr_range", pa.int64()), ("_mr_keys", pa.binary()), ("_mr_seconds", pa.binary())])
-
-    def run(docs: pa.Table, candidates: pa.Table) -> pa.Table:
-        """A range's candidates with the second hashes of their windows, distinct pairs in order."""
-        if docs.num_rows == 0 or candidates.num_rows == 0:
-            return schema.empty_table()
-        g, rows = candidates.column("_mr_range")[0].as_py(), []
-        wanted = np.unique(np.concatenate([common.unpack_keys(x.as_py()) for x in candidates.column("_mr_keys")]))
-        data, offsets = common.text_buffers(docs.column(text_col))
-        found = []
-        for lo, hi in common.slices(offsets, SLICE_BYTES):
-            part = offsets[lo : hi + 1]
-            _, row, h = word_hashes(data[part[0] : part[-1]], part - part[0])
-            at = np.flatnonzero(starts_ok(np.bincount(row, minlength=hi - lo), words))
-            w = windows_of(h, words, mask=mask)[at]
-            mine = common.contains(wanted, w)
-            found.append((w[mine], second_windows(h, words)[at[mine]]))
-        first, second = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((second, first))
-        first, second = first[order], second[order]
-        new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])]) if len(first) else np.zeros(0, bool)
-        first, second = first[new], second[new]
-        for b, at in _by_bucket(first, bits):
-            rows.append((b, g, common.pack_keys(first[at]), second[at].astype("<u8").tobytes()))
-        return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema) if rows else schema.empty_table()
-
-    return run
-
-
-def _settle(rows: pa.Table) -> pa.Table:
-    """One bucket: each range's pairs that a lower range has too, and the holders of fingerprints with several texts."""
-    bucket, of = rows.column("_mr_bucket")[0].as_py(), rows.column("_mr_range").to_numpy()
-    arrays = [common.unpack_keys(x.as_py()) for x in rows.column("_mr_keys")]
-    first, second = np.concatenate(arrays), np.concatenate([np.frombuffer(x.as_py(), "<u8") for x in rows.column("_mr_seconds")])
-    of = np.repeat(of, [len(a) for a in arrays])
-    order = np.lexsort((of, second, first))
-    first, second, of = first[order], second[order], of[order]
-    new = np.concatenate([[True], (first[1:] != first[:-1]) | (second[1:] != second[:-1])])
-    key = np.concatenate([[True], first[1:] != first[:-1]])
-    out: tuple[list, ...] = ([], [], [], [], [])
-    again = np.flatnonzero(~new)
-    again = again[np.argsort(of[again], kind="stable")]
-    for g in np.unique(of[again]):
-        at = again[np.searchsorted(of[again], g) : np.searchsorted(of[again], g, "right")]
-        for column, v in zip(out, ("hit", int(g), common.pack_keys(first[at]), second[at].astype("<u8").tobytes(), None), strict=True):
-            column.append(v)
-    texts = np.add.reduceat(new.astype(np.int64), np.flatnonzero(key))
-    several = new & np.repeat(texts > 1, np.diff(np.append(np.flatnonzero(key), len(first))))
-    if several.any():
-        order = np.lexsort((of[several], first[several]))
-        for column, v in zip(out, ("run", -1, common.pack_keys(first[several][order]), None, pack_numbers(of[several][order])), strict=True):
-            column.append(v)
-    return pa.table({"_mr_kind": pa.array(out[0], pa.string()), "_mr_bucket": pa.array([bucket] * len(out[0]), pa.int64()), "_mr_range": pa.array(out[1], pa.int64()), "_mr_keys": pa.array(out[2], pa.binary()), "_mr_seconds": pa.array(out[3], pa.binary()), "_mr_holders": pa.array(out[4], pa.binary())})
+    _, keys, checks = _read_pairs(runs)
+    order, new = _in_order(keys, checks)
+    return pa.table({"_mr_bucket": runs.column("_mr_bucket").slice(0, 1), "_mr_keys": pa.array([common.pack_keys(keys[order][new])], pa.binary()), "_mr_checks": pa.array([checks[order][new].astype("<u4").tobytes()], pa.binary())})
 
 
 def _remove(words: int, id_col: str, text_col: str, schema: pa.Schema, mask: int | None):
     def remove(docs: pa.Table, hits: pa.Table) -> pa.Table:
         if docs.num_rows == 0:
             return schema.empty_table()
-        known = [as_pairs(common.unpack_keys(k.as_py()), np.frombuffer(x.as_py(), "<u8")) for k, x in zip(hits.column("_mr_keys"), hits.column("_mr_seconds"), strict=True)]
-        found = np.unique(np.concatenate([np.zeros(0, "S16"), *known]))
+        _, found, found_checks = _read_pairs(hits)
+        order, new = _in_order(found, found_checks)
+        found, found_checks = found[order][new], found_checks[order][new]
         data, offsets = common.text_buffers(docs.column(text_col))
         ids = common.id_array(docs.column(id_col))
         rows, row, h = word_hashes(data, offsets)
-        w = windows_of(h, words, mask=mask)
         counts = np.array([len(r) for r in rows], np.int64)
         at = np.flatnonzero(starts_ok(counts, words))
-        w = w[at]
-        # only windows whose fingerprint comes again, here or below, need a second hash
-        order = np.argsort(w, kind="stable")
-        same = w[order][1:] == w[order][:-1] if len(w) else np.zeros(0, bool)
-        twice = np.zeros(len(w), bool)
-        twice[order[1:][same]] = twice[order[:-1][same]] = True
-        twice |= common.contains(np.unique(found.view(_PAIR)["first"].astype(np.uint64)) if len(found) else np.zeros(0, np.uint64), w)
-        at, w = at[twice], w[twice]
-        own, pair = ids[row[at]], as_pairs(w, second_windows(h, words)[at])
-        order = np.lexsort((own, pair))
-        first = np.concatenate([[True], pair[order][1:] != pair[order][:-1]]) if len(w) else np.zeros(0, bool)
+        w, c, own = windows_of(h, words, mask=mask)[at], checks_of(h, words)[at], ids[row[at]]
+        order, first = _in_order(w, c, own)
         lowest = np.empty(len(w), np.int64)
         lowest[order] = own[order][np.maximum.accumulate(np.where(first, np.arange(len(w)), 0))] if len(w) else 0
-        starts = at[(lowest < own) | common.contains(found, pair)]
+        starts = at[(lowest < own) | _holds(found, found_checks, w, c)]
         cover = np.zeros(len(row) + words + 1, np.int64)
         np.add.at(cover, starts, 1)
         np.add.at(cover, starts + words, -1)
@@ -383,7 +295,7 @@ def _remove(words: int, id_col: str, text_col: str, schema: pa.Schema, mask: int
     return remove
 
 
-def remove_repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 13, batches: int = 4, group_bytes: int = GROUP_BYTES, index: FingerprintIndex | None = None, earlier: DataFrame | None = None) -> DataFrame:
+def remove_repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 13, batches: int = 4, group_bytes: int = GROUP_BYTES, index: FingerprintIndex | None = None) -> DataFrame:
     """Remove each word that a window of ``words`` words covers whose sequence also starts in a document with a smaller id.
 
     Windows are judged on the input, not on what is left. The table is indexed in ``batches``
@@ -391,9 +303,8 @@ def remove_repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col
     columns with ``n_words``, ``n_removed`` and ``kept_text`` (kept words joined by one space);
     input columns of these names give way to them.
 
-    With an ``index`` that already holds documents, ``earlier`` is the table of all of them (the same id and text columns), by
-    which repeats are verified, and the ids of ``docs`` must be greater than theirs; the documents enter
-    the index, and its ``save`` keeps it.
+    With an ``index`` that already holds documents, the ids of ``docs`` must be greater than theirs; windows that those documents
+    hold are removed too, and the new documents enter the index, which its ``save`` keeps.
 
     A null text has no words. A null id counts as larger than every id: such rows lose what
     numbered documents hold and never cost another row a word. Rows with equal ids never cost
@@ -401,31 +312,27 @@ def remove_repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col
     """
     spark = docs.sparkSession
     docs = common.pick(docs, id_col, text_col, ["n_words", "n_removed", "kept_text"])
-    own, size = common.id_ranges(docs, id_col, text_col, group_bytes)
-    n = len(own) + 1
+    bounds, size = common.id_ranges(docs, id_col, text_col, group_bytes)
+    n = len(bounds) + 1
     ends = sorted({n * (i + 1) // batches for i in range(batches)} - {0})
     index, ours = index or FingerprintIndex(spark, words, buckets=max(64, 4 * common.shuffle_partitions(spark), -(-size // BUCKET_BYTES))), index is None
     if index.words != words:
         raise ValueError(f"the index is of windows of {index.words} words")
-    if earlier is None and index.runs:
-        raise ValueError("the index holds documents: give them as earlier")
-    index.open_batch(docs, id_col, own)
+    if not ours:
+        index.admit(docs, id_col)
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
-    remove, lo, candidates = _remove(words, id_col, text_col, to_arrow_schema(schema), index.mask), 0, []
-    with common.Scope() as scope:
-        for k, hi in enumerate(ends):
-            key, last = F.col(f"`{id_col}`"), hi == n
-            inside = F.lit(True) if lo == 0 else key >= int(own[lo - 1])
-            inside = inside if last else inside & (key < int(own[hi - 1]))
-            inside = inside | key.isNull() if last else inside & key.isNotNull()
-            candidates.append(index.add(docs.where(inside), id_col, text_col))
-            if k + 1 < len(ends) or not ours:
-                index.compact()
-            lo = hi
-        texts = docs.select(f"`{id_col}`", f"`{text_col}`")
-        every = texts if earlier is None else texts.unionByName(earlier.select(f"`{id_col}`", f"`{text_col}`"))
-        repeated = index.verify(every, reduce(DataFrame.unionByName, candidates), id_col, text_col)
-    if ours:  # runs and candidates have served
-        scope.drop(spark, but=(repeated,))
-    left = docs.withColumn("_mr_range", common.range_column(index.bounds, id_col)).groupBy("_mr_range")
-    return left.cogroup(repeated.groupBy("_mr_range")).applyInArrow(remove, schema)
+    remove, lo, hits = _remove(words, id_col, text_col, to_arrow_schema(schema), index.mask), 0, []
+    for k, hi in enumerate(ends):
+        key, last = F.col(f"`{id_col}`"), hi == n
+        inside = F.lit(True) if lo == 0 else key >= int(bounds[lo - 1])
+        inside = inside if last else inside & (key < int(bounds[hi - 1]))
+        inside = inside | key.isNull() if last else inside & key.isNotNull()
+        hits.append(index.add(docs.where(inside), id_col, text_col, bounds))
+        if k + 1 < len(ends) or not ours:
+            index.compact()
+        lo = hi
+    if ours:
+        for path in index.runs:
+            common.drop_path(spark, path)
+    left = docs.withColumn("_mr_range", common.range_column(bounds, id_col)).groupBy("_mr_range")
+    return left.cogroup(reduce(DataFrame.unionByName, hits).groupBy("_mr_range")).applyInArrow(remove, schema)

@@ -81,8 +81,8 @@ def test_index_compacts_to_one_run(spark):
     index = substring_index.FingerprintIndex(spark, 13, buckets=16, most_runs=2)
     for lo in range(0, 12, 3):
         batch = spark.createDataFrame(rows[lo : lo + 3], "doc_id long, text string")
-        index.open_batch(batch, "doc_id", np.zeros(0, np.int64))
-        index.add(batch, "doc_id", "text").count()
+        index.admit(batch, "doc_id")
+        index.add(batch, "doc_id", "text", np.zeros(0, np.int64)).count()
     before = {int(k) for r in index.history().collect() for k in substring_index.common.unpack_keys(r._mr_keys)}
     assert len(index.runs) > 2
     index.compact()
@@ -107,14 +107,13 @@ def test_an_index_goes_on_in_another_session(spark, rows, tmp_path, mask):
     seen, got = [], Counter()
     for part in parts:
         index = substring_index.FingerprintIndex(spark, 13, buckets=16, most_runs=2, folder=folder, mask=mask)  # nothing but the folder tells it what was
-        earlier = spark.createDataFrame(seen, schema) if seen else None
-        out = substring_index.remove_repeated_windows(spark.createDataFrame(part, schema), group_bytes=2000, batches=2, index=index, earlier=earlier)
+        out = substring_index.remove_repeated_windows(spark.createDataFrame(part, schema), group_bytes=2000, batches=2, index=index)
         got += Counter((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in out.collect())
         index.save()
         seen += part
     assert got == Counter((i, *x) for (i, _), x in zip(seen, brute.repeated_words(seen)))
     with pytest.raises(ValueError, match="above"):
-        substring_index.remove_repeated_windows(spark.createDataFrame([(0, "x")], schema), index=substring_index.FingerprintIndex(spark, 13, folder=folder), earlier=spark.createDataFrame(seen, schema))
+        substring_index.remove_repeated_windows(spark.createDataFrame([(0, "x")], schema), index=substring_index.FingerprintIndex(spark, 13, folder=folder))
 
 
 def test_near_duplicates(docs, rows):

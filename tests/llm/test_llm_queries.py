@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 from millrace.llm import common, gbdt, media, queries, rules
 
-SF = "/root/testdata/sf0.001"
+SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"  # the smallest has too few labels for rules
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
@@ -47,8 +47,8 @@ def test_classifier_query_row_by_row(spark, monkeypatch):
 def test_rules_query_row_by_row(spark, monkeypatch):
     learnt, learn = [], rules.learn_list
     monkeypatch.setattr(rules, "learn_list", lambda *a, **k: learnt.append(learn(*a, **k)) or learnt[-1])
-    got = {r.doc_id: r for r in queries.op5_quality_rules(spark, SF).collect()}
-    rows = rows_of(spark.read.parquet(f"{SF}/documents.parquet"), "doc_id", "text")
+    got = {r.doc_id: r for r in queries.op5_quality_rules(spark, LARGER).collect()}
+    rows = rows_of(spark.read.parquet(f"{LARGER}/documents.parquet"), "doc_id", "text")
     assert set(got) == {i for i, _ in rows} and learnt[0]
     for i, t in rows:
         n, chars, symbols, dup, repeat = brute.stats(t)
