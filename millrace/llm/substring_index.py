@@ -9,7 +9,8 @@ the leading bits. A new batch of documents (all its ids above those already inde
 2. each bucket merge-joins the batch's sorted arrays with the runs of the index and
    with each other by fingerprint, and verifies what meets by the checks: a window that the index or a lower range
    holds is a repeat. Two texts with one fingerprint are told apart here, and both are held.
-   What is new becomes the next run; too many runs are merged into one (compaction);
+   What is new becomes the next run, a file for each bucket that later tasks read where it lies; too many
+   runs are merged into one (compaction);
 3. each range takes its documents and its repeated windows together, settles repeats inside the range
    by document id, and removes the covered words.
 
@@ -34,6 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from xxhash import xxh3_64_intdigest
 
 from . import common
+from .files import new_file, open_input
 
 _FACTOR = 0x9E3779B97F4A7C15
 #: Text that a worker takes apart at once.
@@ -43,7 +45,7 @@ GROUP_BYTES = 12 << 20
 #: Text of the table for each bucket, where that makes more of them than shuffle partitions do.
 BUCKET_BYTES = 128 << 20
 _KEYS = "_mr_bucket long, _mr_range long, _mr_keys binary, _mr_checks binary"
-_RUN = "_mr_bucket long, _mr_keys binary, _mr_checks binary"
+_RUN = "_mr_bucket long, _mr_file string"
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
@@ -125,9 +127,10 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, words: int = 13, buckets: int = 256, most_runs: int = 3, folder: str | None = None, mask: int | None = None):
         self.spark, self.words, self.most_runs, self.folder, self.mask = spark, words, most_runs, folder, mask
         self.bits = max(4, (buckets - 1).bit_length())
-        self.runs: list[str] = []
+        self.runs: list[str] = []  # tables that name the files of a run by bucket
         self.highest: int | None = None
         self.number = 0
+        self.store = f"{folder}/runs" if folder else common.scratch(spark, "substring-runs")
         if folder and (saved := self._manifest()) is not None:
             if saved["words"] != words:
                 raise ValueError(f"the index is of windows of {saved['words']} words")
@@ -155,11 +158,18 @@ class FingerprintIndex:
         return common.scratch(self.spark, name) if self.folder is None else f"{self.folder}/{name}-{uuid.uuid4().hex}"
 
     def history(self) -> DataFrame:
-        """One row for each run and bucket: its packed keys and their checks."""
+        """One row for each run and bucket: the file of its pairs."""
         if not self.runs:
             return self.spark.createDataFrame([], _RUN)
         return reduce(DataFrame.unionByName, (self.spark.read.schema(_RUN).parquet(p) for p in self.runs))
 
+    def drop(self) -> None:
+        """Delete every run."""
+        common.drop_path(self.spark, self.store)
+        for path in self.runs:
+            common.drop_path(self.spark, path)
+        self.runs = []
+
     def admit(self, docs: DataFrame, id_col: str) -> None:
         """Take documents' ids in: they must lie above those indexed before (null ids above all)."""
         row = docs.agg(F.min(id_col).alias("lo"), F.max(id_col).alias("hi"), F.count_if(F.col(id_col).isNull()).alias("none")).first()
@@ -172,7 +182,7 @@ class FingerprintIndex:
         """Index admitted documents, or a part of them in id order; returns their repeated windows by range."""
         keys = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(_emit(self.words, self.bits, bounds, self.mask), _KEYS)
         out = self._path("substring-batch")
-        merged = keys.groupBy("_mr_bucket").cogroup(self.history().groupBy("_mr_bucket")).applyInArrow(_merge, "_mr_kind string, " + _KEYS)
+        merged = keys.groupBy("_mr_bucket").cogroup(self.history().groupBy("_mr_bucket")).applyInArrow(_merge(self.store), "_mr_kind string, _mr_file string, " + _KEYS)
         merged.write.partitionBy("_mr_kind").option("compression", "zstd").parquet(out)
         if self._exists(f"{out}/_mr_kind=run"):
             self.runs.append(f"{out}/_mr_kind=run")
@@ -182,14 +192,35 @@ class FingerprintIndex:
         """Merge all runs into one where there are more than ``most_runs``; old ones go unless a saved manifest may name them."""
         if len(self.runs) <= self.most_runs:
             return
-        old, path = self.runs, self._path("substring-run")
-        self.history().groupBy("_mr_bucket").applyInArrow(_union_runs, _RUN).write.option("compression", "zstd").parquet(path)
+        old, store, path = self.runs, self.store, self._path("substring-run")
+        if self.folder is None:
+            self.store = common.scratch(self.spark, "substring-runs")
+        self.history().groupBy("_mr_bucket").applyInArrow(_union_runs(store, self.store), _RUN).write.parquet(path)
         self.runs = [path]
         if self.folder is None:
-            for p in old:
+            for p in (store, *old):
                 common.drop_path(self.spark, p)
 
 
+def write_run(store: str, bucket: int, keys: np.ndarray, checks: np.ndarray) -> str:
+    """A bucket's pairs as a new file of this attempt's own; its name, by which alone it is found."""
+    stream, name = new_file(store, f"bucket-{bucket:06d}", ".run")
+    with stream:
+        parts = [common.pack_keys(keys), np.ascontiguousarray(checks.astype("<u4")).tobytes()]
+        stream.write(np.array([len(p) for p in parts], "<u8").tobytes())
+        stream.write(pa.compress(b"".join(parts), codec="zstd", asbytes=True))
+    return name
+
+
+def read_run(store: str, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and checks of a run's file, in order."""
+    with open_input(store, name) as f:
+        raw = f.read()
+    n, m = np.frombuffer(raw, "<u8", 2).tolist()
+    body = pa.decompress(raw[16:], n + m, codec="zstd", asbytes=True)
+    return common.unpack_keys(body[:n]), np.frombuffer(body, "<u4", offset=n)
+
+
 def _by_bucket(keys: np.ndarray, bits: int) -> Iterator[tuple[int, slice]]:
     """The buckets of ascending keys, and where each lies."""
     cut = np.searchsorted(keys >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
@@ -230,36 +261,45 @@ def _read_pairs(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarra
     return arrays, np.concatenate([np.zeros(0, np.uint64), *arrays]), np.concatenate([np.zeros(0, np.uint32), *checks])
 
 
-def _merge(new: pa.Table, history: pa.Table) -> pa.Table:
-    """One bucket: the repeated windows of each range, and the run of those that are new."""
-    out: tuple[list, ...] = ([], [], [], [])
-    bucket = (new if new.num_rows else history).column("_mr_bucket")[0].as_py()
-    if new.num_rows:
-        arrays, keys, checks = _read_pairs(new)
-        of = np.repeat(new.column("_mr_range").to_numpy(), [len(a) for a in arrays])
-        order, first = _in_order(keys, checks, of)
-        keys, checks, of = keys[order], checks[order], of[order]
-        lowest = of[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
-        known = np.zeros(len(keys), bool)
-        for i in range(history.num_rows):
-            _, old, old_checks = _read_pairs(history.slice(i, 1))
-            known |= _holds(old, old_checks, keys, checks)
-        hit = np.flatnonzero(known | (of > lowest))
-        hit = hit[np.argsort(of[hit], kind="stable")]
-        for g in np.unique(of[hit]):
-            at = hit[np.searchsorted(of[hit], g) : np.searchsorted(of[hit], g, "right")]
-            for column, v in zip(out, ("hit", int(g), common.pack_keys(keys[at]), checks[at].astype("<u4").tobytes()), strict=True):
-                column.append(v)
-        if (fresh := first & ~known).any():
-            for column, v in zip(out, ("run", -1, common.pack_keys(keys[fresh]), checks[fresh].astype("<u4").tobytes()), strict=True):
-                column.append(v)
-    return pa.table({"_mr_kind": pa.array(out[0], pa.string()), "_mr_bucket": pa.array([bucket] * len(out[0]), pa.int64()), "_mr_range": pa.array(out[1], pa.int64()), "_mr_keys": pa.array(out[2], pa.binary()), "_mr_checks": pa.array(out[3], pa.binary())})
-
-
-def _union_runs(runs: pa.Table) -> pa.Table:
-    _, keys, checks = _read_pairs(runs)
-    order, new = _in_order(keys, checks)
-    return pa.table({"_mr_bucket": runs.column("_mr_bucket").slice(0, 1), "_mr_keys": pa.array([common.pack_keys(keys[order][new])], pa.binary()), "_mr_checks": pa.array([checks[order][new].astype("<u4").tobytes()], pa.binary())})
+def _merge(store: str):
+    def run(new: pa.Table, history: pa.Table) -> pa.Table:
+        """One bucket: the repeated windows of each range, and the run of those that are new."""
+        out: tuple[list, ...] = ([], [], [], [], [])
+        bucket = (new if new.num_rows else history).column("_mr_bucket")[0].as_py()
+        if new.num_rows:
+            arrays, keys, checks = _read_pairs(new)
+            of = np.repeat(new.column("_mr_range").to_numpy(), [len(a) for a in arrays])
+            order, first = _in_order(keys, checks, of)
+            keys, checks, of = keys[order], checks[order], of[order]
+            lowest = of[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
+            known = np.zeros(len(keys), bool)
+            for name in history.column("_mr_file").to_pylist():
+                known |= _holds(*read_run(store, name), keys, checks)
+            hit = np.flatnonzero(known | (of > lowest))
+            hit = hit[np.argsort(of[hit], kind="stable")]
+            for g in np.unique(of[hit]):
+                at = hit[np.searchsorted(of[hit], g) : np.searchsorted(of[hit], g, "right")]
+                for column, v in zip(out, ("hit", None, int(g), common.pack_keys(keys[at]), checks[at].astype("<u4").tobytes()), strict=True):
+                    column.append(v)
+            if (fresh := first & ~known).any():
+                for column, v in zip(out, ("run", write_run(store, bucket, keys[fresh], checks[fresh]), -1, None, None), strict=True):
+                    column.append(v)
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary()]
+        kind, name, ranges, packs, held = (pa.array(c, t) for c, t in zip(out, kinds, strict=True))
+        return pa.table({"_mr_kind": kind, "_mr_file": name, "_mr_bucket": pa.array([bucket] * len(kind), pa.int64()), "_mr_range": ranges, "_mr_keys": packs, "_mr_checks": held})
+
+    return run
+
+
+def _union_runs(old: str, new: str):
+    def run(runs: pa.Table) -> pa.Table:
+        parts = [read_run(old, name) for name in runs.column("_mr_file").to_pylist()]
+        keys, checks = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order, first = _in_order(keys, checks)
+        bucket = runs.column("_mr_bucket")[0].as_py()
+        return pa.table({"_mr_bucket": pa.array([bucket], pa.int64()), "_mr_file": pa.array([write_run(new, bucket, keys[order][first], checks[order][first])])})
+
+    return run
 
 
 def _remove(words: int, id_col: str, text_col: str, schema: pa.Schema, mask: int | None):
@@ -332,7 +372,6 @@ def remove_repeated_windows(docs: DataFrame, *, id_col: str = "doc_id", text_col
             index.compact()
         lo = hi
     if ours:
-        for path in index.runs:
-            common.drop_path(spark, path)
+        index.drop()
     left = docs.withColumn("_mr_range", common.range_column(bounds, id_col)).groupBy("_mr_range")
     return left.cogroup(reduce(DataFrame.unionByName, hits).groupBy("_mr_range")).applyInArrow(remove, schema)
