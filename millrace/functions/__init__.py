@@ -64,10 +64,16 @@ def point_line_geo_dist(x1: Column, y1: Column, x2: Column, y2: Column, x: Colum
 def planar_dist(x1: Column, y1: Column, x2: Column, y2: Column, x: Column, y: Column) -> Column:
     """Distance of a point to a segment in the plane, in the coordinates' unit; within 1e-6 of an end it is 0."""
     side = lambda a, b, c, d: F.sqrt((a - c) * (a - c) + (b - d) * (b - d))
-    a, b, c = side(x1, y1, x2, y2), side(x1, y1, x, y), side(x2, y2, x, y)
-    p = (a + b + c) / 2
-    height = 2 * F.sqrt(F.greatest(F.lit(0.0), p * (p - a) * (p - b) * (p - c)))
-    return F.when((c <= 1e-6) | (b <= 1e-6), 0.0).when(a <= 1e-6, b).when(c * c >= a * a + b * b, b).when(b * b >= a * a + c * c, c).otherwise(F.try_divide(height, a))
+
+    def of(s: Column) -> Column:
+        a, b, c = s["a"], s["b"], s["c"]
+        p = (a + b + c) / 2
+        height = 2 * F.sqrt(F.greatest(F.lit(0.0), p * (p - a) * (p - b) * (p - c)))
+        return F.when((c <= 1e-6) | (b <= 1e-6), 0.0).when(a <= 1e-6, b).when(c * c >= a * a + b * b, b).when(b * b >= a * a + c * c, c).otherwise(F.try_divide(height, a))
+
+    # the sides are bound once: written out at each use they make code too long to compile
+    sides = F.struct(side(x1, y1, x2, y2).alias("a"), side(x1, y1, x, y).alias("b"), side(x2, y2, x, y).alias("c"))
+    return F.transform(F.array(sides), of)[0]
 
 
 def point_in_polygon(ring: Column, x: Column, y: Column) -> Column:

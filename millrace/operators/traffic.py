@@ -64,9 +64,9 @@ def join_nearest_road(points: DataFrame, roads: DataFrame, *, point_id: str, cel
     pairs = placed.join(sized(filed), ["_ix", "_iy"]).where((F.col("cell") == F.col("_cell")) & inside("lat", "y1", "y2") & inside("lon", "x1", "x2"))
     pairs = pairs.withColumn("_m", planar_dist(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("lon"), F.col("lat")) * DEGREE_METRES)
     on = F.col("_m") < F.col("_width") / 2
-    pairs = pairs.where(on | (F.col("_m") < F.sqrt(F.col("_last_width") * F.col("_last_width") + NEAR * NEAR)))
+    near = F.col("_m") < F.sqrt(F.col("_last_width") * F.col("_last_width") + NEAR * NEAR)
     # those on the road come before those near it, in the roads' order; those near by distance
-    best = F.min(F.struct(F.when(on, 0).otherwise(1).alias("far"), F.when(on, 0.0).otherwise(F.col("_m")).alias("m"), "road_no", "seg_no", "road_id"))
+    best = F.min(F.when(on | near, F.struct(F.when(on, 0).otherwise(1).alias("far"), F.when(on, 0.0).otherwise(F.col("_m")).alias("m"), "road_no", "seg_no", "road_id")))
     rest = [c for c in points.columns if c != point_id]
     met = pairs.groupBy(point_id).agg(best.alias("_best"), *([F.any_value(F.struct(*rest)).alias("_point")] if rest else []))
     return met.select(point_id, *[F.col("_point")[c].alias(c) for c in rest], F.col("_best.road_id").alias("road_id")).where("road_id is not null")
