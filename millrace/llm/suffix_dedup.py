@@ -377,18 +377,24 @@ def _remove(span: int, id_col: str, text_col: str, schema: pa.Schema):
             return schema.empty_table()
         docs, data, offsets = _ordered(docs, id_col, text_col)
         pairs = np.concatenate([np.zeros((0, 2), np.int64), *(np.frombuffer(x.as_py(), "<i8").reshape(-1, 2) for x in spans.column("_mr_spans") if x.is_valid), _heavy_spans(data, spans, span)])
-        cover = np.zeros(len(data) + 1, np.int64)
+        kind = np.int32 if max(len(data), len(pairs)) < 1 << 31 else np.int64
+        cover = np.zeros(len(data) + 1, kind)
         np.add.at(cover, pairs[:, 0], 1)
         np.add.at(cover, pairs[:, 1], -1)
-        gone = np.cumsum(cover[:-1]) > 0
-        total = np.concatenate([[0], np.cumsum(gone)])
-        removed = total[offsets[1:]] - total[offsets[:-1]]
+        gone = np.cumsum(cover, out=cover)[:-1] > 0
+        del cover, pairs
+        total = np.zeros(len(data) + 1, kind)
+        np.cumsum(gone, out=total[1:])
+        removed = (total[offsets[1:]] - total[offsets[:-1]]).astype(np.int64)
+        del total
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         first = offsets[:-1][np.diff(offsets) > 0]
         begins[first] = gone[first]  # runs end with their document
-        runs = np.concatenate([[0], np.cumsum(begins)])
-        n_spans = runs[offsets[1:]] - runs[offsets[:-1]]
+        runs = np.zeros(len(data) + 1, kind)
+        np.cumsum(begins, out=runs[1:])
+        n_spans = (runs[offsets[1:]] - runs[offsets[:-1]]).astype(np.int64)
+        del runs, begins
         kept = [data[a:b][~gone[a:b]].tobytes() if r else data[a:b].tobytes() for a, b, r in zip(offsets[:-1].tolist(), offsets[1:].tolist(), removed.tolist(), strict=True)]
         out = {f.name: docs.column(f.name) for f in schema if f.name in docs.column_names}
         out |= {"n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(removed), "n_spans": pa.array(n_spans), "kept_bytes": pa.array(kept, pa.binary())}
