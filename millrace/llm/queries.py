@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import gbdt, media, minhash, mixing, packing, rules, substring_index, suffix_dedup, token_store, warc
+from . import collocations, gbdt, media, minhash, mixing, packing, rules, substring_index, suffix_dedup, token_store, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,8 +63,12 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gbdt.classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_mix_sources, op3_minhash_near_dedup, op4_harmonic_packing, op5_quality_rules, op6_warc, op7_substring_dedup, op8_token_store, op9_telephony_audio, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_mix_sources, op3_minhash_near_dedup, op4_harmonic_packing, op5_quality_rules, op6_warc, op7_substring_dedup, op8_token_store, op9_telephony_audio, op10_quality_classifier, op13_phrase_collocations)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -109,4 +113,4 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.MIX_SQL, "op3_minhash_near_dedup": _OP3_SQL, "op6_warc": _OP6_SQL, "op7_substring_dedup": _OP7_SQL}
+    return {"op2_mix_sources": mixing.MIX_SQL, "op3_minhash_near_dedup": _OP3_SQL, "op6_warc": _OP6_SQL, "op7_substring_dedup": _OP7_SQL, "op13_phrase_collocations": collocations.COLLOCATION_SQL}
