@@ -3,6 +3,10 @@
 Every word opens one window of ``longest`` words of its piece, padded with nulls behind the piece's last word: lead columns, made by
 shifting the words against themselves. Only those windows are counted; ROLLUP then sums them by ever shorter prefixes. A phrase's
 windows are the windows that it begins, so that its sum is the number of its occurrences, and phrases of each length needn't be made apart.
+
+Most windows go on beyond what can be a candidate. A first pass counts neighbouring words in a table of hashes of fixed size; in
+the second a window is padded from the first pair on whose place in the table was met less than ``min_count`` times. Such a pair, and any
+phrase that holds it, is rarer still, so that no count of a frequent phrase changes; pairs that share a place are only kept in vain.
 """
 
 from __future__ import annotations
@@ -10,20 +14,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices, stored, text_buffers
+from .common import pack_keys, slices, stored, text_buffers, unpack_keys
 
 #: Bytes of text whose windows are counted at once in a worker; a longer text is one such part.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 #: What ends a piece.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _CUT = 0xFF  # no byte of UTF-8
 _LOWER = bytes.maketrans(bytes(range(65, 91)) + PIECE_ENDS, bytes(range(97, 123)) + bytes([_CUT]) * len(PIECE_ENDS))
 _IS_WORD = np.array([b not in (0x20, 0x09, _CUT) for b in range(256)])
+#: Bits of a place in the table of pairs (a bit each, 8 MB, goes to every worker), and of one inside its block.
+PLACE_BITS, BLOCK_BITS = 26, 18
 #: Parts that each language's phrases are dealt to before the best of all are taken.
 DEALT = 64
 
@@ -44,15 +51,26 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     return words, of, np.cumsum(text == _CUT)[starts] + of
 
 
-def count_windows(words: pa.Array, langs: np.ndarray, pieces: np.ndarray, longest: int) -> tuple[np.ndarray, list[pa.Array], np.ndarray]:
-    """Distinct padded windows: their language numbers, a column of words for each place (null behind the piece), and their counts."""
-    coded = words.dictionary_encode()
+def pair_places(coded: pa.DictionaryArray, langs: np.ndarray, lang_names: pa.Array, pieces: np.ndarray) -> np.ndarray:
+    """The place in the table of each word with the next one of its piece; -1 where the piece ends."""
+    hashed = lambda values: pd.util.hash_array(values.to_numpy(zero_copy_only=False).astype(object), categorize=False)
+    word = hashed(coded.dictionary)[coded.indices.to_numpy()]
+    odd = np.uint64(0x9E3779B97F4A7C15)  # 2**64 over the golden ratio
+    out = np.full(len(word), -1, np.int64)
+    mixed = (word[:-1] * odd + word[1:]) ^ hashed(lang_names)[langs[:-1]]
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * odd
+    out[:-1] = np.where(pieces[:-1] == pieces[1:], (mixed >> np.uint64(64 - PLACE_BITS)).astype(np.int64), -1)
+    return out
+
+
+def count_windows(coded: pa.DictionaryArray, langs: np.ndarray, goes_on: np.ndarray, longest: int) -> tuple[np.ndarray, list[pa.Array], np.ndarray]:
+    """Distinct padded windows: their language numbers, a column of words for each place (null from the first word on that isn't gone on to), and their counts."""
     ids, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary) + 1
     leads = [ids + 1]
     for k in range(1, longest):
         lead = np.zeros(len(ids), np.int64)
         if len(ids) > k:
-            lead[:-k] = np.where(pieces[:-k] == pieces[k:], leads[0][k:], 0)
+            lead[:-k] = np.where(goes_on[k - 1 : -1] & (leads[-1][:-k] > 0), leads[0][k:], 0)
         leads.append(lead)
     key, span = langs.astype(np.int64), int(langs.max(initial=0)) + 1
     for lead in leads:
@@ -65,24 +83,75 @@ def count_windows(words: pa.Array, langs: np.ndarray, pieces: np.ndarray, longes
     return langs[at], columns, counts
 
 
-def longest_windows(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 3) -> DataFrame:
-    """Padded windows with counts: lang, w1 to w<longest>, c. A window comes once for each part of some megabytes that holds it."""
+def _parts(batches: Iterator[pa.RecordBatch]):
+    """Parts of texts: coded words, their language numbers and piece numbers, and the languages."""
+    for batch in batches:
+        data, offsets = text_buffers(batch.column(0))
+        kinds = batch.column(1).dictionary_encode()
+        codes = kinds.indices.to_numpy()
+        for lo, hi in slices(offsets, PART_BYTES):
+            words, of, pieces = words_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            if len(words):
+                yield words.dictionary_encode(), codes[lo:hi][of], pieces, kinds.dictionary
+
+
+def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{text_col}`").cast("string").alias("t"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("l"))
+
+
+def frequent_pairs(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", min_count: int = 10) -> np.ndarray:
+    """The table of pairs: a bit for each place that was met ``min_count`` times or more, 8 MB whatever the corpus.
+
+    Parts send their sorted places with counts, block by block; a task that adds up blocks holds them as plain counters while rows stream by.
+    """
+    inside = (1 << BLOCK_BITS) - 1
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for coded, langs, pieces, names in _parts(batches):
+            places, counts = np.unique(pair_places(coded, langs, names, pieces), return_counts=True)
+            places, counts = places[places >= 0], counts[places >= 0].astype(np.uint32)
+            blocks, first = np.unique(places >> BLOCK_BITS, return_index=True)
+            ends = [*first[1:], len(places)][: len(first)]
+            cells = [pack_keys((places[a:b] & inside).astype(np.uint64)) for a, b in zip(first, ends, strict=True)]
+            sums = [np.ascontiguousarray(counts[a:b].view(np.uint8).reshape(-1, 4).T).tobytes() for a, b in zip(first, ends, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(cells, pa.binary()), pa.array(sums, pa.binary())], names=["block", "cells", "sums"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, cells, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                table = held.setdefault(block, np.zeros(1 << BLOCK_BITS, np.int64))
+                table[unpack_keys(cells).astype(np.int64)] += np.ascontiguousarray(np.frombuffer(sums, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+        for block, table in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(table >= min_count).tobytes()], pa.binary())], names=["block", "bits"])
+
+    sent = _texts(docs, text_col, lang_col).mapInArrow(count, "block long, cells binary, sums binary")
+    bits = np.zeros(1 << (PLACE_BITS - 3), np.uint8)
+    step = 1 << (BLOCK_BITS - 3)
+    for row in sent.repartition("block").mapInArrow(add, "block long, bits binary").toLocalIterator():
+        bits[row.block * step : (row.block + 1) * step] = np.frombuffer(row.bits, np.uint8)
+    return bits
+
+
+def longest_windows(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 3, pairs: np.ndarray | None = None) -> DataFrame:
+    """Padded windows with counts: lang, w1 to w<longest>, c. A window comes once for each part of some megabytes that holds it.
+
+    Given the table of ``frequent_pairs``, windows are padded from the first rare pair on.
+    """
     names = [f"w{i + 1}" for i in range(longest)]
     schema = T.StructType([T.StructField("lang", T.StringType()), *[T.StructField(n, T.StringType()) for n in names], T.StructField("c", T.LongType())])
+    sent = docs.sparkSession.sparkContext.broadcast(pairs) if pairs is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = text_buffers(batch.column(0))
-            kinds = batch.column(1).dictionary_encode()
-            codes = kinds.indices.to_numpy()
-            for lo, hi in slices(offsets, PART_BYTES):
-                words, of, pieces = words_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                if len(words):
-                    langs, columns, counts = count_windows(words, codes[lo:hi][of], pieces, longest)
-                    yield pa.RecordBatch.from_arrays([kinds.dictionary.take(pa.array(langs)), *columns, pa.array(counts, pa.int64())], names=["lang", *names, "c"])
+        for coded, codes, pieces, kinds in _parts(batches):
+            goes_on = np.append(pieces[:-1] == pieces[1:], False)
+            if sent is not None:
+                places = pair_places(coded, codes, kinds, pieces)
+                goes_on &= (sent.value[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 > 0
+            langs, columns, counts = count_windows(coded, codes, goes_on, longest)
+            yield pa.RecordBatch.from_arrays([kinds.take(pa.array(langs)), *columns, pa.array(counts, pa.int64())], names=["lang", *names, "c"])
 
-    lang = F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und"))
-    return docs.select(F.col(f"`{text_col}`").cast("string").alias("t"), lang.alias("l")).mapInArrow(run, schema)
+    return _texts(docs, text_col, lang_col).mapInArrow(run, schema)
 
 
 def phrase_counts(windows: DataFrame, *, longest: int = 3, min_count: int = 10) -> DataFrame:
@@ -107,7 +176,9 @@ def mine_collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str
     A null text is empty, a null language ``und``; texts without words and empty tables give no rows; repeated rows count each
     time; other columns, whatever their names, aren't read. Counts up to 10**15 are exact.
     """
-    f = stored(phrase_counts(longest_windows(docs, text_col=text_col, lang_col=lang_col, longest=longest), longest=longest, min_count=min_count), "phrases")
+    pairs = frequent_pairs(docs, text_col=text_col, lang_col=lang_col, min_count=min_count)
+    windows = longest_windows(docs, text_col=text_col, lang_col=lang_col, longest=longest, pairs=pairs)
+    f = stored(phrase_counts(windows, longest=longest, min_count=min_count), "phrases")
     candidates = f.where("n_words >= 2")
     words, phrase = F.split("phrase", " "), lambda from_, n: F.array_join(F.slice("w", from_, n), " ")
     wide = lambda c, digits: F.col(c).cast(f"decimal({digits},0)")

@@ -84,3 +84,19 @@ def test_empty_tables_and_clashing_names(spark):
 def test_a_very_long_text_without_ends(spark):
     rows = [("aa bb cc " * 40_000, None), ("z" * 300_000, None)]
     assert rows_of(mine_collocations(spark.createDataFrame(rows, "text string, lang string"))) == brute(rows)
+
+
+def test_a_full_table_of_pairs_changes_nothing(spark):
+    """Pairs that share places are kept in vain, never lost."""
+    import numpy as np
+
+    import millrace.llm.collocations as m
+
+    rows = some_texts(11, 80)
+    docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
+    pairs = m.frequent_pairs(docs, min_count=3)
+    assert 0 < np.unpackbits(pairs).sum() < 2000 and len(pairs) == 1 << (m.PLACE_BITS - 3)
+    every = phrase_counts(longest_windows(docs), min_count=3).collect()
+    assert sorted(map(tuple, phrase_counts(longest_windows(docs, pairs=pairs), min_count=3).collect())) == sorted(map(tuple, every))
+    full = np.full_like(pairs, 255)
+    assert sorted(map(tuple, phrase_counts(longest_windows(docs, pairs=full), min_count=3).collect())) == sorted(map(tuple, every))
