@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from .common import pack_keys, slices, stored, text_buffers, unpack_keys
 
-#: Bytes of text whose windows are counted at once in a worker; a longer text is one such part.
-PART_BYTES = 4 << 20
+#: Bytes of text whose windows are counted at once in a worker (a longer text is one such part), and rows that are unpacked at once.
+PART_BYTES, PART_ROWS = 2 << 20, 1000
 #: What ends a piece.
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _CUT = 0xFF  # no byte of UTF-8
@@ -85,14 +85,17 @@ def count_windows(coded: pa.DictionaryArray, langs: np.ndarray, goes_on: np.ndar
 
 def _parts(batches: Iterator[pa.RecordBatch]):
     """Parts of texts: coded words, their language numbers and piece numbers, and the languages."""
-    for batch in batches:
-        data, offsets = text_buffers(batch.column(0))
-        kinds = batch.column(1).dictionary_encode()
-        codes = kinds.indices.to_numpy()
-        for lo, hi in slices(offsets, PART_BYTES):
-            words, of, pieces = words_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            if len(words):
-                yield words.dictionary_encode(), codes[lo:hi][of], pieces, kinds.dictionary
+    for whole in batches:
+        for at in range(0, len(whole), PART_ROWS):
+            batch = whole.slice(at, PART_ROWS)
+            data, offsets = text_buffers(batch.column(0))
+            kinds = batch.column(1).dictionary_encode()
+            codes = kinds.indices.to_numpy()
+            for lo, hi in slices(offsets, PART_BYTES):
+                words, of, pieces = words_of(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                if len(words):
+                    yield words.dictionary_encode(), codes[lo:hi][of], pieces, kinds.dictionary
+            pa.default_memory_pool().release_unused()
 
 
 def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
