@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import collocations, gbdt, media, minhash, mixing, packing, reply_trees, rules, substring_index, suffix_dedup, token_store, warc
+from . import collocations, conversation_repair, gbdt, media, minhash, mixing, packing, reply_trees, rules, substring_index, suffix_dedup, token_store, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -63,6 +63,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gbdt.classify_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_conversations(_read(spark, sf_dir, "conversations"), damage=conversation_repair.damaged)
+
+
 def op12_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_trees.formatted_digest(_read(spark, sf_dir, "conversations"))
 
@@ -72,7 +76,7 @@ def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_mix_sources, op3_minhash_near_dedup, op4_harmonic_packing, op5_quality_rules, op6_warc, op7_substring_dedup, op8_token_store, op9_telephony_audio, op10_quality_classifier, op12_reply_trees, op13_phrase_collocations)}
+    return {f.__name__: f for f in (op1_suffix_array_dedup, op2_mix_sources, op3_minhash_near_dedup, op4_harmonic_packing, op5_quality_rules, op6_warc, op7_substring_dedup, op8_token_store, op9_telephony_audio, op10_quality_classifier, op11_conversation_repair, op12_reply_trees, op13_phrase_collocations)}
 
 
 _WORDS = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
@@ -117,4 +121,4 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mix_sources": mixing.MIX_SQL, "op3_minhash_near_dedup": _OP3_SQL, "op6_warc": _OP6_SQL, "op7_substring_dedup": _OP7_SQL, "op12_reply_trees": reply_trees.FORMAT_SQL, "op13_phrase_collocations": collocations.COLLOCATION_SQL}
+    return {"op2_mix_sources": mixing.MIX_SQL, "op3_minhash_near_dedup": _OP3_SQL, "op6_warc": _OP6_SQL, "op7_substring_dedup": _OP7_SQL, "op11_conversation_repair": conversation_repair.REPAIR_SQL, "op12_reply_trees": reply_trees.FORMAT_SQL, "op13_phrase_collocations": collocations.COLLOCATION_SQL}
