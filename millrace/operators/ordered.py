@@ -119,17 +119,22 @@ def along(df: DataFrame, keys: list[str], order: str, tie: list[str], reach: int
 def moving_avg(df: DataFrame, *, key: str, order: str, tie: list[str], value: str, size: int = 1000, out: str = "moving_avg", rows: int | None = None) -> DataFrame:
     """Mean of the last ``size`` values of a key, the current one included; nulls among them count nothing.
 
-    Short frames are taken as they are; long ones as the difference of two running sums, so that work doesn't grow with the size.
+    A key's numbered rows are cut into stretches of ``size``. A frame is the end of one stretch and the beginning of the next, so that two
+    running sums, forward and backward inside stretches, give it by one addition: work doesn't grow with the size, nothing is
+    subtracted, and NaN, infinity or a large value touches the frames that hold it and no other.
     """
-    lines, w = along(df, [key], order, tie, size, rows=rows)
-    if size <= 32:
-        mean = F.avg(value).over(w.rowsBetween(1 - size, 0))
-    else:
-        sums = F.sum(F.coalesce(F.col(value).cast("double"), F.lit(0.0))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        counts = F.count(value).over(w.rowsBetween(Window.unboundedPreceding, 0))
-        lines = lines.withColumn("_s", sums).withColumn("_c", counts)
-        mean = F.try_divide(F.col("_s") - F.coalesce(F.lag("_s", size).over(w), F.lit(0.0)), F.col("_c") - F.coalesce(F.lag("_c", size).over(w), F.lit(0)))
-    return only_own(lines.withColumn(out, mean)).drop("_s", "_c", "n")
+    blocks = block_count(df, rows)
+    lines = numbered(df, [key], order, tie, out="_n", rows=rows, blocks=blocks).withColumn("_stretch", F.floor((F.col("_n") - 1) / size))
+    value_, one = F.col(value).cast("double"), F.when(F.col(value).isNotNull(), 1).otherwise(0).cast("long")
+    w = _over([key], "_stretch")
+    ahead, back = (w.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("_n"), F.desc("_n")))
+    sums = lines.select("*", F.sum(value_).over(ahead).alias("_s"), F.sum(one).over(ahead).alias("_c"), F.struct(F.sum(value_).over(back).alias("s"), F.sum(one).over(back).alias("c")).alias("_tail"))
+    framed_, w = framed(sums, [key], size - 1, n="_n", rows=rows, blocks=blocks)
+    # the stretch before, from the frame's first row on; a frame that ends with its stretch is all of it
+    tail = F.when(F.col("_n") % size != 0, F.lag("_tail", size - 1).over(w)) if size > 1 else F.lit(None).cast("struct<s: double, c: bigint>")
+    found = only_own(framed_.withColumn("_tail", tail))
+    total = F.when(F.col("_tail.s").isNull(), F.col("_s")).otherwise(F.coalesce("_s", F.lit(0.0)) + F.col("_tail.s"))
+    return found.withColumn(out, F.try_divide(total, F.col("_c") + F.coalesce("_tail.c", F.lit(0)))).drop("_n", "_stretch", "_s", "_c", "_tail")
 
 
 def filter_spike(df: DataFrame, *, value: str, mean: str = "moving_avg", threshold: float = 0.25) -> DataFrame:

@@ -110,6 +110,11 @@ class SpeedGate:
             self.total, self.squares = self.total - gone, self.squares - gone * gone
 
 
+def same_key(a, b) -> bool:
+    """Keys as a grouping has them: null is a key, and NaN is one as well."""
+    return a == b or (a != a and b != b)
+
+
 def ordered_scan(df: DataFrame, scan: Callable, *, key: str, order: list[str], schema: T.StructType) -> DataFrame:
     """Run a state machine over each key's rows in order, an Arrow batch at a time; one key's state at a time is held.
 
@@ -123,16 +128,17 @@ def ordered_scan(df: DataFrame, scan: Callable, *, key: str, order: list[str], s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         started, last, state = False, None, None
         for batch in batches:
-            keys, lo = batch.column(place).to_pylist(), 0
-            while lo < len(keys):
+            keys = batch.column(place).to_pylist()
+            bounds = [0, *(i for i in range(1, len(keys)) if not same_key(keys[i - 1], keys[i])), len(keys)]
+            for lo, hi in zip(bounds, bounds[1:]):
+                if lo == hi:
+                    continue
                 k = keys[lo]
-                hi = len(keys) if keys[-1] == k else lo + next(i for i, x in enumerate(keys[lo:]) if x != k)
-                if not started or k != last:
+                if not started or not same_key(k, last):
                     started, last, state = True, k, None
                 state, columns = scan(state, k, batch.slice(lo, hi - lo))
                 if columns and len(columns[0]):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
-                lo = hi
 
     return df.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)
 

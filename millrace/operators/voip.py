@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ratio_score, safe_ratio
-from .ads import sized
-from .ordered import asof_latest, block_count, decayed, decayed_sums, ewma_global
+from .ordered import asof_latest, block_count, decayed, decayed_sums, ewma_global, numbered
 
 #: Decay of a second, for short and day-long rates.
 BETA, BETA_DAY = 0.9672, 0.9917
@@ -28,13 +27,13 @@ def dup_by_role(calls: DataFrame) -> DataFrame:
     return calls.withColumn("r", F.explode(roles)).select(*calls.columns, "r.role", "r.party")
 
 
-def new_pair_flag(calls: DataFrame) -> DataFrame:
-    """Calls with ``new_callee``: the first of their caller and callee. An aggregate finds firsts, so that a busy pair is no hot task.
+def new_pair_flag(calls: DataFrame, *, rows: int | None = None) -> DataFrame:
+    """Calls with ``new_callee``: the first of their caller and callee by time and id.
 
-    A null caller or callee makes a pair like any other.
+    A pair's calls are numbered, so that repeated and null ids keep their own rows; a busy pair is split like any hot key. A null caller
+    or callee makes a pair like any other, and calls without a time come first.
     """
-    first = calls.groupBy("calling", "called").agg(F.min(F.struct("answer_ts", "call_id")).alias("_first")).select(F.col("_first.call_id").alias("call_id"), F.lit(True).alias("_new"))
-    return calls.join(sized(first), "call_id", "left").select(*calls.columns, F.coalesce("_new", F.lit(False)).alias("new_callee"))
+    return numbered(calls, ["calling", "called"], "answer_ts", ["call_id"], out="_n", rows=rows).withColumn("new_callee", F.col("_n") == 1).drop("_n")
 
 
 def decayed_count(calls: DataFrame, *, beta: float = BETA, out: str = "rate", new_only: bool = False) -> DataFrame:
@@ -82,6 +81,16 @@ def acd_score(ct24: DataFrame, ecr24: DataFrame, calls: DataFrame) -> DataFrame:
     return latest.withColumn("acd", ratio_score(*BOUNDS["acd"], safe_ratio(safe_ratio(F.col("ct24"), F.col("ecr24")), F.col("global_acd"))))
 
 
+def acd_scores(calls: DataFrame, *, rows: int | None = None) -> DataFrame:
+    """``acd_score`` of flagged calls from one pass over each caller's timeline, the global mean standing beside each call."""
+    blocks = block_count(calls, rows)
+    timed = global_acd(calls).where("established")
+    amounts = {"ecr24": _unit(BETA_DAY), "ct24": F.when(F.col("new_callee"), F.col("duration")).otherwise(0) * _unit(BETA_DAY)}
+    both = decayed_sums(timed, keys=["calling"], amounts=amounts, beta=BETA_DAY, rows=rows, blocks=blocks, **_ORDER).where("new_callee")
+    acd = ratio_score(*BOUNDS["acd"], safe_ratio(safe_ratio(F.col("ct24"), F.col("ecr24")), F.col("global_acd")))
+    return both.select("calling", "answer_ts", "call_id", "ct24", "ecr24", "global_acd", acd.alias("acd"))
+
+
 def score_join3(fofir: DataFrame, url: DataFrame, acd: DataFrame, *, compat_emit_zeros: bool = False) -> DataFrame:
     """Weighted sum of a call's three scores, once all are there.
 

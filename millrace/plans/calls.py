@@ -122,9 +122,7 @@ def url_score(spark, sf):
 
 @query(f"WITH {_FLAGGED}, {_CT24}, {_ECR24}, {_GLOBAL}, {_ACD} SELECT call_id, round(acd, 5) AS acd FROM acd")
 def acd_score(spark, sf):
-    calls = _rates(spark, sf)
-    df = voip.acd_score(voip.decayed_sum(calls, out="ct24"), voip.decayed_count(calls, beta=voip.BETA_DAY, out="ecr24"), calls)
-    return df.select("call_id", F.round("acd", 5).alias("acd"))
+    return voip.acd_scores(_rates(spark, sf)).select("call_id", F.round("acd", 5).alias("acd"))
 
 
 _ALL = f"WITH {_FLAGGED}, {_ECR}, {_ECR24}, {_ENCR}, {_CT24}, {_RCR}, {_GLOBAL}, {_FOFIR}, {_URL}, {_ACD} SELECT call_id, calling, answer_ts, round(2 * fofir + 3 * url + 3 * acd, 4) AS score FROM fofir JOIN url USING (call_id, calling, answer_ts) JOIN acd USING (call_id, calling, answer_ts)"
