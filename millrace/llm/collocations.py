@@ -4,9 +4,9 @@ Every word opens one window of ``longest`` words of its piece, padded with nulls
 shifting the words against themselves. Only those windows are counted; ROLLUP then sums them by ever shorter prefixes. A phrase's
 windows are the windows that it begins, so that its sum is the number of its occurrences, and phrases of each length needn't be made apart.
 
-Most windows go on beyond what can be a candidate. A first pass counts neighbouring words in a table of hashes of fixed size; in
-the second a window is padded from the first pair on whose place in the table was met less than ``min_count`` times. Such a pair, and any
-phrase that holds it, is rarer still, so that no count of a frequent phrase changes; pairs that share a place are only kept in vain.
+Most windows go on beyond what can be a candidate. A first pass counts neighbouring words by hash, and those met ``min_count`` times set bits of
+a filter of fixed size; in the second a window is padded from the first pair on that the filter doesn't have. Such a pair, and any phrase that
+holds it, is rarer still, so that no count of a frequent phrase changes; what the filter has wrongly is only kept in vain.
 """
 
 from __future__ import annotations
@@ -29,8 +29,12 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _CUT = 0xFF  # no byte of UTF-8
 _LOWER = bytes.maketrans(bytes(range(65, 91)) + PIECE_ENDS, bytes(range(97, 123)) + bytes([_CUT]) * len(PIECE_ENDS))
 _IS_WORD = np.array([b not in (0x20, 0x09, _CUT) for b in range(256)])
-#: Bits of a place in the table of pairs (a bit each, 8 MB, goes to every worker), and of one inside its block.
-PLACE_BITS, BLOCK_BITS = 26, 18
+#: Bits of the filter of frequent pairs (32 MB, which every worker gets), bits that a pair sets, and bits of its hash.
+FILTER_BITS, SET_BITS, HASH_BITS = 28, 3, 44
+#: Least and most blocks that hashes are counted in, as powers of two; eight for a partition of the input.
+FEWEST, MOST = 8, 16
+#: Odd multipliers, from 2**64 over the golden ratio on.
+_ODD = [np.uint64(0x9E3779B97F4A7C15 + 2 * i * 0x632BE59BD9B4E019 & 0xFFFFFFFFFFFFFFFF | 1) for i in range(SET_BITS + 1)]
 #: Parts that each language's phrases are dealt to before the best of all are taken.
 DEALT = 64
 
@@ -51,16 +55,28 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     return words, of, np.cumsum(text == _CUT)[starts] + of
 
 
-def pair_places(coded: pa.DictionaryArray, langs: np.ndarray, lang_names: pa.Array, pieces: np.ndarray) -> np.ndarray:
-    """The place in the table of each word with the next one of its piece; -1 where the piece ends."""
+def pair_hashes(coded: pa.DictionaryArray, langs: np.ndarray, lang_names: pa.Array, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of ``HASH_BITS`` bits of each word with the next one in its language, and whether that one is of its piece."""
     hashed = lambda values: pd.util.hash_array(values.to_numpy(zero_copy_only=False).astype(object), categorize=False)
     word = hashed(coded.dictionary)[coded.indices.to_numpy()]
-    odd = np.uint64(0x9E3779B97F4A7C15)  # 2**64 over the golden ratio
-    out = np.full(len(word), -1, np.int64)
-    mixed = (word[:-1] * odd + word[1:]) ^ hashed(lang_names)[langs[:-1]]
-    mixed = (mixed ^ (mixed >> np.uint64(29))) * odd
-    out[:-1] = np.where(pieces[:-1] == pieces[1:], (mixed >> np.uint64(64 - PLACE_BITS)).astype(np.int64), -1)
-    return out
+    out = np.zeros(len(word), np.uint64)
+    mixed = (word[:-1] * _ODD[0] + word[1:]) ^ hashed(lang_names)[langs[:-1]]
+    out[:-1] = ((mixed ^ (mixed >> np.uint64(29))) * _ODD[0]) >> np.uint64(64 - HASH_BITS)
+    return out, np.append(pieces[:-1] == pieces[1:], False)
+
+
+def _bits_of(hashes: np.ndarray, block_bits: int) -> list[np.ndarray]:
+    """The bits that hashes set: all in the part of the filter that belongs to their block, the upper bits of the hash."""
+    size = FILTER_BITS - block_bits
+    block = (hashes >> np.uint64(HASH_BITS - block_bits)) << np.uint64(size)
+    return [(block | ((hashes + np.uint64(1)) * odd >> np.uint64(64 - size))).astype(np.int64) for odd in _ODD[1:]]
+
+
+def is_frequent(bits: np.ndarray, hashes: np.ndarray, block_bits: int) -> np.ndarray:
+    found = np.ones(len(hashes), bool)
+    for at in _bits_of(hashes, block_bits):
+        found &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
+    return found
 
 
 def count_windows(coded: pa.DictionaryArray, langs: np.ndarray, goes_on: np.ndarray, longest: int) -> tuple[np.ndarray, list[pa.Array], np.ndarray]:
@@ -102,44 +118,68 @@ def _texts(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     return docs.select(F.col(f"`{text_col}`").cast("string").alias("t"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("l"))
 
 
-def frequent_pairs(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", min_count: int = 10) -> np.ndarray:
-    """The table of pairs: a bit for each place that was met ``min_count`` times or more, 8 MB whatever the corpus.
+def _summed(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys_, sums_ = np.concatenate(keys), np.concatenate(sums)
+    order = np.argsort(keys_, kind="stable")
+    keys_, sums_ = keys_[order], sums_[order]
+    first = np.flatnonzero(np.append(True, keys_[1:] != keys_[:-1])) if len(keys_) else np.zeros(0, np.int64)
+    return keys_[first], np.add.reduceat(sums_, first) if len(first) else sums_
 
-    Parts send their sorted places with counts, block by block; a task that adds up blocks holds them as plain counters while rows stream by.
+
+def frequent_pairs(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", min_count: int = 10) -> tuple[np.ndarray, int]:
+    """A filter that has every pair of neighbouring words met ``min_count`` times or more, 32 MB whatever the corpus, and its block bits.
+
+    Parts send sorted hashes with counts, block by block; a task adds up one block at a time while rows stream by.
     """
-    inside = (1 << BLOCK_BITS) - 1
+    texts = _texts(docs, text_col, lang_col)
+    block_bits = min(MOST, max(FEWEST, (8 * texts.rdd.getNumPartitions() - 1).bit_length()))
+    inside = np.uint64((1 << (HASH_BITS - block_bits)) - 1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for coded, langs, pieces, names in _parts(batches):
-            places, counts = np.unique(pair_places(coded, langs, names, pieces), return_counts=True)
-            places, counts = places[places >= 0], counts[places >= 0].astype(np.uint32)
-            blocks, first = np.unique(places >> BLOCK_BITS, return_index=True)
-            ends = [*first[1:], len(places)][: len(first)]
-            cells = [pack_keys((places[a:b] & inside).astype(np.uint64)) for a, b in zip(first, ends, strict=True)]
+            hashes, followed = pair_hashes(coded, langs, names, pieces)
+            hashes, counts = np.unique(hashes[followed], return_counts=True)
+            counts = counts.astype(np.uint32)
+            blocks, first = np.unique(hashes >> np.uint64(HASH_BITS - block_bits), return_index=True)
+            ends = [*first[1:], len(hashes)][: len(first)]
+            cells = [pack_keys(hashes[a:b] & inside) for a, b in zip(first, ends, strict=True)]
             sums = [np.ascontiguousarray(counts[a:b].view(np.uint8).reshape(-1, 4).T).tobytes() for a, b in zip(first, ends, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int64()), pa.array(cells, pa.binary()), pa.array(sums, pa.binary())], names=["block", "cells", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(blocks.astype(np.int64)), pa.array(cells, pa.binary()), pa.array(sums, pa.binary())], names=["block", "cells", "sums"])
+
+    def whole(block: int, keys: list[np.ndarray], sums: list[np.ndarray]) -> pa.RecordBatch:
+        cells, counts = _summed(keys, sums)
+        at = np.concatenate(_bits_of(cells[counts >= min_count] | np.uint64(block << (HASH_BITS - block_bits)), block_bits))
+        bits = np.zeros(1 << (FILTER_BITS - block_bits), bool)
+        bits[at & ((1 << (FILTER_BITS - block_bits)) - 1)] = True
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["block", "bits"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        now, keys, sums, held = None, [], [], 0
         for batch in batches:
-            for block, cells, sums in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                table = held.setdefault(block, np.zeros(1 << BLOCK_BITS, np.int64))
-                table[unpack_keys(cells).astype(np.int64)] += np.ascontiguousarray(np.frombuffer(sums, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-        for block, table in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([np.packbits(table >= min_count).tobytes()], pa.binary())], names=["block", "bits"])
-
-    sent = _texts(docs, text_col, lang_col).mapInArrow(count, "block long, cells binary, sums binary")
-    bits = np.zeros(1 << (PLACE_BITS - 3), np.uint8)
-    step = 1 << (BLOCK_BITS - 3)
-    for row in sent.repartition("block").mapInArrow(add, "block long, bits binary").toLocalIterator():
+            for block, cells, counts in zip(*batch.columns, strict=True):
+                if block.as_py() != now:
+                    if keys:
+                        yield whole(now, keys, sums)
+                    now, keys, sums, held = block.as_py(), [], [], 0
+                keys.append(unpack_keys(cells.as_py()))
+                sums.append(np.ascontiguousarray(np.frombuffer(counts.as_py(), np.uint8).reshape(4, -1).T).view(np.uint32).ravel().astype(np.int64))
+                if sum(map(len, keys[1:])) > max(held, 1 << 20):
+                    one, total = _summed(keys, sums)
+                    keys, sums, held = [one], [total], len(one)
+        if keys:
+            yield whole(now, keys, sums)
+
+    sent = texts.mapInArrow(count, "block long, cells binary, sums binary")
+    bits, step = np.zeros(1 << (FILTER_BITS - 3), np.uint8), 1 << (FILTER_BITS - 3 - block_bits)
+    for row in sent.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block long, bits binary").toLocalIterator():
         bits[row.block * step : (row.block + 1) * step] = np.frombuffer(row.bits, np.uint8)
-    return bits
+    return bits, block_bits
 
 
-def longest_windows(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 3, pairs: np.ndarray | None = None) -> DataFrame:
+def longest_windows(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 3, pairs: tuple[np.ndarray, int] | None = None) -> DataFrame:
     """Padded windows with counts: lang, w1 to w<longest>, c. A window comes once for each part of some megabytes that holds it.
 
-    Given the table of ``frequent_pairs``, windows are padded from the first rare pair on.
+    Given the filter of ``frequent_pairs``, windows are padded from the first rare pair on.
     """
     names = [f"w{i + 1}" for i in range(longest)]
     schema = T.StructType([T.StructField("lang", T.StringType()), *[T.StructField(n, T.StringType()) for n in names], T.StructField("c", T.LongType())])
@@ -147,10 +187,9 @@ def longest_windows(docs: DataFrame, *, text_col: str = "text", lang_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for coded, codes, pieces, kinds in _parts(batches):
-            goes_on = np.append(pieces[:-1] == pieces[1:], False)
+            hashes, goes_on = pair_hashes(coded, codes, kinds, pieces)
             if sent is not None:
-                places = pair_places(coded, codes, kinds, pieces)
-                goes_on &= (sent.value[places >> 3] >> (7 - (places & 7)).astype(np.uint8)) & 1 > 0
+                goes_on &= is_frequent(sent.value[0], hashes, sent.value[1])
             langs, columns, counts = count_windows(coded, codes, goes_on, longest)
             yield pa.RecordBatch.from_arrays([kinds.take(pa.array(langs)), *columns, pa.array(counts, pa.int64())], names=["lang", *names, "c"])
 
