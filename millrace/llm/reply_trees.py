@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -72,14 +73,15 @@ def _tree_key(columns: list[str]) -> Column:
 def _reaches(nodes: DataFrame) -> list[DataFrame]:
     """Tables by round k: _t, _id, _up (the ancestor 2**k above, null beyond the root), _d and _s (messages from there down, and their scores).
 
-    Ends when no message has an ancestor so far up; after as many rounds as the number of messages can need, what is left hangs on a cycle.
+    A round has the messages that had an ancestor in the round before. Ends when none has one so far up; after as many rounds as the
+    number of messages can need, what is left hangs on a cycle.
     """
     now = stored(nodes.select("_t", "_id", "_up", F.lit(1).cast("long").alias("_d"), F.col("_score").alias("_s")), "reach-0")
     tables, most = [now], max(1, now.count()).bit_length()
     while len(tables) <= most and not now.where("_up is not null").isEmpty():
-        a, b = now.alias("a"), now.alias("b")
-        met = a.join(b, (F.col("a._t") == F.col("b._t")) & (F.col("a._up") == F.col("b._id")), "left")
-        now = stored(met.select("a._t", "a._id", "b._up", (F.col("a._d") + F.coalesce("b._d", F.lit(0))).alias("_d"), (F.col("a._s") + F.coalesce("b._s", F.lit(0.0))).alias("_s")), f"reach-{len(tables)}")
+        a, b = now.where("_up is not null").alias("a"), reduce(DataFrame.unionByName, [now, *(t.where("_up is null") for t in tables[:-1])]).alias("b")
+        met = a.join(b, (F.col("a._t") == F.col("b._t")) & (F.col("a._up") == F.col("b._id")))
+        now = stored(met.select("a._t", "a._id", "b._up", (F.col("a._d") + F.col("b._d")).alias("_d"), (F.col("a._s") + F.col("b._s")).alias("_s")), f"reach-{len(tables)}")
         tables.append(now)
     return tables
 
@@ -98,7 +100,7 @@ def root_to_leaf_paths(messages: DataFrame, *, tree: list[str], id_col: str, par
     a, b = ids.alias("a"), known.alias("b")
     nodes = a.join(b, (F.col("a._t") == F.col("b._t")) & (F.col("a._parent") == F.col("b._up")), "left").select("a._t", "a._id", "b._up", "a._score")
     reaches = _reaches(nodes)
-    whole = reaches[-1].where("_up is null").select("_t", "_id", (F.col("_s") / F.col("_d")).alias("branch_score"))
+    whole = reduce(DataFrame.unionByName, [t.where("_up is null") for t in reaches]).select("_t", "_id", (F.col("_s") / F.col("_d")).alias("branch_score"))
     replied = reaches[0].where("_up is not null").select("_t", F.col("_up").alias("_id")).distinct()
     leaves = whole.join(replied, ["_t", "_id"], "left_anti").withColumn("_worse", -F.col("branch_score"))
     ranked = numbered(leaves, ["_t"], "_worse", ["_id"], out="branch_rank").drop("_worse")
