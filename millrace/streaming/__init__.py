@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import ads
@@ -67,9 +68,8 @@ class Stepper(StatefulProcessor):
         make = {"value": handle.getValueState, "list": handle.getListState, "map": handle.getMapState}[self.kind]
         self.state = make("state", *self.schemas, self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(rows).sort_values(self.order)
-        columns = {c: pdf[c].tolist() for c in pdf.columns}
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        columns = ordered_columns(pd.concat(rows), self.order)
         if self.kind == "value":
             held = tuple(self.state.get()) if self.state.exists() else None
         elif self.kind == "list":
@@ -81,15 +81,37 @@ class Stepper(StatefulProcessor):
             self.state.update(held)
         elif held is not None and self.kind == "list":
             self.state.put(held)
-        yield pd.DataFrame(dict(zip(self.names, out, strict=True)), columns=self.names)
+        yield pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(self.names, out, strict=True)}, columns=self.names)
 
     def close(self) -> None:
         pass
 
 
+def with_null_marks(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Numbers that may be null with a mark of their own beside a zero: pandas would turn them to NaN, and long ids to doubles."""
+    numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.nullable and f.name not in keys]
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast(df.schema[c].dataType)).alias(c)
+    return df.select(*[zero(c) if c in numbers else c for c in df.columns], *[F.col(c).isNull().alias(f"absent_{c}") for c in numbers])
+
+
+def ordered_columns(pdf: pd.DataFrame, order: list[str]) -> dict[str, list]:
+    """Rows of ``with_null_marks`` in order, nulls first, as lists with None for null."""
+    by = [x for c in order for x in ((f"absent_{c}", False), (c, True)) if x[0] in pdf.columns]
+    pdf = pdf.sort_values([c for c, _ in by], ascending=[up for _, up in by], kind="stable") if by else pdf
+    columns = {c: pdf[c].tolist() for c in pdf.columns if not c.startswith("absent_")}
+    for c in columns:
+        if f"absent_{c}" in pdf.columns:
+            columns[c] = [None if gone else v for v, gone in zip(columns[c], pdf[f"absent_{c}"].tolist(), strict=True)]
+    return columns
+
+
+def kind_of(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def _stateful(df: DataFrame, keys: list[str], state: tuple, order: list[str], scan: Callable, schema: str, ttl_ms: int | None = None) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
-    return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=Stepper(state, order, scan, names, ttl_ms), outputStructType=schema, outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None")
+    return with_null_marks(df, keys).groupBy(*keys).transformWithStateInPandas(statefulProcessor=Stepper(state, order, scan, names, ttl_ms), outputStructType=schema, outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
 def timed(rows: DataFrame, *, mode: str = "event", time: str | None = None, out: str = "at") -> DataFrame:
@@ -112,7 +134,7 @@ def anchored_counts(rows: DataFrame, *, key: str, time: str, order: list[str], l
         counts, triggers = window.take([int(t) for t in columns[time]])
         return (window.start, window.count), ([k[0]] * len(counts), counts, triggers)
 
-    return _stateful(rows.where(F.col(time).isNotNull()), [key], ("value", "start long, count long"), order, scan, f"{key} long, count long, trigger_ts long", ttl_ms)
+    return _stateful(rows.where(F.col(time).isNotNull()), [key], ("value", "start long, count long"), order, scan, f"{key} {kind_of(rows, key)}, count long, trigger_ts long", ttl_ms)
 
 
 def gated_speeds(rows: DataFrame, *, order: list[str], ttl_ms: int | None = None) -> DataFrame:
@@ -123,83 +145,86 @@ def gated_speeds(rows: DataFrame, *, order: list[str], ttl_ms: int | None = None
         made = [gate.step(int(s)) for s in columns["speed"]]
         return (gate.speeds, gate.mean), ([k[0]] * len(made), [m for m, _ in made], [n for _, n in made], columns[order[0]])
 
-    return _stateful(rows.where("speed is not null"), ["road_id"], ("value", "speeds array<int>, mean int"), order, scan, "road_id long, average_speed int, count int, seq long", ttl_ms)
+    return _stateful(rows.where("speed is not null"), ["road_id"], ("value", "speeds array<int>, mean int"), order, scan, f"road_id {kind_of(rows, 'road_id')}, average_speed int, count int, seq {kind_of(rows, order[0])}", ttl_ms)
 
 
 def decayed_counts(rows: DataFrame, *, key: str, time: str, order: list[str], amount: str, beta: float, ttl_ms: int | None = None) -> DataFrame:
-    """The stream twin of ``decayed``: one sum and its time for each key."""
+    """The stream twin of ``decayed``: one sum and its time for each key. A null amount counts 0; a row without a time gets null."""
 
     def scan(state, k, columns):
         value, last, out = *(state or (0.0, None)), []
         for at, x in zip(columns[time], columns[amount], strict=True):
-            value, last = float(x) + (value * beta ** (at - last) if last is not None else 0.0), int(at)
-            out.append(value)
-        return (value, last), ([k[0]] * len(out), columns[order[-1]], out)
+            if at is not None:
+                value, last = float(x or 0.0) + (value * beta ** (at - last) if last is not None else 0.0), int(at)
+            out.append(None if at is None else value)
+        return None if last is None else (value, last), ([k[0]] * len(out), columns[order[-1]], out)
 
-    return _stateful(rows, [key], ("value", "value double, at long"), order, scan, f"{key} long, row_id long, value double", ttl_ms)
+    return _stateful(rows, [key], ("value", "value double, at long"), order, scan, f"{key} {kind_of(rows, key)}, row_id {kind_of(rows, order[-1])}, value double", ttl_ms)
 
 
 def moving_averages(rows: DataFrame, *, key: str, value: str, order: list[str], size: int = 1000, ttl_ms: int | None = None) -> DataFrame:
-    """The stream twin of ``moving_avg``: a list of the last values for each key."""
+    """The stream twin of ``moving_avg``: a list of the last values for each key; nulls take a place in it and count nothing."""
 
     def scan(state, k, columns):
-        line = [v for (v,) in state] + [float(v) for v in columns[value]]
-        sums = np.concatenate([[0.0], np.cumsum(line)])
-        ends = np.arange(len(state) + 1, len(line) + 1)
-        begins = np.maximum(ends - size, 0)
-        return [(v,) for v in line[-size:]], ([k[0]] * len(ends), columns[order[-1]], ((sums[ends] - sums[begins]) / (ends - begins)).tolist())
+        now = columns[value]
+        known = np.array([False] * (size - 1) + [f for _, f in state[1 - size :] if size > 1] + [v is not None for v in now])
+        line = np.array([0.0] * (size - 1) + [v for v, _ in state[1 - size :] if size > 1] + [float(v or 0.0) for v in now])
+        frames = lambda x: np.lib.stride_tricks.sliding_window_view(x, size)[-len(now) :].sum(axis=1)
+        sums, counts = frames(line), frames(known)
+        means = [float(s) / int(n) if n else None for s, n in zip(sums, counts, strict=True)]
+        held = [(float(v), bool(f)) for v, f in zip(line[size - 1 :], known[size - 1 :], strict=True)]
+        return held[1 - size :] if size > 1 else [], ([k[0]] * len(now), columns[order[-1]], means)
 
-    return _stateful(rows.where(F.col(value).isNotNull()), [key], ("list", "value double"), order, scan, f"{key} long, row_id long, moving_avg double", ttl_ms)
+    return _stateful(rows, [key], ("list", "value double, known boolean"), order, scan, f"{key} {kind_of(rows, key)}, row_id {kind_of(rows, order[-1])}, moving_avg double", ttl_ms)
 
 
 def seen_callees(rows: DataFrame, *, order: list[str], ttl_ms: int | None = None) -> DataFrame:
-    """The stream twin of ``new_pair_flag``: a map of each caller's callees, forgotten ``ttl_ms`` after they were first seen."""
+    """The stream twin of ``new_pair_flag``: a map of each caller's callees, forgotten ``ttl_ms`` after they were first seen. A null callee is one."""
 
     def scan(seen, k, columns):
         flags = []
-        for callee in columns["called"]:
+        for callee in map(str, columns["called"]):
             new = not seen.containsKey((callee,))
             if new:
                 seen.updateValue((callee,), (True,))
             flags.append(new)
         return None, ([k[0]] * len(flags), columns["called"], columns[order[-1]], flags)
 
-    return _stateful(rows, ["calling"], ("map", "called long", "seen boolean"), order, scan, "calling long, called long, row_id long, new_callee boolean", ttl_ms)
+    return _stateful(rows, ["calling"], ("map", "called string", "seen boolean"), order, scan, f"calling {kind_of(rows, 'calling')}, called {kind_of(rows, 'called')}, row_id {kind_of(rows, order[-1])}, new_callee boolean", ttl_ms)
 
 
 def global_means(rows: DataFrame, *, value: str, order: list[str], age: float = 86400.0, warm: float = 10.0) -> DataFrame:
-    """The stream twin of ``ewma_global``: the whole stream is one key with two numbers of state, so one task takes each micro-batch."""
+    """The stream twin of ``ewma_global``: the whole stream is one key with two numbers of state, so one task takes each micro-batch. A null value counts 0."""
     alpha = 2 / (age + 1)
 
     def scan(state, k, columns):
         (run, mean), out = state or (0.0, None), []
         for v in columns[value]:
             if mean is None:
-                run += float(v)
+                run += float(v or 0.0)
                 mean = run if run > warm else None
             else:
-                mean = (1 - alpha) * mean + alpha * float(v)
+                mean = (1 - alpha) * mean + alpha * float(v or 0.0)
             out.append(mean if mean is not None and mean > warm else 0.0)
         return (run, mean), (columns[order[-1]], out)
 
-    one = rows.where(F.col(value).isNotNull()).withColumn("_all", F.lit(0))
-    return _stateful(one, ["_all"], ("value", "run double, mean double"), order, scan, "row_id long, average double")
+    return _stateful(rows.withColumn("_all", F.lit(0)), ["_all"], ("value", "run double, mean double"), order, scan, f"row_id {kind_of(rows, order[-1])}, average double")
 
 
 def segment_changes(reports: DataFrame, *, order: list[str], ttl_ms: int | None = None) -> DataFrame:
-    """The stream twin of the toll chain's first step: reports off the exit lane whose segment differs from the vehicle's last such report."""
+    """The stream twin of the toll chain's first step: reports off the exit lane whose segment differs from the vehicle's last such report, or that follow one without a segment."""
 
     def scan(state, k, columns):
         last, ids, segments = state[0] if state else None, [], []
         for i, s in zip(columns[order[-1]], columns["segment"], strict=True):
-            if s != last:
+            if last is None or (s is not None and s != last):
                 ids.append(i)
                 segments.append(s)
             last = s
         return (last,), ([k[0]] * len(ids), ids, segments)
 
-    rows = reports.where((F.col("lane") != EXIT_LANE) & F.col("segment").isNotNull())
-    return _stateful(rows, ["vid"], ("value", "segment long"), order, scan, "vid long, row_id long, segment long", ttl_ms)
+    rows = reports.where(F.col("lane") != EXIT_LANE)
+    return _stateful(rows, ["vid"], ("value", "segment long"), order, scan, f"vid {kind_of(rows, 'vid')}, row_id {kind_of(rows, order[-1])}, segment long", ttl_ms)
 
 
 def by_batch(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
@@ -215,16 +240,16 @@ def by_batch(rows: DataFrame, operator: Callable[[DataFrame], DataFrame], path:
 
 
 def tagged_late(rows: DataFrame, *, source: str, time: str, order: list[str], length: int, delay: int = 0) -> DataFrame:
-    """Every row of a source with ``late``: Spark itself only counts the rows that its watermark drops."""
+    """Every row of a source with ``late``: Spark itself only counts the rows that its watermark drops. A row without a time isn't late."""
 
     def scan(state, k, columns):
         top, flags = state[0] if state else None, []
-        for at in map(int, columns[time]):
-            flags.append(top is not None and (at // length + 1) * length <= top - delay)
-            top = at if top is None else max(at, top)
+        for at in columns[time]:
+            flags.append(at is not None and top is not None and (at // length + 1) * length <= top - delay)
+            top = at if top is None else max(at, top) if at is not None else top
         return (top,), ([k[0]] * len(flags), columns[order[-1]], flags)
 
-    return _stateful(rows, [source], ("value", "top long"), order, scan, f"{source} long, row_id long, late boolean")
+    return _stateful(rows, [source], ("value", f"top {kind_of(rows, time)}"), order, scan, f"{source} {kind_of(rows, source)}, row_id {kind_of(rows, order[-1])}, late boolean")
 
 
 def count_sink(df: DataFrame, name: str, checkpoint: str, *, stamp: str | None = None) -> tuple:

@@ -167,3 +167,46 @@ def test_rate_source(spark):
         assert all(r.ad_id == r.n % 7 and r.ad_type == r.n % 5 for r in rows) and len(rows) >= 20
     finally:
         q.stop()
+
+
+NULLS = "key string, called long, vid long, lane int, seq long, t long, v double, segment long, road_id long, speed int"
+
+
+def null_rows(n=60):
+    rng = random.Random(3)
+    maybe = lambda x: None if rng.random() < 0.15 else x
+    big = 2**60 + 1
+    return [(maybe(rng.choice("ab")), maybe(big + rng.randrange(3)), maybe(rng.randrange(2)), maybe(rng.randrange(3)), big + i, maybe(i), maybe(rng.randrange(40) / 2), maybe(rng.randrange(3)), maybe(rng.randrange(2)), maybe(50 + rng.randrange(9))) for i in range(n)]
+
+
+@pytest.mark.parametrize("name", ["decayed", "moving", "late", "means", "changes", "gate", "anchored", "callees"])
+def test_twins_equal_batch_under_nulls(spark, tmp_path, name):
+    from millrace.operators import road, voip
+
+    rows = null_rows()
+    stream, batch = feed(spark, tmp_path / "in", rows, NULLS, 3), spark.createDataFrame(rows, NULLS)
+    flat = lambda rs: sorted((tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rs), key=repr)
+    if name == "decayed":
+        got = streaming.decayed_counts(stream, key="key", time="t", order=["seq"], amount="v", beta=0.97).select("row_id", "value")
+        want = ordered.decayed(batch, keys=["key"], time="t", tie=["seq"], amount=F.col("v"), beta=0.97, out="c").select("seq", "c")
+    elif name == "moving":
+        got = streaming.moving_averages(stream, key="key", value="v", order=["seq"], size=5).select("row_id", "moving_avg")
+        want = ordered.moving_avg(batch, key="key", order="seq", tie=[], value="v", size=5).select("seq", "moving_avg")
+    elif name == "late":
+        got = streaming.tagged_late(stream.withColumn("src", F.lit("x")), source="src", time="v", order=["seq"], length=3).select("row_id", "late")
+        want = ads.late_rows(batch, time="v", order="seq", length=3).select("seq", "late")
+    elif name == "means":
+        got = streaming.global_means(stream, value="v", order=["seq"], age=9.0, warm=20.0)
+        want = ordered.ewma_global(batch, order="seq", tie=[], value="v", age=9.0, warm=20.0).select("seq", "average")
+    elif name == "changes":
+        got = streaming.segment_changes(stream, order=["seq"]).select("vid", "row_id", "segment")
+        want = road.segment_changes(batch, order="seq", tie="seq").select("vid", "seq", "segment")
+    elif name == "gate":
+        got, want = streaming.gated_speeds(stream, order=["seq"]), traffic.speed_outlier_gate(batch, order="seq")
+    elif name == "anchored":
+        got = streaming.anchored_counts(stream, key="key", time="t", order=["seq"], length=5)
+        want = traffic.win_anchored_count(batch, key="key", time="t", order="seq", length=5)
+    else:
+        got = streaming.seen_callees(stream.withColumnRenamed("key", "calling"), order=["seq"]).select("row_id", "called", "new_callee")
+        want = voip.new_pair_flag(batch.selectExpr("key as calling", "called", "seq as answer_ts", "seq as call_id")).select("call_id", "called", "new_callee")
+    assert flat(drain(spark, got, tmp_path, f"nulls_{name}")) == flat(want.collect())
