@@ -4,9 +4,9 @@ Every word opens one window of ``longest`` words of its piece, padded with nulls
 shifting the words against themselves. Only those windows are counted; ROLLUP then sums them by ever shorter prefixes. A phrase's
 windows are the windows that it begins, so that its sum is the number of its occurrences, and phrases of each length needn't be made apart.
 
-Most windows go on beyond what can be a candidate. A first pass counts neighbouring words by hash, and those met ``min_count`` times set bits of
-a filter of fixed size; in the second a window is padded from the first pair on that the filter doesn't have. Such a pair, and any phrase that
-holds it, is rarer still, so that no count of a frequent phrase changes; what the filter has wrongly is only kept in vain.
+Most windows go on beyond what can be a candidate. A first pass counts phrases of two words and more by hash, and those met ``min_count`` times
+set bits of a filter of fixed size; in the second a window is padded from the first word on with which it is no phrase of the filter. Such a
+phrase is rarer still, so that no count of a frequent one changes; what the filter has wrongly is only kept in vain.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _CUT = 0xFF  # no byte of UTF-8
 _LOWER = bytes.maketrans(bytes(range(65, 91)) + PIECE_ENDS, bytes(range(97, 123)) + bytes([_CUT]) * len(PIECE_ENDS))
 _IS_WORD = np.array([b not in (0x20, 0x09, _CUT) for b in range(256)])
-#: Bits of the filter of frequent pairs (32 MB, which every worker gets), bits that a pair sets, and bits of its hash.
+#: Bits of the filter of frequent phrases (32 MB, which every worker gets), bits that a phrase sets, and bits of its hash.
 FILTER_BITS, SET_BITS, HASH_BITS = 28, 3, 44
 #: Least and most blocks that hashes are counted in, as powers of two; eight for a partition of the input.
 FEWEST, MOST = 8, 16
@@ -55,14 +55,18 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     return words, of, np.cumsum(text == _CUT)[starts] + of
 
 
-def pair_hashes(coded: pa.DictionaryArray, langs: np.ndarray, lang_names: pa.Array, pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of ``HASH_BITS`` bits of each word with the next one in its language, and whether that one is of its piece."""
+def phrase_hashes(coded: pa.DictionaryArray, langs: np.ndarray, lang_names: pa.Array, pieces: np.ndarray, longest: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 2 words to ``longest``: a hash of ``HASH_BITS`` bits of the phrase that begins at each word, in its language, and whether its piece has it whole."""
     hashed = lambda values: pd.util.hash_array(values.to_numpy(zero_copy_only=False).astype(object), categorize=False)
     word = hashed(coded.dictionary)[coded.indices.to_numpy()]
-    out = np.zeros(len(word), np.uint64)
-    mixed = (word[:-1] * _ODD[0] + word[1:]) ^ hashed(lang_names)[langs[:-1]]
-    out[:-1] = ((mixed ^ (mixed >> np.uint64(29))) * _ODD[0]) >> np.uint64(64 - HASH_BITS)
-    return out, np.append(pieces[:-1] == pieces[1:], False)
+    phrase = word ^ hashed(lang_names)[langs]
+    for k in range(1, longest):
+        phrase, whole = phrase.copy(), np.zeros(len(word), bool)
+        if len(word) > k:
+            mixed = phrase[:-k] * _ODD[0] + word[k:]
+            phrase[:-k] = (mixed ^ (mixed >> np.uint64(29))) * _ODD[0]
+            whole[:-k] = pieces[:-k] == pieces[k:]
+        yield phrase >> np.uint64(64 - HASH_BITS), whole
 
 
 def _bits_of(hashes: np.ndarray, block_bits: int) -> list[np.ndarray]:
@@ -79,14 +83,14 @@ def is_frequent(bits: np.ndarray, hashes: np.ndarray, block_bits: int) -> np.nda
     return found
 
 
-def count_windows(coded: pa.DictionaryArray, langs: np.ndarray, goes_on: np.ndarray, longest: int) -> tuple[np.ndarray, list[pa.Array], np.ndarray]:
-    """Distinct padded windows: their language numbers, a column of words for each place (null from the first word on that isn't gone on to), and their counts."""
+def count_windows(coded: pa.DictionaryArray, langs: np.ndarray, goes_on: list[np.ndarray]) -> tuple[np.ndarray, list[pa.Array], np.ndarray]:
+    """Distinct padded windows: their language numbers, a column of words for each place (null from the first word on that a window doesn't go on to), and their counts."""
     ids, size = coded.indices.to_numpy().astype(np.int64), len(coded.dictionary) + 1
     leads = [ids + 1]
-    for k in range(1, longest):
+    for k, on in enumerate(goes_on, 1):
         lead = np.zeros(len(ids), np.int64)
         if len(ids) > k:
-            lead[:-k] = np.where(goes_on[k - 1 : -1] & (leads[-1][:-k] > 0), leads[0][k:], 0)
+            lead[:-k] = np.where(on[:-k] & (leads[-1][:-k] > 0), leads[0][k:], 0)
         leads.append(lead)
     key, span = langs.astype(np.int64), int(langs.max(initial=0)) + 1
     for lead in leads:
@@ -126,8 +130,8 @@ def _summed(keys: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray,
     return keys_[first], np.add.reduceat(sums_, first) if len(first) else sums_
 
 
-def frequent_pairs(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", min_count: int = 10) -> tuple[np.ndarray, int]:
-    """A filter that has every pair of neighbouring words met ``min_count`` times or more, 32 MB whatever the corpus, and its block bits.
+def frequent_phrases(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 3, min_count: int = 10) -> tuple[np.ndarray, int]:
+    """A filter that has every phrase of 2 to ``longest`` words met ``min_count`` times or more, 32 MB whatever the corpus, and its block bits.
 
     Parts send sorted hashes with counts, block by block; a task adds up one block at a time while rows stream by.
     """
@@ -137,8 +141,7 @@ def frequent_pairs(docs: DataFrame, *, text_col: str = "text", lang_col: str = "
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for coded, langs, pieces, names in _parts(batches):
-            hashes, followed = pair_hashes(coded, langs, names, pieces)
-            hashes, counts = np.unique(hashes[followed], return_counts=True)
+            hashes, counts = np.unique(np.concatenate([h[w] for h, w in phrase_hashes(coded, langs, names, pieces, longest)]), return_counts=True)
             counts = counts.astype(np.uint32)
             blocks, first = np.unique(hashes >> np.uint64(HASH_BITS - block_bits), return_index=True)
             ends = [*first[1:], len(hashes)][: len(first)]
@@ -176,21 +179,19 @@ def frequent_pairs(docs: DataFrame, *, text_col: str = "text", lang_col: str = "
     return bits, block_bits
 
 
-def longest_windows(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 3, pairs: tuple[np.ndarray, int] | None = None) -> DataFrame:
+def longest_windows(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", longest: int = 3, frequent: tuple[np.ndarray, int] | None = None) -> DataFrame:
     """Padded windows with counts: lang, w1 to w<longest>, c. A window comes once for each part of some megabytes that holds it.
 
-    Given the filter of ``frequent_pairs``, windows are padded from the first rare pair on.
+    Given the filter of ``frequent_phrases``, a window is padded from the word on that makes it a rare phrase.
     """
     names = [f"w{i + 1}" for i in range(longest)]
     schema = T.StructType([T.StructField("lang", T.StringType()), *[T.StructField(n, T.StringType()) for n in names], T.StructField("c", T.LongType())])
-    sent = docs.sparkSession.sparkContext.broadcast(pairs) if pairs is not None else None
+    sent = docs.sparkSession.sparkContext.broadcast(frequent) if frequent is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for coded, codes, pieces, kinds in _parts(batches):
-            hashes, goes_on = pair_hashes(coded, codes, kinds, pieces)
-            if sent is not None:
-                goes_on &= is_frequent(sent.value[0], hashes, sent.value[1])
-            langs, columns, counts = count_windows(coded, codes, goes_on, longest)
+            goes_on = [whole if sent is None else whole & is_frequent(sent.value[0], hashes, sent.value[1]) for hashes, whole in phrase_hashes(coded, codes, kinds, pieces, longest)]
+            langs, columns, counts = count_windows(coded, codes, goes_on)
             yield pa.RecordBatch.from_arrays([kinds.take(pa.array(langs)), *columns, pa.array(counts, pa.int64())], names=["lang", *names, "c"])
 
     return _texts(docs, text_col, lang_col).mapInArrow(run, schema)
@@ -218,8 +219,8 @@ def mine_collocations(docs: DataFrame, *, text_col: str = "text", lang_col: str
     A null text is empty, a null language ``und``; texts without words and empty tables give no rows; repeated rows count each
     time; other columns, whatever their names, aren't read. Counts up to 10**15 are exact.
     """
-    pairs = frequent_pairs(docs, text_col=text_col, lang_col=lang_col, min_count=min_count)
-    windows = longest_windows(docs, text_col=text_col, lang_col=lang_col, longest=longest, pairs=pairs)
+    frequent = frequent_phrases(docs, text_col=text_col, lang_col=lang_col, longest=longest, min_count=min_count)
+    windows = longest_windows(docs, text_col=text_col, lang_col=lang_col, longest=longest, frequent=frequent)
     f = stored(phrase_counts(windows, longest=longest, min_count=min_count), "phrases")
     candidates = f.where("n_words >= 2")
     words, phrase = F.split("phrase", " "), lambda from_, n: F.array_join(F.slice("w", from_, n), " ")

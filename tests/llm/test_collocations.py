@@ -86,8 +86,8 @@ def test_a_very_long_text_without_ends(spark):
     assert rows_of(mine_collocations(spark.createDataFrame(rows, "text string, lang string"))) == brute(rows)
 
 
-def test_the_filter_has_every_frequent_pair(spark, monkeypatch):
-    """Pairs that the filter has wrongly are kept in vain, none is lost."""
+def test_the_filter_has_every_frequent_phrase(spark, monkeypatch):
+    """Phrases that the filter has wrongly are kept in vain, none is lost."""
     import numpy as np
 
     import millrace.llm.collocations as m
@@ -95,10 +95,10 @@ def test_the_filter_has_every_frequent_pair(spark, monkeypatch):
     monkeypatch.setattr(m, "PART_BYTES", 700)
     rows = some_texts(11, 80)
     docs = spark.createDataFrame(rows, "text string, lang string").repartition(3)
-    bits, block_bits = m.frequent_pairs(docs, min_count=3)
-    assert 0 < np.unpackbits(bits).sum() < 2000 and len(bits) == 1 << (m.FILTER_BITS - 3)
+    bits, block_bits = m.frequent_phrases(docs, min_count=3)
+    assert 0 < np.unpackbits(bits).sum() < 6000 and len(bits) == 1 << (m.FILTER_BITS - 3)
     every = sorted(map(tuple, phrase_counts(longest_windows(docs), min_count=3).collect()))
     for pairs in ((bits, block_bits), (np.full_like(bits, 255), block_bits)):
-        assert sorted(map(tuple, phrase_counts(longest_windows(docs, pairs=pairs), min_count=3).collect())) == every
-    fewer = longest_windows(docs, pairs=(bits, block_bits)).where("w2 is not null").count()
+        assert sorted(map(tuple, phrase_counts(longest_windows(docs, frequent=pairs), min_count=3).collect())) == every
+    fewer = longest_windows(docs, frequent=(bits, block_bits)).where("w2 is not null").count()
     assert 0 < fewer < longest_windows(docs).where("w2 is not null").count()
