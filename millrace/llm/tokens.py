@@ -15,8 +15,8 @@ import numpy as np
 
 from . import common
 
-#: Words a worker keeps; beyond that the cache starts anew.
-CACHE_WORDS = 1_000_000
+#: Words a worker keeps and bytes of them and their ids; beyond either the cache starts anew. Longer words than LONGEST aren't kept.
+CACHE_WORDS, CACHE_BYTES, LONGEST = 1_000_000, 32 << 20, 256
 #: Stops at a word's end never join an ASCII letter or digit before them: such a word is its two parts, end to end.
 _STOPS, _LETTERS = b".,;:!?", frozenset(b"0123456789abcdefghijklmnopqrstuvwxyz")
 #: A capital that what follows may compose with.
@@ -42,6 +42,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.held = 0
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
@@ -50,14 +51,20 @@ class WordEncoder:
         """Ids of each text; about a megabyte of texts at once is best."""
         # special tokens are matched as they stand, so that texts that may hold one keep their case
         rows = [(r if b"<|" in r else lowered(r)).split() for r in raws]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        self._learn([w for w in set().union(*rows) if w not in self.known])
+        if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
+            self.known, self.held = {}, 0
+        new = self._learn([w for w in set().union(*rows) if w not in self.known])
         get = self.known.__getitem__
-        return [b"".join(map(get, r)) for r in rows]
+        out = [b"".join(map(get, r)) for r in rows]
+        for w in new:
+            if len(w) > LONGEST:
+                del self.known[w]
+            else:
+                self.held += len(w) + len(self.known[w])
+        return out
 
-    def _learn(self, new: list[bytes]) -> None:
-        """Encode words: those of letters only as one text, cut again at the ids that end a word; the others one by one."""
+    def _learn(self, new: list[bytes]) -> set[bytes]:
+        """Encode words: those of letters only as one text, cut again at the ids that end a word; the others one by one. Returns what is known since."""
         known, joined, todo = self.known, [], set()
         for w in new:
             base = w.rstrip(_STOPS)
@@ -69,6 +76,7 @@ class WordEncoder:
                 todo.add(w)
         self._encode(todo)
         known.update((w, known[a] + known[b]) for w, a, b in joined)
+        return todo.union(w for w, _, _ in joined)
 
     def _encode(self, new: set[bytes]) -> None:
         words, others = [], []

@@ -131,3 +131,29 @@ def test_minimal_perfect_hash(n):
 def test_empty_tables(nothing):
     assert packing.pack_documents(nothing, vocabulary()).count() == 0
     assert token_store.token_store_digest(nothing, vocabulary()).count() == 0
+
+
+def test_word_cache_is_bounded_by_bytes():
+    """Long words are encoded and not kept, with or without stops; short ones start anew beyond the bytes."""
+    import random
+
+    from millrace.llm import tokens
+    from millrace.llm.queries import vocabulary
+
+    rng = random.Random(1)
+    enc = tokens.WordEncoder(vocabulary())
+    junk = ["".join(rng.choice("abcxyz0189+/") for _ in range(20_000)) + rng.choice(["", ".", "!?"]) for _ in range(300)]
+    texts = [f"Short words here. {w} {w}" for w in junk]
+    for t in texts:
+        (ids,) = enc.encode([t.encode()])
+        assert len(ids) > 20_000
+    want = enc.tokenizer.encode(texts[0], add_special_tokens=False).ids
+    assert list(memoryview(enc.encode([texts[0].encode()])[0]).cast("I")) == want
+    assert sum(len(k) + len(v) for k, v in enc.known.items()) < 10_000 and max(map(len, enc.known)) <= tokens.LONGEST
+    before, tokens.CACHE_BYTES = tokens.CACHE_BYTES, 2000
+    try:
+        for i in range(50):
+            enc.encode([" ".join(f"w{i}x{j}" for j in range(40)).encode()])
+            assert sum(len(k) + len(v) for k, v in enc.known.items()) < 2000 + 40 * 60
+    finally:
+        tokens.CACHE_BYTES = before
