@@ -13,7 +13,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import DEGREE_METRES, planar_dist
+from ..sources.storage import stored
 from .ads import sized
+from .ordered import asof_latest, block_count, running
 
 #: Width of a road that gives none, and how far off the nearest road may lie, in metres.
 ROAD_WIDTH, NEAR = 5, 10
@@ -186,18 +188,48 @@ class AnchoredWindow:
         return counts, triggers
 
 
-def win_anchored_count(rows: DataFrame, *, key: str, time: str, order: str, length: int, tie: list[str] | None = None) -> DataFrame:
+def win_anchored_count(rows: DataFrame, *, key: str, time: str, order: str, length: int, tie: list[str] | None = None, block: int | None = None) -> DataFrame:
     """Windows that open at a row: a row at or past the end emits (key, count, its time) and opens the next; earlier rows than the start drop; the last window is not emitted.
 
-    ``order`` and ``tie`` tell rows apart; rows without a time take no part.
+    ``order`` (numeric) and ``tie`` tell rows apart; rows without a time take no part. A table of one block steps through each key's rows in order. In a
+    larger one a hot key's rows are spread: an opening row is later in time than all before it, so that each such row's successor, the
+    first one at or past its end, is known without the windows before; which of them are windows, doubling of successors tells.
     """
+    ties = [f"_t{i}" for i in range(len(tie or []))]
+    slim = rows.where(F.col(time).isNotNull()).select(F.col(key).alias("_k"), F.col(time).cast("long").alias("_at"), F.col(order).alias("_o"), *[F.col(c).alias(t) for c, t in zip(tie or [], ties, strict=True)])
+    blocks = block_count(slim, block)
+    if blocks > 1:
+        return _anchored_by_doubling(slim, key, length, ties, blocks)
 
     def scan(window, k, batch):
         window = window or AnchoredWindow(length)
         counts, triggers = window.take(batch.column(1).to_pylist())
         return window, [[k] * len(counts), counts, triggers]
 
-    ties = tie or []
-    slim = rows.where(F.col(time).isNotNull()).select(F.col(key).alias("_k"), F.col(time).cast("long").alias("_at"), F.col(order).alias("_o"), *[F.col(c).alias(f"_t{i}") for i, c in enumerate(ties)])
     schema = T.StructType([T.StructField(key, slim.schema["_k"].dataType), T.StructField("count", T.LongType()), T.StructField("trigger_ts", T.LongType())])
-    return ordered_scan(slim, scan, key="_k", order=["_o", *(f"_t{i}" for i in range(len(ties)))], schema=schema)
+    return ordered_scan(slim, scan, key="_k", order=["_o", *ties], schema=schema)
+
+
+def _anchored_by_doubling(slim: DataFrame, key: str, length: int, ties: list[str], blocks: int) -> DataFrame:
+    lines = stored(running(slim, ["_k"], "_o", ties, count="_n", tops={"_top": F.col("_at")}, own=False, blocks=blocks), "anchored-lines")
+    # rows later in time than all before them: their times are distinct and rise with the order
+    tops = lines.where("_top is null or _at > _top").select("_k", "_at", "_n")
+    asked = tops.select("_k", "_at", (-(F.col("_at") + length)).alias("_back"))
+    jumps = [stored(asof_latest(asked, tops.select("_k", (-F.col("_at")).alias("_back"), F.col("_at").alias("_next")), order=["_back"], value="_next", key=["_k"], blocks=blocks).select("_k", "_at", "_next"), "anchored-next")]
+    while not jumps[-1].where("_next is not null").isEmpty():
+        a, b = jumps[-1].where("_next is not null").alias("a"), jumps[-1].where("_next is not null").alias("b")
+        met = a.join(b, F.col("a._k").eqNullSafe(F.col("b._k")) & (F.col("a._next") == F.col("b._at")))
+        jumps.append(stored(met.select("a._k", "a._at", "b._next"), "anchored-jumps"))
+    openers = lines.where("_n = 0").select("_k", "_at")
+    for jump in reversed(jumps[:-1]):
+        # each opener alone, and with the one as many windows on as the jump has
+        j = jump.where("_next is not null").select(F.col("_k").alias("_jk"), F.col("_at").alias("_ja"), "_next")
+        met = openers.join(j, F.col("_k").eqNullSafe(F.col("_jk")) & (F.col("_at") == F.col("_ja")), "left")
+        openers = met.select("_k", F.explode(F.when(F.col("_next").isNull(), F.array("_at")).otherwise(F.array("_at", "_next"))).alias("_at"))
+    opened = stored(openers, "anchored-openers").alias("o")
+    placed = tops.alias("t").join(opened, F.col("t._k").eqNullSafe(F.col("o._k")) & (F.col("t._at") == F.col("o._at"))).select("t._k", "t._n", F.col("t._at").alias("_open"))
+    held = asof_latest(lines.select("_k", "_n", "_at"), placed, order=["_n"], value="_open", key=["_k"], blocks=blocks)
+    counts = held.where("_at >= _open").groupBy("_k", "_open").agg(F.count("*").alias("count")).alias("c")
+    nexts = jumps[0].where("_next is not null").alias("n")
+    closed = counts.join(nexts, F.col("c._k").eqNullSafe(F.col("n._k")) & (F.col("c._open") == F.col("n._at")))
+    return closed.select(F.col("c._k").alias(key), "count", F.col("_next").alias("trigger_ts"))

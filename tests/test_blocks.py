@@ -39,6 +39,8 @@ CASES = {
     "ewma": lambda d, n: ordered.ewma_global(d, order="t", tie=["id"], value="v", age=9.0, warm=40.0, rows=n),
     "as of": lambda d, n: ordered.asof_latest(d.where("id % 3 = 0").drop("v"), d.where("id % 3 <> 0"), order=["t", "id"], value="v", key=["k"], rows=n),
     "late": late,
+    "anchored": lambda d, n: traffic.win_anchored_count(d, key="k", time="t", order="id", length=9, block=n),
+    "anchored by time": lambda d, n: traffic.win_anchored_count(d, key="k", time="t", order="t", tie=["id"], length=4, block=n),
     "scores": lambda d, n: markov.score_sequences(d, markov.model_fit(d, key="k", order="t", tie=["id"], state="s"), key="k", order="t", tie=["id"], state="s", size=3, rows=n),
     "global metric": lambda d, n: markov.global_metric(d, markov.model_fit(d, key="k", order="t", tie=["id"], state="s"), key="k", order="t", tie=["id"], state="s", rows=n),
     "quantiles": lambda d, n: ordered.quantiles(d, ["k"], "v", {"p0": 0.0, "p30": 0.3, "p50": 0.5, "p100": 1.0}, rows=n),
