@@ -48,32 +48,33 @@ def haversine(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     return 2 * EARTH_RADIUS * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
 
 
+def _along(x1: Column, y1: Column, x2: Column, y2: Column, x: Column, y: Column) -> Column:
+    """Where a point's projection on a segment's line falls, as a share of the segment; null if the segment is a point."""
+    dx, dy = x2 - x1, y2 - y1
+    return F.try_divide((x - x1) * dx + (y - y1) * dy, dx * dx + dy * dy)
+
+
 def point_line_geo_dist(x1: Column, y1: Column, x2: Column, y2: Column, x: Column, y: Column) -> Column:
-    """Great-circle metres from a point to a segment: to the foot of the planar perpendicular where that lies on the segment, else to the nearer end."""
-    ends = F.least(haversine(y, x, y1, x1), haversine(y, x, y2, x2))
-    level = F.when((F.least(x1, x2) < x) & (x < F.greatest(x1, x2)), haversine(y1, x, y, x)).otherwise(ends)
-    upright = F.when((F.least(y1, y2) < y) & (y < F.greatest(y1, y2)), haversine(y, x1, y, x)).otherwise(ends)
-    k = F.try_divide(y2 - y1, x2 - x1)
-    foot_x = (k * k * x1 + k * (y - y1) + x) / (k * k + 1)
-    foot_y = k * (foot_x - x1) + y1
-    on = haversine(foot_y, foot_x, y1, x1) + haversine(foot_y, foot_x, y2, x2) - haversine(y1, x1, y2, x2) < 0.001
-    inside = foot_x.between(-180, 180) & foot_y.between(-90, 90)
-    return F.when(y1 == y2, level).when(x1 == x2, upright).when(inside & on, haversine(foot_y, foot_x, y, x)).otherwise(ends)
+    """Great-circle metres from a point to a segment of longitudes and latitudes: to its projection where that falls inside, else to the nearer end."""
+
+    def of(t: Column) -> Column:
+        ends = F.least(haversine(y, x, y1, x1), haversine(y, x, y2, x2))
+        return F.when((t > 0) & (t < 1), haversine(y, x, y1 + t * (y2 - y1), x1 + t * (x2 - x1))).otherwise(ends)
+
+    return F.transform(F.array(_along(x1, y1, x2, y2, x, y)), of)[0]
 
 
 def planar_dist(x1: Column, y1: Column, x2: Column, y2: Column, x: Column, y: Column) -> Column:
     """Distance of a point to a segment in the plane, in the coordinates' unit; within 1e-6 of an end it is 0."""
-    side = lambda a, b, c, d: F.sqrt((a - c) * (a - c) + (b - d) * (b - d))
 
-    def of(s: Column) -> Column:
-        a, b, c = s["a"], s["b"], s["c"]
-        p = (a + b + c) / 2
-        height = 2 * F.sqrt(F.greatest(F.lit(0.0), p * (p - a) * (p - b) * (p - c)))
-        return F.when((c <= 1e-6) | (b <= 1e-6), 0.0).when(a <= 1e-6, b).when(c * c >= a * a + b * b, b).when(b * b >= a * a + c * c, c).otherwise(F.try_divide(height, a))
+    def of(t: Column) -> Column:
+        # a segment that is a point has no projection: its first end serves
+        inside = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), t)), F.lit(0.0))
+        off = lambda px, py: F.sqrt((x - px) * (x - px) + (y - py) * (y - py))
+        return F.when(F.least(off(x1, y1), off(x2, y2)) <= 1e-6, 0.0).otherwise(off(x1 + inside * (x2 - x1), y1 + inside * (y2 - y1)))
 
-    # the sides are bound once: written out at each use they make code too long to compile
-    sides = F.struct(side(x1, y1, x2, y2).alias("a"), side(x1, y1, x, y).alias("b"), side(x2, y2, x, y).alias("c"))
-    return F.transform(F.array(sides), of)[0]
+    # bound once: written out at each use it makes code too long to compile
+    return F.transform(F.array(_along(x1, y1, x2, y2, x, y)), of)[0]
 
 
 def point_in_polygon(ring: Column, x: Column, y: Column) -> Column:

@@ -7,12 +7,12 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions import DEGREE_METRES, planar_dist
+from ..functions import DEGREE_METRES, planar_dist, point_in_polygon
 from ..sources.storage import stored
 from .ads import sized
 from .ordered import asof_latest, block_count, running
@@ -27,14 +27,14 @@ def filter_bbox_speed(points: DataFrame, *, lat: tuple[float, float], lon: tuple
     return points.where((F.col("speed").cast("int") >= 0) & F.col("lat").between(*lat) & F.col("lon").between(*lon))
 
 
-def road_cells(roads: DataFrame, reach: float, size: float) -> DataFrame:
-    """Road segments filed under each square cell (``_ix``, ``_iy``, of ``size``) that lies within ``reach`` of them, all in degrees.
+def segment_cells(segments: DataFrame, reach: Column, size: Column) -> DataFrame:
+    """Segments (x1, y1, x2, y2) filed under each square cell (``_ix``, ``_iy``, of ``size``) that lies within ``reach`` of them, all in degrees.
 
     A segment is cut column by column, so that a slanted one doesn't fill its whole box.
     """
     cell = lambda v: F.floor(v / size)
     left, right = F.least("x1", "x2"), F.greatest("x1", "x2")
-    columns = roads.withColumn("_ix", F.explode(F.sequence(cell(left - reach), cell(right + reach))))
+    columns = segments.withColumn("_ix", F.explode(F.sequence(cell(left - reach), cell(right + reach))))
     # the part of the segment that points of the column can be near to
     near = lambda x: F.greatest(left, F.least(right, x))
     height = lambda x: F.when(F.col("x1") == F.col("x2"), None).otherwise(F.col("y1") + (F.col("y2") - F.col("y1")) * F.try_divide(near(x) - F.col("x1"), F.col("x2") - F.col("x1")))
@@ -45,25 +45,46 @@ def road_cells(roads: DataFrame, reach: float, size: float) -> DataFrame:
     return columns.withColumn("_iy", F.explode(F.sequence(cell(low - 1e-9), cell(high + 1e-9))))
 
 
-def join_nearest_road(points: DataFrame, roads: DataFrame, *, point_id: str, cell_degrees: float = 0.002) -> DataFrame:
-    """Points with ``road_id``: the first road of their 0.1 degree cell closer than half its width, else the nearest within reach; others drop.
+def level_of(extent: Column, base: float) -> Column:
+    """The grid, of cells of ``base`` doubled as often as this says, whose cells are no smaller than an extent."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(base)) / base))).cast("int")
+
+
+def at_levels(points: DataFrame, filed: DataFrame, base: float, *, x: str, y: str) -> DataFrame:
+    """Points once for each level that ``filed`` (with ``_level``) has, some dozens at most, with their cell there."""
+    levels = sorted(r[0] for r in filed.select("_level").distinct().collect())
+    size = F.pow(F.lit(2.0), F.col("_level")) * base
+    spread = points.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>")))
+    return spread.withColumn("_ix", F.floor(F.col(x) / size)).withColumn("_iy", F.floor(F.col(y) / size))
+
 
-    Only roads near enough to win are candidates: segments are filed under fine cells that they come within reach of,
-    and meet the points by an equi-join on the cell. The 0.1 degree cell (column ``cell`` of the roads) is a filter, and
-    the width of its last road sets how far off its nearest road may lie. Candidates of a point meet in an aggregate,
-    not in a list. ``point_id`` tells points apart; points without coordinates drop.
+def file_roads(roads: DataFrame, *, cell_degrees: float = 0.002) -> DataFrame:
+    """Road segments under the cells that they can win points of, at the level of their own reach: a wide road makes no other's cells larger.
+
+    A segment reaches half its width, and as far as the width of its 0.1 degree cell's last road lets the nearest road lie off.
     """
     width = F.when(F.coalesce("width", F.lit(0)) > 0, F.col("width")).otherwise(ROAD_WIDTH)
     roads = roads.withColumn("_width", width)
-    widest = roads.agg(F.max("_width")).first()[0] or ROAD_WIDTH
-    reach = math.sqrt(widest * widest + NEAR * NEAR) / DEGREE_METRES
-    size = max(cell_degrees, 2 * reach)
     lasts = roads.groupBy("cell").agg(F.max_by("_width", F.struct("road_no", "seg_no")).alias("_last_width"))
-    filed = road_cells(roads.join(sized(lasts), "cell"), reach, size).select("_ix", "_iy", F.col("cell").alias("_cell"), "_last_width", "_width", "road_no", "seg_no", "road_id", "x1", "y1", "x2", "y2")
+    reach = F.greatest(F.col("_width") / 2, F.sqrt(F.col("_last_width") * F.col("_last_width") + NEAR * NEAR)) / DEGREE_METRES
+    held = roads.join(sized(lasts), "cell").withColumn("_reach", reach).withColumn("_level", level_of(2 * reach, cell_degrees))
+    filed = segment_cells(held, F.col("_reach"), F.pow(F.lit(2.0), F.col("_level")) * cell_degrees)
+    return filed.select("_level", "_ix", "_iy", F.col("cell").alias("_cell"), "_last_width", "_width", "_reach", "road_no", "seg_no", "road_id", "x1", "y1", "x2", "y2")
+
+
+def join_nearest_road(points: DataFrame, roads: DataFrame, *, point_id: str, cell_degrees: float = 0.002) -> DataFrame:
+    """Points with ``road_id``: the first road of their 0.1 degree cell closer than half its width, else the nearest within reach; others drop.
+
+    Only roads near enough to win are candidates: segments are filed under fine cells that they come within reach of, in grids of several
+    levels, and meet the points by an equi-join on level and cell. The 0.1 degree cell (column ``cell`` of the roads) is a filter,
+    and the width of its last road sets how far off its nearest road may lie. Candidates of a point meet in an aggregate, not in a
+    list. ``point_id`` tells points apart: rows that share one, or have none, are one point; points without coordinates drop.
+    """
+    filed = sized(file_roads(roads, cell_degrees=cell_degrees))
     cell = F.concat_ws("_", F.floor(F.col("lat") * 10), F.floor(F.col("lon") * 10))
-    placed = points.withColumn("cell", cell).withColumn("_ix", F.floor(F.col("lon") / size)).withColumn("_iy", F.floor(F.col("lat") / size))
-    inside = lambda v, p, q: F.col(v).between(F.least(p, q) - 2 * reach, F.greatest(p, q) + 2 * reach)
-    pairs = placed.join(sized(filed), ["_ix", "_iy"]).where((F.col("cell") == F.col("_cell")) & inside("lat", "y1", "y2") & inside("lon", "x1", "x2"))
+    placed = at_levels(points.withColumn("cell", cell), filed, cell_degrees, x="lon", y="lat")
+    inside = lambda v, p, q: F.col(v).between(F.least(p, q) - 2 * F.col("_reach"), F.greatest(p, q) + 2 * F.col("_reach"))
+    pairs = placed.join(filed, ["_level", "_ix", "_iy"]).where((F.col("cell") == F.col("_cell")) & inside("lat", "y1", "y2") & inside("lon", "x1", "x2"))
     pairs = pairs.withColumn("_m", planar_dist(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"), F.col("lon"), F.col("lat")) * DEGREE_METRES)
     on = F.col("_m") < F.col("_width") / 2
     near = F.col("_m") < F.sqrt(F.col("_last_width") * F.col("_last_width") + NEAR * NEAR)
@@ -74,6 +95,40 @@ def join_nearest_road(points: DataFrame, roads: DataFrame, *, point_id: str, cel
     return met.select(point_id, *[F.col("_point")[c].alias(c) for c in rest], F.col("_best.road_id").alias("road_id")).where("road_id is not null")
 
 
+def file_polygons(polygons: DataFrame, *, cell_degrees: float = 0.002, across: int = 32) -> DataFrame:
+    """Polygons (polygon_id, ring: array of structs x, y) under the cells that they touch: _level, _ix, _iy, polygon_id and ``_edge``.
+
+    Cells that a side comes near are edge cells; of the others those with their centre inside are inner cells, which lie
+    inside as a whole. A polygon is filed at the level at which it is at most ``across`` cells wide and high, so that it has some thousand
+    cells at most, whatever its size.
+    """
+    bound = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    boxed = polygons.where(F.size("ring") > 2).select("polygon_id", "ring", *[bound(f, c).alias(n + c) for n, f in (("_lo_", F.array_min), ("_hi_", F.array_max)) for c in ("x", "y")])
+    extent = F.greatest(F.col("_hi_x") - F.col("_lo_x"), F.col("_hi_y") - F.col("_lo_y")) / across
+    held = boxed.withColumn("_level", level_of(extent, cell_degrees)).withColumn("_size", F.pow(F.lit(2.0), F.col("_level")) * cell_degrees)
+    n = F.size("ring")
+    sides = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at("ring", i).alias("p"), F.element_at("ring", i % n + 1).alias("q")))
+    segments = held.select("polygon_id", "_level", "_size", F.explode(sides).alias("s")).select("polygon_id", "_level", "_size", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2"))
+    edges = segment_cells(segments, F.col("_size") * 1e-6, F.col("_size")).select("polygon_id", "_level", "_ix", "_iy").distinct().withColumn("_edge", F.lit(True))
+    cells = lambda c: F.explode(F.sequence(F.floor(F.col(f"_lo_{c}") / F.col("_size")), F.floor(F.col(f"_hi_{c}") / F.col("_size"))))
+    whole = held.withColumn("_ix", cells("x")).withColumn("_iy", cells("y")).join(edges, ["polygon_id", "_level", "_ix", "_iy"], "left_anti")
+    centre = lambda c: (F.col(c) + 0.5) * F.col("_size")
+    inner = whole.where(point_in_polygon(F.col("ring"), centre("_ix"), centre("_iy"))).select("polygon_id", "_level", "_ix", "_iy").withColumn("_edge", F.lit(False))
+    return edges.unionByName(inner)
+
+
+def join_polygons(points: DataFrame, polygons: DataFrame, *, x: str = "lon", y: str = "lat", cell_degrees: float = 0.002) -> DataFrame:
+    """Points with the ``polygon_id`` of each polygon that holds them (even-odd), a row for each; others drop.
+
+    Points meet cells by an equi-join; only those in edge cells meet the polygon's ring for the test. ``polygon_id`` tells polygons apart.
+    """
+    filed = sized(file_polygons(polygons, cell_degrees=cell_degrees))
+    met = at_levels(points, filed, cell_degrees, x=x, y=y).join(filed, ["_level", "_ix", "_iy"]).drop("_level", "_ix", "_iy")
+    tested = met.where("_edge").join(sized(polygons.select("polygon_id", "ring")), "polygon_id").where(point_in_polygon(F.col("ring"), F.col(x), F.col(y)))
+    columns = [*points.columns, "polygon_id"]
+    return met.where("not _edge").select(columns).unionByName(tested.select(columns))
+
+
 def key_distribution(rows: DataFrame, *, key: str) -> DataFrame:
     """Count of each key and its per cent of all rows, to five places."""
     counts = rows.groupBy(key).agg(F.count("*").alias("count"))

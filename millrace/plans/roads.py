@@ -143,3 +143,13 @@ def point_line_geo_dist(spark, sf):
 def point_in_polygon(spark, sf):
     ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((116.12, 39.8), (116.17, 39.8), (116.12, 40.0))])
     return derive.gps(spark, sf).select("event_id", fn.point_in_polygon(ring, F.col("lon"), F.col("lat")).alias("inside"))
+
+
+_RINGS = """rings AS (SELECT s_suppkey AS polygon_id, 116.1005::DOUBLE + (s_suppkey % 80) / 1000.0::DOUBLE AS cx, 39.7005::DOUBLE + (s_suppkey * 7 % 400) / 1000.0::DOUBLE AS cy, 0.001::DOUBLE * (1 + s_suppkey % 60) AS r FROM supplier WHERE s_suppkey % 5 = 0),
+    corners AS (SELECT polygon_id, unnest([{'x': cx - r, 'y': cy}, {'x': cx, 'y': cy + r / 2}, {'x': cx + r, 'y': cy}, {'x': cx, 'y': cy + r / 5}, {'x': cx, 'y': cy - r}]) AS p, unnest([{'x': cx, 'y': cy + r / 2}, {'x': cx + r, 'y': cy}, {'x': cx, 'y': cy + r / 5}, {'x': cx, 'y': cy - r}, {'x': cx - r, 'y': cy}]) AS q FROM rings)"""
+
+
+@query(f"WITH {_GPS}, {_RINGS} SELECT event_id, polygon_id::BIGINT AS polygon_id FROM gp JOIN corners ON (p.y > lat) <> (q.y > lat) AND lon < (q.x - p.x) * ((lat - p.y) / (q.y - p.y)) + p.x GROUP BY ALL HAVING count(*) % 2 = 1".replace(", p AS (SELECT event_id", ", gp AS (SELECT event_id"))
+def join_polygons(spark, sf):
+    """Positions inside polygons of all sizes, concave ones."""
+    return traffic.join_polygons(derive.gps(spark, sf).select("event_id", "lat", "lon"), derive.areas(spark, sf)).select("event_id", "polygon_id")

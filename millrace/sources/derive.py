@@ -66,6 +66,14 @@ def roads(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("cell", F.concat_ws("_", F.floor(F.col("y1") * 10), F.floor(F.col("x1") * 10)))
 
 
+def areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concave polygons of five corners around the positions: polygon_id and ring."""
+    s = table(spark, sf_dir, "supplier").where("s_suppkey % 5 = 0")
+    cx, cy, r = 116.1005 + (F.col("s_suppkey") % 80) / 1000.0, 39.7005 + (F.col("s_suppkey") * 7 % 400) / 1000.0, 0.001 * (1 + F.col("s_suppkey") % 60)
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    return s.select(F.col("s_suppkey").cast("long").alias("polygon_id"), F.array(corner(cx - r, cy), corner(cx, cy + r / 2), corner(cx + r, cy), corner(cx, cy + r / 5), corner(cx, cy - r)).alias("ring"))
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all documents: ``pos`` orders them, with room for a thousand million lines in a document."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
