@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from .. import streaming
 from ..operators import sketches, voip
 from ..sources import derive
-from ..streaming import joins, latency, replay, sketched, tolls
+from ..sources.storage import shared_folder
+from ..streaming import dictionary, joins, latency, replay, sketched, tolls
 from . import calls as call_plans
 from . import records, roads
 from .registry import CALLS, EVENTS, query
@@ -65,8 +66,8 @@ def broadcast_latest_stream(spark, sf):
 def latency_sketch_stream(spark, sf):
     """Percentiles from a sketch for each micro-batch, merged; each within one per cent of its rank in all rows."""
     rows = records._latencies(spark, sf)
-    path = replay.shared_folder(spark, "latency")
-    latency.latency_sink(replay.replayed(rows, "event_id", parts=4, name="latencies"), F.col("latency"), path, replay.shared_folder(spark, "latency-progress")).awaitTermination()
+    path = shared_folder(spark, "latency")
+    latency.latency_sink(replay.replayed(rows, "event_id", parts=4, name="latencies"), F.col("latency"), path, shared_folder(spark, "latency-progress")).awaitTermination()
     merged = latency.merged_latency(latency.stored_sketches(spark, path))
     errors = latency.rank_errors(merged, rows, "latency")
     return merged.select("n", F.round("mean", 4).alias("mean"), "p0", "p100").join(F.broadcast(errors)).select("n", "mean", "p0", "p100", *[(F.col(f"error{p}") <= 0.01).alias(f"p{p}_within") for p in latency.PERCENTS])  # one row each
@@ -130,3 +131,20 @@ def new_pair_filter_stream(spark, sf):
     stream = replay.replayed(derive.cdr(spark, sf).select("call_id", "calling", "called", "answer_ts"), "answer_ts", name="pairs")
     found = sketched.seen_filters(stream, keys=["calling", "called"], order=["answer_ts", "call_id"], row_id="call_id", shape=sketches.FilterShape(shards=4))
     return replay.drained(found, "seen").select("call_id", F.col("new").alias("new_callee"))
+
+
+@query(f"WITH {EVENTS} SELECT event_type, row_number() OVER (ORDER BY min(us), event_type) - 1 AS key_id FROM ev GROUP BY event_type")
+def key_dictionary_types_stream(spark, sf):
+    return _grown(derive.events(spark, sf).select("us", "event_type"), "event_type")
+
+
+@query(f"WITH {EVENTS} SELECT user_id, row_number() OVER (ORDER BY min(us), user_id) - 1 AS key_id FROM ev GROUP BY user_id")
+def key_dictionary_stream(spark, sf):
+    """Dense ids of users in order of first appearance, from a stream whose micro-batches bring some users anew."""
+    return _grown(derive.events(spark, sf).select("us", "user_id"), "user_id")
+
+
+def _grown(rows, key):
+    done, held = dictionary.grown_dictionary(replay.replayed(rows, "us", parts=4, name="entities"), key=key, order="us")
+    done.awaitTermination()
+    return held.table()

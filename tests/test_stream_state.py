@@ -200,3 +200,26 @@ def test_acd_scores_equal_their_join(spark):
     columns = ["call_id", "ct24", "ecr24", "global_acd", "acd"]
     for n in (20, 250_000):
         assert flat(voip.acd_scores(calls, rows=n).select(columns).collect()) == flat(want.select(columns).collect())
+
+
+@pytest.mark.parametrize("cuts", [[], [1, 30, 31]])
+def test_dictionary_grows_once(spark, tmp_path, cuts):
+    from millrace.streaming.dictionary import KeyDictionary, grown_dictionary
+
+    rng = random.Random(12)
+    rows = [(i, rng.choice([*"abcdef", None, f"k{i // 5}"])) for i in range(90)]
+    stream = arriving(spark, tmp_path / "in", [rows[a:b] for a, b in zip([0, *cuts], [*cuts, 60])], "i long, k string")
+    where = {"path": str(tmp_path / "keys"), "checkpoint": str(tmp_path / "cp")}
+    query, held = grown_dictionary(stream, key="k", order="i", **where)
+    query.awaitTermination(120)
+    whole = lambda n: flat(ordered.key_dictionary(spark.createDataFrame(rows[:n], "i long, k string"), key="k", order="i").select("k", "key_id").collect())
+    assert flat(held.table().collect()) == whole(60)
+    # a micro-batch that runs again changes nothing, and another run goes on
+    last = spark.createDataFrame(rows[(cuts or [0])[-1] : 60], "i long, k string")
+    held.add(last, "i", len(cuts))
+    assert flat(held.table().collect()) == whole(60)
+    again = arriving(spark, tmp_path / "in", [rows[60:]], "i long, k string")
+    query, held = grown_dictionary(again, key="k", order="i", **where)
+    query.awaitTermination(120)
+    assert flat(held.table().collect()) == whole(90)
+    assert KeyDictionary(spark, str(tmp_path / "none"), key="k", kind="string").table().count() == 0
