@@ -148,3 +148,10 @@ def _grown(rows, key):
     done, held = dictionary.grown_dictionary(replay.replayed(rows, "us", parts=4, name="entities"), key=key, order="us")
     done.awaitTermination()
     return held.table()
+
+
+@query(f"WITH {EVENTS}, t AS (SELECT event_id, row_number() OVER (ORDER BY us, event_id) - 1 AS line, count(*) OVER () AS n FROM ev) SELECT lap * n + line AS position, lap, line, (line % 4)::INTEGER AS reader, event_id FROM t, range(0, 3) r(lap) WHERE lap * n + line < 3 * (n * 7 // 10 + 1)")
+def src_replay_stream(spark, sf):
+    """The events replayed in laps by four readers, over three runs of one stream."""
+    rows = derive.events(spark, sf).select("us", "event_id")
+    return replay.drained(replay.replayed_laps(rows, order="us", tie=["event_id"], rows_per_batch=rows.count() * 7 // 10 + 1, readers=4).select("position", "lap", "line", "reader", "event_id"), "laps", runs=3)

@@ -6,7 +6,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.ordered import bucketed
+from ..operators.ordered import bucketed, numbered
 from ..sources.storage import shared_folder
 
 
@@ -25,10 +25,27 @@ def replayed(df: DataFrame, order: str, *, parts: int = 3, name: str = "feed") -
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def drained(stream: DataFrame, name: str) -> DataFrame:
-    """All rows that a stream gives once it has read what there is, as a table in the shared folder."""
+def drained(stream: DataFrame, name: str, *, runs: int = 1) -> DataFrame:
+    """All rows that a stream gives once it has read what there is, as a table in the shared folder; with ``runs`` it is started anew so often, and goes on."""
     spark = stream.sparkSession
-    path = shared_folder(spark, name)
-    query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", shared_folder(spark, f"{name}-progress")).trigger(availableNow=True).start()
-    query.awaitTermination()
+    path, progress = shared_folder(spark, name), shared_folder(spark, f"{name}-progress")
+    for _ in range(runs):
+        query = stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", progress).trigger(availableNow=True).start()
+        query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def replayed_laps(df: DataFrame, *, order: str, tie: list[str], rows_per_batch: int, readers: int = 1, start_ms: int = 0, ms_per_batch: int = 1000) -> DataFrame:
+    """A recorded table replayed for ever, as a load: ``position`` counts on, ``lap`` and ``line`` say where it is in the table, ``reader`` who reads it.
+
+    Positions are Spark's own steady source, so that a restart goes on at the position after the last one that was committed, and a micro-batch that runs
+    again has the same positions. The line's row meets its position by a join, in the order of ``order`` and ``tie``. Reader r of ``readers``
+    has the lines r, r + readers, ...; ``at`` goes on by ``ms_per_batch`` with each micro-batch of ``rows_per_batch``. A run that takes what is
+    available takes one micro-batch. An empty table gives no rows.
+    """
+    spark = df.sparkSession
+    n = df.count()
+    steady = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows_per_batch).option("numPartitions", readers).option("startTimestamp", start_ms).option("advanceMillisPerBatch", ms_per_batch).load()
+    placed = steady.select(F.col("value").alias("position"), F.col("timestamp").alias("at"), F.floor(F.col("value") / max(n, 1)).alias("lap"), (F.col("value") % max(n, 1)).alias("line"))
+    lines = numbered(df, [], order, tie, out="_line").withColumn("line", F.col("_line") - 1).drop("_line")
+    return placed.withColumn("reader", (F.col("line") % readers).cast("int")).join(lines, "line")
