@@ -22,11 +22,44 @@ def geo_stats(rows: DataFrame) -> DataFrame:
     return rows.rollup("country", "city").agg(F.count("*").alias("requests"), F.grouping_id().cast("int").alias("level"))
 
 
-def ip_geo_lookup(rows: DataFrame, ranges: DataFrame, *, ip: str = "ip_num", bits: int = 16) -> DataFrame:
-    """Rows with the range (lo, hi and its columns) that holds their address; ranges are filed under each prefix they touch, so that the join is by equality."""
-    filed = ranges.withColumn("_prefix", F.explode(F.sequence(F.shiftright("lo", bits), F.shiftright("hi", bits))))
-    keyed = rows.withColumn("_prefix", F.shiftright(ip, bits))
-    return keyed.join(filed, "_prefix").where(F.col(ip).between(F.col("lo"), F.col("hi"))).drop("_prefix", "lo", "hi")
+def aligned_blocks(ranges: DataFrame, *, bits: int = 32) -> DataFrame:
+    """Ranges (lo, hi) as the fewest aligned blocks, two at most for each power of two: ``_level`` and ``_prefix``, the block's number at that level."""
+    level = F.col("_level")
+    size = F.expr("shiftleft(1L, _level)")
+    first, end = F.expr("lo div shiftleft(1L, _level)") + F.when(F.col("lo") % size != 0, 1).otherwise(0), F.expr("(hi + 1) div shiftleft(1L, _level)")
+    spread = ranges.where("lo <= hi").withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(bits)))).withColumn("_l", first).withColumn("_r", end)
+    left = F.when((F.col("_l") < F.col("_r")) & (F.col("_l") % 2 == 1), F.array("_l")).otherwise(F.array().cast("array<bigint>"))
+    after = F.col("_l") + F.col("_l") % 2
+    right = F.when((after < F.col("_r")) & (F.col("_r") % 2 == 1), F.array(F.col("_r") - 1)).otherwise(F.array().cast("array<bigint>"))
+    return spread.withColumn("_prefix", F.explode(F.concat(left, right))).drop("_l", "_r").withColumn("_level", level)
+
+
+def disjoint_ranges(ranges: DataFrame, *, bits: int = 32) -> DataFrame:
+    """Where another range begins to be the narrowest one: ``_from`` and ``_range``, a struct of that range's columns, or null where none holds.
+
+    Of equally narrow ranges that of the greater ``lo`` counts, then that of the least other columns. Only the ranges' own bounds are looked up, each at the
+    levels that blocks have, so that a range over everything costs no more than another.
+    """
+    filed = aligned_blocks(ranges.select("lo", "hi", F.struct(*ranges.columns).alias("_all")), bits=bits)
+    levels = sorted(r[0] for r in filed.select("_level").distinct().collect())
+    bounds = ranges.where("lo <= hi").select(F.explode(F.array(F.col("lo").cast("long"), (F.col("hi") + 1).cast("long"))).alias("_from")).distinct()
+    asked = bounds.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>"))).withColumn("_prefix", F.expr("_from div shiftleft(1L, _level)"))
+    found = asked.join(filed, ["_level", "_prefix"]).groupBy("_from").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("w"), (-F.col("lo")).alias("l"), "_all")).alias("m")).select("_from", F.col("m._all").alias("_range"))
+    return bounds.join(found, "_from", "left")
+
+
+def ip_geo_lookup(rows: DataFrame, ranges: DataFrame, *, ip: str = "ip_num", bits: int = 32, block: int | None = None) -> DataFrame:
+    """Rows with the columns of the narrowest range (lo, hi, both included) that holds their address; rows without one drop, and so do those without an address.
+
+    Ranges may nest and overlap: they are cut into disjoint ones first. Distinct addresses are looked up as of the last cut before them,
+    and rows meet their address by a join, so that neither a frequent address nor a wide range is one task's work. Addresses are whole
+    numbers of ``bits`` bits, 62 at most.
+    """
+    named = [c for c in ranges.columns if c not in ("lo", "hi")]
+    cuts = disjoint_ranges(ranges, bits=bits).select(F.col("_from").alias("_ip"), F.coalesce("_range", F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in ranges.schema])).alias("_range"))
+    known = asof_latest(rows.where(F.col(ip).isNotNull()).select(F.col(ip).cast("long").alias("_ip")).distinct(), cuts, order=["_ip"], value="_range", rows=block).where("_range.lo is not null")
+    met = rows.withColumn("_ip", F.col(ip).cast("long")).join(sized(known), "_ip")
+    return met.select(*rows.columns, *[F.col("_range")[c].alias(c) for c in named])
 
 
 def observation_score(rows: DataFrame, *, slot: str = "slot", machine: str = "machine", value: str = "value", block: int | None = None) -> DataFrame:

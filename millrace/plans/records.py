@@ -301,6 +301,21 @@ def ip_geo_lookup(spark, sf):
     return _geo(spark, sf).select("event_id", "country", "city")
 
 
+_NESTED = "ng AS (SELECT lo, lo + w AS hi, name FROM (SELECT DISTINCT user_id * 65536 + k % 40 AS lo, k % 7 * 11 AS w, 'n' || (k % 5) AS name FROM ev UNION ALL SELECT 0, 4294967295, 'all' UNION ALL SELECT DISTINCT user_id // 4 * 4 * 65536, 4 * 65536 - 1, 'q' || (user_id // 4) FROM ev))"
+
+
+@query(f"WITH {EVENTS}, {_NESTED} SELECT event_id, name FROM ev JOIN ng ON user_id * 65536 + k BETWEEN lo AND hi QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY hi - lo, -lo, name) = 1")
+def ip_geo_nested(spark, sf):
+    """The narrowest of nested and overlapping ranges, one of them over all addresses."""
+    e = derive.events(spark, sf).withColumn("ip_num", F.col("user_id") * 65536 + F.col("k"))
+    base = F.floor(F.col("user_id") / 4)
+    low = e.select((F.col("user_id") * 65536 + F.col("k") % 40).alias("lo"), (F.col("k") % 7 * 11).cast("long").alias("w"), F.concat(F.lit("n"), F.col("k") % 5).alias("name")).distinct()
+    quads = e.select((base * 4 * 65536).alias("lo"), F.lit(4 * 65536 - 1).cast("long").alias("w"), F.concat(F.lit("q"), base).alias("name")).distinct()
+    whole = spark.range(1).select(F.col("id").alias("lo"), F.lit(4294967295).alias("w"), F.lit("all").alias("name"))
+    ranges = low.unionByName(quads).unionByName(whole).select("lo", (F.col("lo") + F.col("w")).alias("hi"), "name")
+    return logs.ip_geo_lookup(e, ranges).select("event_id", "name")
+
+
 @query(f"WITH {EVENTS}, {_RANGES} SELECT country, city, count(*) AS requests, grouping(country, city)::INTEGER AS level FROM ev JOIN rg ON user_id * 65536 + k BETWEEN lo AND hi GROUP BY ROLLUP (country, city)")
 def geo_stats(spark, sf):
     return logs.geo_stats(_geo(spark, sf))

@@ -89,3 +89,28 @@ def test_polygons_equal_a_loop(spark):
     assert filed.groupBy("polygon_id").count().agg(F.max("count")).first()[0] < 2500
     assert filed.where("not _edge").count() > 100
     assert traffic.join_polygons(df, polygons.limit(0)).count() == 0
+
+
+def test_narrowest_ranges_equal_a_loop(spark):
+    from millrace.operators import logs
+
+    rng = random.Random(5)
+    ranges = [(0, 2**32 - 1, "all"), (5, 5, "one"), (5, 5, "eins"), (9, 3, "backwards")]
+    for i in range(80):
+        lo = rng.randrange(2000)
+        ranges.append((lo, lo + rng.choice([0, 1, 7, 64, 500, 2**20]), f"r{i}"))
+    rows = [(i, rng.choice([None, 5, rng.randrange(3000), 2**32 - 1])) for i in range(300)]
+    want = set()
+    for i, ip in rows:
+        held = [(hi - lo, -lo, lo, hi, name) for lo, hi, name in ranges if ip is not None and lo <= ip <= hi]
+        if held:
+            want.add((i, min(held)[-1]))
+    df, rg = spark.createDataFrame(rows, "id long, ip_num long"), spark.createDataFrame(ranges, "lo long, hi long, name string")
+    for block in (20, 250_000):
+        got = [tuple(r) for r in logs.ip_geo_lookup(df, rg, block=block).select("id", "name").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    blocks = logs.aligned_blocks(rg).collect()
+    assert len(blocks) < 60 * len(ranges) and max(r._level for r in blocks) == 32
+    covered = sum(2 ** r._level for r in logs.aligned_blocks(rg.where("name like 'r%'")).collect())
+    assert covered == sum(hi - lo + 1 for lo, hi, name in ranges if name[0] == "r")
+    assert logs.ip_geo_lookup(df, rg.limit(0)).count() == 0
