@@ -19,7 +19,7 @@ SF, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"  # the smallest h
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_matches_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "conversations"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got, want = queries.queries()[name](spark, SF).toPandas(), c.execute(queries.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
@@ -148,3 +148,32 @@ def test_a_cluster_must_name_its_folder(spark):
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         common.scratch_root(Cluster())
+
+
+def test_packed_sequences_are_gapless(spark):
+    """The registered layout: pieces of a sequence lie end to end from 0, 4,096 tokens at most, and a document's pieces cover it."""
+    pieces = rows_of(queries.op4_harmonic_packing(spark, SF), "sequence_id", "offset", "length", "doc_id", "start", "doc_tokens")
+    sequences, docs = defaultdict(list), defaultdict(list)
+    for seq, offset, length, doc, start, tokens in pieces:
+        sequences[seq].append((offset, length))
+        docs[doc].append((start, length, tokens))
+    for laid in sequences.values():
+        at = 0
+        for offset, length in sorted(laid):
+            assert offset == at and length > 0
+            at += length
+        assert at <= 4096
+    for cut in docs.values():
+        at = 0
+        for start, length, tokens in sorted(cut):
+            assert start == at
+            at += length
+        assert at == cut[0][2]
+
+
+def test_new_operators_handle_empty_tables(spark, tmp_path):
+    """An empty table gives no rows, but for the probe conversation of op12."""
+    for t in ("documents", "conversations"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    counts = {name: queries.queries()[name](spark, str(tmp_path)).count() for name in ("op11_conversation_repair", "op12_reply_trees", "op13_phrase_collocations")}
+    assert counts == {"op11_conversation_repair": 0, "op12_reply_trees": 1, "op13_phrase_collocations": 0}
