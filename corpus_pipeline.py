@@ -81,15 +81,17 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``.
 
-    A stage's scratch tables belong to this run, and go once its result is written; those of the last stay for the result's readers.
+    A stage's scratch tables and its input go once its result is written; the last stage's stay for the result's readers.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for i, (name, stage) in enumerate(STAGES):
         with common.Scope() as scope:
             docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            path = f"{common.scratch_root(spark)}/pipeline/{name}-{uuid.uuid4().hex}"
+            before, path = path, f"{common.scratch_root(spark)}/pipeline/{name}-{uuid.uuid4().hex}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
             scope.drop(spark)
+            if before:
+                common.drop_path(spark, before)
     return docs

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import streaming
-from ..operators import sketches, voip
+from ..operators import markov, sketches, voip
 from ..sources import derive
-from ..sources.storage import shared_folder
-from ..streaming import dictionary, joins, latency, replay, sketched, tolls
+from ..sources.storage import shared_folder, stored
+from ..streaming import applications, dictionary, joins, latency, replay, sketched, tolls
 from . import calls as call_plans
-from . import records, roads
+from . import records, roads, words
 from .registry import CALLS, EVENTS, query
 
 #: A watermark of one second leaves changes waiting at the end whose minute no later report has passed.
@@ -155,3 +155,37 @@ def src_replay_stream(spark, sf):
     """The events replayed in laps by four readers, over three runs of one stream."""
     rows = derive.events(spark, sf).select("us", "event_id")
     return replay.drained(replay.replayed_laps(rows, order="us", tie=["event_id"], rows_per_batch=rows.count() * 7 // 10 + 1, readers=4).select("position", "lap", "line", "reader", "event_id"), "laps", runs=3)
+
+
+@query(f"WITH {EVENTS}, {records._AVG.format(n=999)} SELECT event_id, user_id, value, round(mean + 1e-9, 6) AS moving_avg FROM o WHERE abs(value - mean) > 0.25 * mean")
+def spike_detect_stream(spark, sf):
+    streaming.use_rocksdb(spark)
+    stream = replay.replayed(derive.events(spark, sf).select("user_id", "us", "event_id", "value"), "us", name="sensors")
+    found = replay.drained(applications.spikes(stream, key="user_id", value="value", order=["us", "event_id"]), "spikes")
+    return found.select(F.col("row_id").alias("event_id"), "user_id", "value", F.round(F.col("moving_avg") + 1e-9, 6).alias("moving_avg"))
+
+
+@query(f"WITH {EVENTS}, {records._score(records._MISS)} SELECT event_id, user_id, round(score, 6) AS score FROM z WHERE n >= 5 AND score > 0.8")
+def fraud_detect_stream(spark, sf):
+    """A model fitted on the table scores the same rows as they stream by."""
+    streaming.use_rocksdb(spark)
+    rows = derive.events(spark, sf).select("user_id", "us", "event_id", "event_type")
+    model = stored(markov.model_fit(rows, key="user_id", order="us", tie=["event_id"], state="event_type"), "model")
+    stream = replay.replayed(rows, "us", name="cards")
+    found = replay.drained(applications.frauds(stream, model, key="user_id", state="event_type", order=["us", "event_id"], threshold=0.8), "frauds")
+    return found.select(F.col("row_id").alias("event_id"), "user_id", F.round("score", 6).alias("score"))
+
+
+@query(words._SENTIMENT)
+def sentiment_stream(spark, sf):
+    stream = replay.replayed(derive.table(spark, sf, "documents").select("doc_id", "text"), "doc_id", name="messages")
+    path = shared_folder(spark, "sentiments")
+    applications.sentiments(stream, derive.lexicon(spark), key="doc_id", path=path, checkpoint=shared_folder(spark, "sentiments-progress")).awaitTermination()
+    return spark.read.schema("doc_id long, score long, label string, batch long").parquet(path).drop("batch")
+
+
+@query(f"SELECT * FROM ({records._windows(3600)}) WHERE (window_start + 3600) * 1000 <= (SELECT max(epoch_us(ts)) // 1000 FROM events)")
+def win_campaign_count_stream(spark, sf):
+    """Windows that the watermark has passed."""
+    rows, dim = derive.ads(spark, sf)
+    return replay.drained(streaming.campaign_counts(replay.replayed(rows, "us", name="ads"), dim, length="1 hour"), "campaigns")

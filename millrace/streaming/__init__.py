@@ -79,7 +79,7 @@ class Stepper(StatefulProcessor):
         held, out = self.scan(held, key, columns)
         if held is not None and self.kind == "value":
             self.state.update(held)
-        elif held is not None and self.kind == "list":
+        elif held and self.kind == "list":
             self.state.put(held)
         yield pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(self.names, out, strict=True)}, columns=self.names)
 
@@ -162,8 +162,8 @@ def decayed_counts(rows: DataFrame, *, key: str, time: str, order: list[str], am
     return _stateful(rows, [key], ("value", "value double, at long"), order, scan, f"{key} {kind_of(rows, key)}, row_id {kind_of(rows, order[-1])}, value double", ttl_ms)
 
 
-def moving_averages(rows: DataFrame, *, key: str, value: str, order: list[str], size: int = 1000, ttl_ms: int | None = None) -> DataFrame:
-    """The stream twin of ``moving_avg``: a list of the last values for each key; nulls take a place in it and count nothing."""
+def moving_averages(rows: DataFrame, *, key: str, value: str, order: list[str], size: int = 1000, with_value: bool = False, ttl_ms: int | None = None) -> DataFrame:
+    """The stream twin of ``moving_avg``: a list of the last values for each key; nulls take a place in it and count nothing. ``with_value`` keeps the row's own."""
 
     def scan(state, k, columns):
         now = columns[value]
@@ -173,9 +173,9 @@ def moving_averages(rows: DataFrame, *, key: str, value: str, order: list[str],
         sums, counts = frames(line), frames(known)
         means = [float(s) / int(n) if n else None for s, n in zip(sums, counts, strict=True)]
         held = [(float(v), bool(f)) for v, f in zip(line[size - 1 :], known[size - 1 :], strict=True)]
-        return held[1 - size :] if size > 1 else [], ([k[0]] * len(now), columns[order[-1]], means)
+        return held[1 - size :] if size > 1 else [], ([k[0]] * len(now), columns[order[-1]], means, *([now] if with_value else []))
 
-    return _stateful(rows, [key], ("list", "value double, known boolean"), order, scan, f"{key} {kind_of(rows, key)}, row_id {kind_of(rows, order[-1])}, moving_avg double", ttl_ms)
+    return _stateful(rows, [key], ("list", "value double, known boolean"), order, scan, f"{key} {kind_of(rows, key)}, row_id {kind_of(rows, order[-1])}, moving_avg double" + (f", {value} {kind_of(rows, value)}" if with_value else ""), ttl_ms)
 
 
 def seen_callees(rows: DataFrame, *, order: list[str], ttl_ms: int | None = None) -> DataFrame:

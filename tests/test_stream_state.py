@@ -223,3 +223,23 @@ def test_dictionary_grows_once(spark, tmp_path, cuts):
     query.awaitTermination(120)
     assert flat(held.table().collect()) == whole(90)
     assert KeyDictionary(spark, str(tmp_path / "none"), key="k", kind="string").table().count() == 0
+
+
+@pytest.mark.parametrize("size", [1, 3, 5])
+def test_applications_equal_batch_under_nulls(spark, tmp_path, size):
+    from millrace.operators import markov
+    from millrace.streaming import applications
+
+    rng = random.Random(13)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, 1.0, 2.0, -3.0, 9.0]), rng.choice(["x", "y", "z", None])) for i in range(120)]
+    schema = "i long, k string, v double, s string"
+    stream, batch = arriving(spark, tmp_path / "in", [rows[:50], rows[50:51], rows[51:]], schema), spark.createDataFrame(rows, schema)
+    got, _ = drained(spark, applications.spikes(stream, key="k", value="v", order=["i"], size=size), tmp_path, f"spikes{size}")
+    want = ordered.spike_detect(batch, key="k", order="i", tie=[], value="v", size=size)
+    assert flat(r[:4] for r in got) == flat(want.select("k", "i", "moving_avg", "v").collect()) and (got or size == 1)
+    if size > 1:
+        model = markov.model_fit(batch, key="k", order="i", tie=[], state="s")
+        for predictor in ("miss_probability", "miss_rate"):
+            got, _ = drained(spark, applications.frauds(stream, model, key="k", state="s", order=["i"], threshold=0.5, predictor=predictor, size=size), tmp_path, f"frauds{size}{predictor}")
+            want = markov.score_sequences(batch, model, key="k", order="i", tie=[], state="s", predictor=predictor, size=size).where("score > 0.5")
+            assert flat(got) == flat(want.select("k", "i", "score").collect()) and got
