@@ -41,7 +41,7 @@ _FACTOR = 0x9E3779B97F4A7C15
 #: Text that a worker takes apart at once.
 SLICE_BYTES = 8 << 20
 #: Text in a range of documents.
-GROUP_BYTES = 12 << 20
+GROUP_BYTES = 8 << 20
 #: Text of the table for each bucket, where that makes more of them than shuffle partitions do.
 BUCKET_BYTES = 128 << 20
 _KEYS = "_mr_bucket long, _mr_range long, _mr_keys binary, _mr_checks binary"
@@ -318,11 +318,15 @@ def _remove(words: int, id_col: str, text_col: str, schema: pa.Schema, mask: int
         order, first = _in_order(w, c, own)
         lowest = np.empty(len(w), np.int64)
         lowest[order] = own[order][np.maximum.accumulate(np.where(first, np.arange(len(w)), 0))] if len(w) else 0
+        del order, first
         starts = at[(lowest < own) | _holds(found, found_checks, w, c)]
-        cover = np.zeros(len(row) + words + 1, np.int64)
+        # what the words' lists need from here on is all that stays
+        del w, c, own, lowest, at, h, found, found_checks
+        cover = np.zeros(len(row) + words + 1, np.int32)
         np.add.at(cover, starts, 1)
         np.add.at(cover, starts + words, -1)
         covered = np.cumsum(cover)[: len(row)] > 0
+        del cover, starts
         removed = np.bincount(row, covered, len(rows)).astype(np.int64)
         kept, pos = [], 0
         for r, n in zip(rows, removed.tolist(), strict=True):
