@@ -184,8 +184,9 @@ def sentiment_stream(spark, sf):
     return spark.read.schema("doc_id long, score long, label string, batch long").parquet(path).drop("batch")
 
 
-@query(f"SELECT * FROM ({records._windows(3600)}) WHERE (window_start + 3600) * 1000 <= (SELECT max(epoch_us(ts)) // 1000 FROM events)")
+@query(f"SELECT * FROM ({records._windows(3600)}) WHERE (window_start + 3600) * 1000 <= (SELECT max(epoch_us(ts)) // 1000 FROM events WHERE event_type = 'view')")
 def win_campaign_count_stream(spark, sf):
-    """Windows that the watermark has passed."""
+    """Windows that the watermark of the views has passed."""
     rows, dim = derive.ads(spark, sf)
+    rows = rows.where("event_type = 'view'")
     return replay.drained(streaming.campaign_counts(replay.replayed(rows, "us", name="ads"), dim, length="1 hour"), "campaigns")
