@@ -120,13 +120,18 @@ def file_polygons(polygons: DataFrame, *, cell_degrees: float = 0.002, across: i
 def join_polygons(points: DataFrame, polygons: DataFrame, *, x: str = "lon", y: str = "lat", cell_degrees: float = 0.002) -> DataFrame:
     """Points with the ``polygon_id`` of each polygon that holds them (even-odd), a row for each; others drop.
 
-    Points meet cells by an equi-join; only those in edge cells meet the polygon's ring for the test. ``polygon_id`` tells polygons apart.
+    Points meet cells by an equi-join; only those in edge cells meet the polygon's ring for the test. Polygons of one ring are filed and tested
+    once, under the least of their ids, and all of them join what that one holds. ``polygon_id`` tells polygons apart.
     """
-    filed = sized(file_polygons(polygons, cell_degrees=cell_degrees))
+    first = polygons.where(F.size("ring") > 2).groupBy("ring").agg(F.min("polygon_id").alias("_first"))
+    members = polygons.select("ring", F.col("polygon_id").alias("_member")).join(first, "ring").select(F.col("_first").alias("polygon_id"), "_member")
+    rings = first.select(F.col("_first").alias("polygon_id"), "ring")
+    filed = sized(file_polygons(rings, cell_degrees=cell_degrees))
     met = at_levels(points, filed, cell_degrees, x=x, y=y).join(filed, ["_level", "_ix", "_iy"]).drop("_level", "_ix", "_iy")
-    tested = met.where("_edge").join(sized(polygons.select("polygon_id", "ring")), "polygon_id").where(point_in_polygon(F.col("ring"), F.col(x), F.col(y)))
+    tested = met.where("_edge").join(sized(rings), "polygon_id").where(point_in_polygon(F.col("ring"), F.col(x), F.col(y)))
     columns = [*points.columns, "polygon_id"]
-    return met.where("not _edge").select(columns).unionByName(tested.select(columns))
+    held = met.where("not _edge").select(columns).unionByName(tested.select(columns))
+    return held.join(sized(members), "polygon_id").select(*points.columns, F.col("_member").alias("polygon_id"))
 
 
 def key_distribution(rows: DataFrame, *, key: str) -> DataFrame:

@@ -114,3 +114,16 @@ def test_narrowest_ranges_equal_a_loop(spark):
     covered = sum(2 ** r._level for r in logs.aligned_blocks(rg.where("name like 'r%'")).collect())
     assert covered == sum(hi - lo + 1 for lo, hi, name in ranges if name[0] == "r")
     assert logs.ip_geo_lookup(df, rg.limit(0)).count() == 0
+
+
+def test_polygons_of_one_ring_are_tested_once(spark, monkeypatch):
+    ring = lambda x, r: [(x - r, 39.1), (x, 39.1 + r), (x + r, 39.1), (x, 39.1 - r)]
+    kind = "polygon_id long, ring array<struct<x: double, y: double>>"
+    areas = spark.createDataFrame([(10 * k + i, ring(116.0 + i / 100, 0.02)) for k in range(30) for i in range(3)], kind)
+    rng = random.Random(8)
+    points = [(i, 39.1 + rng.uniform(-0.03, 0.03), 116.0 + rng.uniform(-0.03, 0.05)) for i in range(300)]
+    filed, file = [], traffic.file_polygons
+    monkeypatch.setattr(traffic, "file_polygons", lambda polygons, **more: filed.append(polygons.count()) or file(polygons, **more))
+    got = {tuple(r) for r in traffic.join_polygons(spark.createDataFrame(points, "id long, lat double, lon double"), areas).select("id", "polygon_id").collect()}
+    want = {(i, 10 * k + j) for i, lat, lon in points for j in range(3) if abs(lon - 116.0 - j / 100) + abs(lat - 39.1) < 0.02 for k in range(30)}
+    assert got == want and want and filed == [3]
