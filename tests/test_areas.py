@@ -116,6 +116,19 @@ def test_narrowest_ranges_equal_a_loop(spark):
     assert logs.ip_geo_lookup(df, rg.limit(0)).count() == 0
 
 
+def test_roads_in_one_place_are_filed_once(spark):
+    rng = random.Random(7)
+    roads = some_roads(rng, 12)
+    copies = [(r[0] + 1000 * c, r[1] + 1000 * c, *r[2:]) for c in range(1, 40) for r in roads]
+    points = [(i, r[5] + rng.uniform(-3e-5, 3e-5), r[4] + rng.uniform(-3e-5, 3e-5)) for i, r in enumerate(roads * 4)]
+    df = spark.createDataFrame(points, "id long, lat double, lon double")
+    found = lambda rows: sorted(tuple(r) for r in traffic.join_nearest_road(df, spark.createDataFrame(rows, ROADS), point_id="id").select("id", "road_id").collect())
+    # the last road of a cell, whose width counts, is a copy of the last one before
+    assert found(copies + roads) == found(roads) and found(roads)
+    filed = lambda rows: traffic.file_roads(spark.createDataFrame(rows, ROADS)).count()
+    assert filed(copies + roads) == filed(roads)
+
+
 def test_polygons_of_one_ring_are_tested_once(spark, monkeypatch):
     ring = lambda x, r: [(x - r, 39.1), (x, 39.1 + r), (x + r, 39.1), (x, 39.1 - r)]
     kind = "polygon_id long, ring array<struct<x: double, y: double>>"
