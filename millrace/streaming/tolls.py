@@ -19,28 +19,30 @@ from .joins import _frame
 
 REPORT, CHANGE, ACCIDENT = range(3)
 MINUTE_MS = 60_000
+#: Parts that vehicles are dealt to.
+SHARDS = 64
 #: Segments ahead that an accident closes to tolls, its own included.
 AHEAD = 5
 
 
 class SegmentChanges(StatefulProcessor):
-    """A vehicle's last segment; emits the reports that differ from it, with their event time."""
+    """The last segment of each of a shard's vehicles; emits the reports that differ from it, with their event time."""
 
     def __init__(self, order: list[str], names: list[str]):
         self.order, self.names = order, names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "segment long")
+        self.last = handle.getListState("last", "vid long, segment long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(rows)
         columns = ordered_columns(pdf, self.order)
-        last, out = tuple(self.last.get())[0] if self.last.exists() else None, []
-        for i, segment in enumerate(columns["segment"]):
-            if segment != last:
+        last, out = dict(map(tuple, self.last.get())) if self.last.exists() else {}, []
+        for i, (vid, segment) in enumerate(zip(columns["vid"], columns["segment"], strict=True)):
+            if segment != last.get(vid):
                 out.append(tuple(columns[n][i] for n in self.names))
-            last = segment
-        self.last.update((int(last),))
+            last[vid] = segment
+        self.last.put([(int(v), int(s)) for v, s in last.items()])
         frame = _frame(out, self.names)
         yield frame.assign(at=pd.to_datetime(frame["at"]).astype(pdf["at"].dtype))
 
@@ -80,25 +82,36 @@ class SegmentMinutes(StatefulProcessor):
         else:
             self.rows.clear()
 
-    def _toll(self, minute: int, speeds: dict, accidents: set) -> tuple[int, int]:
-        """Speed and toll of changes in a minute, from the minutes before."""
-        cars = sum(n for (m, _), (_, n) in speeds.items() if m == minute - 1)
-        recent = [total // n for (m, _), (total, n) in sorted(speeds.items()) if minute - self.minutes <= m < minute] if cars else []
-        recent = recent[: self.max_values]
-        speed = sum(recent) // len(recent) if recent else 0
-        due = speed < self.slow and cars > self.min_count and minute - 1 not in accidents
-        return speed, 2 * (cars - self.min_count) ** 2 if due else 0
-
-    def _settle(self, key, mark: int) -> list[tuple]:
-        """Tolls of the changes whose minute has begun by the watermark; minutes that no later change needs go."""
-        speeds, changes, accidents = self._load()
-        out = []
-        for minute, event in sorted(changes):
-            if self._begin(minute) <= mark:
-                speed, toll = self._toll(minute, speeds, accidents)
-                out.append((event, changes[minute, event], minute, *key, speed, toll))
+    def _tolls(self, asked: set, speeds: dict, accidents: set) -> dict:
+        """Speed and toll of changes in each minute asked for, from the minutes before: a minute's vehicles are sorted once."""
+        minutes: dict = {}
+        for (m, vehicle), (total, n) in speeds.items():
+            minutes.setdefault(m, []).append((vehicle, total // n, n))
+        cars = {m: sum(n for _, _, n in seen) for m, seen in minutes.items()}
+        means = {m: [mean for _, mean, _ in sorted(seen)][: self.max_values] for m, seen in minutes.items()}
+        found = {}
+        for minute in asked:
+            now = cars.get(minute - 1, 0)
+            recent = [mean for m in range(minute - self.minutes, minute) for mean in means.get(m, ())] if now else []
+            recent = recent[: self.max_values]
+            speed = sum(recent) // len(recent) if recent else 0
+            due = speed < self.slow and now > self.min_count and minute - 1 not in accidents
+            found[minute] = speed, 2 * (now - self.min_count) ** 2 if due else 0
+        return found
+
+    def _settle(self, key, mark: int, speeds: dict, changes: dict, accidents: set) -> list[tuple]:
+        """Tolls of the changes whose minute has begun by the watermark; minutes that no later change needs go.
+
+        What stays waits for one timer, at the first minute that turns: the watermark may pass many at once, and each timer reads all of the state.
+        """
+        tolls = self._tolls({m for m, _ in changes if self._begin(m) <= mark}, speeds, accidents)
+        out = [(event, changes[minute, event], minute, *key, *tolls[minute]) for minute, event in sorted(changes) if minute in tolls]
         gone = {m for m in {m for m, _ in speeds} | accidents if self._begin(m + self.minutes + 1) <= mark}
-        self._keep({k: v for k, v in speeds.items() if k[0] not in gone}, {k: v for k, v in changes.items() if self._begin(k[0]) > mark}, accidents - gone)
+        speeds, changes, accidents = {k: v for k, v in speeds.items() if k[0] not in gone}, {k: v for k, v in changes.items() if k[0] not in tolls}, accidents - gone
+        self._keep(speeds, changes, accidents)
+        turns = {self._begin(m) for m, _ in changes} | {self._begin(m + self.minutes + 1) for m in {m for m, _ in speeds} | accidents}
+        if turns:
+            self.handle.registerTimer(min(turns))
         return out
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
@@ -112,15 +125,10 @@ class SegmentMinutes(StatefulProcessor):
                 changes[minute, i] = a
             else:
                 accidents.add(minute)
-        self._keep(speeds, changes, accidents)
-        for minute in {m for m, _ in changes}:
-            self.handle.registerTimer(self._begin(minute))
-        for minute in {m for m, _ in speeds} | accidents:
-            self.handle.registerTimer(self._begin(minute + self.minutes + 1))
-        yield _frame(self._settle(key, timerValues.getCurrentWatermarkInMs()), self.names)
+        yield _frame(self._settle(key, timerValues.getCurrentWatermarkInMs(), speeds, changes, accidents), self.names)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield _frame(self._settle(key, timerValues.getCurrentWatermarkInMs()), self.names)
+        yield _frame(self._settle(key, timerValues.getCurrentWatermarkInMs(), *self._load()), self.names)
 
     def close(self) -> None:
         pass
@@ -149,7 +157,9 @@ def tolls(reports: DataFrame, *, at: str, order: list[str], zero: int, delay: st
     names = ["event_id", "vid", "minute", *SEGMENT, "at"]
     moving = whole.where(F.col("lane") != EXIT_LANE).select("vid", "event_id", "minute", *[c for c in SEGMENT], *[c for c in order if c not in ("event_id", "at")], "at")
     schema = ", ".join(f"{n} {kind_of(whole, n)}" for n in names)
-    changes = with_null_marks(moving, ["vid"]).groupBy("vid").transformWithStateInPandas(statefulProcessor=SegmentChanges(order, names), outputStructType=schema, outputMode="append", timeMode="EventTime", eventTimeColumnName="at")
+    # a micro-batch calls Python once for a shard and not once for a vehicle
+    dealt = with_null_marks(moving.withColumn("shard", F.pmod(F.xxhash64("vid"), F.lit(SHARDS)).cast("int")), ["shard"])
+    changes = dealt.groupBy("shard").transformWithStateInPandas(statefulProcessor=SegmentChanges(order, names), outputStructType=schema, outputMode="append", timeMode="EventTime", eventTimeColumnName="at")
     tagged = changes.select(*SEGMENT, "minute", F.lit(CHANGE).alias("kind"), F.col("event_id").alias("id"), F.col("vid").cast("long").alias("a"), "at")
     both = segment_reports(whole, accidents=accidents).unionByName(tagged).withColumn("segment", F.col("segment").cast("long"))
     out = ["event_id", "vid", "minute", *SEGMENT, "speed", "toll"]
