@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.storage import stored
+from .ads import sized
 from .ordered import block_count, decayed_sums
 from .traffic import ordered_scan
 
@@ -133,6 +135,18 @@ class FilterShape:
         return math.ceil(math.ceil(self.hashes / math.log(2) * self.expected) / self.shards)
 
 
+#: Keys that a shard's filter of ``filter_shape`` takes.
+SHARD_KEYS = 11_250
+
+
+def filter_shape(df: DataFrame, keys: list[str], *, error: float = 0.05) -> FilterShape:
+    """A shape whose filters take all keys of a table and don't rotate; shards grow in number with the keys, not in size. Only a count reaches the driver."""
+    n = df.agg(F.approx_count_distinct(F.struct(*keys))).first()[0]
+    # a fifth more than the count tells, which may be off by some per cent
+    expected = max(FilterShape.expected, math.ceil(n * 1.2))
+    return FilterShape(expected=expected, error=error, shards=math.ceil(expected / SHARD_KEYS))
+
+
 class RotatingFilters:
     """One shard's detector, which tells what was seen, and learner, which takes its place once it is full. Batch and stream share it.
 
@@ -183,3 +197,16 @@ def seen_filter(df: DataFrame, *, keys: list[str], order: str, tie: list[str], r
 
     schema = T.StructType([T.StructField(row_id, slim.schema["_id"].dataType), T.StructField("new", T.BooleanType())])
     return ordered_scan(slim, scan, key="_shard", order=["_o", *(f"_t{i}" for i in range(len(tie)))], schema=schema)
+
+
+def confirmed(flags: DataFrame, rows: DataFrame, *, keys: list[str], order: str, tie: list[str], row_id: str) -> DataFrame:
+    """``seen_filter``'s row_id and ``new``, made exact where the filters didn't rotate (``filter_shape``).
+
+    What such a filter calls new is new. A key that passed for known from the start has no new row: only the first row of such keys, a share of them that
+    the filter's error bounds, is looked up in ``rows``. ``row_id`` tells rows apart.
+    """
+    flags = stored(flags.select(row_id, "new"), "flags")
+    place = F.struct(*dict.fromkeys([order, *tie, row_id]))
+    met = rows.select(*dict.fromkeys([*keys, order, *tie, row_id])).join(flags, row_id)
+    missed = met.groupBy(*keys).agg(F.bool_or("new").alias("_met"), F.min(place).alias("_first")).where("not _met").select(F.col(f"_first.{row_id}").alias(row_id), F.lit(True).alias("_missed"))
+    return flags.join(sized(stored(missed, "missed")), row_id, "left").select(row_id, (F.col("new") | F.coalesce("_missed", F.lit(False))).alias("new"))

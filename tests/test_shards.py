@@ -52,3 +52,19 @@ def test_a_segment_waits_for_one_timer_however_many_minutes(spark):
     last = pd.concat(state.handleExpiredTimer((1,), At(1000 * tolls.MINUTE_MS), None))
     assert len(last) == len(minutes) - 1 and held.reads == 1 and not held.rows
     assert set(zip(last["speed"], last["toll"])) == {(10, 8), (11, 8)}
+
+
+def test_filters_are_confirmed(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, *range(12)]), rng.randrange(5), i // 3) for i in range(600)]
+    df = spark.createDataFrame(rows, "id long, a long, b long, t long")
+    by = {"keys": ["a", "b"], "order": "t", "tie": ["id"], "row_id": "id"}
+    flags = sketches.seen_filter(df, shape=sketches.FilterShape(expected=66, error=0.5, shards=1), **by)
+    want = {(i, (a, b) not in {r[1:3] for r in rows[:i]}) for i, a, b, _ in rows}
+    assert {tuple(r) for r in flags.collect()} != want
+    assert {tuple(r) for r in sketches.confirmed(flags, df, **by).collect()} == want
+
+
+def test_filter_shapes_grow_with_the_keys(spark):
+    few, many = (sketches.filter_shape(spark.range(n), ["id"]) for n in (100, 1_000_000))
+    assert few.expected == sketches.FilterShape.expected and many.expected > 1_100_000 and many.bits <= few.bits * 1.01
