@@ -216,7 +216,7 @@ def ewma_global(df: DataFrame, *, order: str, tie: list[str], value: str, age: f
         return df.withColumn(out, F.lit(0.0))
     amount = F.when(F.col("_n") == seed["_n"], seed["_run"]).when(F.col("_n") > seed["_n"], alpha * F.col(value)).otherwise(0.0)
     mean = decayed(lines, keys=[], time="_n", tie=[], amount=amount, beta=1 - alpha, out="_mean", blocks=blocks)
-    return mean.withColumn(out, F.when(F.col("_mean") > warm, F.col("_mean")).otherwise(0.0)).select(*df.columns, out)
+    return mean.withColumn(out, F.when(F.col("_mean") > warm, F.col("_mean")).otherwise(0.0)).select(*[c for c in df.columns if c != out], out)
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], *, rows: int | None = None) -> DataFrame:

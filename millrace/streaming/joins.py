@@ -21,55 +21,67 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 
 class Gatherer(StatefulProcessor):
-    """One key's values by tag: all of them leave as one row, and the state with them; a key that isn't whole goes ``within_ms`` after its last value."""
+    """A shard's keys with their values by tag: a key's values leave as one row once all are there; a key that isn't whole goes ``within_ms`` after its last value.
 
-    def __init__(self, tags: list[str], names: list[str], within_ms: int):
-        self.tags, self.names, self.within_ms = tags, names, within_ms
+    State is a list of the keys that wait, and one timer, at the first of them to go.
+    """
+
+    def __init__(self, tags: list[str], keys: list[str], kinds: list[str], within_ms: int):
+        self.tags, self.keys, self.kinds, self.within_ms = tags, keys, kinds, within_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.state = handle, handle.getValueState("values", ", ".join(f"v{i} double, h{i} boolean" for i in range(len(self.tags))) + ", last long")
+        held = [f"k{i} {kind}" for i, kind in enumerate(self.kinds)] + [x for i in range(len(self.tags)) for x in (f"v{i} double", f"h{i} boolean")]
+        self.handle, self.state = handle, handle.getListState("waiting", ", ".join([*held, "last long"]))
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        columns = ordered_columns(pd.concat(rows), [_AT])
-        held, last, out = {}, None, []
-        if self.state.exists():
-            *flat, last = tuple(self.state.get())
-            held = {t: v for t, v, there in zip(self.tags, flat[::2], flat[1::2], strict=True) if there}
-        for tag, value, at in zip(columns["tag"], columns["value"], columns[_AT], strict=True):
-            held[tag], last = value, at
-            if len(held) == len(self.tags):
-                out.append((*key, *[held[t] for t in self.tags]))
-                held = {}
+    def _load(self) -> dict[tuple, tuple[dict, int]]:
+        held, n = {}, len(self.keys)
+        for row in map(tuple, self.state.get()) if self.state.exists() else ():
+            held[row[:n]] = {t: v for t, v, there in zip(self.tags, row[n:-1:2], row[n + 1 : -1 : 2], strict=True) if there}, row[-1]
+        return held
+
+    def _keep(self, held: dict[tuple, tuple[dict, int]]) -> None:
         if held:
-            self.state.update((*[x for t in self.tags for x in (held.get(t), t in held)], int(last)))
-            self.handle.registerTimer(int(last) + self.within_ms)
+            self.state.put([(*key, *[x for t in self.tags for x in (values.get(t), t in values)], last) for key, (values, last) in held.items()])
+            self.handle.registerTimer(min(last for _, last in held.values()) + self.within_ms)
         else:
             self.state.clear()
-        yield _frame(out, self.names)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        columns = ordered_columns(pd.concat(rows), [_AT])
+        held, out = self._load(), []
+        for own, tag, value, at in zip(zip(*[columns[k] for k in self.keys], strict=True), columns["tag"], columns["value"], columns[_AT], strict=True):
+            values, _ = held.pop(own, ({}, None))
+            values[tag] = value
+            if len(values) == len(self.tags):
+                out.append((*own, *[values[t] for t in self.tags]))
+            else:
+                held[own] = values, int(at)
+        self._keep(held)
+        yield _frame(out, [*self.keys, *self.tags])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # a timer of values that have left meanwhile says nothing about later ones
-        if self.state.exists() and tuple(self.state.get())[-1] + self.within_ms <= expiredTimerInfo.getExpiryTimeInMs():
-            self.state.clear()
-        yield _frame([], self.names)
+        mark = timerValues.getCurrentWatermarkInMs()
+        self._keep({own: (values, last) for own, (values, last) in self._load().items() if last + self.within_ms > mark})
+        yield _frame([], [*self.keys, *self.tags])
 
     def close(self) -> None:
         pass
 
 
-def gathered(streams: dict[str, DataFrame], *, keys: list[str], at: str, within: str) -> DataFrame:
+def gathered(streams: dict[str, DataFrame], *, keys: list[str], at: str, within: str, shards: int = 64) -> DataFrame:
     """One row for each key once every stream has given its value (the column of its name): keys and a double column for each stream.
 
-    The streams are one, tagged, and a key's state is one value. A second value of a stream before the row is whole takes the place of the
-    first; after it, it begins a new row. A key that stays in part is forgotten ``within`` after its last value, behind a
-    watermark of the same delay. Null values are values; null keys are keys.
+    The streams are one, tagged, and keys are dealt to ``shards``, so that a micro-batch calls Python once for a shard and not once for a key. A second
+    value of a stream before the row is whole takes the place of the first; after it, it begins a new row. A key that stays in part is
+    forgotten ``within`` after its last value, behind a watermark of the same delay. Null values are values; null keys are keys.
     """
     first = next(iter(streams.values()))
     tagged = [s.withWatermark(at, within).select(*keys, F.lit(tag).alias("tag"), F.col(tag).cast("double").alias("value"), F.col(at), F.unix_millis(at).alias(_AT)) for tag, s in streams.items()]
-    schema = ", ".join([f"{k} {kind_of(first, k)}" for k in keys] + [f"{tag} double" for tag in streams])
+    kinds = [kind_of(first, k) for k in keys]
+    schema = ", ".join([f"{k} {kind}" for k, kind in zip(keys, kinds, strict=True)] + [f"{tag} double" for tag in streams])
     within_ms = first.sparkSession.range(1).select(F.expr(f"cast(unix_millis(timestamp_seconds(0) + interval {within}) as long)")).first()[0]
-    both = with_null_marks(reduce(DataFrame.unionByName, tagged), keys)
-    return both.groupBy(*keys).transformWithStateInPandas(statefulProcessor=Gatherer(list(streams), [*keys, *streams], within_ms), outputStructType=schema, outputMode="append", timeMode="EventTime")
+    both = with_null_marks(reduce(DataFrame.unionByName, tagged).withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(shards)).cast("int")), ["shard"])
+    return both.groupBy("shard").transformWithStateInPandas(statefulProcessor=Gatherer(list(streams), keys, kinds, within_ms), outputStructType=schema, outputMode="append", timeMode="EventTime")
 
 
 class AsOf(StatefulProcessor):
