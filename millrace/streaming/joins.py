@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from . import kind_of, ordered_columns, with_null_marks
+from . import kind_of, ordered_columns, sorted_rows, with_null_marks, without_marks
 
 _AT = "at_ms"
 
@@ -126,22 +128,106 @@ class AsOf(StatefulProcessor):
         pass
 
 
+class BlockAsOf(StatefulProcessor):
+    """A stretch of time's rows and versions: those that the watermark has passed leave in total order.
+
+    A row with a version before it in the stretch has its value (``asof_part`` from 0); another has ``asof_part`` -1 and ``asof_kind`` 1, and the last version of what leaves
+    follows as a row of ``asof_kind`` 2. What waits is packed, a piece for each micro-batch.
+    """
+
+    def __init__(self, names: list[str], order: list[str], value: str, kind: str, shards: int):
+        self.names, self.order, self.value, self.kind, self.shards = names, order, value, kind, shards
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending, self.latest = handle.getListState("pending", "rows binary"), handle.getValueState("latest", f"{self.value} {self.kind}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        pdf = pd.concat(rows)
+        self.pending.appendList([(pickle.dumps(pdf),)])
+        self.handle.registerTimer(int(pdf[_AT].min()))
+        yield _frame([], [*self.names, "asof_stretch", "asof_part", "asof_kind"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = [pickle.loads(r[0]) for r in self.pending.get()] if self.pending.exists() else []
+        if not held:
+            yield _frame([], [*self.names, "asof_stretch", "asof_part", "asof_kind"])
+            return
+        pdf = pd.concat(held, ignore_index=True)
+        passed = pdf[_AT] <= timerValues.getCurrentWatermarkInMs()
+        if passed.all():
+            self.pending.clear()
+        else:
+            self.pending.put([(pickle.dumps(pdf[~passed]),)])
+            self.handle.registerTimer(int(pdf[_AT][~passed].min()))
+        # versions come first among equals
+        due = without_marks(sorted_rows(pdf[passed].sort_values("side", kind="stable"), self.order))
+        side, values = due["side"].to_numpy(), due[self.value].to_numpy(dtype=object)
+        version = (side == 0) & np.array([v is not None for v in values.tolist()], bool)  # NaN is a value
+        last = np.maximum.accumulate(np.where(version, np.arange(len(due)), -1)) if len(due) else np.zeros(0, np.int64)
+        before = self.latest.get()[0] if self.latest.exists() else None
+        found = np.array([before if i < 0 else values[i] for i in last.tolist()], dtype=object)
+        known = (last >= 0) | (before is not None)
+        out = due.assign(**{self.value: pd.Series(found, index=due.index, dtype=object), "asof_stretch": key[0], "asof_kind": np.where(known, 0, 1)})
+        out["asof_part"] = np.where(known, np.arange(len(due)) % self.shards, -1)
+        out = out[side == 1]
+        yield out[[*self.names, "asof_stretch", "asof_part", "asof_kind"]]
+        if version.any():
+            newest = values[last[-1]]
+            newest = newest.item() if isinstance(newest, np.generic) else newest
+            self.latest.update((newest,))
+            yield _frame([tuple(newest if n == self.value else None for n in self.names) + (key[0], -1, 2)], [*self.names, "asof_stretch", "asof_part", "asof_kind"])
+
+    def close(self) -> None:
+        pass
+
+
+class Carry(StatefulProcessor):
+    """Rows of ``BlockAsOf`` that found no version in their stretch take the last one of the stretches before; others pass."""
+
+    def __init__(self, names: list[str], value: str, kind: str):
+        self.names, self.value, self.kind = names, value, kind
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.latest = handle.getValueState("latest", f"{self.value} {self.kind}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if key[0] >= 0:
+            for pdf in rows:
+                yield without_marks(pdf)[self.names]
+            return
+        pdf = without_marks(pd.concat(rows).sort_values(["asof_stretch", "asof_kind"], kind="stable"))
+        now, found = self.latest.get()[0] if self.latest.exists() else None, []
+        for kind, value in zip(pdf["asof_kind"].tolist(), pdf[self.value].tolist(), strict=True):
+            now = value if kind == 2 else now
+            found.append(now)
+        if now is not None:
+            self.latest.update((now,))
+        yield pdf.assign(**{self.value: pd.Series(found, index=pdf.index, dtype=object)})[pdf["asof_kind"] == 1][self.names]
+
+    def close(self) -> None:
+        pass
+
+
 def asof_joined(left: DataFrame, right: DataFrame, *, order: list[str], value: str, at: str, delay: str, key: list[str] | None = None, shards: int = 1) -> DataFrame:
-    """The stream twin of ``asof_latest``: each left row with the latest ``value`` at or before it in ``order``, right first on ties.
+    """The stream twin of ``asof_latest``: each left row with the latest ``value`` at or before it in ``order`` (along which ``at`` rises), right first on ties.
 
-    Rows and versions may arrive in any order within ``delay``: both wait until the watermark passes them. Without ``key`` the versions go to each
-    of ``shards`` parts that the left rows are dealt to, so that they don't meet in one task. Rows behind the watermark are dropped, as
+    Rows and versions may arrive in any order within ``delay``: both wait until the watermark passes them. Without ``key`` both go to stretches of time as long as
+    the delay, each a state of its own that gives its rows their value; one state carries the last version from stretch to stretch, and takes no
+    rows but those ahead of the first version of theirs. Rows that have their value pass it in ``shards`` parts. Rows behind the watermark are dropped, as
     Spark does it; so are rows without a time.
     """
-    keys = key or ["part"]
-    if not key:
-        left = left.withColumn("part", F.pmod(F.xxhash64(*[c for c in left.columns if c != at]), F.lit(shards)).cast("long"))
-        right = right.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    keys = key or ["_block"]
     kind = kind_of(right, value)
-    sides = [left.withColumn("side", F.lit(1)).withColumn(value, F.lit(None).cast(kind)), right.select(*keys, *order, value, at).withColumn("side", F.lit(0))]
+    sides = [left.withColumn("side", F.lit(1)).withColumn(value, F.lit(None).cast(kind)), right.select(*(key or []), *order, value, at).withColumn("side", F.lit(0))]
     both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [s.where(F.col(at).isNotNull()).withWatermark(at, delay) for s in sides]).withColumn(_AT, F.unix_millis(at))
-    fields = [c for c in both.columns if c not in (at, "part")]
-    names = [c for c in left.columns if c not in (at, "part")] + [value]
+    fields = [c for c in both.columns if c not in (at, "_block")]
+    names = [c for c in left.columns if c != at] + [value]
     typed = lambda columns: ", ".join(f"{c} {kind_of(both, c)}" for c in columns)
-    processor = AsOf(names, order, value, keys, typed(fields), f"{value} {kind}")
-    return with_null_marks(both, keys).groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=typed(names), outputMode="append", timeMode="EventTime")
+    if key:
+        processor = AsOf(names, order, value, keys, typed(fields), f"{value} {kind}")
+        return with_null_marks(both, keys).groupBy(*keys).transformWithStateInPandas(statefulProcessor=processor, outputStructType=typed(names), outputMode="append", timeMode="EventTime")
+    length = left.sparkSession.range(1).select(F.expr(f"cast(unix_millis(timestamp_seconds(0) + interval {delay}) as long)")).first()[0]
+    placed = with_null_marks(both.withColumn("_block", F.floor(F.col(_AT) / max(1, length))), ["_block"])
+    solved = placed.groupBy("_block").transformWithStateInPandas(statefulProcessor=BlockAsOf(names, order, value, kind, shards), outputStructType=typed(names) + ", asof_stretch long, asof_part long, asof_kind long", outputMode="append", timeMode="EventTime")
+    return with_null_marks(solved, ["asof_part"]).groupBy("asof_part").transformWithStateInPandas(statefulProcessor=Carry(names, value, kind), outputStructType=typed(names), outputMode="append", timeMode="None")
