@@ -6,6 +6,7 @@ that need watermarks or state.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -87,6 +88,41 @@ class Stepper(StatefulProcessor):
         pass
 
 
+class ShardStepper(StatefulProcessor):
+    """``Stepper`` over a shard of keys: a micro-batch calls Python once for a shard and not once for a key, and a shard's states are one packed value."""
+
+    def __init__(self, kind: str, keys: list[str], order: list[str], scan: Callable, names: list[str]):
+        self.kind, self.keys, self.order, self.scan, self.names = kind, keys, order, scan, names
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("states", "states binary")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        columns = ordered_columns(pd.concat(rows), self.order)
+        states = pickle.loads(self.state.get()[0]) if self.state.exists() else {}
+        places: dict[tuple, list[int]] = {}
+        for i, own in enumerate(zip(*[columns[k] for k in self.keys], strict=True)):
+            # NaN is a key that equals itself, in this micro-batch and the next
+            places.setdefault(tuple("NaN" if isinstance(v, float) and v != v else v for v in own), []).append(i)
+        made: list[list] = [[] for _ in self.names]
+        for own, at in places.items():
+            held = states.get(own, None if self.kind == "value" else [])
+            held, out = self.scan(held, tuple(columns[k][at[0]] for k in self.keys), {c: [v[i] for i in at] for c, v in columns.items()})
+            if held is not None if self.kind == "value" else held:
+                states[own] = held
+            for column, more in zip(made, out, strict=True):
+                column.extend(more)
+        self.state.update((pickle.dumps(states),))
+        yield pd.DataFrame({n: pd.Series(c, dtype=object) for n, c in zip(self.names, made, strict=True)}, columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+#: Parts that keys are dealt to where Python takes many keys at once.
+SHARDS = 64
+
+
 def with_null_marks(df: DataFrame, keys: list[str]) -> DataFrame:
     """Numbers that may be null with a mark of their own beside a zero: pandas would turn them to NaN, and long ids to doubles."""
     numbers = [f.name for f in df.schema if isinstance(f.dataType, T.NumericType) and f.nullable and f.name not in keys]
@@ -94,10 +130,20 @@ def with_null_marks(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select(*[zero(c) if c in numbers else c for c in df.columns], *[F.col(c).isNull().alias(f"absent_{c}") for c in numbers])
 
 
+def sorted_rows(pdf: pd.DataFrame, order: list[str]) -> pd.DataFrame:
+    """Rows of ``with_null_marks`` in order, nulls first."""
+    by = [x for c in order for x in ((f"absent_{c}", False), (c, True)) if x[0] in pdf.columns]
+    return pdf.sort_values([c for c, _ in by], ascending=[up for _, up in by], kind="stable") if by else pdf
+
+
+def without_marks(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Rows of ``with_null_marks`` with None for null in place of marks."""
+    return pd.DataFrame({c: pdf[c].astype(object).where(~pdf[f"absent_{c}"].astype(bool), None) if f"absent_{c}" in pdf.columns else pdf[c] for c in pdf.columns if not c.startswith("absent_")})
+
+
 def ordered_columns(pdf: pd.DataFrame, order: list[str]) -> dict[str, list]:
     """Rows of ``with_null_marks`` in order, nulls first, as lists with None for null."""
-    by = [x for c in order for x in ((f"absent_{c}", False), (c, True)) if x[0] in pdf.columns]
-    pdf = pdf.sort_values([c for c, _ in by], ascending=[up for _, up in by], kind="stable") if by else pdf
+    pdf = sorted_rows(pdf, order)
     columns = {c: pdf[c].tolist() for c in pdf.columns if not c.startswith("absent_")}
     for c in columns:
         if f"absent_{c}" in pdf.columns:
@@ -111,6 +157,9 @@ def kind_of(df: DataFrame, column: str) -> str:
 
 def _stateful(df: DataFrame, keys: list[str], state: tuple, order: list[str], scan: Callable, schema: str, ttl_ms: int | None = None) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
+    if state[0] != "map" and ttl_ms is None and all(isinstance(df.schema[k].dataType, (T.NumericType, T.StringType)) and not k.startswith("_") for k in keys):
+        dealt = with_null_marks(df, []).withColumn("_shard", F.pmod(F.xxhash64(*keys), F.lit(SHARDS)).cast("int"))
+        return dealt.groupBy("_shard").transformWithStateInPandas(statefulProcessor=ShardStepper(state[0], keys, order, scan, names), outputStructType=schema, outputMode="append", timeMode="None")
     return with_null_marks(df, keys).groupBy(*keys).transformWithStateInPandas(statefulProcessor=Stepper(state, order, scan, names, ttl_ms), outputStructType=schema, outputMode="append", timeMode="ProcessingTime" if ttl_ms else "None")
 
 
