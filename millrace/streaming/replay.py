@@ -10,19 +10,27 @@ from ..operators.ordered import bucketed, numbered
 from ..sources.storage import shared_folder
 
 
-def replayed(df: DataFrame, order: str, *, parts: int = 3, name: str = "feed") -> DataFrame:
+#: Rows of one file of a replayed table: one task's work.
+FILE_ROWS = 20_000
+
+
+def replayed(df: DataFrame, order: str, *, parts: int = 3, name: str = "feed", file_rows: int = FILE_ROWS) -> DataFrame:
     """A table as a stream: written in ``parts`` by the order of a numeric column, one after the other, which arrive as one micro-batch each.
 
-    A part is one file and so one task's work: take as many parts as the table has tasks' worth of rows. Rows without an order value come first.
+    A part has as many files as its rows need, ``file_rows`` each, so that no task takes a part whole. All parts have equally many files, empty ones
+    where rows don't suffice, since a micro-batch is a count of files. Rows without an order value come with the first part.
     """
-    path = shared_folder(df.sparkSession, name)
-    cut = bucketed(df, order, parts).persist(StorageLevel.MEMORY_AND_DISK)
-    for part in range(-1, parts):
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    cut = bucketed(df, order, parts).withColumn("_bucket", F.greatest("_bucket", F.lit(0).cast("long"))).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = dict(cut.groupBy("_bucket").count().collect()) or {0: 0}  # a row for each part
+    files = max(1, -(-max(counts.values()) // file_rows))
+    for i, part in enumerate(sorted(counts)):
         rows = cut.where(F.col("_bucket") == part).drop("_bucket")
-        if part >= 0 or not rows.isEmpty():
-            rows.coalesce(1).write.mode("append").parquet(path)
+        (rows.repartition(files) if files > 1 else rows.coalesce(1)).write.mode("append").parquet(path)
+        for _ in range(files * (i + 1) - len(spark.read.schema(df.schema).parquet(path).inputFiles()) if files > 1 else 0):
+            df.limit(0).coalesce(1).write.mode("append").parquet(path)
     cut.unpersist()
-    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def drained(stream: DataFrame, name: str, *, runs: int = 1) -> DataFrame:
