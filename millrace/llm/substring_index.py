@@ -4,8 +4,8 @@ The index holds a 64-bit fingerprint of every word window of all documents seen
 far, with a 32-bit check hash that doesn't follow from it, as immutable sorted runs split into buckets by
 the leading bits. A new batch of documents (all its ids above those already indexed) goes through three steps:
 
-1. each range of documents emits its distinct window fingerprints with their checks, sorted and packed,
-   one row for each bucket;
+1. each slice of text emits its distinct window fingerprints with their checks, sorted and packed,
+   one row for each bucket however many ranges its documents are from;
 2. each bucket merge-joins the batch's sorted arrays with the runs of the index and
    with each other by fingerprint, and verifies what meets by the checks: a window that the index or a lower range
    holds is a repeat. Two texts with one fingerprint are told apart here, and both are held.
@@ -45,6 +45,8 @@ GROUP_BYTES = 8 << 20
 #: Text of the table for each bucket, where that makes more of them than shuffle partitions do.
 BUCKET_BYTES = 128 << 20
 _KEYS = "_mr_bucket long, _mr_range long, _mr_keys binary, _mr_checks binary"
+#: What a slice emits: the range of all its keys, or -1 and each key's own in ``_mr_ranges``.
+_NEW = _KEYS + ", _mr_ranges binary"
 _RUN = "_mr_bucket long, _mr_file string"
 
 
@@ -180,7 +182,7 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame, id_col: str, text_col: str, bounds: np.ndarray) -> DataFrame:
         """Index admitted documents, or a part of them in id order; returns their repeated windows by range."""
-        keys = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(_emit(self.words, self.bits, bounds, self.mask), _KEYS)
+        keys = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text_col}`")).mapInArrow(_emit(self.words, self.bits, bounds, self.mask), _NEW)
         out = self._path("substring-batch")
         merged = keys.groupBy("_mr_bucket").cogroup(self.history().groupBy("_mr_bucket")).applyInArrow(_merge(self.store), "_mr_kind string, _mr_file string, " + _KEYS)
         merged.write.partitionBy("_mr_kind").option("compression", "zstd").parquet(out)
@@ -239,17 +241,19 @@ def _emit(words: int, bits: int, bounds: np.ndarray, mask: int | None):
                 _, row, h = word_hashes(data[part[0] : part[-1]], part - part[0])
                 ok = starts_ok(np.bincount(row, minlength=hi - lo), words)
                 w, c, of = windows_of(h, words, mask=mask)[ok], checks_of(h, words)[ok], ranges[lo:hi][row[ok]]
-                out: tuple[list, ...] = ([], [], [], [])
-                for g in np.unique(of):
-                    mine = slice(None) if of[0] == g and (of == g).all() else of == g
-                    k, x = w[mine], c[mine]
-                    order, new = _in_order(k, x)
-                    k, x = k[order][new], x[order][new]
-                    for b, at in _by_bucket(k, bits):
-                        for column, v in zip(out, (b, int(g), common.pack_keys(k[at]), x[at].astype("<u4").tobytes()), strict=True):
-                            column.append(v)
+                out: tuple[list, ...] = ([], [], [], [], [])
+                one = len(of) == 0 or bool((of == of[0]).all())
+                order, new = _in_order(w, c, None if one else of)
+                w, c, of = w[order], c[order], of[order]
+                if not one:  # a window of several ranges stands once for each
+                    new[1:] |= of[1:] != of[:-1]
+                w, c, of = w[new], c[new], of[new]
+                own = of.astype(np.min_scalar_type(int(of.max()))) if not one else None
+                for b, at in _by_bucket(w, bits):
+                    for column, v in zip(out, (b, int(of[0]) if one else -1, common.pack_keys(w[at]), c[at].astype("<u4").tobytes(), None if one else own[at].tobytes()), strict=True):
+                        column.append(v)
                 if out[0]:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if i < 2 else pa.binary()) for i, v in enumerate(out)], ["_mr_bucket", "_mr_range", "_mr_keys", "_mr_checks"])
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if i < 2 else pa.binary()) for i, v in enumerate(out)], ["_mr_bucket", "_mr_range", "_mr_keys", "_mr_checks", "_mr_ranges"])
 
     return emit
 
@@ -261,6 +265,11 @@ def _read_pairs(rows: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarra
     return arrays, np.concatenate([np.zeros(0, np.uint64), *arrays]), np.concatenate([np.zeros(0, np.uint32), *checks])
 
 
+def _ranges_of(one: int, each: bytes | None, n: int) -> np.ndarray:
+    """The range of each of a packed row's keys."""
+    return np.full(n, one, np.int64) if each is None else np.frombuffer(each, f"<u{len(each) // n}").astype(np.int64)
+
+
 def _merge(store: str):
     def run(new: pa.Table, history: pa.Table) -> pa.Table:
         """One bucket: the repeated windows of each range, and the run of those that are new."""
@@ -268,7 +277,7 @@ def _merge(store: str):
         bucket = (new if new.num_rows else history).column("_mr_bucket")[0].as_py()
         if new.num_rows:
             arrays, keys, checks = _read_pairs(new)
-            of = np.repeat(new.column("_mr_range").to_numpy(), [len(a) for a in arrays])
+            of = np.concatenate([_ranges_of(g, raw, len(a)) for g, raw, a in zip(new.column("_mr_range").to_pylist(), new.column("_mr_ranges").to_pylist(), arrays, strict=True)])
             order, first = _in_order(keys, checks, of)
             keys, checks, of = keys[order], checks[order], of[order]
             lowest = of[np.maximum.accumulate(np.where(first, np.arange(len(keys)), 0))]
