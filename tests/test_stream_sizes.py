@@ -1,6 +1,7 @@
 """What streams hold and read grows in parts: files of a replay, states of shards and stretches."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -49,3 +50,14 @@ def test_versions_wait_once_and_carry_over_stretches(spark, tmp_path):
     got, held = drained(spark, joins.asof_joined(a, b, order=["t", "id"], value="v", at="at", delay="2 minutes", shards=4), tmp_path, "stretches")
     assert flat(got) == flat((i, t, 1.5 if t > 60 else None) for i, t, _ in left)
     assert held < 100
+
+
+@pytest.mark.parametrize(("size", "ttl"), [(1, None), (7, None), (40, None), (7, 3_600_000)])
+def test_means_of_a_stream_are_the_batch_operators_to_the_bit(spark, tmp_path, size, ttl):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(2), rng.choice([None, *[rng.randrange(1, 50_000) / 100 for _ in range(9)]])) for i in range(200)]
+    schema = "i long, k long, v double"
+    stream, batch = arriving(spark, tmp_path / "in", [rows[:61], rows[61:62], rows[62:130], rows[130:]], schema), spark.createDataFrame(rows, schema)
+    got, _ = drained(spark, streaming.moving_averages(stream, key="k", value="v", order=["i"], size=size, ttl_ms=ttl), tmp_path, f"means{size}")
+    want = ordered.moving_avg(batch, key="k", order="i", tie=[], value="v", size=size).select("k", "i", "moving_avg").collect()
+    assert {r[1]: r[2] for r in got} == {r.i: r.moving_avg for r in want} and len(got) == 200
