@@ -289,8 +289,9 @@ def _anchored_by_doubling(slim: DataFrame, key: str, length: int, ties: list[str
         # each opener alone, and with the one as many windows on as the jump has
         j = jump.where("_next is not null").select(F.col("_k").alias("_jk"), F.col("_at").alias("_ja"), "_next")
         met = openers.join(j, F.col("_k").eqNullSafe(F.col("_jk")) & (F.col("_at") == F.col("_ja")), "left")
-        openers = met.select("_k", F.explode(F.when(F.col("_next").isNull(), F.array("_at")).otherwise(F.array("_at", "_next"))).alias("_at"))
-    opened = stored(openers, "anchored-openers").alias("o")
+        # stored each time: joins in one stage would hold all jumps' tables in each task
+        openers = stored(met.select("_k", F.explode(F.when(F.col("_next").isNull(), F.array("_at")).otherwise(F.array("_at", "_next"))).alias("_at")), "anchored-openers")
+    opened = openers.alias("o")
     placed = tops.alias("t").join(opened, F.col("t._k").eqNullSafe(F.col("o._k")) & (F.col("t._at") == F.col("o._at"))).select("t._k", "t._n", F.col("t._at").alias("_open"))
     held = asof_latest(lines.select("_k", "_n", "_at"), placed, order=["_n"], value="_open", key=["_k"], blocks=blocks)
     counts = held.where("_at >= _open").groupBy("_k", "_open").agg(F.count("*").alias("count")).alias("c")

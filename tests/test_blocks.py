@@ -150,3 +150,17 @@ def test_slanted_and_wide_roads_against_all_pairs(spark):
             want[i] = near.road_id
     got = {x.id: x.road_id for x in traffic.join_nearest_road(p, r, point_id="id").collect()}
     assert got == want and 20 < len(got) < 600
+
+
+def test_anchored_openers_meet_one_jump_in_a_stage(spark, monkeypatch):
+    joins, stored = [], traffic.stored
+
+    def seen(df, name):
+        joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join "))
+        return stored(df, name)
+
+    monkeypatch.setattr(traffic, "stored", seen)
+    df = spark.createDataFrame([(i % 3, i * 7 % 1000 + i, i) for i in range(600)], "k long, t long, o long")
+    got = traffic.win_anchored_count(df, key="k", time="t", order="o", length=10, block=200).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, traffic.win_anchored_count(df, key="k", time="t", order="o", length=10).collect()))
+    assert got and len(joins) > 6 and max(joins) == 1
