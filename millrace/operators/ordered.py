@@ -55,9 +55,13 @@ def held(df: DataFrame, blocks: int) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK) if blocks > 1 else df
 
 
-def _with_carries(pieces: DataFrame, carries: DataFrame) -> DataFrame:
-    """Rows with ``_row`` true, ahead of each piece the row that carries what came before it."""
-    return pieces.withColumn("_row", F.lit(True)).unionByName(carries.withColumn("_row", F.lit(False)), allowMissingColumns=True)
+def _with_carries(pieces: DataFrame, carries: DataFrame, by: list[str], blocks: int) -> DataFrame:
+    """Rows with ``_row`` true, ahead of each piece the row that carries what came before it.
+
+    Pieces, told apart by ``by``, are dealt to two partitions a block, so that a task doesn't grow with the table, however few shuffle partitions a session has.
+    """
+    both = pieces.withColumn("_row", F.lit(True)).unionByName(carries.withColumn("_row", F.lit(False)), allowMissingColumns=True)
+    return both.repartition(2 * blocks, *by)
 
 
 def running(df: DataFrame, keys: list[str], order: str, tie: list[str], *, count: str | None = None, sums: dict[str, Column] | None = None, tops: dict[str, Column] | None = None, own: bool = True, rows: int | None = None, blocks: int | None = None) -> DataFrame:
@@ -82,7 +86,7 @@ def running(df: DataFrame, keys: list[str], order: str, tie: list[str], *, count
     before = _over(keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carries = totals.select(*keys, "_bucket", *[merge[kind](f"_x_{n}").over(before).alias(f"_x_{n}") for n, (kind, _) in values.items()])
     w = _over(keys, "_bucket").orderBy("_row", order, *tie)
-    both = _with_carries(pieces, carries).select("*", *[full(n, made(kind, F.col(f"_x_{n}"), w)) for n, (kind, _) in values.items()])
+    both = _with_carries(pieces, carries, [*keys, "_bucket"], blocks).select("*", *[full(n, made(kind, F.col(f"_x_{n}"), w)) for n, (kind, _) in values.items()])
     return both.where("_row").select(*df.columns, *values)
 
 
@@ -173,7 +177,7 @@ def decayed_sums(df: DataFrame, *, keys: list[str], time: str, tie: list[str], a
     carry = lambda n: F.coalesce(F.sum(f"_x_{n}").over(earlier), F.lit(0.0)) + lag(_over(keys), n, 1, F.col(f"_x_{n}")) + lag(_over(keys), n, 2, F.col(f"_x_{n}"))
     carries = totals.select(*keys, "_seg", "_bucket", *[carry(n).alias(f"_x_{n}") for n in names])
     w = _over(keys, "_seg", "_bucket").orderBy("_row", time, *tie).rowsBetween(Window.unboundedPreceding, 0)
-    both = _with_carries(pieces, carries).select("*", *[(F.sum(f"_x_{n}").over(w) * back).alias(f"_y_{n}") for n in names])
+    both = _with_carries(pieces, carries, [*keys, "_seg", "_bucket"], blocks).select("*", *[(F.sum(f"_x_{n}").over(w) * back).alias(f"_y_{n}") for n in names])
     return both.where("_row").select(*df.columns, *[F.col(f"_y_{n}").alias(n) for n in names])
 
 
@@ -198,7 +202,7 @@ def asof_latest(left: DataFrame, right: DataFrame, *, order: list[str], value: s
     lasts = pieces.groupBy(*keys, "_bucket").agg(F.max_by(value, known).alias("_last"))
     before = _over(keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carries = lasts.select(*keys, "_bucket", F.last("_last", ignorenulls=True).over(before).alias(value))
-    filled = _with_carries(pieces, carries).withColumn(value, newest(_over(keys, "_bucket").orderBy("_row", *order, "_side")))
+    filled = _with_carries(pieces, carries, [*keys, "_bucket"], blocks).withColumn(value, newest(_over(keys, "_bucket").orderBy("_row", *order, "_side")))
     return filled.where("_row and _side = 1").select(*left.columns, value)
 
 

@@ -164,3 +164,15 @@ def test_anchored_openers_meet_one_jump_in_a_stage(spark, monkeypatch):
     got = traffic.win_anchored_count(df, key="k", time="t", order="o", length=10, block=200).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, traffic.win_anchored_count(df, key="k", time="t", order="o", length=10).collect()))
     assert got and len(joins) > 6 and max(joins) == 1
+
+
+def test_tasks_of_blocks_are_as_many_as_the_table_needs(spark):
+    """Four shuffle partitions in this session, 40 blocks."""
+    df = spark.createDataFrame([(i, i % 3) for i in range(400)], "i long, k long")
+    made = {
+        "running": ordered.running(df, ["k"], "i", [], count="n", rows=10),
+        "decayed": ordered.decayed(df, keys=["k"], time="i", tie=[], amount=F.lit(1.0), beta=0.9, out="x", rows=10),
+        "asof": ordered.asof_latest(df, df.withColumn("v", F.col("i")), order=["i"], value="v", key=["k"], rows=20),
+    }
+    for name, found in made.items():
+        assert found.rdd.getNumPartitions() == 80 and found.count() == 400, name
