@@ -29,15 +29,16 @@ def block_count(df: DataFrame, rows: int | None = None) -> int:
     return min(MOST_BUCKETS, max(1, -(-df.count() // (rows or BLOCK_ROWS))))
 
 
-def bucketed(df: DataFrame, order: str, blocks: int) -> DataFrame:
+def bucketed(df: DataFrame, order: str, blocks: int, *, weight: Column | None = None) -> DataFrame:
     """``df`` with ``_bucket``, cut at approximate quantiles of a numeric ``order``; rows without an order value are in bucket -1.
 
-    At most ``MOST_BUCKETS`` bounds reach the driver.
+    A row counts ``weight`` times, a whole number, once if it isn't given. At most ``MOST_BUCKETS`` bounds reach the driver.
     """
     from pyspark.ml.feature import Bucketizer
 
     value = F.col(order).cast("double")
-    cuts = df.agg(F.percentile_approx(value, [i / blocks for i in range(1, blocks)], 20 * blocks).alias("c")).first()["c"] if blocks > 1 else None
+    weighed = df if weight is None else df.select(F.explode(F.array_repeat(order, weight)).alias(order))
+    cuts = weighed.agg(F.percentile_approx(value, [i / blocks for i in range(1, blocks)], 20 * blocks).alias("c")).first()["c"] if blocks > 1 else None
     inner = sorted({c for c in cuts or [] if math.isfinite(c)})
     if not inner:
         return df.withColumn("_bucket", F.when(F.col(order).isNull(), -1).otherwise(0).cast("long"))

@@ -27,8 +27,7 @@ def split_words(spark, sf):
 
 @query(f"WITH {WORDS} SELECT pos, word_no, word, row_number() OVER (PARTITION BY word ORDER BY pos, word_no) AS count FROM w")
 def word_count_running(spark, sf):
-    rows = ops.words(derive.lines(spark, sf))
-    return ops.word_count_running(rows, order="pos", tie=["word_no"]).select("pos", F.col("word_no").cast("long").alias("word_no"), "word", "count")
+    return ops.word_count_of_lines(derive.lines(spark, sf), order="pos").select("pos", F.col("word_no").cast("long").alias("word_no"), "word", "count")
 
 
 @query(f"WITH {WORDS} SELECT word, count(*) AS count FROM w GROUP BY word")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.operators import ads, logs, markov, ordered, traffic
+from millrace.operators import ads, logs, markov, ordered, text, traffic
 
 SCHEMA = "k string, t long, id long, v double, s string"
 
@@ -176,3 +176,21 @@ def test_tasks_of_blocks_are_as_many_as_the_table_needs(spark):
     }
     for name, found in made.items():
         assert found.rdd.getNumPartitions() == 80 and found.count() == 400, name
+
+
+@pytest.mark.parametrize("rows", [1, 7, 40, None])
+def test_words_of_lines_are_counted_where_they_are_split(spark, rows):
+    rng = random.Random(7)
+    texts = [None, "", "  ", *(" ".join(rng.choice(["the", "of", "x", ""]) for _ in range(rng.randrange(1, 60))) for _ in range(40))]
+    lines = spark.createDataFrame([(i * 10 if i % 9 else i * 10 + 1, "d", t) for i, t in enumerate(texts)], "pos long, doc string, line string").repartition(5)
+    want = text.word_count_running(text.words(lines), order="pos", tie=["word_no"])
+    got = text.word_count_of_lines(lines, order="pos", rows=rows)
+    assert got.columns == want.columns and plain(got) == plain(want)
+    assert text.word_count_of_lines(lines.limit(0), order="pos", rows=rows).count() == 0
+
+
+def test_words_are_not_shuffled_to_be_counted(spark):
+    lines = spark.createDataFrame([(i, f"the w{i} the") for i in range(50)], "pos long, line string")
+    plan = text.word_count_of_lines(lines, order="pos", rows=10)._jdf.queryExecution().executedPlan().toString()
+    # exchanges: lines with what was counted before, and the counts themselves twice; none above the last split
+    assert plan.count("Exchange hashpartitioning") == 3 and "Exchange" not in plan[: plan.index("Generate posexplode")]
