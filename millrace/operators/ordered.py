@@ -13,6 +13,8 @@ In all operators a null key is a key like any other, and rows without an order v
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import or_
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
@@ -86,6 +88,7 @@ def running(df: DataFrame, keys: list[str], order: str, tie: list[str], *, count
     totals = pieces.groupBy(*keys, "_bucket").agg(*[merge[kind](f"_x_{n}").alias(f"_x_{n}") for n, (kind, _) in values.items()])
     before = _over(keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carries = totals.select(*keys, "_bucket", *[merge[kind](f"_x_{n}").over(before).alias(f"_x_{n}") for n, (kind, _) in values.items()])
+    carries = carries.where(reduce(or_, [F.col(f"_x_{n}").isNotNull() for n in values]))  # most keys of many have nothing before
     w = _over(keys, "_bucket").orderBy("_row", order, *tie)
     both = _with_carries(pieces, carries, [*keys, "_bucket"], blocks).select("*", *[full(n, made(kind, F.col(f"_x_{n}"), w)) for n, (kind, _) in values.items()])
     return both.where("_row").select(*df.columns, *values)
@@ -177,6 +180,7 @@ def decayed_sums(df: DataFrame, *, keys: list[str], time: str, tie: list[str], a
     earlier = _over(keys, "_seg").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     carry = lambda n: F.coalesce(F.sum(f"_x_{n}").over(earlier), F.lit(0.0)) + lag(_over(keys), n, 1, F.col(f"_x_{n}")) + lag(_over(keys), n, 2, F.col(f"_x_{n}"))
     carries = totals.select(*keys, "_seg", "_bucket", *[carry(n).alias(f"_x_{n}") for n in names])
+    carries = carries.where(reduce(or_, [F.col(f"_x_{n}") != 0 for n in names]))
     w = _over(keys, "_seg", "_bucket").orderBy("_row", time, *tie).rowsBetween(Window.unboundedPreceding, 0)
     both = _with_carries(pieces, carries, [*keys, "_seg", "_bucket"], blocks).select("*", *[(F.sum(f"_x_{n}").over(w) * back).alias(f"_y_{n}") for n in names])
     return both.where("_row").select(*df.columns, *[F.col(f"_y_{n}").alias(n) for n in names])

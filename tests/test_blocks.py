@@ -194,3 +194,14 @@ def test_words_are_not_shuffled_to_be_counted(spark):
     plan = text.word_count_of_lines(lines, order="pos", rows=10)._jdf.queryExecution().executedPlan().toString()
     # exchanges: lines with what was counted before, and the counts themselves twice; none above the last split
     assert plan.count("Exchange hashpartitioning") == 3 and "Exchange" not in plan[: plan.index("Generate posexplode")]
+
+
+def test_pieces_with_nothing_before_them_get_no_carry(spark, monkeypatch):
+    sent = []
+    with_carries = ordered._with_carries
+    monkeypatch.setattr(ordered, "_with_carries", lambda pieces, carries, by, blocks: sent.append(carries.count()) or with_carries(pieces, carries, by, blocks))
+    rows = spark.createDataFrame([(f"k{i}", i, i) for i in range(60)] + [("hot", i, 60 + i) for i in range(60)], "k string, t long, id long")
+    got = ordered.numbered(rows, ["k"], "t", ["id"], rows=30)
+    assert sorted(r.n for r in got.where("k = 'hot'").collect()) == list(range(1, 61)) and got.where("k <> 'hot' and n = 1").count() == 60
+    ordered.decayed(rows, keys=["k"], time="t", tie=["id"], amount=F.lit(1.0), beta=0.9, out="c", rows=30)
+    assert sent == [3, 3]  # the hot key's, in all buckets but its first
