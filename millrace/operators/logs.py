@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ads import sized
-from .ordered import along, asof_latest, only_own, quantiles, running
+from .ads import BROADCAST_ROWS, sized
+from .ordered import along, asof_latest, block_count, held, only_own, quantiles, running
+
+#: Blocks of a level that are broadcast. Of 32 bits, levels with more have at most 18, so that a block there holds 262,144 bounds at most.
+FEW_BLOCKS = 10_000
 
 
 def volume_per_minute(rows: DataFrame, *, time: str = "et") -> DataFrame:
@@ -23,11 +26,12 @@ def geo_stats(rows: DataFrame) -> DataFrame:
 
 
 def aligned_blocks(ranges: DataFrame, *, bits: int = 32) -> DataFrame:
-    """Ranges (lo, hi) as the fewest aligned blocks, two at most for each power of two: ``_level`` and ``_prefix``, the block's number at that level."""
+    """Ranges (lo, hi) as the fewest aligned blocks, two at most for each power of two that fits in: ``_level`` and ``_prefix``, the block's number at that level."""
     level = F.col("_level")
     size = F.expr("shiftleft(1L, _level)")
     first, end = F.expr("lo div shiftleft(1L, _level)") + F.when(F.col("lo") % size != 0, 1).otherwise(0), F.expr("(hi + 1) div shiftleft(1L, _level)")
-    spread = ranges.where("lo <= hi").withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(bits)))).withColumn("_l", first).withColumn("_r", end)
+    most = F.least(F.lit(bits), F.expr("length(bin(hi - lo + 1)) - 1"))  # no wider block fits in
+    spread = ranges.where("lo <= hi").withColumn("_level", F.explode(F.sequence(F.lit(0), most))).withColumn("_l", first).withColumn("_r", end)
     left = F.when((F.col("_l") < F.col("_r")) & (F.col("_l") % 2 == 1), F.array("_l")).otherwise(F.array().cast("array<bigint>"))
     after = F.col("_l") + F.col("_l") % 2
     right = F.when((after < F.col("_r")) & (F.col("_r") % 2 == 1), F.array(F.col("_r") - 1)).otherwise(F.array().cast("array<bigint>"))
@@ -38,14 +42,21 @@ def disjoint_ranges(ranges: DataFrame, *, bits: int = 32) -> DataFrame:
     """Where another range begins to be the narrowest one: ``_from`` and ``_range``, a struct of that range's columns, or null where none holds.
 
     Of equally narrow ranges that of the greater ``lo`` counts, then that of the least other columns. Only the ranges' own bounds are looked up, each at the
-    levels that blocks have, so that a range over everything costs no more than another.
+    levels that blocks have, so that a range over everything costs no more than another; a block keeps its narrowest range alone. Levels of few blocks
+    are broadcast, since all bounds may meet in one of them.
     """
-    filed = aligned_blocks(ranges.select("lo", "hi", F.struct(*ranges.columns).alias("_all")), bits=bits)
-    levels = sorted(r[0] for r in filed.select("_level").distinct().collect())
+    narrowest = F.min(F.struct((F.col("hi") - F.col("lo")).alias("w"), (-F.col("lo")).alias("l"), "_all")).alias("_m")
+    counts = aligned_blocks(ranges.select("lo", "hi"), bits=bits).groupBy("_level").agg(F.approx_count_distinct("_prefix").alias("n")).collect()  # 63 rows at most
+    filed = aligned_blocks(ranges.select("lo", "hi", F.struct(*ranges.columns).alias("_all")), bits=bits).groupBy("_level", "_prefix").agg(narrowest)
     bounds = ranges.where("lo <= hi").select(F.explode(F.array(F.col("lo").cast("long"), (F.col("hi") + 1).cast("long"))).alias("_from")).distinct()
-    asked = bounds.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>"))).withColumn("_prefix", F.expr("_from div shiftleft(1L, _level)"))
-    found = asked.join(filed, ["_level", "_prefix"]).groupBy("_from").agg(F.min(F.struct((F.col("hi") - F.col("lo")).alias("w"), (-F.col("lo")).alias("l"), "_all")).alias("m")).select("_from", F.col("m._all").alias("_range"))
-    return bounds.join(found, "_from", "left")
+
+    def looked_up(levels: list[int], met) -> DataFrame:
+        asked = bounds.withColumn("_level", F.explode(F.array(*[F.lit(v) for v in levels]) if levels else F.array().cast("array<int>"))).withColumn("_prefix", F.expr("_from div shiftleft(1L, _level)"))
+        return asked.join(met(filed.where(F.col("_level").isin(levels))), ["_level", "_prefix"]).select("_from", "_m")
+
+    found = looked_up(sorted(r["_level"] for r in counts if r["n"] > FEW_BLOCKS), lambda b: b).unionByName(looked_up(sorted(r["_level"] for r in counts if r["n"] <= FEW_BLOCKS), F.broadcast))
+    # a bound that no range holds keeps its row of nothing
+    return found.unionByName(bounds, allowMissingColumns=True).groupBy("_from").agg(F.min("_m").alias("_m")).select("_from", F.col("_m._all").alias("_range"))
 
 
 def ip_geo_lookup(rows: DataFrame, ranges: DataFrame, *, ip: str = "ip_num", bits: int = 32, block: int | None = None) -> DataFrame:
@@ -56,9 +67,15 @@ def ip_geo_lookup(rows: DataFrame, ranges: DataFrame, *, ip: str = "ip_num", bit
     numbers of ``bits`` bits, 62 at most.
     """
     named = [c for c in ranges.columns if c not in ("lo", "hi")]
-    cuts = disjoint_ranges(ranges, bits=bits).select(F.col("_from").alias("_ip"), F.coalesce("_range", F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in ranges.schema])).alias("_range"))
-    known = asof_latest(rows.where(F.col(ip).isNotNull()).select(F.col(ip).cast("long").alias("_ip")).distinct(), cuts, order=["_ip"], value="_range", rows=block).where("_range.lo is not null")
-    met = rows.withColumn("_ip", F.col(ip).cast("long")).join(sized(known), "_ip")
+    # each is read several times
+    blocks = block_count(ranges, block)
+    ranges = held(ranges, blocks)
+    cuts = held(disjoint_ranges(ranges, bits=bits).select(F.col("_from").alias("_ip"), F.coalesce("_range", F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in ranges.schema])).alias("_range")), blocks)
+    asked = rows.where(F.col(ip).isNotNull()).select(F.col(ip).cast("long").alias("_ip")).distinct()
+    asked = held(asked, block_count(asked, block))
+    known = asof_latest(asked, cuts, order=["_ip"], value="_range", rows=block).where("_range.lo is not null")
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = rows.withColumn("_ip", F.col(ip).cast("long")).join(F.broadcast(known) if few else known, "_ip")
     return met.select(*rows.columns, *[F.col("_range")[c].alias(c) for c in named])
 
 

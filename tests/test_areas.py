@@ -140,3 +140,25 @@ def test_polygons_of_one_ring_are_tested_once(spark, monkeypatch):
     got = {tuple(r) for r in traffic.join_polygons(spark.createDataFrame(points, "id long, lat double, lon double"), areas).select("id", "polygon_id").collect()}
     want = {(i, 10 * k + j) for i, lat, lon in points for j in range(3) if abs(lon - 116.0 - j / 100) + abs(lat - 39.1) < 0.02 for k in range(30)}
     assert got == want and want and filed == [3]
+
+
+def test_cuts_of_ranges_are_made_once_and_wide_blocks_are_broadcast(spark, monkeypatch):
+    from millrace.operators import logs
+
+    rng = random.Random(9)
+    ranges = [(0, 2**32 - 1, "all"), (1024, 2047, "far"), (1000, 900, "backwards")] + [(lo, lo + rng.choice([0, 5, 63]), f"r{i}") for i, lo in enumerate(rng.choices(range(3000), k=120))]
+    rg, df = spark.createDataFrame(ranges, "lo long, hi long, name string"), spark.createDataFrame([(i, i * 7) for i in range(500)], "id long, ip_num long")
+    # a range has no blocks wider than itself
+    assert all(2**r._level <= r.hi - r.lo + 1 for r in logs.aligned_blocks(rg).collect())
+    many = logs.disjoint_ranges(rg)
+    assert "BroadcastHashJoin" in many._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(logs, "FEW_BLOCKS", 0)
+    few = logs.disjoint_ranges(rg)
+    assert sorted(map(repr, few.collect())) == sorted(map(repr, many.collect())) and many.count() == many.select("_from").distinct().count()
+    monkeypatch.undo()
+    made = []
+    disjoint = logs.disjoint_ranges
+    monkeypatch.setattr(logs, "disjoint_ranges", lambda *a, **k: made.append(disjoint(*a, **k)) or made[0])
+    found = logs.ip_geo_lookup(df, rg, block=20)
+    assert found.count() == 500 and "InMemoryTableScan" in found._jdf.queryExecution().executedPlan().toString()
+    spark.catalog.clearCache()
