@@ -77,10 +77,25 @@ def planar_dist(x1: Column, y1: Column, x2: Column, y2: Column, x: Column, y: Co
     return F.transform(F.array(_along(x1, y1, x2, y2, x, y)), of)[0]
 
 
+def _crosses(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """Whether the line from a point to the right meets the side between corners ``a`` and ``b``, structs (x, y)."""
+    return ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * F.try_divide(y - a["y"], b["y"] - a["y"]) + a["x"])
+
+
+def ring_sides(ring: Column) -> Column:
+    """Sides of a ring of three corners or more, as structs of corners ``p`` and ``q``."""
+    n = F.size(ring)
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at(ring, i).alias("p"), F.element_at(ring, i % n + 1).alias("q")))
+
+
+def odd_crossings(sides: Column, x: Column, y: Column) -> Column:
+    """Whether the line from a point to the right meets an odd number of sides: with a box around them, even-odd containment."""
+    return F.size(F.filter(sides, lambda s: _crosses(s["p"], s["q"], x, y))) % 2 == 1
+
+
 def point_in_polygon(ring: Column, x: Column, y: Column) -> Column:
     """Even-odd containment: ``ring`` is an array of structs (x, y), closed or not."""
     n = F.size(ring)
-    crossing = lambda a, b: ((a["y"] > y) != (b["y"] > y)) & (x < (b["x"] - a["x"]) * F.try_divide(y - a["y"], b["y"] - a["y"]) + a["x"])
-    flips = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + F.when(F.coalesce(crossing(F.element_at(ring, i), F.element_at(ring, i % n + 1)), F.lit(False)), 1).otherwise(0))
+    flips = F.aggregate(F.sequence(F.lit(1), n), F.lit(0), lambda acc, i: acc + F.when(F.coalesce(_crosses(F.element_at(ring, i), F.element_at(ring, i % n + 1), x, y), F.lit(False)), 1).otherwise(0))
     in_box = x.between(F.array_min(F.transform(ring, lambda p: p["x"])), F.array_max(F.transform(ring, lambda p: p["x"]))) & y.between(F.array_min(F.transform(ring, lambda p: p["y"])), F.array_max(F.transform(ring, lambda p: p["y"])))
     return in_box & (flips % 2 == 1)

@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions import DEGREE_METRES, planar_dist, point_in_polygon
+from ..functions import DEGREE_METRES, odd_crossings, planar_dist, point_in_polygon, ring_sides
 from ..sources.storage import stored
-from .ads import sized
+from .ads import BROADCAST_ROWS, sized
 from .ordered import asof_latest, block_count, running
 
 #: Width of a road that gives none, and how far off the nearest road may lie, in metres.
 ROAD_WIDTH, NEAR = 5, 10
 RING = 30
+#: Points of a task that joins them with polygons.
+DEALT_POINTS = 50_000
 
 
 def filter_bbox_speed(points: DataFrame, *, lat: tuple[float, float], lon: tuple[float, float]) -> DataFrame:
@@ -110,9 +112,7 @@ def file_polygons(polygons: DataFrame, *, cell_degrees: float = 0.002, across: i
     boxed = polygons.where(F.size("ring") > 2).select("polygon_id", "ring", *[bound(f, c).alias(n + c) for n, f in (("_lo_", F.array_min), ("_hi_", F.array_max)) for c in ("x", "y")])
     extent = F.greatest(F.col("_hi_x") - F.col("_lo_x"), F.col("_hi_y") - F.col("_lo_y")) / across
     held = boxed.withColumn("_level", level_of(extent, cell_degrees)).withColumn("_size", F.pow(F.lit(2.0), F.col("_level")) * cell_degrees)
-    n = F.size("ring")
-    sides = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.element_at("ring", i).alias("p"), F.element_at("ring", i % n + 1).alias("q")))
-    segments = held.select("polygon_id", "_level", "_size", F.explode(sides).alias("s")).select("polygon_id", "_level", "_size", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2"))
+    segments = held.select("polygon_id", "_level", "_size", F.explode(ring_sides(F.col("ring"))).alias("s")).select("polygon_id", "_level", "_size", F.col("s.p.x").alias("x1"), F.col("s.p.y").alias("y1"), F.col("s.q.x").alias("x2"), F.col("s.q.y").alias("y2"))
     edges = segment_cells(segments, F.col("_size") * 1e-6, F.col("_size")).select("polygon_id", "_level", "_ix", "_iy").distinct().withColumn("_edge", F.lit(True))
     cells = lambda c: F.explode(F.sequence(F.floor(F.col(f"_lo_{c}") / F.col("_size")), F.floor(F.col(f"_hi_{c}") / F.col("_size"))))
     whole = held.withColumn("_ix", cells("x")).withColumn("_iy", cells("y")).join(edges, ["polygon_id", "_level", "_ix", "_iy"], "left_anti")
@@ -124,18 +124,31 @@ def file_polygons(polygons: DataFrame, *, cell_degrees: float = 0.002, across: i
 def join_polygons(points: DataFrame, polygons: DataFrame, *, x: str = "lon", y: str = "lat", cell_degrees: float = 0.002) -> DataFrame:
     """Points with the ``polygon_id`` of each polygon that holds them (even-odd), a row for each; others drop.
 
-    Points meet cells by an equi-join; only those in edge cells meet the polygon's ring for the test. Polygons of one ring are filed and tested
-    once, under the least of their ids, and all of them join what that one holds. ``polygon_id`` tells polygons apart.
+    Points meet cells by an equi-join; only those in edge cells meet the polygon's sides for the test. Polygons of one ring are filed and tested
+    once, under the least of their ids, and all of them join what that one holds. ``polygon_id`` tells polygons apart; those without one drop.
+
+    There are as many rows as points times polygons around them. Points are dealt to tasks of some ``DEALT_POINTS`` by their place, and in a task a
+    ring's points come one after the other, each with the same list of polygons: files of such rows take a small part of what they take in the points' order.
     """
-    first = polygons.where(F.size("ring") > 2).groupBy("ring").agg(F.min("polygon_id").alias("_first"))
-    members = polygons.select("ring", F.col("polygon_id").alias("_member")).join(first, "ring").select(F.col("_first").alias("polygon_id"), "_member")
+    polygons = polygons.where((F.size("ring") > 2) & F.col("polygon_id").isNotNull())
+    first = polygons.groupBy("ring").agg(F.min("polygon_id").alias("_first"))
+    lists = polygons.select("ring", F.col("polygon_id").alias("_member")).join(first, "ring").groupBy(F.col("_first").alias("polygon_id")).agg(F.sort_array(F.collect_list("_member")).alias("_members"))
     rings = first.select(F.col("_first").alias("polygon_id"), "ring")
     filed = sized(file_polygons(rings, cell_degrees=cell_degrees))
-    met = at_levels(points, filed, cell_degrees, x=x, y=y).join(filed, ["_level", "_ix", "_iy"]).drop("_level", "_ix", "_iy")
-    tested = met.where("_edge").join(sized(rings), "polygon_id").where(point_in_polygon(F.col("ring"), F.col(x), F.col(y)))
-    columns = [*points.columns, "polygon_id"]
-    held = met.where("not _edge").select(columns).unionByName(tested.select(columns))
-    return held.join(sized(members), "polygon_id").select(*points.columns, F.col("_member").alias("polygon_id"))
+    bound = lambda f, c: f(F.transform("ring", lambda p: p[c]))
+    tests = rings.select("polygon_id", ring_sides(F.col("ring")).alias("_sides"), *[bound(f, c).alias(n + c) for n, f in (("_lo_", F.array_min), ("_hi_", F.array_max)) for c in ("x", "y")])
+    tasks = max(1, -(-points.count() // DEALT_POINTS))
+    # a block is a part of what lies in a wide cell, no more than a task's share; maps have no hash
+    cell = lambda c: F.floor(F.col(c) / (8 * cell_degrees))
+    share = F.pmod(F.xxhash64(*[c for c, kind in points.dtypes if "map<" not in kind]), F.lit(tasks))
+    dealt = points.dropna(subset=[x, y]).withColumn("_block", F.struct(cell(y).alias("y"), cell(x).alias("x"), share.alias("share"))).repartitionByRange(tasks, "_block")
+    met = at_levels(dealt, filed, cell_degrees, x=x, y=y).join(filed, ["_level", "_ix", "_iy"]).join(sized(tests), "polygon_id")
+    in_box = F.col(x).between(F.col("_lo_x"), F.col("_hi_x")) & F.col(y).between(F.col("_lo_y"), F.col("_hi_y"))
+    inside = in_box & odd_crossings(F.col("_sides"), F.col(x), F.col(y))
+    held = met.where(~F.col("_edge") | inside).groupBy("_block", "polygon_id").agg(F.collect_list(F.struct(*points.columns)).alias("_points"))
+    members = F.broadcast(lists) if polygons.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lists
+    each = held.join(members, "polygon_id").select("_members", F.explode("_points").alias("_point"))
+    return each.select(*[F.col("_point")[c].alias(c) for c in points.columns], F.explode("_members").alias("polygon_id"))
 
 
 def key_distribution(rows: DataFrame, *, key: str) -> DataFrame:

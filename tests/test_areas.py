@@ -162,3 +162,24 @@ def test_cuts_of_ranges_are_made_once_and_wide_blocks_are_broadcast(spark, monke
     found = logs.ip_geo_lookup(df, rg, block=20)
     assert found.count() == 500 and "InMemoryTableScan" in found._jdf.queryExecution().executedPlan().toString()
     spark.catalog.clearCache()
+
+
+def test_rows_of_a_ring_come_together_and_take_few_bytes(spark, monkeypatch, tmp_path):
+    ring = lambda x, r: [(x - r, 39.1), (x, 39.1 + r), (x + r, 39.1), (x, 39.1 - r)]
+    kind = "polygon_id long, ring array<struct<x: double, y: double>>"
+    # twelve rings, each that of 100 polygons, and a polygon without an id
+    areas = spark.createDataFrame([(12 * k + i, ring(116.0 + i / 200, 0.02)) for k in range(100) for i in range(12)] + [(None, ring(116.0, 0.02))], kind)
+    rng = random.Random(10)
+    points = [(i, 39.1 + rng.uniform(-0.03, 0.03), 116.0 + rng.uniform(-0.03, 0.08)) for i in range(4000)] + [(5000, None, 116.0), (5001, 39.1, float("nan"))]
+    want = [(i, j) for i, lat, lon in points if lat is not None for j in range(12) if abs(lon - 116.0 - j / 200) + abs(lat - 39.1) < 0.02]
+    monkeypatch.setattr(traffic, "DEALT_POINTS", 1500, raising=False)
+    found = traffic.join_polygons(spark.createDataFrame(points, "id long, lat double, lon double"), areas).select("id", "polygon_id")
+    found.write.parquet(f"{tmp_path}/rows")
+    assert len(want) > 5000 and sum(p.stat().st_size for p in tmp_path.glob("rows/*.parquet")) < 0.5 * 100 * len(want)
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    assert rows.count() == 100 * len(want) and {tuple(r) for r in rows.select("id", F.col("polygon_id") % 12).distinct().collect()} == set(want)
+    assert rows.groupBy("id", F.col("polygon_id") % 12).agg(F.countDistinct("polygon_id").alias("n")).where("n <> 100").count() == 0
+    # in each of three tasks, a point's polygons of one ring follow one another
+    parts = found.rdd.glom().map(lambda p: [(r.id, r.polygon_id % 12) for r in p]).collect()
+    runs = sum(1 + sum(a != b for a, b in zip(p, p[1:])) for p in parts if p)
+    assert sum(map(bool, parts)) == 3 and runs == len(want)
