@@ -13,12 +13,19 @@ In all operators a null key is a key like any other, and rows without an order v
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .frames import frame_means
 
 #: Rows of a bucket or block where a key's rows come evenly.
 BLOCK_ROWS = 250_000
@@ -127,22 +134,40 @@ def along(df: DataFrame, keys: list[str], order: str, tie: list[str], reach: int
 def moving_avg(df: DataFrame, *, key: str, order: str, tie: list[str], value: str, size: int = 1000, out: str = "moving_avg", rows: int | None = None) -> DataFrame:
     """Mean of the last ``size`` values of a key, the current one included; nulls among them count nothing.
 
-    A key's numbered rows are cut into stretches of ``size``. A frame is the end of one stretch and the beginning of the next, so that two
-    running sums, forward and backward inside stretches, give it by one addition: work doesn't grow with the size, nothing is
-    subtracted, and NaN, infinity or a large value touches the frames that hold it and no other.
+    A frame is added up in aligned blocks of a key's numbered rows, as ``frames.frame_sums`` says: work hardly grows with the size, nothing is
+    subtracted, and NaN, infinity or a large value touches the frames that hold it and no other. Rows go through Python in order, a few batches at a time.
     """
     blocks = block_count(df, rows)
-    lines = numbered(df, [key], order, tie, out="_n", rows=rows, blocks=blocks).withColumn("_stretch", F.floor((F.col("_n") - 1) / size))
-    value_, one = F.col(value).cast("double"), F.when(F.col(value).isNotNull(), 1).otherwise(0).cast("long")
-    w = _over([key], "_stretch")
-    ahead, back = (w.orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("_n"), F.desc("_n")))
-    sums = lines.select("*", F.sum(value_).over(ahead).alias("_s"), F.sum(one).over(ahead).alias("_c"), F.struct(F.sum(value_).over(back).alias("s"), F.sum(one).over(back).alias("c")).alias("_tail"))
-    framed_, w = framed(sums, [key], size - 1, n="_n", rows=rows, blocks=blocks)
-    # the stretch before, from the frame's first row on; a frame that ends with its stretch is all of it
-    tail = F.when(F.col("_n") % size != 0, F.lag("_tail", size - 1).over(w)) if size > 1 else F.lit(None).cast("struct<s: double, c: bigint>")
-    found = only_own(framed_.withColumn("_tail", tail))
-    total = F.when(F.col("_tail.s").isNull(), F.col("_s")).otherwise(F.coalesce("_s", F.lit(0.0)) + F.col("_tail.s"))
-    return found.withColumn(out, F.try_divide(total, F.col("_c") + F.coalesce("_tail.c", F.lit(0)))).drop("_n", "_stretch", "_s", "_c", "_tail")
+    lines = numbered(df.withColumn("_v", F.col(value).cast("double")), [key], order, tie, out="_n", rows=rows, blocks=blocks)
+    framed_, _ = framed(lines, [key], size - 1, n="_n", rows=rows, blocks=blocks)
+    if blocks > 1:
+        framed_ = framed_.repartition(blocks, key, "_block")
+    kept = [c for c in df.columns if c != out]
+    schema = T.StructType([*[df.schema[c] for c in kept], T.StructField(out, T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        places, values, known = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=bool)
+        for table in gathered(batches, 4 * size):
+            n, v = table["_n"].to_numpy(), table["_v"]
+            own, first = pc.equal(table["_own"], table["_block"]), len(places)
+            places, values, known = (np.concatenate(x) for x in ((places, n - 1), (values, pc.fill_null(v, 0.0).to_numpy()), (known, v.is_valid().to_numpy())))
+            means, some = frame_means(places, values, known, np.where(own.to_numpy(), np.minimum(n, size), 0), first)
+            yield from table.select(kept).append_column(out, pa.array(means, mask=~some)).filter(own).to_batches()
+            places, values, known = (x[max(0, len(x) - size + 1) :] for x in (places, values, known))
+
+    return framed_.sortWithinPartitions(key, "_block", "_n").mapInArrow(run, schema)
+
+
+def gathered(batches: Iterable[pa.RecordBatch], least: int) -> Iterator[pa.Table]:
+    """Batches put together to tables of ``least`` rows or more; the last may have fewer."""
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= least:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 def filter_spike(df: DataFrame, *, value: str, mean: str = "moving_avg", threshold: float = 0.25) -> DataFrame:

@@ -180,24 +180,28 @@ def win_anchored_count(spark, sf):
 _AVG = "o AS (SELECT *, avg(value) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS {n} PRECEDING) AS mean FROM ev)"
 
 
+def _sensed(spark, sf):
+    return derive.events(spark, sf).select("event_id", "user_id", "us", "value")
+
+
 @query(f"WITH {EVENTS}, {_AVG.format(n=999)} SELECT event_id, user_id, round(mean + 1e-9, 6) AS moving_avg FROM o")
 def moving_avg(spark, sf):
-    return ordered.moving_avg(derive.events(spark, sf), **_SENSOR).select("event_id", "user_id", F.round(F.col("moving_avg") + 1e-9, 6).alias("moving_avg"))
+    return ordered.moving_avg(_sensed(spark, sf), **_SENSOR).select("event_id", "user_id", F.round(F.col("moving_avg") + 1e-9, 6).alias("moving_avg"))
 
 
 @query(f"WITH {EVENTS}, {_AVG.format(n=19)} SELECT event_id, round(mean + 1e-9, 6) AS moving_avg FROM o")
 def moving_avg_short(spark, sf):
-    return ordered.moving_avg(derive.events(spark, sf), size=20, **_SENSOR).select("event_id", F.round(F.col("moving_avg") + 1e-9, 6).alias("moving_avg"))
+    return ordered.moving_avg(_sensed(spark, sf), size=20, **_SENSOR).select("event_id", F.round(F.col("moving_avg") + 1e-9, 6).alias("moving_avg"))
 
 
 @query(f"WITH {EVENTS}, {_AVG.format(n=999)} SELECT event_id, user_id, value, round(mean + 1e-9, 6) AS moving_avg FROM o WHERE abs(value - mean) > 0.25 * mean")
 def spike_detect(spark, sf):
-    return ordered.spike_detect(derive.events(spark, sf), **_SENSOR).select("event_id", "user_id", "value", F.round(F.col("moving_avg") + 1e-9, 6).alias("moving_avg"))
+    return ordered.spike_detect(_sensed(spark, sf), **_SENSOR).select("event_id", "user_id", "value", F.round(F.col("moving_avg") + 1e-9, 6).alias("moving_avg"))
 
 
 @query(f"WITH {EVENTS}, {_AVG.format(n=999)} SELECT event_id FROM o WHERE abs(value - mean) > 2.0 * mean")
 def filter_spike(spark, sf):
-    return ordered.filter_spike(ordered.moving_avg(derive.events(spark, sf), **_SENSOR), value="value", threshold=2.0).select("event_id")
+    return ordered.filter_spike(ordered.moving_avg(_sensed(spark, sf), **_SENSOR), value="value", threshold=2.0).select("event_id")
 
 
 _PAIRS = "o AS (SELECT *, lag(event_type) OVER w AS prev, row_number() OVER w AS n FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY us, event_id))"

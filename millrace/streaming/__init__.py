@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators import ads
+from ..operators.frames import frame_means, round_of
 from ..operators.road import EXIT_LANE
 from ..operators.traffic import AnchoredWindow, SpeedGate
 
@@ -214,24 +215,20 @@ def decayed_counts(rows: DataFrame, *, key: str, time: str, order: list[str], am
 def moving_averages(rows: DataFrame, *, key: str, value: str, order: list[str], size: int = 1000, with_value: bool = False, ttl_ms: int | None = None) -> DataFrame:
     """The stream twin of ``moving_avg``, to the last bit: a list of the last values for each key; nulls take a place in it and count nothing. ``with_value`` keeps the row's own.
 
-    A frame is added up as the batch operator does it, its own stretch forward and the end of the stretch before backward, so that values keep their place in their stretch.
+    A frame is added up as the batch operator does it, in blocks, so that values keep their place among them.
     """
+    rounds = round_of(size)
 
     def scan(state, k, columns):
         now = columns[value]
-        fresh = (state[-1][2] + 1) % size if state else 0
-        ahead = (fresh - len(state)) % size  # places of the first stretch that no frame holds any more
-        at = np.arange(ahead + len(state), ahead + len(state) + len(now))
-        stretches = np.zeros((2, -(-(at[-1] + 1) // size) * size))
-        stretches[0, ahead : at[-1] + 1] = [v for v, _, _ in state] + [float(v or 0.0) for v in now]
-        stretches[1, ahead : at[-1] + 1] = [f for _, f, _ in state] + [v is not None for v in now]
-        forward = np.add.accumulate(stretches.reshape(2, -1, size), axis=2).reshape(2, -1)
-        backward = np.add.accumulate(stretches.reshape(2, -1, size)[:, :, ::-1], axis=2)[:, :, ::-1].reshape(2, -1)
-        lent = (at >= size) & (at % size != size - 1)
-        sums, counts = forward[:, at] + np.where(lent, backward[:, np.where(lent, at + 1 - size, 0)], 0.0)
-        means = [float(s) / int(n) if n else None for s, n in zip(sums, counts, strict=True)]
-        held = np.arange(max(ahead, at[-1] + 2 - size), at[-1] + 1)
-        kept = [(float(stretches[0, i]), bool(stretches[1, i]), int(i) % size) for i in held]
+        first = (state[-1][2] + 1 - len(state)) % rounds if state else 0
+        places = np.arange(first, first + len(state) + len(now))
+        values = np.array([v for v, _, _ in state] + [float(v or 0.0) for v in now])
+        known = np.array([f for _, f, _ in state] + [v is not None for v in now])
+        lengths = np.minimum(np.arange(len(state), len(places)) + 1, size)
+        means, some = frame_means(places, values, known, lengths, len(state))
+        means = [float(m) if any_ else None for m, any_ in zip(means, some, strict=True)]
+        kept = [(float(values[i]), bool(known[i]), int(places[i]) % rounds) for i in range(max(0, len(places) - size + 1), len(places))]
         return kept, ([k[0]] * len(now), columns[order[-1]], means, *([now] if with_value else []))
 
     return _stateful(rows, [key], ("list", "value double, known boolean, place int"), order, scan, f"{key} {kind_of(rows, key)}, row_id {kind_of(rows, order[-1])}, moving_avg double" + (f", {value} {kind_of(rows, value)}" if with_value else ""), ttl_ms)

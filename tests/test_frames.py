@@ -3,6 +3,8 @@
 import math
 import random
 
+import duckdb
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -65,3 +67,29 @@ def test_scans_end_on_nan_keys(spark):
     assert max(r["count"] for r in got if r.road_id is not None and math.isnan(r.road_id)) == 15
     made = traffic.win_anchored_count(df, key="road_id", time="seq", order="seq", length=10).collect()
     assert sorted(str(r.road_id) for r in made) == sorted(["nan"] * 3 + ["1.0"] * 3 + ["2.0"] * 2 + ["None"] * 3)
+
+
+@pytest.mark.parametrize("size", [1, 16, 20, 256, 1000])
+@pytest.mark.parametrize("rows", [600, 250_000])
+def test_means_equal_sql_to_the_bit(spark, size, rows):
+    rng = random.Random(size)
+    data = [(k, i, rng.choice([None, *[rng.randrange(1, 50_000) / 100 for _ in range(9)]])) for k, n in ((1, 5000), (2, 300), (None, 17)) for i in range(n)]
+    df = spark.createDataFrame(data, "k long, i long, v double").repartition(3)
+    got = {(r.k, r.i): r.moving_avg for r in ordered.moving_avg(df, key="k", order="i", tie=[], value="v", size=size, rows=rows).collect()}
+    c = duckdb.connect()
+    c.register("t", pa.table({n: pa.array(column) for n, column in zip("kiv", zip(*data))}))
+    want = c.execute(f"SELECT k, i, avg(v) OVER (PARTITION BY k ORDER BY i ROWS {size - 1} PRECEDING) FROM t").fetchall()
+    assert got == {(k, i): m for k, i, m in want}
+
+
+def test_row_on_the_threshold_is_as_in_sql(spark, tmp_path):
+    """149.52 is three times the mean of its 255 rows, 49.84, so that it isn't off by more than twice the mean."""
+    from millrace import plans
+
+    c = duckdb.connect()
+    c.execute("CREATE VIEW once AS SELECT * FROM '/root/testdata/sf0.1/events.parquet' WHERE user_id = 351")
+    c.execute(f"COPY (SELECT once.* REPLACE (event_id + 100000 * copy AS event_id) FROM once, (SELECT unnest(range(7)) AS copy)) TO '{tmp_path}/events.parquet'")
+    c.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
+    want = {r[0] for r in c.execute(plans.oracle_sql()["filter_spike"]).fetchall()}
+    got = {r.event_id for r in plans.queries()["filter_spike"](spark, str(tmp_path)).collect()}
+    assert got == want and 270120 not in got and len(got) > 5
